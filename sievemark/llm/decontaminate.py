@@ -171,16 +171,8 @@ class Shard:
         return [(d, n, sum(b - a for a, b in s), sorted(i), s, int(x)) for d, n, i, s, x in zip(self.docs, self.sizes, items, spans, longest, strict=True)]
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest long"
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, n_hit, items (sorted as strings), spans of words hit, longest verbatim match.
-
-    A document word is hit inside any occurrence of `window` consecutive words of an item (a shorter
-    item: all of its words). Null and wordless texts have no words; items without words, and an empty
-    benchmark, match nothing; repeated items count once, repeated documents come out each.
-    """
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
+    """The benchmark as broadcasts of bounded size."""
     context = docs.sparkSession.sparkContext
     blocks, held, size = [], [], 0
     for name, text in benchmark.select(F.col(item_col), F.col(item_text_col).cast("string")).toLocalIterator():
@@ -191,6 +183,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             held, size = [], 0
     if held:
         blocks.append(context.broadcast(Block(held, window)))
+    return blocks
+
+
+SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest long"
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per document: n_words, n_hit, items (sorted as strings), spans of words hit, longest verbatim match.
+
+    A document word is hit inside any occurrence of `window` consecutive words of an item (a shorter
+    item: all of its words). Null and wordless texts have no words; items without words, and an empty
+    benchmark, match nothing; repeated items count once, repeated documents come out each.
+    """
+    blocks = _blocks(docs, benchmark, item_col, item_text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shard: Shard) -> pa.RecordBatch:
@@ -210,3 +216,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = ["doc_id", "n_words", "n_hit", "items", "spans", "longest"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64()]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs, with all their columns, without the rows that hold `window` or more words of an item verbatim.
+
+    A match of an item of fewer words is no evidence against a document. Null and wordless texts stay.
+    """
+    blocks = _blocks(docs, benchmark, item_col, item_text_col, window)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, first = Shard(), 0
+            for k, text in enumerate(texts_of(b.column(at))):
+                shard.add(k, text)
+                if len(shard.words) >= SHARD_WORDS or k + 1 == b.num_rows:
+                    stays = pa.array([row[-1] < window for row in shard.found(x.value for x in blocks)])
+                    yield b.slice(first, k + 1 - first).filter(stays)
+                    shard, first = Shard(), k + 1
+
+    return docs.mapInArrow(run, docs.schema)

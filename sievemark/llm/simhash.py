@@ -207,3 +207,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links).withColumnRenamed("node", "rep")
     classes = unique.join(parts, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, keeping of each group of near duplicates the document with the smallest id.
+
+    Rows that repeat an id are one document, of which one row stays. Rows without an id stay.
+    """
+    found = checkpointed(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeats = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if repeats:  # the same rows result either way; without repeats no text is compared
+        return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return left
