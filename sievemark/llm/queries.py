@@ -17,6 +17,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm.quality import judged
+
+    found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm.langid import fit, identify
 
@@ -53,6 +60,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_language_id, op6_decontamination, op7_pii, op9_packing, op10_simhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality, op5_language_id, op6_decontamination, op7_pii, op9_packing, op10_simhash, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
