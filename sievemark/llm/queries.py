@@ -17,6 +17,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm.extract import extracted
+
+    found = extracted(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm.quality import judged
 
@@ -60,6 +73,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality, op5_language_id, op6_decontamination, op7_pii, op9_packing, op10_simhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extraction, op2_warc, op4_quality, op5_language_id, op6_decontamination, op7_pii, op9_packing, op10_simhash, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as bytes from pages),
+        m as (select *, max(page_id) over (partition by digest) as last from p)
+        select page_id, cast(bytes as bigint) as payload_bytes, digest as payload_digest,
+               case when bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+               case when bytes >= 1000 and page_id < last then last end as refers_to
+        from m""",
+}
