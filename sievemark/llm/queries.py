@@ -30,6 +30,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm.chat import linked
+
+    return linked(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "position", "kind", "role", "call_id", "linked", "level", "json")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm.quality import judged
 
@@ -73,9 +79,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extraction, op2_warc, op4_quality, op5_language_id, op6_decontamination, op7_pii, op9_packing, op10_simhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extraction, op2_warc, op3_chat, op4_quality, op5_language_id, op6_decontamination, op7_pii, op9_packing, op10_simhash, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat": """
+        with m as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+                   case when regexp_matches(coalesce(text, ''), '^\\s*\\{') and contains(text, '"tool_call') then try_cast(text as json) end as v
+            from conversations),
+        p as (select *, case when json_type(v, '$.tool_calls') = 'ARRAY' then json_extract(v, '$.tool_calls[*]') end as calls, json_extract_string(v, '$.tool_call_id') as result_of from m)
+        select conv_id, turn, cast(-1 as bigint) as position, 'message' as kind, role, cast(null as varchar) as call_id, cast(null as boolean) as linked,
+               cast(null as bigint) as level, cast(json_object('content', text, 'role', role) as varchar) as json
+        from p where result_of is null and calls is null""",
     "op2_warc": """
         with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as bytes from pages),
         m as (select *, max(page_id) over (partition by digest) as last from p)
