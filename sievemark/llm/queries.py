@@ -67,6 +67,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm.lm import fit, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs.where(~F.coalesce(crc_bucket("doc_id", 5) == 1, F.lit(False))))
+    held_out = crc_bucket("doc_id", 5) == 1
+    return scored(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm.packing import pack_documents
 
@@ -79,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extraction, op2_warc, op3_chat, op4_quality, op5_language_id, op6_decontamination, op7_pii, op9_packing, op10_simhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extraction, op2_warc, op3_chat, op4_quality, op5_language_id, op6_decontamination, op7_pii, op8_lm, op9_packing, op10_simhash, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": """
