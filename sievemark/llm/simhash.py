@@ -158,7 +158,7 @@ def anchor_links(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.n
     for k in range(1, PAIRWISE):
         if len(f) <= k:
             break
-        hit = (group[k:] == group[:-k]) & (h[k:] | h[:-k]) & (np.bitwise_count(f[k:] ^ f[:-k]) <= THRESHOLD)
+        hit = (group[k:] == group[:-k]) & (h[k:] | h[:-k]) & (np.bitwise_count((f[k:] ^ f[:-k]).view(np.uint64)) <= THRESHOLD)
         us.append(r[k:][hit])
         vs.append(r[:-k][hit])
     for g in np.flatnonzero(useful & (sizes > PAIRWISE)):
