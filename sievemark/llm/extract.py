@@ -237,14 +237,13 @@ def main_text(html: str) -> str:
         return "\n\n".join(t for n, t, k in found if k < 0.5 * len(t))
     while not named and best.parent is not None and best.parent.tag in CONTAINERS and best.parent.score >= best.score:
         best = best.parent
-    keep = {best}
+    keep, own = {best}, {n: t for n, t, _ in found}
     if best.parent is not None:
         for x in best.parent.children:
             if isinstance(x, Node) and x is not best and x in size:
                 near = x.score >= max(10, 0.2 * best.score)
-                prose = x.tag == "p" and (size[x] > 80 and density(x) < 0.25 or size[x] <= 80 and density(x) == 0)
-                same = x.tag == best.tag and x.tag == "article"
-                if near or prose or same:
+                prose = x.tag == "p" and (size[x] > 80 and density(x) < 0.25 or density(x) == 0 and own.get(x, "").endswith((".", "!", "?")))
+                if near and (not named or x.tag == best.tag) or prose and not named:
                     keep.add(x)
     return "\n\n".join(t for n, t, _ in found if any(x in keep for x in _ancestors(n)))
 
