@@ -112,8 +112,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 class _Sums:
     """Indexes of the length sums that one, two and three pieces left can have."""
 
-    def __init__(self, left: np.ndarray):
-        self.left, self.fresh, self._pairs = left, 0, None
+    def __init__(self, left: np.ndarray, most: int):
+        self.left, self.most, self.fresh, self._pairs = left, most, 0, None
 
     def pairs(self) -> np.ndarray:
         """Whether two lengths that had pieces when it was last built have the sum; the pair itself is looked up anew."""
@@ -132,8 +132,10 @@ class _Sums:
     def exact(self, gap: int) -> list[int] | None:
         if self.left[gap] > 0:
             return [gap]
-        if found := self.pair(gap, gap):
+        if self.most > 1 and (found := self.pair(gap, gap)):
             return found
+        if self.most < 3:
+            return None
         a = np.arange(gap - 2, (gap + 2) // 3 - 1, -1)
         for x in a[(self.left[a] > 0) & self.pairs()[gap - a]] if len(a) else ():
             self.left[x] -= 1
@@ -145,11 +147,19 @@ class _Sums:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence, how many such sequences), together holding every piece once."""
+    """(lengths of a sequence, how many such sequences), together holding every piece once.
+
+    Filling gaps with triples or pairs can use up short pieces that later gaps need, so plans with exact
+    combinations of up to three, two and one pieces are made, and the one of fewest sequences is taken.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda bins: sum(times for _, times in bins))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    sums, out = _Sums(left), []
+    sums, out = _Sums(left, most), []
     for longest in range(capacity, 0, -1):
         while left[longest] > 0:
             items, gap = [longest], capacity - longest
