@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import texts_of
+from sievemark.llm.common import slices, texts_of
 
 UNKNOWN = "und"
 #: Labelled documents of a language that its statistics are taken from, about.
@@ -28,6 +28,8 @@ SWITCH = 12.0
 #: Share of a language's letters that a script needs for the language to be its candidate.
 SCRIPT_SHARE = 0.01
 LETTERS_AT_ONCE = 2_000_000
+#: Bytes of text whose words are labelled together.
+LABELLED_BYTES = 8_000_000
 
 # First and last code points of scripts.
 SCRIPTS = (
@@ -239,31 +241,40 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    def labelled(texts: list[str]) -> tuple[list[str], np.ndarray, list[list]]:
+        names, score, found = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
+        if not model.languages:
+            return names, score, found
+        doc, begin, end, label = _labels(texts, model)
+        n = len(model.languages)
+        letters = np.bincount(doc * n + label, end - begin, minlength=len(texts) * n).reshape(-1, n)
+        total, top = letters.sum(axis=1), letters.argmax(axis=1)
+        full = np.flatnonzero(total)
+        score[full] = letters[full, top[full]] / total[full]
+        for k in full:
+            names[k] = model.languages[top[k]]
+        if spans and len(doc):
+            new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(label) != 0)])
+            last = np.r_[new[1:], len(doc)] - 1
+            for d, a, z, x in zip(doc[new].tolist(), begin[new].tolist(), end[last].tolist(), label[new].tolist(), strict=True):
+                found[d].append((model.languages[x], a, z))
+        return names, score, found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.decode() for x in texts_of(b.column(1))]
-            names: list[str] = [UNKNOWN] * len(texts)
-            score = np.zeros(len(texts))
-            found: list[list] = [[] for _ in texts]
-            if texts and model.languages:
-                doc, begin, end, label = _labels(texts, model)
-                n = len(model.languages)
-                letters = np.bincount(doc * n + label, (end - begin), minlength=len(texts) * n).reshape(-1, n)
-                total, top = letters.sum(axis=1), letters.argmax(axis=1)
-                full = np.flatnonzero(total)
-                score[full] = letters[full, top[full]] / total[full]
-                for k in full:
-                    names[k] = model.languages[top[k]]
-                if spans and len(doc):
-                    new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(label) != 0)])
-                    last = np.r_[new[1:], len(doc)] - 1
-                    for d, a, z, x in zip(doc[new].tolist(), begin[new].tolist(), end[last].tolist(), label[new].tolist(), strict=True):
-                        found[d].append((model.languages[x], a, z))
-            own, own_names = [pa.array(names), pa.array(score)], ["lang_pred", "score"]
+            raw = texts_of(b.column(1))
+            names, scores, found = [], [np.zeros(0)], []
+            for i, j in slices(raw, LABELLED_BYTES):
+                part = labelled([x.decode() for x in raw[i:j]])
+                names += part[0]
+                scores.append(part[1])
+                found += part[2]
+            own, own_names = [pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"]
             if spans:
                 own, own_names = [*own, pa.array(found, span)], [*own_names, "spans"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *own], names=[b.schema.names[0], *b.schema.names[2:], *own_names])
+            kept = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*kept, *own], names=[*(n for n in b.schema.names if n != "_text"), *own_names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(text_col if text_col in keep else "_text"), *(c for c in keep if c != text_col))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_text") + ", lang_pred string, score double" + f", spans {_SPANS}" * spans
     return rows.mapInArrow(run, schema)
