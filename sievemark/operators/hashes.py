@@ -1,0 +1,78 @@
+"""Perceptual hashes of images, and metadata of image and office files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sievemark.functions.ladder import CONCERN, CRITICAL, NOTE, SUSPICIOUS, ladder
+
+FAR = 8
+
+
+def sign_hash(vector: Column) -> Column:
+    """64 bits: which of the first 64 entries are positive."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get(vector, i) > 0, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
+def bands(h: Column) -> Column:
+    """Nine segments of the hash: of two hashes that differ in eight bits at most, one is equal."""
+    cuts = [round(64 * k / 9) for k in range(10)]
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+
+
+def _ladder(d: Column) -> Column:
+    return ladder((d <= 2, CRITICAL), (d <= 5, SUSPICIOUS), otherwise=CONCERN)
+
+
+def hamming_pairs(images: DataFrame) -> DataFrame:
+    """F1 over (doc_id, image_id, phash): pairs of a document's images within eight bits; equal hashes of a document are compared once and stand for their images (n_a, n_b)."""
+    u = images.groupBy("doc_id", "phash").agg(F.min("image_id").alias("image_id"), F.count("*").alias("n"))
+    x = u.select("doc_id", F.col("image_id").alias("image_a"), F.col("phash").alias("h1"), F.col("n").alias("n_a"), F.explode(bands(F.col("phash"))).alias("b"))
+    y = x.select("doc_id", "b", F.col("image_a").alias("image_b"), F.col("h1").alias("h2"), F.col("n_a").alias("n_b"))
+    d = F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))
+    p = x.join(y, ["doc_id", "b"]).where((F.col("image_a") < F.col("image_b")) & (d <= FAR)).select("doc_id", "image_a", "image_b", "n_a", "n_b", d.cast("int").alias("distance")).distinct()
+    own = u.where("n > 1").select("doc_id", F.col("image_id").alias("image_a"), F.col("image_id").alias("image_b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0).alias("distance"))
+    return p.unionByName(own).withColumn("severity", _ladder(F.col("distance")))
+
+
+def cross_paper(images: DataFrame, store: DataFrame) -> DataFrame:
+    """F4 over images and store of (paper_id, authors, phash): images within eight bits of another paper's; shared authors soften it a step."""
+    x = images.select("paper_id", "authors", "phash", F.explode(bands(F.col("phash"))).alias("b")).distinct()
+    y = store.select(F.col("paper_id").alias("other_id"), F.col("authors").alias("other_authors"), F.col("phash").alias("other_hash"), F.explode(bands(F.col("phash"))).alias("b2")).distinct()
+    d = F.bit_count(F.col("phash").bitwiseXOR(F.col("other_hash")))
+    names = lambda c: F.transform(F.split(c, ";"), lambda a: F.lower(F.trim(a)))
+    p = x.join(y, [F.col("b") == F.col("b2"), F.col("paper_id") != F.col("other_id"), d <= FAR]).select("paper_id", "other_id", "phash", "other_hash", d.cast("int").alias("distance"), F.arrays_overlap(names("authors"), names("other_authors")).alias("shared")).distinct()
+    soft = ladder((F.col("distance") <= 2, SUSPICIOUS), otherwise=CONCERN)
+    return p.withColumn("severity", F.when(F.col("shared"), soft).otherwise(_ladder(F.col("distance"))))
+
+
+def upserted(store: DataFrame, new: DataFrame) -> DataFrame:
+    """K8: the store with new hashes in place of equal ones."""
+    return store.join(new.select("phash").distinct(), "phash", "left_anti").select(new.columns).unionByName(new.dropDuplicates(["phash"]))
+
+
+def exif_clusters(photos: DataFrame) -> DataFrame:
+    """F5 over (doc_id, image_id, model, shot): long spans, many cameras, shots of one second; three images or more."""
+    same = photos.groupBy("doc_id", "shot").agg(F.count("*").alias("k")).where("shot is not null").groupBy("doc_id").agg(F.max("k").alias("same_second"))
+    g = photos.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("model").alias("n_models"), F.floor((F.unix_timestamp(F.max("shot")) - F.unix_timestamp(F.min("shot"))) / 86400).alias("span_days")).where("n >= 3")
+    g = g.join(same, "doc_id", "left")
+    return g.withColumn("severity", ladder((F.col("same_second") >= 3, SUSPICIOUS), (F.col("span_days") > 5 * 365, CONCERN), (F.col("n_models") > 2, NOTE)))
+
+
+def exif_times(photos: DataFrame) -> DataFrame:
+    """G1 over (image_id, shot, software, claimed_start, submitted): shots before the study or after submission, edited images."""
+    days = lambda a, b: F.floor((F.unix_timestamp(a) - F.unix_timestamp(b)) / 86400)
+    early, late = days(F.col("claimed_start"), F.col("shot")) > 1, days(F.col("shot"), F.col("submitted")) > 1
+    edited = F.lower("software").rlike("photoshop|gimp|lightroom|affinity|pixelmator|paint")
+    return photos.withColumn("severity", ladder((early | late, CRITICAL), (F.lower("software").contains("photoshop"), CONCERN), (edited, NOTE))).select("image_id", F.coalesce(early, F.lit(False)).alias("early"), F.coalesce(late, F.lit(False)).alias("late"), "severity")
+
+
+def file_metadata(files: DataFrame) -> DataFrame:
+    """G4 over (file_id, creator, created, revision, authors, claimed_start): creation before the study, a creator who is no author, few revisions."""
+    early = F.floor((F.unix_timestamp("claimed_start") - F.unix_timestamp("created")) / 86400) > 1
+    who = F.lower(F.trim("creator"))
+    known = F.exists("authors", lambda a: F.contains(F.lower(F.trim(a)), who) | F.contains(who, F.lower(F.trim(a))))
+    stranger = (F.length(who) > 0) & ~known & ~who.rlike("elsevier|springer|wiley|nature|mdpi|frontiers|plos|taylor|latex|word|acrobat")
+    return files.select("file_id", F.coalesce(early, F.lit(False)).alias("early"), F.coalesce(stranger, F.lit(False)).alias("stranger"), ladder((early, CRITICAL), (stranger, CONCERN), (F.col("revision") <= 2, NOTE)).alias("severity"))

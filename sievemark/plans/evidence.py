@@ -1,0 +1,330 @@
+"""Queries of reported statistics, processes, networks, hashes, metadata and combined evidence, with inputs derived from the standard tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sievemark.operators import evidence as E
+from sievemark.operators import hashes as H
+from sievemark.operators import network as M
+from sievemark.operators import process as P
+from sievemark.operators import reported as R
+from sievemark.sources.tables import table
+
+DETECTORS = ("A1", "A2", "A3", "B4", "D1", "T4", "M1", "LLM_REVIEW")
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem")
+
+
+def _summaries(spark, sf_dir):
+    """Reported mean, deviation and number of each order's quantities, some of them shifted by their key."""
+    g = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.avg("l_quantity").alias("m"), F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)).alias("s"), F.count("*").cast("int").alias("n"))
+    cents = lambda c: F.floor(c * 100 + 0.5) / 100
+    return g.select(F.col("l_orderkey").alias("label"), (cents(F.col("m")) + F.col("l_orderkey") % 3 * 0.13).alias("mean"), cents(F.col("s")).alias("sd"), "n", F.lit(2).alias("mean_decimals"), F.lit(2).alias("sd_decimals"), F.lit(2).alias("decimal_places"), F.lit(1).alias("scale_items"))
+
+
+def b1_grim(spark, sf_dir):
+    return R.grim(_summaries(spark, sf_dir)).select("label", "n", F.round("error", 6).alias("error"), "severity")
+
+
+def b6_grimmer(spark, sf_dir):
+    return R.grimmer(_summaries(spark, sf_dir)).select("label", "n", "grim_ok", "squares_ok", "severity")
+
+
+def b8_sprite(spark, sf_dir):
+    items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("label"), (2 + F.col("s_suppkey") % 30 / 10).alias("mean"), (F.col("s_suppkey") % 9 / 4 + 0.2).alias("sd"), F.lit(12).alias("n"), F.lit(1).alias("sd_decimals"), F.lit(1).alias("scale_min"), F.lit(7).alias("scale_max"))
+    return R.sprite(items)
+
+
+def _p_values(spark, sf_dir):
+    cents = F.floor(F.col("l_extendedprice") * 100).cast("long")
+    return _lines(spark, sf_dir).select(F.col("l_suppkey").alias("label"), (F.when(F.col("l_suppkey") % 4 == 0, cents % 60 + 400).otherwise(cents % 1000) / 10000.0).alias("p"))
+
+
+def b7_pcurve(spark, sf_dir):
+    return R.p_curve(_p_values(spark, sf_dir)).select("label", "n", "low", "near", "far")
+
+
+def b5_tiva(spark, sf_dir):
+    found = R.insufficient_variance(_p_values(spark, sf_dir))
+    return found.select("label", "k", F.round("var_z", 4).alias("var_z"), F.round("success", 6).alias("success"), "severity")
+
+
+def _arms(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 20).alias("trial_id"), (F.col("c_nationkey") % 6).alias("variable"), F.col("c_mktsegment").alias("arm"), F.col("c_acctbal").alias("x"))
+    g = rows.groupBy("trial_id", "variable", "arm").agg(F.count("*").cast("int").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")).where("n >= 2")
+    return g.groupBy("trial_id", "variable").agg(F.sort_array(F.collect_list(F.struct("arm", "n", "mean", "sd"))).alias("arms"))
+
+
+def c1_welch_pairs(spark, sf_dir):
+    return R.welch_pairs(_arms(spark, sf_dir)).select("trial_id", "variable", "arm_a", "arm_b", F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
+
+
+def c1_carlisle(spark, sf_dir):
+    return R.carlisle(_arms(spark, sf_dir)).select("trial_id", "n_variables", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"), "severity")
+
+
+def t2_outcomes(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    reported = part.select((F.col("p_partkey") % 50).alias("nct_id"), F.col("p_name").alias("outcome"))
+    return R.outcome_overlap(reported, part.where("p_size % 10 = 1").select((F.col("p_partkey") % 50).alias("nct_id"), F.col("p_name").alias("measure")).distinct()).withColumn("best", F.round("best", 6))
+
+
+def t2_missing_nct(spark, sf_dir):
+    claimed = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5000).alias("nct_id")).distinct()
+    return R.unregistered(claimed, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7 % 5000).alias("nct_id")))
+
+
+def i1_mass_balance(spark, sf_dir):
+    log = _lines(spark, sf_dir).select(F.col("l_suppkey").alias("file_id"), F.col("l_extendedprice").alias("feed"), F.col("l_tax").alias("additive"), (F.col("l_extendedprice") * F.when(F.col("l_suppkey") % 3 == 0, 0.999).otherwise(1 - F.col("l_discount"))).alias("product"), (F.col("l_quantity") - F.when(F.col("l_suppkey") % 10 == 1, 2.0).otherwise(0.0)).alias("waste"))
+    return P.mass_balance(log, ["feed", "additive"], ["product", "waste"], 5.0)
+
+
+def i2_timestamp_integrity(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("feed_id"), F.col("event_id").alias("row_id"), F.when(F.col("event_id") % 97 == 0, F.col("ts") - F.expr("interval 2 days")).otherwise(F.col("ts")).cast("timestamp").alias("ts"))
+    return P.timestamp_integrity(e, 30)
+
+
+def i6_trend_oversmooth(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("feed_id"), F.col("event_id").alias("row_id"), F.when(F.col("user_id") % 3 == 0, F.col("event_id") * 0.5).otherwise(F.col("value")).alias("x"))
+    return P.oversmooth(e).select("feed_id", "n", F.round("noise", 6).alias("noise"), F.round("lag1", 5).alias("lag1"))
+
+
+def _edges(spark, sf_dir):
+    return _lines(spark, sf_dir).where("l_linenumber = 1").select(F.col("l_suppkey").alias("graph_id"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") % 40).alias("dst"))
+
+
+def reciprocal_citations(spark, sf_dir):
+    return M.reciprocal(_edges(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
+
+
+def short_cycles(spark, sf_dir):
+    return M.short_cycles(_edges(spark, sf_dir))
+
+
+def author_cluster_density(spark, sf_dir):
+    authors = _lines(spark, sf_dir).select(F.col("l_suppkey").alias("graph_id"), (F.col("l_partkey") % 40).alias("node"), (F.col("l_partkey") % 40 % 9).alias("author"))
+    return M.author_density(_edges(spark, sf_dir), authors).withColumn("density", F.round("density", 6))
+
+
+def m1_cliques(spark, sf_dir):
+    return M.cliques(_edges(spark, sf_dir)).select("graph_id", F.array_join("members", ",").alias("members"), F.round("shared", 6).alias("shared"), "severity")
+
+
+def _images(spark, sf_dir):
+    """Sign hashes of the embeddings, and of each a near copy whose lowest bits are flipped."""
+    h = table(spark, sf_dir, "embeddings").select("vec_id", H.sign_hash(F.col("embedding")).alias("h"))
+    near = h.select((F.col("vec_id") + 1000000000).alias("vec_id"), F.col("h").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("vec_id") % 12).cast("int")) - 1).alias("h"))
+    return h.unionByName(near)
+
+
+def f1_hamming_pairs(spark, sf_dir):
+    images = _images(spark, sf_dir).select((F.col("vec_id") % 1000000000 % 25).alias("doc_id"), F.col("vec_id").alias("image_id"), F.col("h").alias("phash"))
+    return H.hamming_pairs(images)
+
+
+def f4_cross_paper(spark, sf_dir):
+    rows = _images(spark, sf_dir).select((F.col("vec_id") % 1000000000 + F.floor(F.col("vec_id") / 1000000000)).alias("paper_id"), F.concat(F.lit("A"), (F.col("vec_id") % 3).cast("string"), F.lit("; B"), (F.col("vec_id") % 5).cast("string")).alias("authors"), F.col("h").alias("phash"), (F.col("vec_id") < 1000000000).alias("stored"))
+    cols = ["paper_id", "authors", "phash"]
+    return H.cross_paper(rows.where("not stored").select(cols), rows.where("stored").select(cols)).drop("phash", "other_hash")
+
+
+def f5_exif_clusters(spark, sf_dir):
+    photos = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("image_id"), F.col("event_type").alias("model"), F.date_trunc("hour", "ts").alias("shot"))
+    return H.exif_clusters(photos)
+
+
+def g1_exif_temporal(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    software = F.element_at(F.array(*map(F.lit, ("Adobe Photoshop 25", "GIMP 2.10", "Camera 1.0"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return H.exif_times(o.select(F.col("o_orderkey").alias("image_id"), F.col("o_orderdate").alias("shot"), software.alias("software"), F.expr("timestamp '1993-06-01 00:00:00'").alias("claimed_start"), F.expr("timestamp '1997-06-01 00:00:00'").alias("submitted")))
+
+
+def g4_metadata(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    creator = F.when(F.col("c_custkey") % 4 == 0, "LaTeX").when(F.col("c_custkey") % 4 == 1, F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    return H.file_metadata(c.select(F.col("c_custkey").alias("file_id"), creator.alias("creator"), F.expr("timestamp '2020-01-01 00:00:00' + make_interval(0, 0, 0, cast(c_custkey % 90 as int))").alias("created"), (F.col("c_custkey") % 7).cast("int").alias("revision"), F.array("c_name").alias("authors"), F.expr("timestamp '2020-02-01 00:00:00'").alias("claimed_start")))
+
+
+def _findings(spark, sf_dir):
+    """Findings of the lines: reports are suppliers' part groups, detectors and severities come from the keys."""
+    k = F.col("l_orderkey")
+    detector = F.element_at(F.array(*map(F.lit, DETECTORS)), ((k + F.col("l_linenumber")) % len(DETECTORS) + 1).cast("int"))
+    return _lines(spark, sf_dir).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_extendedprice").alias("price")).select(F.concat_ws("-", F.col("supp").cast("string"), (k % 40).cast("string")).alias("doc_key"), (k * 10 + F.col("l_linenumber")).alias("finding_id"), detector.alias("detector_id"), ((k + F.col("part")) % 9 % 5).cast("int").alias("severity"), F.when(F.col("part") % 5 != 0, F.floor(F.col("price") * 100).cast("long") % 10007 / 10007.0).alias("p_value"))
+
+
+def bh_fdr(spark, sf_dir):
+    return E.adjusted(_findings(spark, sf_dir)).select("finding_id", F.round("p_adjusted", 9).alias("p_adjusted"))
+
+
+def severity_escalation(spark, sf_dir):
+    return E.escalated(_findings(spark, sf_dir))
+
+
+def integrity_score(spark, sf_dir):
+    found = E.integrity(_findings(spark, sf_dir))
+    return found.select("doc_key", "k", F.round("integrity_z", 6).alias("integrity_z"), F.round("integrity_score", 6).alias("integrity_score"))
+
+
+def severity_histogram(spark, sf_dir):
+    return _findings(spark, sf_dir).groupBy("detector_id", "severity").agg(F.count("*").alias("n"))
+
+
+def batch_summary(spark, sf_dir):
+    return _findings(spark, sf_dir).groupBy("doc_key").agg(F.max("severity").alias("overall"), F.count("*").alias("n_findings"))
+
+
+def notify_digest(spark, sf_dir):
+    return E.digest(_findings(spark, sf_dir))
+
+
+def report_diff(spark, sf_dir):
+    f = _findings(spark, sf_dir).select("detector_id", F.concat_ws(" ", "doc_key", F.col("severity").cast("string")).alias("summary"), "finding_id")
+    return E.difference(f.where("finding_id % 3 <> 0").drop("finding_id"), f.where("finding_id % 3 <> 1").drop("finding_id"))
+
+
+def dictionary_diff(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.lower(F.col("p_name")).alias("phrase"), "p_size")
+    old, new = p.where("p_size <= 30").select("phrase"), p.where("p_size >= 25").select("phrase")
+    return new.subtract(old).withColumn("change", F.lit("added")).unionByName(old.subtract(new).withColumn("change", F.lit("removed")))
+
+
+def rw_lookup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_row_id"), F.concat(F.lit(" 10.1/"), (F.col("o_custkey") % 700).cast("string")).alias("doi"), F.col("o_orderstatus").alias("reason"), F.col("o_orderpriority").alias("date"))
+    index = E.retraction_index(o)
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("10.1/"), F.col("c_custkey").cast("string")).alias("key"))
+    return wanted.join(index, "key").select("c_custkey", "date", "reason")
+
+
+def ori_lookup(spark, sf_dir):
+    actions = table(spark, sf_dir, "nation").select(F.col("n_name").alias("who"), F.when(F.col("n_nationkey") % 3 == 0, "open").otherwise(F.concat(F.lit("20"), (F.col("n_nationkey") + 10).cast("string"), F.lit("-01-15"))).alias("action_end"))
+    names = table(spark, sf_dir, "nation").select(F.concat(F.lit("Dr "), F.col("n_name")).alias("name"))
+    return E.sanctioned(names, actions, "2025-06-01")
+
+
+def pubpeer_ladder(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_comments"))
+    return E.count_ladder(g, "n_comments", (10, 4), (3, 3), (1, 2))
+
+
+def author_retraction_history(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_works"), F.count_if(F.col("o_orderstatus") == "F").alias("n_retracted"))
+    return E.count_ladder(g.withColumn("rate", F.round(F.col("n_retracted") / F.col("n_works"), 6)), "n_retracted", (3, 4), (1, 3))
+
+
+def lr_plus(spark, sf_dir):
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    found = E.likelihood_ratio(j.select((F.col("n_chars") > 1500).alias("flagged"), (F.col("quality") == 0).alias("positive")))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "lr_plus")])
+
+
+def file_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def rate_limit_hits(spark, sf_dir):
+    """Requests of a user in the 60 seconds up to each of them, where they exceed 30."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-60_000_000, 0)
+    return e.withColumn("hits", F.count("*").over(w)).select("event_id", "hits", (F.col("hits") > 30).alias("limited"))
+
+
+def llm_review_parse(spark, sf_dir):
+    """Issues in landed JSON replies whose passage stands in the text: category to severity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    category = F.element_at(F.array(*map(F.lit, ("logic", "statistics", "methods", "style"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    reply = F.when(F.col("doc_id") % 5 == 0, "no json").otherwise(F.to_json(F.struct(F.array(F.struct(category.alias("category"), F.when(F.col("doc_id") % 3 == 0, "absent").otherwise(F.substring("text", 3, 20)).alias("passage"))).alias("issues"))))
+    rows = docs.withColumn("r", F.from_json(reply, "issues array<struct<category:string,passage:string>>")).select("doc_id", "text", F.inline(F.slice("r.issues", 1, 5)))
+    rows = rows.where(F.contains("text", F.substring("passage", 1, 60)))
+    return rows.select("doc_id", "category", F.when(F.col("category") == "statistics", 3).when(F.col("category").isin("logic", "methods"), 2).otherwise(1).cast("int").alias("severity"))
+
+
+QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g4_metadata, bh_fdr, severity_escalation, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse)}
+
+_SUM = "s as (select l_orderkey as label, floor(avg(l_quantity) * 100 + 0.5) / 100 + l_orderkey % 3 * 0.13 as mean, floor(coalesce(stddev_samp(l_quantity), 0) * 100 + 0.5) / 100 as sd, cast(count(*) as int) as n from lineitem group by l_orderkey)"
+_PV = "pv as (select l_suppkey as label, (case when l_suppkey % 4 = 0 then cast(floor(l_extendedprice * 100) as bigint) % 60 + 400 else cast(floor(l_extendedprice * 100) as bigint) % 1000 end) / 10000.0 as p from lineitem)"
+_E = "e as (select distinct l_suppkey as graph_id, l_partkey % 40 as src, l_orderkey % 40 as dst from lineitem where l_linenumber = 1 and l_partkey % 40 <> l_orderkey % 40)"
+_IMG = """h as (select vec_id, list_reduce(list_transform(range(64), lambda i: case when embedding[i + 1] > 0 then (case when i = 63 then cast(-9223372036854775808 as bigint) else cast(pow(2::hugeint, i) as bigint) end) else 0::bigint end), lambda a, x: a | x) as h from embeddings),
+    im as (select vec_id, h from h union all select vec_id + 1000000000, xor(h, (1::bigint << cast(vec_id % 12 as bigint)) - 1) from h)"""
+_D = "[" + ", ".join(f"'{d}'" for d in DETECTORS) + "]"
+_F = f"""f as (select min(l_suppkey) || '-' || (l_orderkey % 40) as doc_key, l_orderkey * 10 + l_linenumber as finding_id, ({_D})[(l_orderkey + l_linenumber) % {len(DETECTORS)} + 1] as detector_id,
+    cast((l_orderkey + min(l_partkey)) % 9 % 5 as int) as severity, case when min(l_partkey) % 5 <> 0 then cast(floor(min(l_extendedprice) * 100) as bigint) % 10007 / 10007.0 end as p_value from lineitem group by l_orderkey, l_linenumber)"""
+_CL = " ".join(f"when detector_id = '{d}' then '{E.CLUSTERS[d]}'" for d in DETECTORS if d in E.CLUSTERS)
+_HL = "cast(case when d <= 2 then 4 when d <= 5 then 3 else 2 end as int)"
+
+ORACLE_SQL = {
+    "b1_grim": f"with {_SUM}, e as (select *, abs(mean * n - round_even(mean * n, 0)) as e, 0.5 * pow(10, -2) * n as t from s) select label, n, round(e, 6) as error, cast(case when e > t and e > 10 * t then 3 when e > t then 2 else 0 end as int) as severity from e",
+    "b6_grimmer": f"""with {_SUM}, q as (select *, abs(mean * n - round_even(mean * n, 0)) <= 0.005 * n as g, (n - 1) * sd * sd + n * mean * mean as ss, n * (2 * abs(mean) * 0.005 + 2 * sd * 0.005) + 1 as tol from s where n > 1 and sd > 0)
+        select label, n, g as grim_ok, abs(ss - round_even(ss, 0)) <= tol as squares_ok, cast(case when not g then 3 when abs(ss - round_even(ss, 0)) > tol then 2 else 0 end as int) as severity from q""",
+    "b7_pcurve": f"with {_PV} select label, count(*) as n, cast(count_if(p <= 0.025) as bigint) as low, cast(count_if(p >= 0.045) as bigint) as near, cast(count_if(p >= 0.04 and p < 0.045) as bigint) as far from pv where p > 0 and p < 0.05 group by label having count(*) >= 10",
+    "c1_welch_pairs": """with g as (select c_custkey % 20 as trial_id, c_nationkey % 6 as variable, c_mktsegment as arm, count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer group by all having count(*) >= 2),
+        p as (select a.trial_id, a.variable, a.arm as arm_a, b.arm as arm_b, a.m - b.m as d, a.s * a.s / a.n as va, b.s * b.s / b.n as vb, a.n as na, b.n as nb from g a join g b on a.trial_id = b.trial_id and a.variable = b.variable and a.arm < b.arm)
+        select trial_id, variable, arm_a, arm_b, round(d / sqrt(va + vb), 5) as t, round(pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)), 4) as df from p""",
+    "t2_outcomes": """with w as (select p_partkey % 50 as nct_id, p_name, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda x: length(x) > 2)) as w, p_size from part),
+        m as (select a.nct_id, a.p_name as outcome, case when least(len(a.w), len(b.w)) > 0 then len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) else 0 end as o from w a join w b on a.nct_id = b.nct_id and b.p_size % 10 = 1),
+        g as (select nct_id, outcome, max(o) as best from m group by all) select nct_id, outcome, round(best, 6) as best, cast(case when best < 0.4 then 3 else 0 end as int) as severity from g""",
+    "t2_missing_nct": "select distinct o_custkey % 5000 as nct_id, cast(3 as int) as severity from orders where o_custkey % 5000 not in (select s_suppkey * 7 % 5000 from supplier)",
+    "i1_mass_balance": """with r as (select l_suppkey as file_id, l_extendedprice as f, l_tax as a, l_extendedprice * case when l_suppkey % 3 = 0 then 0.999 else 1 - l_discount end as p, l_quantity - case when l_suppkey % 10 = 1 then 2.0 else 0 end as w from lineitem),
+        b as (select file_id, count(*) as n, count_if(coalesce(abs((f + a - p - w) / nullif(f + a, 0)) * 100 > 5, false)) as v, count_if(f < 0 or a < 0 or p < 0 or w < 0) as g from r group by all having count(*) >= 5)
+        select file_id, n, cast(v as bigint) as violations, cast(g as bigint) as negatives, cast(case when g > 0 then 4 when v >= greatest(1, floor(0.3 * n)) then 3 when v >= greatest(1, floor(0.15 * n)) then 2 when v >= greatest(1, floor(0.05 * n)) then 1 else 0 end as int) as severity from b""",
+    "i2_timestamp_integrity": """with e as (select user_id as feed_id, event_id, case when event_id % 97 = 0 then ts - interval 2 days else ts end as ts from events),
+        d as (select feed_id, ts, cast(trunc((epoch_us(ts) - lag(epoch_us(ts)) over (partition by feed_id order by event_id)) / 1000000) as bigint) as dt, count(*) over (partition by feed_id) as k from e),
+        m as (select feed_id, median(dt) as med from d where k >= 20 group by all), a as (select d.feed_id, median(abs(dt - med)) as mad from d join m on m.feed_id = d.feed_id where k >= 20 group by all),
+        g as (select d.feed_id, count(*) as n, count_if(dt < 0) as b, count_if(abs(dt - med) / (1.4826 * case when mad = 0 then 1e-9 else mad end) >= 4) as o, count_if(epoch_us(ts) % 60000000 = 0) as w,
+              count_if(abs(dt - 3600) <= 10.036 or abs(dt - 28800) <= 10.288) as j from d join m on m.feed_id = d.feed_id join a on a.feed_id = d.feed_id where k >= 20 group by all)
+        select feed_id, n, cast(b as bigint) as backward, cast(o as bigint) as outlying, cast(w as bigint) as whole_minutes, cast(j as bigint) as jumps, cast(case when j >= 5 then 4 when b > 0 or o >= 10 then 3 when o >= 3 then 2 else 0 end as int) as severity from g""",
+    "i6_trend_oversmooth": """with s as (select user_id as feed_id, event_id, case when user_id % 3 = 0 then event_id * 0.5 else value end as x from events), d as (select *, x - lag(x) over (partition by feed_id order by event_id) as d from s where x is not null),
+        m as (select feed_id, count(*) as n, avg(d) as md, stddev_samp(x) as sx, stddev_samp(d) as sd from d group by all having count(*) >= 50 and stddev_samp(x) > 0),
+        c as (select d.feed_id, event_id, d - md as c, n, sx, sd from d join m on m.feed_id = d.feed_id where d is not null), p as (select *, lag(c) over (partition by feed_id order by event_id) as p from c)
+        select feed_id, max(n) as n, round(max(sd) / max(sx), 6) as noise, round(sum(c * p) / nullif(sum(c * c), 0), 5) as lag1 from p group by feed_id""",
+    "reciprocal_citations": f"""with {_E}, g as (select a.graph_id, count(*) as n, count(b.src) / 2 as pairs from e a left join e b on a.graph_id = b.graph_id and a.src = b.dst and a.dst = b.src group by all)
+        select graph_id, n as n_edges, cast(pairs as bigint) as pairs, round(2 * pairs / n, 6) as ratio, cast(case when 2 * pairs / n >= 0.2 then 3 when 2 * pairs / n >= 0.1 then 2 else 0 end as int) as severity from g""",
+    "short_cycles": f"""with {_E}, t3 as (select a.graph_id, count(*) as k from e a join e b on a.graph_id = b.graph_id and a.dst = b.src join e c on c.graph_id = a.graph_id and c.src = b.dst and c.dst = a.src where a.src < a.dst and a.src < b.dst group by all),
+        t4 as (select a.graph_id, count(*) as k from e a join e b on a.graph_id = b.graph_id and a.dst = b.src join e c on c.graph_id = a.graph_id and c.src = b.dst join e d on d.graph_id = a.graph_id and d.src = c.dst and d.dst = a.src
+               where a.src < a.dst and a.src < b.dst and a.src < c.dst and a.dst <> b.dst and a.dst <> c.dst and b.dst <> c.dst group by all),
+        g as (select x.graph_id, coalesce(t3.k, 0) as n3, coalesce(t4.k, 0) as n4 from (select distinct graph_id from e) x left join t3 on t3.graph_id = x.graph_id left join t4 on t4.graph_id = x.graph_id)
+        select graph_id, n3, n4, cast(case when n3 + n4 >= 8 then 3 when n3 + n4 >= 3 then 2 else 0 end as int) as severity from g""",
+    "author_cluster_density": f"""with {_E}, a as (select distinct l_suppkey as graph_id, l_partkey % 40 as node, l_partkey % 40 % 9 as author from lineitem), n as (select graph_id, author, count(*) as k from a group by all having count(*) >= 3),
+        m as (select e.graph_id, x.author, count(*) as i from e join a x on x.graph_id = e.graph_id and x.node = e.src join a y on y.graph_id = e.graph_id and y.node = e.dst and y.author = x.author group by all),
+        g as (select n.graph_id, n.author, n.k, coalesce(i, 0) as i, coalesce(i, 0) / (k * (k - 1)) as d from n left join m on m.graph_id = n.graph_id and m.author = n.author)
+        select graph_id, author, k as n_nodes, i as n_inner, round(d, 6) as density, cast(case when d >= 0.6 then 3 when d >= 0.4 then 2 else 0 end as int) as severity from g""",
+    "f1_hamming_pairs": f"""with {_IMG}, u as (select vec_id % 1000000000 % 25 as doc_id, h, min(vec_id) as i, count(*) as n from im group by all),
+        p as (select a.doc_id, a.i as image_a, b.i as image_b, a.n as n_a, b.n as n_b, cast(bit_count(xor(a.h, b.h)) as int) as d from u a join u b on a.doc_id = b.doc_id and a.i < b.i and bit_count(xor(a.h, b.h)) <= 8
+              union all select doc_id, i, i, n, n, 0 from u where n > 1)
+        select doc_id, image_a, image_b, n_a, n_b, d as distance, {_HL} as severity from p""",
+    "f4_cross_paper": f"""with {_IMG}, r as (select vec_id % 1000000000 + vec_id // 1000000000 as paper_id, [vec_id % 3, 10 + vec_id % 5] as au, h, vec_id < 1000000000 as stored from im),
+        p as (select distinct a.paper_id, b.paper_id as other_id, a.h, b.h as h2, cast(bit_count(xor(a.h, b.h)) as int) as d, len(list_intersect(a.au, b.au)) > 0 as shared from r a join r b on not a.stored and b.stored and a.paper_id <> b.paper_id and bit_count(xor(a.h, b.h)) <= 8)
+        select paper_id, other_id, d as distance, shared, cast(case when shared then case when d <= 2 then 3 else 2 end else {_HL} end as int) as severity from p""",
+    "f5_exif_clusters": """with p as (select user_id as doc_id, event_type as model, date_trunc('hour', ts) as shot from events), s as (select doc_id, max(k) as same_second from (select doc_id, shot, count(*) as k from p group by all) group by all),
+        g as (select doc_id, count(*) as n, count(distinct model) as n_models, cast(floor((epoch_us(max(shot)) - epoch_us(min(shot))) / 86400000000) as bigint) as span_days from p group by all having count(*) >= 3)
+        select g.doc_id, n, n_models, span_days, same_second, cast(case when same_second >= 3 then 3 when span_days > 1825 then 2 when n_models > 2 then 1 else 0 end as int) as severity from g join s on s.doc_id = g.doc_id""",
+    "g1_exif_temporal": """with d as (select o_orderkey as image_id, floor(epoch(timestamp '1993-06-01' - o_orderdate) / 86400) > 1 as early, floor(epoch(o_orderdate - timestamp '1997-06-01') / 86400) > 1 as late, o_orderkey % 3 as s from orders)
+        select image_id, early, late, cast(case when early or late then 4 when s = 0 then 2 when s = 1 then 1 else 0 end as int) as severity from d""",
+    "g4_metadata": """with f as (select c_custkey as file_id, c_custkey % 90 < 30 as early, c_custkey % 4 >= 2 and not contains(lower(c_name), lower(c_mktsegment)) as stranger, c_custkey % 7 <= 2 as few from customer)
+        select file_id, early, stranger, cast(case when early then 4 when stranger then 2 when few then 1 else 0 end as int) as severity from f""",
+    "bh_fdr": f"""with {_F}, r as (select *, row_number() over (partition by doc_key order by p_value, finding_id) as rk, count(*) over (partition by doc_key) as m from f where p_value is not null),
+        q as (select finding_id, least(1, min(p_value * m / rk) over (partition by doc_key order by rk desc rows unbounded preceding)) as q from r)
+        select finding_id, round(q, 9) as p_adjusted from q union all select finding_id, null from f where p_value is null""",
+    "severity_escalation": f"""with {_F}, c as (select *, case when severity >= 2 then case {_CL} end end as cl from f),
+        g as (select doc_key, count(*) as n_findings, count_if(severity = 4) as c4, count_if(severity = 3) as c3, count_if(severity = 2) as c2, count_if(severity = 1) as c1, coalesce(string_agg(distinct cl, ',' order by cl), '') as clusters, count(distinct cl) as k from c group by all)
+        select doc_key, n_findings, cast(c4 as bigint) as n_critical, cast(c3 as bigint) as n_suspicious, cast(c2 as bigint) as n_concern, cast(c1 as bigint) as n_note, clusters, k as n_clusters,
+               cast(case when c4 > 0 or k >= 3 then 4 when c3 > 0 or k >= 2 then 3 when c2 > 0 then 2 when c1 > 0 then 1 else 0 end as int) as overall from g""",
+    "severity_histogram": f"with {_F} select detector_id, severity, count(*) as n from f group by all",
+    "batch_summary": f"with {_F} select doc_key, max(severity) as overall, count(*) as n_findings from f group by all",
+    "notify_digest": f"with {_F}, g as (select doc_key, max(severity) as overall, count(*) as n_findings, array_to_string(list_sort(list_distinct(list(detector_id)))[1:6], ',') as detectors from f group by all) select * from g where overall >= 3 order by overall desc, doc_key limit 30",
+    "report_diff": f"with {_F}, k as (select detector_id, doc_key || ' ' || severity as summary, finding_id from f) select distinct detector_id, summary, 'added' as change from k where finding_id % 3 <> 1 and (detector_id, summary) not in (select (detector_id, summary) from k where finding_id % 3 <> 0) union all select distinct detector_id, summary, 'removed' from k where finding_id % 3 <> 0 and (detector_id, summary) not in (select (detector_id, summary) from k where finding_id % 3 <> 1)",
+    "dictionary_diff": "with o as (select distinct lower(p_name) as phrase from part where p_size <= 30), n as (select distinct lower(p_name) as phrase from part where p_size >= 25) select phrase, 'added' as change from n where phrase not in (select phrase from o) union all select phrase, 'removed' from o where phrase not in (select phrase from n)",
+    "rw_lookup": "with r as (select '10.1/' || (o_custkey % 700) as key, arg_max(o_orderpriority, o_orderkey) as date, arg_max(o_orderstatus, o_orderkey) as reason from orders group by 1) select c_custkey, date, reason from customer join r on r.key = '10.1/' || c_custkey",
+    "ori_lookup": """with a as (select n_name as who, case when n_nationkey % 3 = 0 then 'open' else '20' || (n_nationkey + 10) || '-01-15' end as action_end from nation), n as (select distinct 'Dr ' || n_name as name from nation)
+        select name, who, action_end from n join a on contains(lower(name), lower(trim(who))) or contains(lower(trim(who)), lower(name)) where coalesce(try_cast(action_end as date) >= date '2025-06-01', true)""",
+    "pubpeer_ladder": "with g as (select o_custkey, count(*) as n_comments from orders group by all) select o_custkey, n_comments, cast(case when n_comments >= 10 then 4 when n_comments >= 3 then 3 else 2 end as int) as severity from g",
+    "author_retraction_history": "with g as (select o_custkey, count(*) as n_works, count_if(o_orderstatus = 'F') as r from orders group by all) select o_custkey, n_works, cast(r as bigint) as n_retracted, round(r / n_works, 6) as rate, cast(case when r >= 3 then 4 when r >= 1 then 3 else 0 end as int) as severity from g",
+    "lr_plus": "with j as (select n_chars > 1500 as f, quality = 0 as p from labels join documents using (doc_id)), g as (select avg(case when p then cast(f as int) end) as t, avg(case when not p then cast(f as int) end) as x from j) select round(t, 6) as tpr, round(x, 6) as fpr, round(t / x, 6) as lr_plus from g",
+    "file_sha256": "select doc_id, sha256(text) as sha256 from documents",
+    "rate_limit_hits": "select event_id, count(*) over w as hits, count(*) over w > 30 as limited from (select event_id, user_id, epoch_us(ts) as us from events) window w as (partition by user_id order by us range between 60000000 preceding and current row)",
+    "llm_review_parse": "with d as (select doc_id, (['logic', 'statistics', 'methods', 'style'])[doc_id % 4 + 1] as category from documents where doc_id % 5 <> 0 and (doc_id % 3 <> 0 or contains(text, 'absent'))) select doc_id, category, cast(case category when 'statistics' then 3 when 'style' then 1 else 2 end as int) as severity from d",
+}
