@@ -27,9 +27,9 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: Share of a language's letters that a script needs for the language to be its candidate.
 SCRIPT_SHARE = 0.01
-LETTERS_AT_ONCE = 2_000_000
+LETTERS_AT_ONCE = 1_000_000
 #: Bytes of text whose words are labelled together.
-LABELLED_BYTES = 8_000_000
+LABELLED_BYTES = 4_000_000
 
 # First and last code points of scripts.
 SCRIPTS = (

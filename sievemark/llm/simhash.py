@@ -30,6 +30,8 @@ from sievemark.llm.components import connected_components
 
 SEED = 42
 SHINGLE_WORDS = 3
+#: Bytes of text whose shingle bits are held at a time.
+HASHED_BYTES = 1_500_000
 THRESHOLD = 2
 _N, _RADIUS, _GENERATOR = 23, 3, 0b110001110101
 #: Members of an anchor up to which all pairs are compared.
@@ -39,7 +41,7 @@ PAIRWISE = 16
 def text_fingerprints(texts: list[bytes]) -> np.ndarray:
     """Unsigned 64-bit fingerprint of each UTF-8 text; without words: 0."""
     out = np.zeros(len(texts), np.uint64)
-    for i, j in slices(texts):
+    for i, j in slices(texts, HASHED_BYTES):
         hashes, sizes = [], np.zeros(j - i, np.int64)
         for k, text in enumerate(texts[i:j]):
             words = text.lower().split()  # bytes: A-Z and ASCII white space only
