@@ -90,7 +90,46 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extraction, op2_warc, op3_chat, op4_quality, op5_language_id, op6_decontamination, op7_pii, op8_lm, op9_packing, op10_simhash, pipeline)}
 
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _quality_sql() -> str:
+    from sievemark.llm import quality as q
+
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    boiler = " or ".join(f"contains(lower(t), {_text(p)})" for p in q.BOILERPLATE)
+    return f"""
+        with d as (select doc_id, coalesce(text, '') as text from documents),
+        w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from d),
+        g as (select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+        r as (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, a, b, c) as k from g) where k > 1),
+        rep as (select doc_id, count(distinct p) as n from r group by all),
+        l as (select doc_id, line, trim(line, {space}) as t from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
+        m as (select *, len(list_filter(string_split(t, ' '), lambda x: x <> '')) as n, length(t) - length(translate(t, '#*$%&|<>!{{}}[]=~^\\', '')) as marks, regexp_matches(t, {_text(q._ENDS)}) as ended from l where t <> ''),
+        f as (select doc_id, line, length(t) as c, (marks > n * 0.3 + 1) or (not ended and n < 4) or (length(t) - length(translate(t, '|»›·•', '')) >= greatest(2, n * 0.2)) or (t = upper(t) and t <> lower(t) and n >= 3) or {boiler} as fails from m),
+        s as (select doc_id, sum(c) as total, coalesce(sum(case when fails then c end), 0) as lost, count(*) - count(distinct line) as dup from f group by all),
+        b as (select w.doc_id, len(w) as n_words, length(list_aggregate(w, 'string_agg', '')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, coalesce(dup, 0) as dup, coalesce(rep.n, 0) as rep, coalesce(lost, 0) as lost, coalesce(total, 0) as total
+              from w left join rep on rep.doc_id = w.doc_id left join s on s.doc_id = w.doc_id)
+        select doc_id, cast(n_words as bigint) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(dup as bigint) as n_dup_lines, cast(rep as bigint) as n_repeat_words,
+               (n_words < 50 or 100 * rep > 50 * n_words) as base_failed, not (n_words < 50 or 100 * rep > 50 * n_words) and lost <= total * 0.5 as kept, cast(lost as bigint) as lost_chars from b"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality": _quality_sql(),
+    "op6_decontamination": f"""
+        with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+        bw as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from (select *, unnest(range(1, len(w) - k + 2)) as i from (select *, least(8, len(w)) as k from b where len(w) > 0))),
+        dw as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bw) where len(w) >= k)),
+        m as (select doc_id, dw.k, i, item_id from dw join bw on bw.k = dw.k and bw.g = dw.g),
+        h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from m) group by all),
+        t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from m group by all),
+        runs as (select doc_id, max(n) as longest from (select doc_id, item_id, j, count(*) + 7 as n from (select doc_id, item_id, i, i - row_number() over (partition by doc_id, item_id order by i) as j from (select distinct doc_id, item_id, i from m)) group by all) group by all)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated, cast(coalesce(longest, 0) as bigint) as longest
+        from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id left join runs on runs.doc_id = d.doc_id""",
     "op3_chat": """
         with m as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
