@@ -35,12 +35,18 @@ def phrase_pattern(phrase: str, loose: bool) -> str:
 
 
 def phrase_counts(text: Column, phrases: tuple[str, ...], loose: bool) -> Column:
-    """array of (phrase, n) of the phrases that the text has; one alternation decides whether any is counted at all."""
-    alternation = "(?i)" + "|".join(phrase_pattern(p, loose)[4:] for p in phrases)
-    table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(phrase_pattern(p, loose)).alias("pattern")) for p in phrases])
-    counted = F.transform(table, lambda p: F.struct(p["phrase"].alias("phrase"), F.regexp_count(text, p["pattern"]).alias("n")))
-    none = F.array().cast("array<struct<phrase:string,n:int>>")
-    return F.when(text.rlike(alternation), F.filter(counted, lambda p: p["n"] > 0)).otherwise(none)
+    """array of (phrase, n) of the phrases that the text has.
+
+    A phrase is looked for as a plain string first, and only where that is found its pattern is counted;
+    patterns are literals, so that each is compiled once.
+    """
+    plain = F.lower(F.regexp_replace(text, r"\s+", " ") if loose else text)
+
+    def counted(low: Column) -> Column:
+        one = lambda p: F.when(F.contains(low, F.lit(p.lower())), F.regexp_count(text, F.lit(phrase_pattern(p, loose)))).otherwise(F.lit(0))
+        return F.filter(F.array(*[F.struct(F.lit(p).alias("phrase"), one(p).alias("n")) for p in phrases]), lambda x: x["n"] > 0)
+
+    return let(plain, counted)
 
 
 def sentences(text: Column) -> Column:
