@@ -115,3 +115,24 @@ def test_streams(spark, tmp_path):
         feeds.hash_store(src, str(tmp_path / "store"), str(tmp_path / "ckpt"), str(tmp_path / "found")).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "found")).collect()
     assert {(r.paper_id, r.other_id, r.severity) for r in found} == {("p2", "p1", 4)}
+
+
+def test_baseline_tables(spark):
+    from sievemark.operators.reported import welch_pairs
+    from sievemark.sources.baseline import baseline_arms
+
+    rows = [(1, 0, ["Variable", "Treatment (n=40)", "Placebo (n = 42)"]), (1, 1, ["Age", "45.2 ± 12.3", "44.0 (11.1)"]), (1, 2, ["Male", "20 (50%)", "21 (50%)"]), (2, 0, ["x", "y", "z"]), (2, 1, ["a", "1", "2"])]
+    cells = spark.createDataFrame([(t, r, c, "Table 1. Baseline" if t == 1 else "") for t, r, c in rows], "table_id long, row int, cells array<string>, page_text string")
+    got = baseline_arms(cells)
+    assert [(r.variable, [(a.n, a.mean, a.sd) for a in r.arms]) for r in got.collect()] == [("Age", [(40, 45.2, 12.3), (42, 44.0, 11.1)])]
+    assert welch_pairs(got.withColumnRenamed("table_id", "trial_id")).count() == 1
+
+
+def test_templates(spark):
+    from sievemark.operators.templates import TEMPLATES, screen
+
+    assert len(TEMPLATES) == 12
+    t = TEMPLATES["pharma"]
+    log = spark.range(40).select(F.lit("f").alias("file_id"), F.col("id").alias("row_id"), *[F.lit(10.0).alias(c) for c in t.sources], *[F.lit(5.0).alias(c) for c in t.sinks], F.timestamp_seconds(F.col("id") * 300).alias(t.time_column), F.col("id").alias(t.id_column), F.lit(" ".join(f"w{k}" for k in range(40))).alias(t.narrative_column))
+    assert {(r.detector_id, r.severity) for r in screen(log, "pharma").collect()} == {("I1", 3), ("I5", 4)}
+    assert {r.detector_id for r in screen(log, "pharma", tolerance_pct=60.0).collect()} == {"I5"}
