@@ -17,10 +17,12 @@ from sievemark.llm.common import shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without letters go."""
+    """Documents in which a language can be told; those without letters go, and they alone where no document is labelled."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = langid.identify(docs, langid.fit(docs), keep=rest)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    model = langid.fit(docs)
+    found = langid.identify(docs, model, keep=rest)
+    told = F.col("lang_pred") != langid.UNKNOWN if model.languages else F.col("text").rlike(r"\p{L}")
+    return found.where(told).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

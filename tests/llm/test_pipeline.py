@@ -37,3 +37,12 @@ def test_stages(spark, tmp_path):
     direct = stages[4](spark, at, str(tmp_path))
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(key).collect())) == sorted(map(tuple, direct.select(key).collect()))
+
+
+def test_documents_without_labels_stay(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(d, t, None, s, n) for d, t, _, s, n in TEXTS], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, t, *_ in TEXTS if any(c.isalpha() for c in t or ""))
