@@ -2,9 +2,10 @@
 
 The documents of a task are read in shards of whole texts. Each shard gets a suffix array over its
 words (prefix doubling; words that no benchmark item has end a suffix, as nothing matches across them).
-Every suffix of every item is binary-searched in it, word by word, which gives the longest verbatim
-match and its locations, and on the way the locations of the item's 8-word windows. Shards need nothing
-of one another, so documents are not shuffled. The benchmark goes to the workers in blocks of bounded
+Every suffix of every item is binary-searched in it, word by word, as far as the item's 8-word window
+that starts there, which gives all locations of that window. Windows of one item at consecutive words of
+a document make its longer matches. Shards need nothing of one another, so documents are not shuffled,
+and what is found in a document doesn't depend on the others in its shard. The benchmark goes to the workers in blocks of bounded
 size; a shard is searched block after block.
 """
 
@@ -48,8 +49,8 @@ class Block:
             own = min(window, len(w))
             need += [own if own <= len(w) - k and (k == 0 or own == window) else 0 for k in range(len(w) + 1)]
             self.items.append(str(name))
-        self.longest = max((len(x) for x in "".join("x" if i else " " for i in ids).split()), default=0)
-        self.ids = np.array(ids + [0] * (self.longest + 1), np.int32)
+        self.deepest = max(need, default=0)
+        self.ids = np.array(ids + [0] * (self.deepest + 1), np.int32)
         self.starts = np.flatnonzero(self.ids)
         self.item = np.array(item, np.int64)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
         #: Words of the window that starts with the suffix; 0 where none does.
@@ -100,28 +101,27 @@ def _bound(column, low: np.ndarray, high: np.ndarray, value: np.ndarray, right:
     return low
 
 
-def search(ids: np.ndarray, sa: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every suffix of the block: longest match in words, its range in sa, and the range of its window (empty if it doesn't occur)."""
+def search(ids: np.ndarray, sa: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """For every suffix of the block, the range in sa of the window that starts with it (empty if it doesn't occur)."""
     m = len(block.starts)
-    padded = np.r_[ids, np.zeros(block.longest + 1, ids.dtype)]
+    padded = np.r_[ids, np.zeros(block.deepest + 1, ids.dtype)]
     low, high = np.zeros(m, np.int64), np.full(m, len(sa), np.int64)
-    length = np.zeros(m, np.int64)
     wlow, whigh = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    active = np.arange(m)
-    for d in range(block.longest):
+    active = np.flatnonzero(block.need)
+    for d in range(block.deepest):
         value = block.ids[block.starts[active] + d]
-        active, value = active[value > 0], value[value > 0]
-        if not len(active):
-            break
         column = lambda at, d=d: padded[sa[at] + d]
         lo = _bound(column, low[active], high[active], value, False)
         hi = _bound(column, lo, high[active], value, True)
         found = lo < hi
         active = active[found]
-        low[active], high[active], length[active] = lo[found], hi[found], d + 1
-        whole = active[block.need[active] == d + 1]
-        wlow[whole], whigh[whole] = low[whole], high[whole]
-    return length, low, high, wlow, whigh
+        low[active], high[active] = lo[found], hi[found]
+        whole = block.need[active] == d + 1
+        wlow[active[whole]], whigh[active[whole]] = low[active[whole]], high[active[whole]]
+        active = active[~whole]
+        if not len(active):
+            break
+    return wlow, whigh
 
 
 class Shard:
@@ -148,8 +148,8 @@ class Shard:
         longest = np.zeros(len(self.docs), np.int64)
         for block in blocks:
             ids = np.fromiter(map(block.vocabulary.get, self.words, repeat(0)), np.int32, len(self.words))
-            sa = suffix_array(ids, block.longest)
-            length, low, high, wlow, whigh = search(ids, sa, block)
+            sa = suffix_array(ids, block.deepest)
+            wlow, whigh = search(ids, sa, block)
             windows: dict[tuple[int, int, int], set[int]] = {}
             for s in np.flatnonzero(wlow < whigh):
                 windows.setdefault((wlow[s], whigh[s], block.need[s]), set()).add(block.item[s])
@@ -159,9 +159,15 @@ class Shard:
                     covered[at + k] = True
                 for doc in np.unique(np.searchsorted(starts, at, "right") - 1):
                     items[doc].update(block.items[x] for x in names)
-            best = np.flatnonzero(wlow < whigh)
-            for s in best[np.unique(np.stack([low[best], length[best]]), axis=1, return_index=True)[1]] if len(best) else ():
-                np.maximum.at(longest, np.searchsorted(starts, sa[low[s] : high[s]], "right") - 1, length[s])
+            ranges: dict[int, list[tuple[int, int, int]]] = {}
+            for window, names in windows.items():
+                for x in names:
+                    ranges.setdefault(x, []).append(window)
+            for same in set(map(tuple, ranges.values())):
+                at = np.unique(np.concatenate([sa[a:b] for a, b, _ in same]))
+                runs = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                size = np.diff(np.r_[runs, len(at)]) + same[0][2] - 1
+                np.maximum.at(longest, np.searchsorted(starts, at[runs], "right") - 1, size)
         edges = np.flatnonzero(np.diff(np.r_[False, covered].astype(np.int8)))
         begin, end = edges[::2], edges[1::2]
         owner = np.searchsorted(starts, begin, "right") - 1
@@ -190,7 +196,7 @@ SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans arra
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, n_hit, items (sorted as strings), spans of words hit, longest verbatim match.
+    """Per document: n_words, n_hit, items (sorted as strings), spans of words hit, longest run of words in one item's windows.
 
     A document word is hit inside any occurrence of `window` consecutive words of an item (a shorter
     item: all of its words). Null and wordless texts have no words; items without words, and an empty

@@ -217,6 +217,17 @@ def test_contamination_matches_brute_force(spark, docs, shard, monkeypatch):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r[0] for r in TEXTS} - {0, 1}
 
 
+def test_a_shorter_copy_beside_a_longer_one_counts(spark):
+    from sievemark.llm import decontaminate
+
+    w = [f"w{k}" for k in range(1, 21)]
+    texts = [(1, " ".join(w)), (2, " ".join(w[:12])), (3, "x " + " ".join(w[5:13]) + " y " + " ".join(w[9:20])), (4, " ".join(w[:7]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "z " + " ".join(w[:9])), (3, "w1 w2")], "item_id long, text string")
+    assert sorted((r.doc_id, r.n_hit, r.longest) for r in decontaminate.contamination(docs, items).collect()) == [(1, 20, 20), (2, 12, 12), (3, 19, 11), (4, 2, 2)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [4]
+
+
 def test_contamination_in_several_blocks(spark, docs, monkeypatch):
     from sievemark.llm import decontaminate
 
