@@ -13,6 +13,7 @@ numbered by one task.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +39,9 @@ class Encoder:
 
     Text splits before a single space that follows a non-space, where the tokenizer's pattern splits
     too; the parts repeat, so their ids are remembered. A text with longer runs of white space before a
-    word is encoded whole.
+    word is encoded whole. Before that, a text is split at the file's added tokens (a literal
+    <|endoftext|>, say), which have ids of their own. Texts with added tokens that take white space or
+    whole words only are left to the library.
     """
 
     def __init__(self, path: str):
@@ -48,8 +51,14 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self._added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        self._split = re.compile("|".join(map(re.escape, sorted(self._added, key=len, reverse=True))))
+        self._library = None
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(path)
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self._added}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self._encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
@@ -59,6 +68,18 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not any(x in text for x in self._added):
+            return self.plain(text)
+        if self._library:
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out, at = [], 0
+        for m in self._split.finditer(text):
+            out += [self.plain(text[at : m.start()]), self._added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])])
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         first, *rest = text.split(" ")
         if first[-1:].isspace() or (not first and rest):
             return self.whole(text)

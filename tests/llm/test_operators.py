@@ -155,6 +155,23 @@ def test_packing_ids_and_places(spark, docs):
     assert rows(pack_documents(empty(docs))) == []
 
 
+@pytest.mark.parametrize("strip", [False, True])
+def test_added_tokens_keep_their_ids(tmp_path, strip):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from sievemark.llm.packing import Encoder, default_tokenizer
+
+    spec = json.load(open(default_tokenizer(), encoding="utf-8"))
+    spec["added_tokens"][0]["rstrip"] = strip
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    library, encode, end = Tokenizer.from_file(str(path)), Encoder(str(path)), "<|endoftext|>"
+    for text in [f"a {end} b", end, f"{end}{end}", f"two words{end}more words  {end}\n \n{end} x", f" {end} ", f"<|{end}|> <|endoftext", "none  here", ""]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_piece_and_few_sequences():
     from sievemark.llm.packing import plan
 
