@@ -2,8 +2,9 @@
 
 A message's text may be a JSON object. An object with "tool_calls": [{"id", "name", "arguments",
 "depends_on"}] holds calls; one with "tool_call_id" is a result. Calls and results are hash-joined by
-conversation and identifier, after each side has been reduced to one row per identifier, so a repeated
-identifier can't multiply rows. Calls are ordered topologically by what they depend on, level by level;
+conversation and identifier, after each side has been reduced to one row per identifier (the first call's
+turn, the last result's), so a repeated identifier can't multiply rows; each call and each result then
+compares its own turn with the other side's. Calls are ordered topologically by what they depend on, level by level;
 arguments are validated against the tools' schemas; every message becomes canonical JSON (keys sorted,
 no white space). All results are rows of one message or call: no conversation is gathered in a task,
 and (conv_id, level, turn, position) orders it.
@@ -112,7 +113,7 @@ def linked(messages: DataFrame, tools: DataFrame | None = None, **columns: str)
     key = ["conv_id", "call_id"]
     asked = calls.where("call_id is not null").groupBy(*key).agg(F.min("turn").alias("_asked"))
     answered = rows.where("result_of is not null").groupBy("conv_id", F.col("result_of").alias("call_id")).agg(F.max("turn").alias("_answered"))
-    pairs = asked.hint("shuffle_hash").join(answered, key, "full").where("_asked <= _answered").select(*key).withColumn("_linked", F.lit(True))
+    turns = asked.hint("shuffle_hash").join(answered, key)
     none = F.lit(None)
     kind = F.when(F.col("result_of").isNotNull(), "result").otherwise("message")
     body = F.substring(canonical(F.col("text")), 2, 2**31 - 1)
@@ -125,7 +126,8 @@ def linked(messages: DataFrame, tools: DataFrame | None = None, **columns: str)
     called = checked.select("conv_id", "turn", "position", F.lit("call").alias("kind"), F.lit("assistant").alias("role"), "call_id", "errors", canonical(F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json("arguments"), F.lit("null")), F.lit(","), F.substring(F.to_json(F.struct(F.col("call_id").alias("id"), "name")), 2, 2**31 - 1))).alias("json"))
     identified = plain.where("kind = 'result'").unionByName(called)
     level = levels(calls)
-    identified = identified.join(pairs, key, "left").join(level, key, "left").withColumn("linked", F.coalesce("_linked", F.lit(False)))
+    meets = F.when(F.col("kind") == "call", F.col("turn") <= F.col("_answered")).otherwise(F.col("_asked") <= F.col("turn"))
+    identified = identified.join(turns, key, "left").join(level, key, "left").withColumn("linked", F.coalesce(meets, F.lit(False)))
     whole = plain.where("kind = 'message'").withColumns({"linked": none.cast("boolean"), "level": none.cast("long")})
     names = ["conv_id", "turn", "position", "kind", "role", "call_id", "linked", "level", "errors", "json"]
     return whole.select(names).unionByName(identified.select(names))

@@ -510,3 +510,12 @@ def test_tool_calls(spark):
     assert {(r.call_id, r.linked) for r in got if r.kind == "result"} == {("a", True), ("zzz", False)}
     assert sorted(r.json for r in got if r.conv_id in (2, None)) == ['{"content":"","role":""}', '{"content":"","role":""}', '{"content":"{bad \\"tool_calls\\"","role":"user"}']
     assert len(got) == len(messages) + 4 and rows(linked(empty(df), tools)) == []
+
+
+def test_a_repeated_identifier_links_by_turn(spark):
+    from sievemark.llm.chat import linked
+
+    call, result = '{"tool_calls":[{"id":"a","name":"f","arguments":{}}]}', '{"tool_call_id":"a","content":1}'
+    messages = [(1, 0, "tool", result), (1, 1, "assistant", call), (1, 2, "tool", result), (1, 5, "assistant", call), (2, 1, "tool", result), (2, 3, "assistant", call), (3, 4, "assistant", call)]
+    got = linked(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.linked for r in got if r.kind != "message" and r.call_id} == {(1, 0): False, (1, 1): True, (1, 2): True, (1, 5): False, (2, 1): False, (2, 3): False, (3, 4): False}
