@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.common import checkpointed
 
-#: Rounds of levels after which the rest counts as cyclic, far above any chain of calls in a conversation.
-DEEPEST = 200
-
 
 def canonical(json: Column) -> Column:
     """The JSON text with sorted keys and without white space; null if it is no JSON."""
@@ -79,25 +76,44 @@ def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level of each identified call: 0 without dependencies, else one above the highest of them.
 
-    Dependencies on unknown identifiers don't count. Calls on or behind a cycle have level null.
+    Dependencies on unknown identifiers don't count. Calls on or behind a cycle have level null. Calls
+    with one dependency point to the nearest call with none or several by doubling, so a chain of n
+    calls takes log2(n) rounds; the others are levelled round by round until a round adds nothing.
     """
+    key = ["conv_id", "call_id"]
     known = calls.where("call_id is not null and conv_id is not null")
-    nodes = known.select("conv_id", "call_id").distinct()
-    edges = known.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
+    nodes = known.select(*key).distinct()
+    edges = known.select(*key, F.explode("depends_on").alias("needs")).distinct()
     edges = checkpointed(edges.join(nodes.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi"))
     nodes = checkpointed(nodes)
-    done = checkpointed(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
-    open_edges = edges.count()
-    for _ in range(DEEPEST):
-        if not open_edges:
-            break
-        met = edges.join(done.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("_l")), ["conv_id", "needs"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("_l").alias("m"), (F.max("_l") + 1).alias("level")).where("n = m").select("conv_id", "call_id", "level")
-        before = done.count()
-        done = checkpointed(done.unionByName(ready.join(done, ["conv_id", "call_id"], "left_anti")))
-        if done.count() == before:
-            break
-    return nodes.join(done, ["conv_id", "call_id"], "left")
+    if edges.isEmpty():
+        return nodes.withColumn("level", F.lit(0).cast("long"))
+    needed = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("needs").alias("needs"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    # A pointer is open while it ends at a call that has one dependency itself.
+    hops = nodes.join(needed, key, "left").select(*key, F.when(one, F.col("needs")).otherwise(F.col("call_id")).alias("to"), F.when(one, 1).otherwise(0).cast("long").alias("steps"), one.alias("single"), F.coalesce("n", F.lit(0)).alias("n"))
+    ends = hops.where("single").select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("open"))
+    hops = checkpointed(hops.join(ends, ["conv_id", "to"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
+    before, left = -1, hops.where("open").count()
+    while left and left != before:  # what stays open runs in a cycle
+        next_hop = hops.where("single").select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
+        moved = hops.where("open").join(next_hop, ["conv_id", "to"]).select(*key, F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps"), "single", "n", F.col("_open").alias("open"))
+        hops = checkpointed(hops.where("not open").select(moved.columns).unionByName(moved))
+        before, left = left, hops.where("open").count()
+    ended = hops.where("not open")
+    several = edges.join(hops.where("n > 1").select(*key), key, "left_semi")
+    several = several.join(ended.select("conv_id", F.col("call_id").alias("needs"), "to", "steps"), ["conv_id", "needs"], "left")
+    several = checkpointed(several.select(*key, "to", (F.col("steps") + 1).alias("steps")))
+    done = checkpointed(hops.where("n = 0").select(*key, F.lit(0).cast("long").alias("level")))
+    added = not several.isEmpty()
+    while added:
+        met = several.join(done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l")), ["conv_id", "to"], "left")
+        ready = met.groupBy(*key).agg(F.count("*").alias("n"), F.count("_l").alias("m"), F.max(F.col("_l") + F.col("steps")).alias("level")).where("n = m").select(*key, "level")
+        new = checkpointed(ready.join(done, key, "left_anti"))
+        added = not new.isEmpty()
+        done = checkpointed(done.unionByName(new)) if added else done
+    ended = ended.join(done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l")), ["conv_id", "to"])
+    return nodes.join(ended.select(*key, (F.col("_l") + F.col("steps")).alias("level")), key, "left")
 
 
 def linked(messages: DataFrame, tools: DataFrame | None = None, **columns: str) -> DataFrame:

@@ -519,3 +519,15 @@ def test_a_repeated_identifier_links_by_turn(spark):
     messages = [(1, 0, "tool", result), (1, 1, "assistant", call), (1, 2, "tool", result), (1, 5, "assistant", call), (2, 1, "tool", result), (2, 3, "assistant", call), (3, 4, "assistant", call)]
     got = linked(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
     assert {(r.conv_id, r.turn): r.linked for r in got if r.kind != "message" and r.call_id} == {(1, 0): False, (1, 1): True, (1, 2): True, (1, 5): False, (2, 1): False, (2, 3): False, (3, 4): False}
+
+
+def test_levels_of_long_chains_and_cycles(spark):
+    from sievemark.llm.chat import levels
+
+    needs = {"c0": []} | {f"c{k}": [f"c{k - 1}"] for k in range(1, 300)}  # longer than 200
+    needs |= {"m": ["c299", "c10", "unknown"], "n": ["m", "c5"], "o": ["n"], "p": ["o", "x"]}
+    needs |= {"x": ["y"], "y": ["z"], "z": ["x"], "behind": ["x"], "both": ["c3", "behind"], "self": ["self"], "u": ["v", "c0"], "v": ["u", "c0"], "w": ["v"]}
+    rows_ = [(g, c, n) for g in (1, 2) for c, n in needs.items()] + [(3, "c1", ["c0"]), (None, "c1", []), (1, None, ["c0"])]
+    got = {(r.conv_id, r.call_id): r.level for r in levels(spark.createDataFrame(rows_, "conv_id long, call_id string, depends_on array<string>")).collect()}
+    want = {c: int(c[1:]) for c in needs if c[0] == "c"} | {"m": 300, "n": 301, "o": 302} | dict.fromkeys(["p", "x", "y", "z", "behind", "both", "self", "u", "v", "w"])
+    assert got == {(g, c): x for g in (1, 2) for c, x in want.items()} | {(3, "c1"): 0}
