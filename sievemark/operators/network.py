@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions.ladder import CONCERN, SUSPICIOUS, ladder
@@ -48,32 +48,41 @@ def author_density(edges: DataFrame, authors: DataFrame) -> DataFrame:
     return g.withColumn("severity", ladder((F.col("density") >= 0.6, SUSPICIOUS), (F.col("density") >= 0.4, CONCERN)))
 
 
-def cliques(edges: DataFrame, most_nodes: int = 200) -> DataFrame:
-    """M1: maximal undirected cliques of four nodes or more that share references; graphs of up to most_nodes nodes, one at a time."""
+def cliques(edges: DataFrame) -> DataFrame:
+    """M1: maximal undirected cliques of four nodes or more that share references; of each graph's, the first five by members.
+
+    A clique is found in the neighbourhood of its smallest node, so a graph isn't gathered in a task.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, set[int]] = {}
-        out: dict[int, set[int]] = {}
-        for s, d in zip(pdf.src, pdf.dst, strict=True):
-            near.setdefault(s, set()).add(d)
-            near.setdefault(d, set()).add(s)
-            out.setdefault(s, set()).add(d)
-        rows = []
-        if len(near) <= most_nodes:
-            for c in sorted(x for x in _maximal(near) if len(x) >= 4)[:5]:
-                refs = [out[x] - set(c) for x in c if x in out]
-                if len(refs) >= 2:
-                    common, mean = len(set.intersection(*refs)), sum(map(len, refs)) / len(refs)
-                    rows.append((int(pdf.graph_id.iloc[0]), list(map(int, c)), common / mean if mean else 0.0))
-        return pd.DataFrame(rows, columns=["graph_id", "members", "shared"])
-
-    found = simple_edges(edges).groupBy("graph_id").applyInPandas(run, "graph_id long, members array<long>, shared double")
-    return found.withColumn("severity", ladder((F.col("shared") >= 0.5, SUSPICIOUS)))
-
-
-def _maximal(near: dict[int, set[int]]) -> Iterator[tuple[int, ...]]:
-    """Maximal cliques, with pivots."""
-    stack = [((), set(near), set())]
+        for a, b in zip(pdf.a, pdf.b, strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        least = pdf.node.iloc[0]
+        found = _maximal(near, (least,), {x for x in near if x > least}, {x for x in near if x < least})
+        rows = [(int(pdf.graph_id.iloc[0]), list(map(int, c))) for c in sorted(x for x in found if len(x) >= 4)[:5]]
+        return pd.DataFrame(rows, columns=["graph_id", "members"])
+
+    e = simple_edges(edges)
+    both = e.unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    side = lambda name: both.select("graph_id", F.col("src").alias("node"), F.col("dst").alias(name))
+    between = both.where("src < dst").select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"))
+    around = between.join(side("b").where("b > node"), ["graph_id", "b"]).join(side("a"), ["graph_id", "node", "a"])
+    found = around.groupBy("graph_id", "node").applyInPandas(run, "graph_id long, members array<long>")
+    key = ["graph_id", "members"]
+    found = found.withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy("members"))).where("k <= 5").select(*key, F.explode("members").alias("src"))
+    cited = found.join(e, ["graph_id", "src"]).withColumn("outside", (~F.array_contains("members", F.col("dst"))).cast("long"))
+    n = cited.groupBy(*key).agg(F.count_distinct("src").alias("n"), F.sum("outside").alias("total")).where("n >= 2")
+    times = cited.where("outside = 1").groupBy(*key, "dst").agg(F.count("*").alias("times"))
+    common = n.join(times, key, "left").groupBy(*key, "n", "total").agg(F.count(F.when(F.col("times") == F.col("n"), 1)).alias("common"))
+    shared = F.when(F.col("total") > 0, F.col("common") / (F.col("total") / F.col("n"))).otherwise(0.0)
+    return common.select(*key, shared.alias("shared")).withColumn("severity", ladder((F.col("shared") >= 0.5, SUSPICIOUS)))
+
+
+def _maximal(near: dict[int, set[int]], clique: tuple[int, ...], candidates: set[int], seen: set[int]) -> Iterator[tuple[int, ...]]:
+    """Maximal cliques that extend one by candidates, and not by what has been seen; with pivots."""
+    stack = [(clique, candidates, seen)]
     while stack:
         clique, candidates, seen = stack.pop()
         if not candidates and not seen:

@@ -1,5 +1,6 @@
 """Reference detectors on small built inputs: one case that fires, one that doesn't, and odd values."""
 
+import itertools
 import math
 import random
 
@@ -143,6 +144,18 @@ def test_network(spark):
     assert any(set(r.members) >= {0, 1, 2, 3} for r in found)
 
 
+def test_cliques_of_graphs_of_any_size(spark):
+    rng = random.Random(7)
+    ring = [(1, k, (k + 1) % 250) for k in range(250)] + [(1, a, b) for a in range(100, 104) for b in range(100, a)] + [(1, a, r) for a in range(100, 104) for r in (200, 201)]
+    drawn = [(2, a, b) for a in range(14) for b in range(14) if rng.random() < 0.4]
+    got = {(r.graph_id, tuple(r.members)) for r in network.cliques(spark.createDataFrame(ring + drawn, "graph_id long, src long, dst long")).collect()}
+    linked = {frozenset(x[1:]) for x in drawn}
+    whole = [c for k in range(4, 15) for c in itertools.combinations(range(14), k) if all(frozenset(x) in linked for x in itertools.combinations(c, 2))]
+    want = sorted(c for c in whole if not any(set(c) < set(d) for d in whole))[:5]
+    assert len(want) > 2 and {m for g, m in got if g == 2} == set(want)
+    assert {m for g, m in got if g == 1} == {(100, 101, 102, 103, 200, 201)}
+
+
 def test_hashes(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(12)]
