@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for reliable checkpoints that the session names.
 
-    Only a session that names none (a test on one machine) gets a folder of its own.
+    Only a session of one machine (a test) that names none gets a folder of its own; on a cluster, where
+    executors wouldn't see such a folder, it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievemark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievemark-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends: results that are read lazily need it until then."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def own_name(name: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def no_clash(keep: tuple[str, ...], results: tuple[str, ...]) -> None:
+    """Columns that are to be passed on can't have a result's name."""
+    lower = {c.lower() for c in results}
+    if clash := [c for c in keep if c.lower() in lower]:
+        raise ValueError(f"columns {clash} have names of result columns; rename them first")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_folder(df.sparkSession)
