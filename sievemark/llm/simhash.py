@@ -9,8 +9,8 @@ other's home, so comparing per anchor finds every such pair.
 
 Equal fingerprints become one before they are replicated, so the size of a group of copies doesn't
 matter. At an anchor with few members all pairs are compared; at a larger one the members' radius-1
-neighbourhoods are sorted, which finds the same links in time that is linear in the members, and only
-one link per member leaves it.
+neighbourhoods are sorted, a range of them at a time, which finds the same links in time that is linear
+in the members and in bounded memory beside them, and only one link per member leaves it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark.llm.common import checkpointed, slices, texts_of
 from sievemark.llm.components import connected_components
@@ -34,8 +35,10 @@ SHINGLE_WORDS = 3
 HASHED_BYTES = 1_500_000
 THRESHOLD = 2
 _N, _RADIUS, _GENERATOR = 23, 3, 0b110001110101
-#: Members of an anchor up to which all pairs are compared.
+#: Members of an anchor up to which all pairs are compared; links are the same either way.
 PAIRWISE = 16
+#: Neighbours of an anchor's members that are sorted at a time.
+SORTED_KEYS = 4_000_000
 
 
 def text_fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -122,53 +125,72 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 2000):
-            fp, rep = (b.column(k).slice(i, 2000).to_numpy(zero_copy_only=False) for k in (0, 1))
+            fp = b.column(0).slice(i, 2000).to_numpy(zero_copy_only=False)
             row, anchor, home = anchors(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(rep[row]), pa.array(home)], names=["anchor", "fp", "rep", "home"])
-
-
-def _links_of_one(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of an anchor with many members: each with the least member that it reaches."""
-    keys = np.concatenate([fp, *(fp ^ np.int64(np.uint64(1 << j).view(np.int64)) for j in range(64))])
-    order = np.argsort(keys, kind="stable")
-    who = order % len(fp)
-    runs = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-    sizes = np.diff(np.r_[runs, len(keys)])
-    shared = np.repeat(sizes > 1, sizes)
-    who, sizes = who[shared], sizes[sizes > 1]
-    label = rep.copy()
-    if len(sizes):
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        while True:
-            before = label.copy()
-            np.minimum.at(label, who, np.repeat(np.minimum.reduceat(label[who], starts), sizes))
-            if np.array_equal(before, label):
-                break
-    moved = label != rep
-    return rep[moved], label[moved]
-
-
-def anchor_links(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(home)], names=["anchor", "fp", "home"])
+
+
+def _links_of_one(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of an anchor with many members: each with the least member that it reaches.
+
+    Two members within two bits have a neighbour in common. Neighbours are sorted by ranges of their
+    upper bits; a member is joined with the one before it of each neighbour.
+    """
+    n = len(fp)
+    flips = [np.int64(0), *(np.uint64(1 << j).view(np.int64) for j in range(64))]
+    ranges = 1 << max(0, (65 * n // SORTED_KEYS)).bit_length()
+    shift = np.uint64(64 - ranges.bit_length() + 1) if ranges > 1 else None
+    us, vs = [], []
+    for r in range(ranges):
+        keys, who = [], []
+        for flip in flips:
+            key = fp ^ flip
+            at = np.arange(n) if shift is None else np.flatnonzero(key.view(np.uint64) >> shift == r)
+            keys.append(key[at])
+            who.append(at)
+        key, at = np.concatenate(keys), np.concatenate(who)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        us.append(at[same])
+        vs.append(at[same + 1])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    label = np.arange(n)
+    while len(u):  # labels fall to the least over every link, then to the label of the label
+        before = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, fp)
+    least = least[label]
+    moved = least != fp
+    return fp[moved], least[moved]
+
+
+def anchor_links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within the anchors, whose rows stand together."""
     starts = np.flatnonzero(np.r_[True, np.diff(anchor) != 0])
     sizes = np.diff(np.r_[starts, len(anchor)])
     useful = (sizes > 1) & np.logical_or.reduceat(home, starts)
     few = np.repeat(useful & (sizes <= PAIRWISE), sizes)
     group = np.repeat(np.arange(len(sizes)), sizes)[few]
-    f, r, h = fp[few], rep[few], home[few]
+    f, h = fp[few], home[few]
     us, vs = [], []
     for k in range(1, PAIRWISE):
         if len(f) <= k:
             break
         hit = (group[k:] == group[:-k]) & (h[k:] | h[:-k]) & (np.bitwise_count((f[k:] ^ f[:-k]).view(np.uint64)) <= THRESHOLD)
-        us.append(r[k:][hit])
-        vs.append(r[:-k][hit])
+        us.append(f[k:][hit])
+        vs.append(f[:-k][hit])
     for g in np.flatnonzero(useful & (sizes > PAIRWISE)):
-        s = slice(starts[g], starts[g] + sizes[g])
-        u, v = _links_of_one(fp[s], rep[s])
+        u, v = _links_of_one(fp[starts[g] : starts[g] + sizes[g]])
         us.append(u)
         vs.append(v)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (rep[:0], rep[:0])
+    return (np.concatenate(us), np.concatenate(vs)) if us else (fp[:0], fp[:0])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +217,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """fp, group (the smallest fingerprint reachable) and first (the smallest doc_id of the fingerprint) of each distinct fingerprint of prints(doc_id, fp)."""
+    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    replicas = unique.select("fp").mapInArrow(_replicas, "anchor long, fp long, home boolean")
+    links = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "u long, v long")
+    parts = connected_components(links).withColumnRenamed("node", "fp")
+    return unique.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), "first")
+
+
+def _components(prints: DataFrame) -> DataFrame:
+    found = checkpointed(classes(prints))
+    smallest = found.groupBy("group").agg(F.min("first").alias("component_id"))
+    named = found.join(smallest, "group").select("fp", "group", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "group")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over fingerprints within 2 bits) of each row.
 
@@ -202,24 +240,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often as they go in; an empty table gives no rows; further columns of any name are left out. Rows
     with a null id get their fingerprint and no component.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col))
-    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    replicas = unique.where("rep is not null").mapInArrow(_replicas, "anchor long, fp long, rep long, home boolean")
-    links = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "u long, v long")
-    parts = connected_components(links).withColumnRenamed("node", "rep")
-    classes = unique.join(parts, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _components(checkpointed(fingerprints(docs, id_col, text_col))).drop("group")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, keeping of each group of near duplicates the document with the smallest id.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without an id stay.
+    Rows that repeat an id are documents of their own: of those that are near duplicates of each other
+    one stays (the smallest text, so that reruns agree), and rows with other texts stay beside it. Rows
+    without an id stay. Only ids are joined with docs; texts of repeated ids alone are read again.
     """
-    found = checkpointed(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    repeats = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if repeats:  # the same rows result either way; without repeats no text is compared
-        return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    return left
+    found = checkpointed(_components(checkpointed(fingerprints(docs, id_col, text_col))).where("doc_id is not null"))
+    many = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    key = F.col(id_col).cast("long")
+    # A group's document is its smallest id; where that id comes in several groups, in each of them.
+    gone = found.where("component_id < doc_id")
+    left = docs.join(gone.select("doc_id").distinct().withColumnRenamed("doc_id", "_gone"), key == F.col("_gone"), "left_anti")
+    if many.isEmpty():
+        return left.select(docs.columns)
+    single = left.join(many.withColumnRenamed("doc_id", "_many"), key == F.col("_many"), "left_anti").select(docs.columns)
+    again = docs.join(many.withColumnRenamed("doc_id", "_many"), key == F.col("_many"), "left_semi").select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _with_fingerprints(again.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("doc_id"), row.alias("row")))
+    named = found.select("fp", "group", "component_id").distinct()
+    kept = rows.join(named, "fp").where("component_id = doc_id").groupBy("group").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return single.unionByName(kept.select("row.*").select(docs.columns))
+
+
+def _with_fingerprints(rows: DataFrame) -> DataFrame:
+    """rows, whose first column is a text, with fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = text_fingerprints(texts_of(b.column(0)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "fp"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))

@@ -83,9 +83,12 @@ def test_simhash_matches_brute_force(spark, docs):
     assert rows(near_duplicates(empty(docs))) == []
 
 
-def test_anchor_links_reach_every_near_pair():
+@pytest.mark.parametrize(("pairwise", "keys"), [(16, 4_000_000), (1, 4_000_000), (1, 300), (10**6, 1)])
+def test_anchor_links_reach_every_near_pair(monkeypatch, pairwise, keys):
     from sievemark.llm import simhash
 
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    monkeypatch.setattr(simhash, "SORTED_KEYS", keys)
     rng = np.random.default_rng(5)
     centres = rng.integers(-(2**63), 2**63 - 1, 40)
     near = [c ^ np.int64(np.bitwise_xor.reduce([np.uint64(1) << np.uint64(b) for b in rng.choice(64, k, replace=False)] or [np.uint64(0)]).view(np.int64)) for c in centres for k in [0, 1, 2, 2, 3] + [2] * (30 if c == centres[0] else 0)]
@@ -93,8 +96,9 @@ def test_anchor_links_reach_every_near_pair():
     row, anchor, home = simhash.anchors(fp)
     assert (np.bincount(row[home], minlength=len(fp)) == 1).all()
     order = np.argsort(anchor, kind="stable")
-    u, v = simhash.anchor_links(anchor[order], fp[row][order], row[order], home[order])
-    got = components_of(len(fp), zip(u.tolist(), v.tolist(), strict=True))
+    u, v = simhash.anchor_links(anchor[order], fp[row][order], home[order])
+    at = {x: k for k, x in enumerate(fp.tolist())}
+    got = components_of(len(fp), [(at[a], at[b]) for a, b in zip(u.tolist(), v.tolist(), strict=True)])
     want = components_of(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).__and__(2**64 - 1).bit_count() <= 2])
     assert got == want
 
@@ -127,6 +131,18 @@ def test_deduplicated_keeps_one_row_of_each_group(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(parts.values()))
 
 
+def test_deduplicated_keeps_texts_that_repeat_an_id(spark):
+    from sievemark.llm.simhash import deduplicated
+
+    long = " ".join(f"w{k * k % 53}" for k in range(80))
+    rows_ = [(1, "a b c d"), (1, "e f g h"), (1, "a b c d"), (2, "e f g h"), (3, long), (5, long), (5, "q r s t"), (None, long), (None, long), (7, None), (7, "")]
+    df = spark.createDataFrame([(i, t, i) for i, t in rows_], "doc_id long, text string, fp long").repartition(4)
+    got = deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, long), (0, long), (1, "a b c d"), (1, "e f g h"), (3, long), (5, "q r s t"), (7, "")]
+    assert deduplicated(empty(df)).collect() == []
+
+
 # --- packing
 
 
