@@ -2,35 +2,51 @@
 
 Records are composed in DataFrame expressions and written by Spark's own text writer, whose line
 separator is the blank line that ends a WARC record; so archives can stand on any file system that Spark
-writes to, and a lost task is written again by its successor. Reading parses by Content-Length. Each
-archive gives a locally sorted run of captures; a range partitioning by URL key, timestamp and page
-splits the runs, however many captures a URL has, and in each partition a loser tree merges the runs.
+writes to, and a lost task is written again by its successor. An archive holds few enough records of its
+size class to stay within ARCHIVE_BYTES, or a single larger one. Reading parses by Content-Length. Each
+archive gives a locally sorted run of captures. The runs, written to the shared folder, are split by a
+range partitioning by URL key, timestamp and page into as many parts as keep MERGED_ROWS rows each,
+however many captures a URL has; within a part, whatever order its rows arrive in, every ascending
+stretch is a run, and a loser tree merges the runs without sorting them again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import checkpointed, shared_folder
+from sievemark.llm.common import scratch
 
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 4000
+ARCHIVE_BYTES = 64_000_000
+#: Most bytes of payload and most records of an archive, by size class.
+CLASSES = ((16_000, 4000), (1_000_000, 60), (None, 1))
+#: Rows of the index that one task merges, about.
+MERGED_ROWS = 200_000
 #: Seconds since 1970 of page 0, where the pages have no time of their own; page n follows n seconds later.
 EPOCH = 1_700_000_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _RECORD_ID = re.compile(r"<urn:page:(-?\d*)>")
 
 
+def _utc(time: Column) -> Column:
+    """The time in UTC, whatever zone the session has."""
+    second = F.unix_seconds(time)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    day = F.pmod(second, F.lit(86400))
+    clock = F.concat_ws(":", two(F.floor(day / 3600)), two(F.floor(day / 60) % 60), two(day % 60))
+    return F.concat(F.date_format(F.date_from_unix_date(F.floor(second / 86400).cast("int")), "yyyy-MM-dd"), F.lit("T"), clock, F.lit("Z"))
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
     """record: the text of each page's WARC record.
 
@@ -51,7 +67,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.lit("WARC/1.1"),
         F.when(revisit, "WARC-Type: revisit").otherwise("WARC-Type: response"),
         F.concat(F.lit("WARC-Record-ID: "), name("id")),
-        F.concat(F.lit("WARC-Date: "), F.date_format(F.col("time"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Date: "), _utc(F.col("time"))),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name("last"))),
@@ -63,8 +79,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write_archives(pages: DataFrame, folder: str, **columns: str) -> None:
-    """Archives of at most RECORDS_PER_FILE records each, gzip-compressed, in a new folder."""
-    records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    """Gzip-compressed archives in new folders, one for each size class that has pages."""
+    size = F.coalesce(F.octet_length(F.col(columns.get("html_col", "html")).cast("string")), F.lit(0))
+    bounds = [0, *(most + 1 for most, _ in CLASSES[:-1]), None]
+    within = [(size >= low) & (F.lit(True) if high is None else size < high) for low, high in zip(bounds, bounds[1:], strict=False)]
+    n = pages.agg(*[F.count_if(w) for w in within]).first()
+    for k, (_, most) in enumerate(CLASSES):
+        if n[k] or k == 0:
+            part = pages if n[k] == sum(n) else pages.where(within[k])
+            records(part, **columns).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{folder}/class{k}")
 
 
 def url_key(url: str) -> str:
@@ -98,9 +121,10 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, int,
         at = stop + 4
 
 
-_NAMES = ["url_key", "time", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "archive", "offset", "length", "run"]
-_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-_SCHEMA = "url_key string, time string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long, length long, run string"
+_NAMES = ["url_key", "time", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "archive", "offset", "length"]
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+_SCHEMA = "url_key string, time string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long, length long"
+_KEYS = ["url_key", "time", "page_id", "archive", "offset"]
 
 
 def _order(row: tuple) -> tuple:
@@ -119,7 +143,7 @@ def _captures(path: str, data: bytes) -> list[tuple]:
             raise ValueError(f"payload of {h[b'warc-record-id']!r} differs from its digest")
         ids = [_RECORD_ID.match(h.get(k, b"").decode()) for k in (b"warc-record-id", b"warc-refers-to")]
         own, refers = (int(m[1]) if m and m[1] else None for m in ids)
-        out.append((url_key(h[b"warc-target-uri"].decode()), h[b"warc-date"].decode(), own, kind, refers, digest, declared, path, offset, length, path))
+        out.append((url_key(h[b"warc-target-uri"].decode()), h[b"warc-date"].decode(), own, kind, refers, digest, declared, path, offset, length))
     return sorted(out, key=_order)
 
 
@@ -137,7 +161,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(run, _SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", "content").mapInArrow(run, _SCHEMA)
 
 
 class LoserTree:
@@ -172,13 +196,23 @@ class LoserTree:
             self._climb(winner)
 
 
-def merged(rows: list[tuple]) -> Iterator[tuple]:
-    """Rows of several sorted runs, each in its order, in the order of all."""
-    runs: dict[str, list[tuple]] = {}
-    for r in rows:
-        runs.setdefault(r[10], []).append(r)
-    for _, r in LoserTree([((_order(r), r) for r in x) for _, x in sorted(runs.items())]):
-        yield r
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order; each ascending stretch of them is a run. Rows stay in Arrow, runs are keys and places."""
+    held, runs, place, last = [], [], 0, None
+    for b in batches:
+        held.append(b)
+        columns = [b.column(b.schema.names.index(c)).to_pylist() for c in _KEYS]
+        for url, time, page, archive, offset in zip(*columns, strict=True):
+            key = url, time, page is not None, page or 0, archive, offset
+            if last is None or key < last:
+                runs.append([])
+            runs[-1].append((key, place))
+            place, last = place + 1, key
+    if held:
+        rows = pa.Table.from_batches(held)
+        places = (place for _, place in LoserTree([iter(r) for r in runs]))
+        while chosen := list(islice(places, 10_000)):
+            yield from rows.take(pa.array(chosen)).combine_chunks().to_batches()
 
 
 def capture_index(captures: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -186,17 +220,8 @@ def capture_index(captures: DataFrame, partitions: int | None = None) -> DataFra
 
     A partition holds a share of the rows that falls as partitions are added, also of a single URL's.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        out = list(merged(rows))
-        for k in range(0, len(out), 10_000):
-            yield _batch(out[k : k + 10_000])
-
-    keys = ["url_key", "time", "page_id", "archive", "offset"]
-    # Rows of a run come from one task in their order; sorting by run and place makes that explicit.
-    dealt = captures.repartitionByRange(partitions, *keys) if partitions else captures.repartitionByRange(*keys)
-    return dealt.sortWithinPartitions("run", *keys).mapInArrow(run, _SCHEMA)
+    dealt = captures.repartitionByRange(partitions, *_KEYS) if partitions else captures.repartitionByRange(*_KEYS)
+    return dealt.mapInArrow(merged, _SCHEMA)
 
 
 def resolved(index: DataFrame) -> DataFrame:
@@ -210,6 +235,12 @@ def resolved(index: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame, folder: str | None = None, **columns: str) -> DataFrame:
     """Write archives of the pages, read them back, and return the merged and resolved index."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    own = scratch(spark, "warc")
+    folder = folder or f"{own}/archives"
     write_archives(pages, folder, **columns)
-    return resolved(checkpointed(capture_index(read_archives(spark, folder))))
+    # The runs are small beside the archives, which so are read once.
+    read_archives(spark, folder).write.parquet(f"{own}/runs")
+    runs = spark.read.schema(_SCHEMA).parquet(f"{own}/runs")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGED_ROWS))
+    capture_index(runs, parts).write.parquet(f"{own}/index")
+    return resolved(spark.read.schema(_SCHEMA).parquet(f"{own}/index"))

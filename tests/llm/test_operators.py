@@ -489,15 +489,32 @@ def test_warc_round_trip(spark):
 
 
 def test_loser_tree_and_global_order(spark):
-    from sievemark.llm.warc import LoserTree, archive_round_trip
+    from sievemark.llm.warc import _NAMES, LoserTree, archive_round_trip, capture_index
 
     for k in range(6):
         runs = [sorted((i * 7919 % 101, i) for i in range(j, 60, k or 1)) for j in range(k)]
         got = [x[0] for x in LoserTree([((x, x) for x in r) for r in runs])]
         assert got == sorted(x for r in runs for x in r)
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 7).cast("string"), F.lit(".example/p")).alias("url"), F.lit("t").alias("html"))
-    index = archive_round_trip(pages.repartition(5)).select("url_key", "time").collect()
-    assert [tuple(r) for r in index] == sorted(tuple(r) for r in index)
+    captures = archive_round_trip(pages.repartition(5))
+    index = capture_index(captures.repartition(7).select(_NAMES), 3).select("url_key", "time", "page_id").collect()
+    assert [tuple(r) for r in index] == sorted(tuple(r) for r in index) and len(index) == 300
+
+
+def test_dates_and_sizes_of_archives(spark, tmp_path, monkeypatch):
+    from sievemark.llm import warc
+
+    monkeypatch.setattr(warc, "CLASSES", ((5, 2), (40, 1), (None, 1)))
+    pages = spark.createDataFrame([(k, "u", "x" * n) for k, n in enumerate([0, 5, 5, 6, 40, 41, 2000, 2000])], "page_id long, url string, html string").coalesce(1)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = warc.archive_round_trip(pages, str(tmp_path / "a")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r.page_id: r.time for r in got}[0] == "2023-11-14T22:13:20Z"
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in got) == [(0, 0, None), (1, 5, None), (2, 5, None), (3, 6, None), (4, 40, None), (5, 41, None), (6, 2000, 7), (7, 2000, None)]
+    assert {k: len(list((tmp_path / f"a/class{k}").glob("part-*"))) for k in range(3)} == {0: 2, 1: 2, 2: 3}
 
 
 # --- chat
