@@ -5,9 +5,11 @@ A message's text may be a JSON object. An object with "tool_calls": [{"id", "nam
 conversation and identifier, after each side has been reduced to one row per identifier (the first call's
 turn, the last result's), so a repeated identifier can't multiply rows; each call and each result then
 compares its own turn with the other side's. Calls are ordered topologically by what they depend on, level by level;
-arguments are validated against the tools' schemas; every message becomes canonical JSON (keys sorted,
-no white space). All results are rows of one message or call: no conversation is gathered in a task,
-and (conv_id, level, turn, position) orders it.
+arguments are validated against the tools' schemas; every message becomes canonical JSON (keys sorted, no
+white space): {"content": ..., "role": ...}, where content is the text, or the object that holds calls or
+a result, so that no key of it meets one of the message's. Numbers take their shortest form (1.50 becomes
+1.5, 1.0e2 becomes 100). All results are rows of one message or call: no conversation is gathered in a
+task, and (conv_id, level, turn, position) orders it.
 """
 
 from __future__ import annotations
@@ -103,15 +105,18 @@ def levels(calls: DataFrame) -> DataFrame:
     ended = hops.where("not open")
     several = edges.join(hops.where("n > 1").select(*key), key, "left_semi")
     several = several.join(ended.select("conv_id", F.col("call_id").alias("needs"), "to", "steps"), ["conv_id", "needs"], "left")
-    several = checkpointed(several.select(*key, "to", (F.col("steps") + 1).alias("steps")))
-    done = checkpointed(hops.where("n = 0").select(*key, F.lit(0).cast("long").alias("level")))
-    added = not several.isEmpty()
-    while added:
-        met = several.join(done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l")), ["conv_id", "to"], "left")
-        ready = met.groupBy(*key).agg(F.count("*").alias("n"), F.count("_l").alias("m"), F.max(F.col("_l") + F.col("steps")).alias("level")).where("n = m").select(*key, "level")
-        new = checkpointed(ready.join(done, key, "left_anti"))
-        added = not new.isEmpty()
-        done = checkpointed(done.unionByName(new)) if added else done
+    several = several.select(*key, "to", (F.col("steps") + 1).alias("steps"))
+    done = new = checkpointed(hops.where("n = 0").select(*key, F.lit(0).cast("long").alias("level")))
+    waits = checkpointed(several.groupBy("conv_id", "call_id", "to").agg(F.max("steps").alias("steps"), F.count("*").alias("k")))
+    # Of a call that waits: how many of its dependencies are levelled, and the highest level so far.
+    open_ = checkpointed(waits.groupBy(*key).agg(F.sum("k").alias("n")).select(*key, "n", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("level")))
+    while not open_.isEmpty():  # each round joins what the last one has levelled, and nothing else
+        met = waits.join(new.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l")), ["conv_id", "to"]).groupBy(*key).agg(F.sum("k").alias("_m"), F.max(F.col("_l") + F.col("steps")).alias("_level"))
+        moved = checkpointed(open_.join(met, key, "left").select(*key, "n", (F.col("m") + F.coalesce("_m", F.lit(0))).alias("m"), F.greatest("level", "_level").alias("level")))
+        new = moved.where("n = m").select(*key, "level")
+        if new.isEmpty():
+            break
+        done, open_ = done.unionByName(new), moved.where("n <> m")
     ended = ended.join(done.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l")), ["conv_id", "to"])
     return nodes.join(ended.select(*key, (F.col("_l") + F.col("steps")).alias("level")), key, "left")
 
@@ -132,11 +137,9 @@ def linked(messages: DataFrame, tools: DataFrame | None = None, **columns: str)
     turns = asked.hint("shuffle_hash").join(answered, key)
     none = F.lit(None)
     kind = F.when(F.col("result_of").isNotNull(), "result").otherwise("message")
-    body = F.substring(canonical(F.col("text")), 2, 2**31 - 1)
-    role = F.to_json(F.struct("role"))
-    with_role = canonical(F.concat(role.substr(F.lit(1), F.length(role) - 1), F.when(body == "}", "").otherwise(","), body))
     structured = F.col("calls").isNotNull() | F.col("result_of").isNotNull()
-    json = F.when(structured, with_role).otherwise(F.to_json(F.struct(F.col("text").alias("content"), "role")))
+    role = F.to_json(F.struct("role"))
+    json = F.when(structured, F.concat(F.lit('{"content":'), canonical(F.col("text")), F.lit(","), F.substring(role, 2, 2**31 - 1))).otherwise(F.to_json(F.struct(F.col("text").alias("content"), "role")))
     plain = rows.select("conv_id", "turn", F.lit(-1).cast("long").alias("position"), kind.alias("kind"), "role", F.col("result_of").alias("call_id"), none.cast("array<string>").alias("errors"), json.alias("json"))
     checked = validated(calls, tools) if tools is not None else calls.withColumn("errors", none.cast("array<string>"))
     called = checked.select("conv_id", "turn", "position", F.lit("call").alias("kind"), F.lit("assistant").alias("role"), "call_id", "errors", canonical(F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json("arguments"), F.lit("null")), F.lit(","), F.substring(F.to_json(F.struct(F.col("call_id").alias("id"), "name")), 2, 2**31 - 1))).alias("json"))

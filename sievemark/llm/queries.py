@@ -30,10 +30,50 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Tools of the derived calls: name and schema.
+TOOLS = (
+    ("measure", '{"properties":{"size":{"type":"integer"},"role":{"type":"string"}},"required":["size"],"additionalProperties":false}'),
+    ("quote", '{"properties":{"size":{"type":"integer"},"text":{"type":"string"}},"required":["size","text"]}'),
+)
+
+
+def with_calls(messages: DataFrame) -> DataFrame:
+    """The conversations with a tool call after each of their messages, and results of most.
+
+    The call of turn t measures or quotes the message, or asks for a tool that there isn't. It depends on
+    the calls of the two turns before, within blocks of five turns; in every seventh conversation the
+    second and third call of a block need each other. Arguments lack a key, hold one too many or one of
+    the wrong type by turn and conversation. Calls of every fourth kind stay without a result, and every
+    eleventh message has a result that nobody has asked for.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    kind = (c + t) % 3
+    size = F.length(text).cast("long")
+    measure = F.when(c % 4 == 1, F.to_json(F.struct(role.alias("role")))).when(c % 4 == 2, F.to_json(F.struct(role.alias("role"), size.cast("string").alias("size")))).when(c % 4 == 3, F.to_json(F.struct(size.alias("size"), role.alias("role"), F.lit(None).cast("string").alias("no"), F.lit(1).alias("extra")))).otherwise(F.to_json(F.struct(size.alias("size"), role.alias("role"))))
+    arguments = F.when(kind == 0, measure).when(kind == 1, F.to_json(F.struct(text.alias("text"), size.alias("size")))).otherwise("{}")
+    tool = F.when(kind == 0, "measure").when(kind == 1, "quote").otherwise("absent")
+    needs = F.filter(F.array(F.when(t % 5 >= 1, name(t - 1)), F.when(t % 5 >= 2, name(t - 2)), F.when((c % 7 == 0) & (t % 5 == 1), name(t + 1))), lambda x: x.isNotNull())
+    call = F.concat(F.lit('{"tool_calls": [{"name":"'), tool, F.lit('", "id":"'), name(t), F.lit('", "depends_on":'), F.to_json(needs), F.lit(', "arguments":'), arguments, F.lit("}]}"))
+    result = lambda key: F.concat(F.lit('{"tool_call_id":"'), key, F.lit('","content":'), size.cast("string"), F.lit("}"))
+    row = lambda turn, role, text: F.struct(turn.alias("turn"), F.lit(role).alias("role"), text.alias("text"))
+    added = F.array(
+        F.struct(t.alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")),
+        row(t, "assistant", call),
+        F.when((c + t) % 4 != 3, row(t + 1, "tool", result(name(t)))),
+        F.when((c + t) % 11 == 5, row(t, "tool", result(F.concat(F.lit("x"), name(t))))),
+    )
+    return messages.select("conv_id", F.inline(F.filter(added, lambda x: x.isNotNull())))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with the calls and results that with_calls() derives, linked, ordered, validated and as canonical JSON."""
     from sievemark.llm.chat import linked
 
-    return linked(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "position", "kind", "role", "call_id", "linked", "level", "json")
+    tools = spark.createDataFrame(TOOLS, "name string, schema string")
+    found = linked(with_calls(table(spark, sf_dir, "conversations")), tools)
+    return found.select("conv_id", "turn", "position", "kind", "role", "call_id", "linked", "level", F.array_join("errors", "; ").alias("errors"), "json")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,14 +171,35 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated, cast(coalesce(longest, 0) as bigint) as longest
         from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id left join runs on runs.doc_id = d.doc_id""",
     "op3_chat": """
-        with m as (
-            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
-                   case when regexp_matches(coalesce(text, ''), '^\\s*\\{') and contains(text, '"tool_call') then try_cast(text as json) end as v
-            from conversations),
-        p as (select *, case when json_type(v, '$.tool_calls') = 'ARRAY' then json_extract(v, '$.tool_calls[*]') end as calls, json_extract_string(v, '$.tool_call_id') as result_of from m)
-        select conv_id, turn, cast(-1 as bigint) as position, 'message' as kind, role, cast(null as varchar) as call_id, cast(null as boolean) as linked,
-               cast(null as bigint) as level, cast(json_object('content', text, 'role', role) as varchar) as json
-        from p where result_of is null and calls is null""",
+        with m as (select conv_id as c, turn as t, coalesce(role, '') as role, coalesce(text, '') as text, length(coalesce(text, '')) as size, 'c' || turn as id, (conv_id + turn) % 3 as kind from conversations),
+        has as (select distinct c, t from m),
+        needs as (select c, t, d from (select c, t, unnest([case when t % 5 >= 1 then t - 1 end, case when t % 5 >= 2 then t - 2 end, case when c % 7 = 0 and t % 5 = 1 then t + 1 end]) as d from has) where (c, d) in (select (c, t) from has)),
+        l0 as (select c, t, 0 as level from has where (c, t) not in (select (c, t) from needs)),
+        l1 as (select n.c, n.t, 1 as level from needs n left join l0 on l0.c = n.c and l0.t = n.d group by all having count(*) = count(l0.t)),
+        a1 as (from l0 union all from l1),
+        l2 as (select n.c, n.t, 2 as level from needs n left join a1 on a1.c = n.c and a1.t = n.d where (n.c, n.t) not in (select (c, t) from a1) group by all having count(*) = count(a1.t)),
+        a2 as (from a1 union all from l2),
+        l3 as (select n.c, n.t, 3 as level from needs n left join a2 on a2.c = n.c and a2.t = n.d where (n.c, n.t) not in (select (c, t) from a2) group by all having count(*) = count(a2.t)),
+        a3 as (from a2 union all from l3),
+        l4 as (select n.c, n.t, 4 as level from needs n left join a3 on a3.c = n.c and a3.t = n.d where (n.c, n.t) not in (select (c, t) from a3) group by all having count(*) = count(a3.t)),
+        levels as (from a3 union all from l4),
+        calls as (select m.*, level, case kind when 0 then 'measure' when 1 then 'quote' else 'absent' end as tool,
+                         case when kind = 1 then json_object('size', size, 'text', text) when kind = 2 then json('{}')
+                              when c % 4 = 1 then json_object('role', role) when c % 4 = 2 then json_object('role', role, 'size', cast(size as varchar))
+                              when c % 4 = 3 then json_object('extra', 1, 'role', role, 'size', size) else json_object('role', role, 'size', size) end as args,
+                         case when kind = 2 then 'unknown tool' when kind = 1 then '' when c % 4 = 1 then 'missing size' when c % 4 = 2 then 'type of size' when c % 4 = 3 then 'unexpected extra' else '' end as errors,
+                         list_filter([case when t % 5 >= 1 then 'c' || (t - 1) end, case when t % 5 >= 2 then 'c' || (t - 2) end, case when c % 7 = 0 and t % 5 = 1 then 'c' || (t + 1) end], lambda x: x is not null) as depends
+                  from m left join levels using (c, t)),
+        results as (select c, t + 1 as t, id, size, true as linked, level from calls where (c + t) % 4 <> 3 union all select c, t, 'x' || id, size, false, null from calls where (c + t) % 11 = 5)
+        select c as conv_id, t as turn, cast(-1 as bigint) as position, 'message' as kind, role, cast(null as varchar) as call_id, cast(null as boolean) as linked, cast(null as bigint) as level, cast(null as varchar) as errors,
+               cast(json_object('content', text, 'role', role) as varchar) as json from m
+        union all
+        select c, t, -1, 'message', 'assistant', null, null, null, null,
+               cast(json_object('content', json_object('tool_calls', json_array(json_object('arguments', args, 'depends_on', to_json(depends), 'id', id, 'name', tool))), 'role', 'assistant') as varchar) from calls
+        union all
+        select c, t, 0, 'call', 'assistant', id, (c + t) % 4 <> 3, level, errors, cast(json_object('arguments', args, 'id', id, 'name', tool) as varchar) from calls
+        union all
+        select c, t, -1, 'result', 'tool', id, linked, level, null, cast(json_object('content', json_object('content', size, 'tool_call_id', id), 'role', 'tool') as varchar) from results""",
     "op2_warc": """
         with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as bytes from pages),
         m as (select *, max(page_id) over (partition by digest) as last from p)

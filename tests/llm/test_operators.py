@@ -532,6 +532,7 @@ def test_tool_calls(spark):
         (2, 0, None, None),
         (2, 0, None, None),
         (None, None, "user", '{bad "tool_calls"'),
+        (3, 0, "tool", '{"tool_call_id":"r","role":"own","content":2,"x":1.50}'),
     ]
     df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(9))
     tools = spark.createDataFrame([("f", '{"properties":{"z":{"type":"integer"},"b":{"type":"string"}},"required":["z"],"additionalProperties":false}')], "name string, schema string")
@@ -540,7 +541,8 @@ def test_tool_calls(spark):
     assert calls["a"] == (True, 0, [], '{"arguments":{"b":"t","z":1},"id":"a","name":"f"}')
     assert calls["b"][:3] == (False, 1, ["type of z", "unexpected q"])
     assert calls["c"][:3] == (False, 2, ["unknown tool"]) and calls["d"][:3] == (False, None, ["missing z"])
-    assert {(r.call_id, r.linked) for r in got if r.kind == "result"} == {("a", True), ("zzz", False)}
+    assert {(r.call_id, r.linked) for r in got if r.kind == "result"} == {("a", True), ("zzz", False), ("r", False)}
+    assert [r.json for r in got if r.conv_id == 3] == ['{"content":{"content":2,"role":"own","tool_call_id":"r","x":1.5},"role":"tool"}']
     assert sorted(r.json for r in got if r.conv_id in (2, None)) == ['{"content":"","role":""}', '{"content":"","role":""}', '{"content":"{bad \\"tool_calls\\"","role":"user"}']
     assert len(got) == len(messages) + 4 and rows(linked(empty(df), tools)) == []
 
