@@ -360,6 +360,18 @@ def test_quality_counts_match_brute_force(spark, docs):
     assert cleaned(docs).columns == docs.columns and rows(judged(empty(docs))) == []
 
 
+def test_quality_keeps_other_columns_and_equal_hashes_apart(spark, monkeypatch):
+    from sievemark.llm import quality
+
+    text = " ".join(f"w{k % 40}" for k in range(90))
+    df = spark.createDataFrame([(1, text, 7, 8), (2, " ".join(f"v{k}" for k in range(90)), 7, 8), (3, "long " * 400_000, 7, 8)], "doc_id long, text string, _w long, words_ long")
+    want = {r.doc_id: (r.n_repeat_words, r._w, r.words_) for r in quality.judged(df).collect()}
+    assert want == {1: (90, 7, 8), 2: (0, 7, 8), 3: (400_000, 7, 8)}
+    # All windows of one hash: they are told apart by their words.
+    monkeypatch.setattr(quality, "_windows", lambda w: F.slice(F.transform(w, lambda x: F.lit(5).cast("long")), 1, F.greatest(F.size(w) - 2, F.lit(0))))
+    assert {r.doc_id: r.n_repeat_words for r in quality.judged(df.where("doc_id < 3")).collect()} == {1: 90, 2: 0}
+
+
 def test_quality_lines(spark):
     from sievemark.llm.quality import judged
 
