@@ -4,22 +4,26 @@ The documents of a task are read in shards of whole texts. Each shard gets a suf
 words (prefix doubling; words that no benchmark item has end a suffix, as nothing matches across them).
 Every suffix of every item is binary-searched in it, word by word, as far as the item's 8-word window
 that starts there, which gives all locations of that window. Windows of one item at consecutive words of
-a document make its longer matches. Shards need nothing of one another, so documents are not shuffled,
-and what is found in a document doesn't depend on the others in its shard. The benchmark goes to the workers in blocks of bounded
-size; a shard is searched block after block.
+a document make its longer matches; the longest is given with its places in document and item. Shards
+need nothing of one another, so documents are not shuffled, and what is found in a document doesn't
+depend on the others in its shard. The benchmark goes to the workers as one block of bounded size; a
+larger benchmark is searched block by block in passes of their own, since a worker keeps a broadcast as
+long as its task may ask for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import sha256
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import texts_of
+from sievemark.llm.common import checkpointed, texts_of
 
 WINDOW = 8
 SHARD_WORDS = 1_000_000
@@ -38,8 +42,8 @@ class Block:
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[str] = []
-        ids, item, need = [], [], []
+        self.items: list[str | None] = []
+        ids, item, need, place = [], [], [], []
         for name, text in items:
             w = words(text)
             if not w:
@@ -48,11 +52,14 @@ class Block:
             item += [len(self.items)] * (len(w) + 1)
             own = min(window, len(w))
             need += [own if own <= len(w) - k and (k == 0 or own == window) else 0 for k in range(len(w) + 1)]
-            self.items.append(str(name))
+            place += range(len(w) + 1)
+            self.items.append(None if name is None else str(name))
         self.deepest = max(need, default=0)
         self.ids = np.array(ids + [0] * (self.deepest + 1), np.int32)
         self.starts = np.flatnonzero(self.ids)
         self.item = np.array(item, np.int64)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        #: Words of the item before the suffix.
+        self.place = np.array(place, np.int64)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
         #: Words of the window that starts with the suffix; 0 where none does.
         self.need = np.array(need, np.int64)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
 
@@ -139,46 +146,63 @@ class Shard:
         self.words += w
         self.words.append(b"")
 
-    def found(self, blocks: Iterator[Block]) -> list[tuple]:
-        """(doc_id, n_words, n_hit, items, spans, longest) of each document."""
+    def found(self, block: Block) -> list[tuple]:
+        """(doc_id, n_words, items, spans, match) of each document; match: (words, place, item, place in it) of the longest or None."""
         sizes = np.array(self.sizes, np.int64)
         starts = np.cumsum(np.r_[0, sizes[:-1] + 1])
         covered = np.zeros(len(self.words) + 1, bool)
         items: list[set[str]] = [set() for _ in self.docs]
-        longest = np.zeros(len(self.docs), np.int64)
-        for block in blocks:
-            ids = np.fromiter(map(block.vocabulary.get, self.words, repeat(0)), np.int32, len(self.words))
-            sa = suffix_array(ids, block.deepest)
-            wlow, whigh = search(ids, sa, block)
-            windows: dict[tuple[int, int, int], set[int]] = {}
-            for s in np.flatnonzero(wlow < whigh):
-                windows.setdefault((wlow[s], whigh[s], block.need[s]), set()).add(block.item[s])
-            for (a, b, need), names in windows.items():
-                at = sa[a:b]
-                for k in range(need):
-                    covered[at + k] = True
-                for doc in np.unique(np.searchsorted(starts, at, "right") - 1):
-                    items[doc].update(block.items[x] for x in names)
-            ranges: dict[int, list[tuple[int, int, int]]] = {}
-            for window, names in windows.items():
-                for x in names:
-                    ranges.setdefault(x, []).append(window)
-            for same in set(map(tuple, ranges.values())):
-                at = np.unique(np.concatenate([sa[a:b] for a, b, _ in same]))
-                runs = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-                size = np.diff(np.r_[runs, len(at)]) + same[0][2] - 1
-                np.maximum.at(longest, np.searchsorted(starts, at[runs], "right") - 1, size)
+        match: list[tuple | None] = [None] * len(self.docs)
+        ids = np.fromiter(map(block.vocabulary.get, self.words, repeat(0)), np.int32, len(self.words))
+        sa = suffix_array(ids, block.deepest)
+        wlow, whigh = search(ids, sa, block)
+        windows: dict[tuple[int, int, int], dict[int, int]] = {}  # its items, and where it first comes in each
+        for k in np.flatnonzero(wlow < whigh).tolist():
+            windows.setdefault((int(wlow[k]), int(whigh[k]), int(block.need[k])), {}).setdefault(int(block.item[k]), int(block.place[k]))
+        ranges: dict[int, list[tuple[int, int, int]]] = {}
+        for window, where in windows.items():
+            a, b, need = window
+            at = sa[a:b]
+            for k in range(need):
+                covered[at + k] = True
+            names = {name for x in where if (name := block.items[x]) is not None}
+            for doc in np.unique(np.searchsorted(starts, at, "right") - 1):
+                items[doc].update(names)
+            for x in where:
+                ranges.setdefault(x, []).append(window)
+        alike: dict[tuple, list[int]] = {}  # items with the same windows are followed once
+        for x, own in ranges.items():
+            alike.setdefault(tuple(own), []).append(x)
+        for own, same in alike.items():
+            x = min(same, key=lambda k: (block.items[k] is None, block.items[k] or ""))
+            at = np.concatenate([sa[a:b] for a, b, _ in own])
+            place = np.concatenate([np.full(b - a, windows[a, b, n][x]) for a, b, n in own])
+            order = np.argsort(at, kind="stable")
+            at, place = at[order], place[order]
+            runs = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            size = np.diff(np.r_[runs, len(at)]) + own[0][2] - 1
+            doc = np.searchsorted(starts, at[runs], "right") - 1
+            order = np.lexsort((at[runs], -size, doc))
+            first = order[np.r_[True, np.diff(doc[order]) != 0]]
+            for d, n, p, q in zip(doc[first].tolist(), size[first].tolist(), at[runs][first].tolist(), place[runs][first].tolist(), strict=True):
+                match[d] = longer(match[d], (n, p - int(starts[d]), block.items[x], q))
         edges = np.flatnonzero(np.diff(np.r_[False, covered].astype(np.int8)))
         begin, end = edges[::2], edges[1::2]
         owner = np.searchsorted(starts, begin, "right") - 1
         spans: list[list[tuple[int, int]]] = [[] for _ in self.docs]
         for doc, a, b in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
             spans[doc].append((a - int(starts[doc]), b - int(starts[doc])))
-        return [(d, n, sum(b - a for a, b in s), sorted(i), s, int(x)) for d, n, i, s, x in zip(self.docs, self.sizes, items, spans, longest, strict=True)]
+        return [(d, n, sorted(i), s, m) for d, n, i, s, m in zip(self.docs, self.sizes, items, spans, match, strict=True)]
+
+
+def longer(a: tuple | None, b: tuple | None) -> tuple | None:
+    """Of two matches the longer, then the earlier, then that of the smaller item name."""
+    key = lambda m: (-m[0], m[1], m[2] is None, m[2] or "", m[3])
+    return min((m for m in (a, b) if m), key=key, default=None)
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
-    """The benchmark as broadcasts of bounded size."""
+    """The benchmark as broadcasts of bounded size; one of nothing if it is empty."""
     context = docs.sparkSession.sparkContext
     blocks, held, size = [], [], 0
     for name, text in benchmark.select(F.col(item_col), F.col(item_text_col).cast("string")).toLocalIterator():
@@ -187,59 +211,104 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
         if size >= BLOCK_BYTES:
             blocks.append(context.broadcast(Block(held, window)))
             held, size = [], 0
-    if held:
+    if held or not blocks:
         blocks.append(context.broadcast(Block(held, window)))
     return blocks
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest long"
+_MATCH = "struct<words:long,start:long,item:string,item_start:long>"
+_FOUND = f"doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>, match {_MATCH}"
+_COLUMNS = ["doc_id", "n_words", "n_hit", "items", "spans", "longest", "match"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, n_hit, items (sorted as strings), spans of words hit, longest run of words in one item's windows.
-
-    A document word is hit inside any occurrence of `window` consecutive words of an item (a shorter
-    item: all of its words). Null and wordless texts have no words; items without words, and an empty
-    benchmark, match nothing; repeated items count once, repeated documents come out each.
-    """
-    blocks = _blocks(docs, benchmark, item_col, item_text_col, window)
+def _searched(docs: DataFrame, block, keyed: bool) -> DataFrame:
+    """_FOUND of each row of docs (doc_id, text); with the text's digest if keyed."""
+    names = ["doc_id", "n_words", "items", "spans", "match", *(["digest"] * keyed)]
+    match = pa.struct([("words", pa.int64()), ("start", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())])
+    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), match, *([pa.binary()] * keyed)]
+    schema = pa.schema(list(zip(names, types, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(shard: Shard) -> pa.RecordBatch:
-            cols = zip(*shard.found(b.value for b in blocks), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema=pa.schema(list(zip(names, types, strict=True))))
+        def out(shard: Shard, digests: list[bytes]) -> pa.RecordBatch:
+            cols = [*zip(*shard.found(block.value), strict=True), *([digests] * keyed)]
+            cols[4] = [m and dict(zip(("words", "start", "item", "item_start"), m, strict=True)) for m in cols[4]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema=schema)
 
-        shard = Shard()
+        shard, digests = Shard(), []
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 shard.add(doc, text)
+                if keyed:
+                    digests.append(sha256(text).digest())
                 if len(shard.words) >= SHARD_WORDS:
-                    yield out(shard)
-                    shard = Shard()
+                    yield out(shard, digests)
+                    shard, digests = Shard(), []
         if shard.docs:
-            yield out(shard)
+            yield out(shard, digests)
+
+    return docs.mapInArrow(run, _FOUND + ", digest binary" * keyed)
+
+
+def _union(spans: Column) -> Column:
+    """Spans in order, those that touch or overlap as one."""
+    ordered = F.sort_array(spans)
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"]), grown).otherwise(F.array_append(done, x))
 
-    names = ["doc_id", "n_words", "n_hit", "items", "spans", "longest"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64()]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return F.aggregate(ordered, F.array().cast("array<struct<start:long,end:long>>"), add)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per document: n_words, n_hit, items (sorted as strings), spans of words hit, longest and match.
+
+    A document word is hit inside any occurrence of `window` consecutive words of an item (a shorter
+    item: all of its words). longest is the number of words of the longest stretch that consecutive
+    windows of one item cover, 0 without a window; match has its start, the item and its start there.
+    Null and wordless texts have no words; items without words, and an empty benchmark, match nothing;
+    an item without an id hits words but has no name to list; repeated items count once, repeated
+    documents come out each.
+    """
+    blocks = _blocks(docs, benchmark, item_col, item_text_col, window)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if len(blocks) == 1:
+        found = _searched(rows, blocks[0], False)
+    else:
+        parts = [_searched(rows, b, True) for b in blocks]
+        every = reduce(DataFrame.unionByName, parts)
+        # Equal rows are found equally, as often in each pass as they come; small rows are all that is shuffled.
+        m = F.col("match")
+        order = F.struct(-m["words"], m["start"], m["item"].isNull(), m["item"], m["item_start"])
+        g = every.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _union(F.flatten(F.collect_list("spans"))).alias("spans"), F.min_by("match", F.when(m.isNotNull(), order)).alias("match"), F.count("*").alias("n"))
+        found = g.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(blocks)).cast("int")))).drop("_copy", "n", "digest")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.withColumns({"n_hit": hit, "longest": F.coalesce(F.col("match")["words"], F.lit(0).cast("long"))}).select(_COLUMNS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs, with all their columns, without the rows that hold `window` or more words of an item verbatim.
 
-    A match of an item of fewer words is no evidence against a document. Null and wordless texts stay.
+    A match of an item of fewer words is no evidence against a document. Null and wordless texts stay,
+    and so does everything if the benchmark is empty; repeated rows stay or go together.
     """
-    blocks = _blocks(docs, benchmark, item_col, item_text_col, window)
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard, first = Shard(), 0
-            for k, text in enumerate(texts_of(b.column(at))):
-                shard.add(k, text)
-                if len(shard.words) >= SHARD_WORDS or k + 1 == b.num_rows:
-                    stays = pa.array([row[-1] < window for row in shard.found(x.value for x in blocks)])
-                    yield b.slice(first, k + 1 - first).filter(stays)
-                    shard, first = Shard(), k + 1
-
-    return docs.mapInArrow(run, docs.schema)
+    def without(rows: DataFrame, block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                shard, first = Shard(), 0
+                for k, text in enumerate(texts_of(b.column(at))):
+                    shard.add(k, text)
+                    if len(shard.words) >= SHARD_WORDS or k + 1 == b.num_rows:
+                        stays = pa.array([m is None or m[0] < window for *_, m in shard.found(block.value)])
+                        yield b.slice(first, k + 1 - first).filter(stays)
+                        shard, first = Shard(), k + 1
+
+        return rows.mapInArrow(run, rows.schema)
+
+    left = docs
+    for k, block in enumerate(_blocks(docs, benchmark, item_col, item_text_col, window)):
+        left = without(checkpointed(left) if k else left, block)
+    return left

@@ -167,7 +167,7 @@ ORACLE_SQL: dict[str, str] = {
         m as (select doc_id, dw.k, i, item_id from dw join bw on bw.k = dw.k and bw.g = dw.g),
         h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from m) group by all),
         t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from m group by all),
-        runs as (select doc_id, max(n) as longest from (select doc_id, item_id, j, count(*) + 7 as n from (select doc_id, item_id, i, i - row_number() over (partition by doc_id, item_id order by i) as j from (select distinct doc_id, item_id, i from m)) group by all) group by all)
+        runs as (select doc_id, max(n) as longest from (select doc_id, item_id, k, j, count(*) + k - 1 as n from (select doc_id, item_id, k, i, i - row_number() over (partition by doc_id, item_id order by i) as j from (select distinct doc_id, item_id, k, i from m)) group by doc_id, item_id, k, j) group by all)
         select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated, cast(coalesce(longest, 0) as bigint) as longest
         from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id left join runs on runs.doc_id = d.doc_id""",
     "op3_chat": """

@@ -152,9 +152,10 @@ def test_packing_ids_and_places(spark, docs):
     from sievemark.llm.packing import cut, default_tokenizer, pack_documents
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
+    more = [(20, "a <|endoftext|> b"), (21, "word " * 60_000), (21, "<|endoftext|>")]
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
     want = []
-    for d, text, *_ in TEXTS:
+    for d, text, *_ in [*TEXTS, *more]:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         want += [(d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), 128))]
     got = rows(pack_documents(docs, capacity=128))
@@ -244,6 +245,7 @@ def test_contamination_matches_brute_force(spark, docs, shard, monkeypatch):
     assert sorted(r[:4] for r in got) == contamination(TEXTS, ITEMS)
     assert all(sum(b - a for a, b in r[4]) == r[2] for r in got)
     assert {r[0] for r in got if r[5] >= 16} == {0, 1}
+    assert {(r[0], tuple(r[6])) for r in got if r[6]} == {(0, (18, 0, "1", 0)), (1, (18, 0, "1", 0))}
     assert rows(decontaminate.contamination(empty(docs), items)) == []
     assert {r[2] for r in rows(decontaminate.contamination(docs, empty(items)))} == {0}
     left = decontaminate.clean(docs, items)
@@ -264,9 +266,22 @@ def test_a_shorter_copy_beside_a_longer_one_counts(spark):
 def test_contamination_in_several_blocks(spark, docs, monkeypatch):
     from sievemark.llm import decontaminate
 
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert sorted(r[:4] for r in rows(decontaminate.contamination(docs, items))) == contamination(TEXTS, ITEMS)
+    whole = sorted(rows(decontaminate.contamination(docs, items)))
+    left = sorted(r.doc_id for r in decontaminate.clean(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    got = decontaminate.contamination(docs, items)
+    assert sorted(rows(got)) == whole and sorted(r[:4] for r in whole) == contamination(TEXTS, ITEMS)
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == left
+
+
+def test_items_without_an_id_and_long_texts(spark):
+    from sievemark.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, LOREM, "x"), (2, "filler words " * 300_000 + LOREM, "x"), (None, LOREM, "x")], "doc_id long, text string, items string")
+    items = spark.createDataFrame([(None, LOREM, 1)], "item_id long, text string, spans int")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items, tuple(r.match)) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (18, 18, [], (18, 0, None, 0)), 2: (600_018, 18, [], (18, 600_000, None, 0)), None: (18, 18, [], (18, 0, None, 0))}
 
 
 def test_suffix_array_is_sorted():
