@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import slices, texts_of
+from sievemark.llm.common import no_clash, own_name, slices, texts_of
 
 UNKNOWN = "und"
 #: Labelled documents of a language that its statistics are taken from, about.
@@ -237,8 +237,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lang_pred is the language of most letters, score its share of them. A null text, one without
     letters, and every text under a model without languages get 'und' and 0. Repeated rows come out
-    each; columns named in keep are passed through, others of any name left out.
+    each; columns named in keep are passed through, others of any name left out; keep can't name a result.
     """
+    no_clash(tuple(c for c in keep if c != text_col), ("doc_id", "lang_pred", "score", *(["spans"] * spans)))
+    own = own_name("text", list(keep))
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def labelled(texts: list[str]) -> tuple[list[str], np.ndarray, list[list]]:
@@ -269,12 +271,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names += part[0]
                 scores.append(part[1])
                 found += part[2]
-            own, own_names = [pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"]
+            new, new_names = [pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"]
             if spans:
-                own, own_names = [*own, pa.array(found, span)], [*own_names, "spans"]
-            kept = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, *own], names=[*(n for n in b.schema.names if n != "_text"), *own_names])
+                new, new_names = [*new, pa.array(found, span)], [*new_names, "spans"]
+            kept = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != own]
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=[*(n for n in b.schema.names if n != own), *new_names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(text_col if text_col in keep else "_text"), *(c for c in keep if c != text_col))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_text") + ", lang_pred string, score double" + f", spans {_SPANS}" * spans
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(text_col if text_col in keep else own), *(c for c in keep if c != text_col))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != own) + ", lang_pred string, score double" + f", spans {_SPANS}" * spans
     return rows.mapInArrow(run, schema)

@@ -86,7 +86,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm.langid import fit, identify
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_bucket("doc_id", 4) == 2).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     return identify(docs, fit(docs.where("not held_out")), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -111,8 +111,8 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm.lm import fit, scored
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs.where(~F.coalesce(crc_bucket("doc_id", 5) == 1, F.lit(False))))
-    held_out = crc_bucket("doc_id", 5) == 1
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 1, F.lit(False))
+    model = fit(docs.where(~held_out))
     return scored(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -506,6 +506,26 @@ def test_language_of_mixed_text(spark):
     assert {r.lang_pred for r in identify(test, fit(empty(train))).collect()} == {"und"}
 
 
+def test_language_keeps_columns_and_whole_texts(spark):
+    from sievemark.llm.langid import fit, identify
+
+    train = spark.createDataFrame([(k, x, t) for k, (x, t) in enumerate([("en", "the house and the garden"), ("fr", "les maisons et la jardin")] * 3)], "doc_id long, lang string, text string")
+    docs = spark.createDataFrame([(1, "the garden and " * 400_000 + "la maison " * 100_000, "x")], "doc_id long, text string, _text string")
+    r = identify(docs, fit(train), keep=("_text",)).first()
+    assert (r.lang_pred, r._text) == ("en", "x") and 0.75 < r.score < 0.9
+    with pytest.raises(ValueError, match="result columns"):
+        identify(docs.withColumnRenamed("_text", "score"), fit(train), keep=("score",))
+
+
+def test_held_out_accuracy(spark):
+    from sievemark.llm.queries import op5_language_id
+
+    folder = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    r = op5_language_id(spark, folder).where("held_out").join(truth, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")).alias("a"), F.count("*").alias("n")).first()
+    assert r.n > 200 and r.a > 0.97
+
+
 def test_viterbi_matches_brute_force():
     from sievemark.llm.langid import viterbi
 
