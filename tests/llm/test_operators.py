@@ -565,28 +565,111 @@ def test_lm_base_and_tree(spark, docs):
     assert new[0][1:3] == (4, 2) and new[1][1:3] == (1, 1)
 
 
-def test_lm_automaton_equals_longest_suffix_lookup(spark, docs):
+class NaiveTree:
+    """The rules word for word: counts by context in dictionaries, longest suffix by trying."""
+
+    def __init__(self, texts):
+        from sievemark.llm import lm
+
+        self.lm = lm
+        counts = defaultdict(Counter)
+        self.words, self.after = Counter(), defaultdict(Counter)
+        for w in texts:
+            s = lm._PAD + b" ".join(w) + lm.END
+            for k in range(lm.DEPTH, len(s)):
+                for d in range(lm.DEPTH + 1):
+                    counts[s[k - d : k]][s[k]] += 1
+            self.words.update([*w, lm.END])
+            for k in range(len(w) - 1):
+                self.after[w[k]][w[k + 1] + (lm.END if k + 2 == len(w) else b" ")] += 1
+        n = sum(counts[b""].values())
+        self.counts = {c: v for c, v in counts.items() if sum(v.values()) >= max(1.0, lm.P_MIN * n) or not c}
+        self.memo = {}
+        keep = {c for c in self.counts if not c or self.evidence(c) >= lm.EVIDENCE}
+        self.kept = {c[k:] for c in keep for k in range(len(c) + 1)}
+        self.memo = {}
+
+    def p(self, c, b, every=True):
+        """Smoothed probability; of every candidate, or of the retained alone."""
+        key = c, b, every
+        if key not in self.memo:
+            v, n = self.counts[c], sum(self.counts[c].values())
+            if not c:
+                self.memo[key] = (v[b] + 0.5) / (n + 128)
+            elif every or c in self.kept:
+                self.memo[key] = (v[b] + self.lm.SMOOTHING * self.p(c[1:], b, every)) / (n + self.lm.SMOOTHING)
+            else:
+                self.memo[key] = self.p(c[1:], b, every)
+        return self.memo[key]
+
+    def evidence(self, c):
+        v = self.counts[c]
+        return sum(x * math.log(x / sum(v.values()) / self.p(c[1:], b)) for b, x in v.items())
+
+    def longest(self, history):
+        return next(history[k:] for k in range(len(history) + 1) if history[k:] in self.kept)
+
+    def score(self, w, frequent):
+        lm = self.lm
+        s = lm._PAD + b" ".join(w) + lm.END
+        each = [math.log10(self.p(self.longest(s[k - lm.DEPTH : k]), s[k], False)) for k in range(lm.DEPTH, len(s))]
+        total, at, n = 0.0, 0, sum(self.words.values())
+        for k, x in enumerate(w):
+            inner = sum(each[at : at + len(x) + 1])
+            at += len(x) + 1
+            total += inner
+            if k and w[k - 1] not in frequent and (after := self.after.get(w[k - 1])):
+                prior = {y: max(math.log(lm.FREQUENT), math.log((self.words[y[:-1]] + 0.5) / n)) if y[:-1] in frequent else math.log(lm.FREQUENT) for y in after}
+                c = sum(after.values())
+                if sum(m * (math.log(m / c) - prior[y]) for y, m in after.items() if m > 1) >= lm.EVIDENCE:
+                    m = after[x + (lm.END if k + 1 == len(w) else b" ")]
+                    total += math.log10((m + lm.SMOOTHING * 10**inner) / (c + lm.SMOOTHING)) - inner
+        return total + (0 if w else each[0])
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_lm_equals_a_naive_tree(spark, docs, monkeypatch, depth):
     from sievemark.llm import lm
 
-    tree = lm.fit(docs).tree
-    lists = [lm.tokens((t or "").encode()) for _, t, *_ in TEXTS]
-    whole = tree.score(lists)
-    old, lm.PIECE = lm.PIECE, 7
-    assert tree.score(lists) == pytest.approx(whole)
-    lm.PIECE = old
-    for w, got in zip(lists, whole, strict=True):
-        state, total = 0, 0.0
-        for b in lm._PAD:
-            state = tree.step[state, tree.symbol[b]]
-        for b in b" ".join(w) + lm.END:
-            total += float(tree.logp[state, tree.symbol[b]])
-            state = tree.step[state, tree.symbol[b]]
-        assert got == pytest.approx(total)
-    p = 10.0 ** tree.logp.astype(float)
-    unseen = 256 - (tree.step.shape[1] - 1)
+    monkeypatch.setattr(lm, "DEPTH", depth)
+    monkeypatch.setattr(lm, "_PAD", lm.END * depth)
+    monkeypatch.setattr(lm, "PIECE", 50)
+    monkeypatch.setattr(lm, "P_MIN", 1e-3)
+    monkeypatch.setattr(lm, "FREQUENT", 0.004)
+    model = lm.fit(docs)
+    naive = NaiveTree([lm.tokens((t or "").encode()) for _, t, *_ in TEXTS])
+    assert {k for k in naive.words if naive.words[k] >= lm.FREQUENT * sum(naive.words.values())} == set(model.frequent)
+    assert model.tree.retained == len(naive.kept)
+    texts = [(d, t) for d, t, *_ in TEXTS if d != 10] + [(50, LOREM + " again"), (51, "never seen words"), (52, "dog while"), (53, "fox")]
+    got = lm.scored(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    want = [(d, naive.score(lm.tokens((t or "").encode()), model.frequent)) for d, t in texts]
+    got, want = sorted((r.doc_id, r.score) for r in got), sorted(want)
+    assert [d for d, _ in got] == [d for d, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=0.01)
+    assert model.contexts.count() > 50
+    p = 10.0 ** model.tree.logp.astype(float)
+    unseen = 256 - (model.tree.step.shape[1] - 1)
     assert (p[:, :-1].sum(axis=1) + unseen * p[:, -1]) == pytest.approx(np.ones(len(p)), abs=1e-4)
 
 
+def test_lm_of_no_texts_and_of_a_long_one(spark, docs):
+    from sievemark.llm import lm
+
+    nothing = lm.fit(empty(docs))
+    df = spark.createDataFrame([(1, "a b", "x"), (2, "word " * 500_000, "x"), (None, None, "x")], "doc_id long, text string, word string")
+    got = {r.doc_id: r for r in lm.scored(df, nothing).collect()}
+    assert got[1].score == pytest.approx(4 * math.log10(1 / 256), abs=0.01) and (got[2].n_tokens, got[2].n_known) == (500_001, 0) and got[None].n_tokens == 1
+    assert rows(lm.scored(empty(df), lm.fit(df))) == []
+    again = {r.doc_id: r.score for r in lm.scored(df, lm.fit(df)).collect()}
+    assert again[2] > got[2].score
+
+
+def test_held_out_texts_score_above_the_unigram(spark):
+    from sievemark.llm.queries import op8_lm
+
+    r = op8_lm(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > r.b
+
+
 # --- pages and archives
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
