@@ -34,19 +34,27 @@ def phrase_pattern(phrase: str, loose: bool) -> str:
     return rf"(?i)\b{body}\b"
 
 
-def phrase_counts(text: Column, phrases: tuple[str, ...], loose: bool) -> Column:
-    """array of (phrase, n) of the phrases that the text has.
+def letter_words(text: Column) -> Column:
+    """Distinct runs of the letters a-z, without regard to case."""
+    return F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
 
-    A phrase is looked for as a plain string first, and only where that is found its pattern is counted;
-    patterns are literals, so that each is compiled once.
+
+def phrase_counts(text: Column, words: Column, phrases: tuple[str, ...], loose: bool) -> Column:
+    """array of (phrase, n) of the phrases that the text has; words: its letter_words().
+
+    One hash look-up of the phrases' longest words among the text's tells which phrases can occur at
+    all; only their patterns are counted.
     """
-    plain = F.lower(F.regexp_replace(text, r"\s+", " ") if loose else text)
+    key = {p: max(re.findall("[a-z]+", p.lower()), key=len) for p in phrases}
+    there = F.array_intersect(words, F.array(*map(F.lit, dict.fromkeys(key.values()))))
+    listed = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("key"), F.lit(phrase_pattern(p, loose)).alias("pattern")) for p, k in key.items()])
+    none = F.array().cast("array<struct<phrase:string,n:int>>")
 
-    def counted(low: Column) -> Column:
-        one = lambda p: F.when(F.contains(low, F.lit(p.lower())), F.regexp_count(text, F.lit(phrase_pattern(p, loose)))).otherwise(F.lit(0))
-        return F.filter(F.array(*[F.struct(F.lit(p).alias("phrase"), one(p).alias("n")) for p in phrases]), lambda x: x["n"] > 0)
+    def counted(keys: Column) -> Column:
+        found = F.transform(F.filter(listed, lambda x: F.array_contains(keys, x["key"])), lambda x: F.struct(x["phrase"].alias("phrase"), F.regexp_count(text, x["pattern"]).alias("n")))
+        return F.when(F.size(keys) > 0, F.filter(found, lambda x: x["n"] > 0)).otherwise(none)
 
-    return let(plain, counted)
+    return let(there, counted)
 
 
 def sentences(text: Column) -> Column:

@@ -69,11 +69,15 @@ def retraction_index(csv: DataFrame) -> DataFrame:
 def sanctioned(names: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
     """S19 over names(name) and actions(who, action_end): either name within the other, and the action not over (or its end unreadable).
 
-    Containment has no key to join on: this is for lists of some thousands of actions.
+    The shorter name's first three characters stand somewhere in the longer one, so names meet in
+    equi-joins on runs of up to three characters before containment is checked.
     """
-    a = actions.where("length(trim(who)) > 0").select("who", "action_end", F.lower(F.trim("who")).alias("w")).where(F.coalesce(F.col("action_end").try_cast("date") >= F.lit(as_of).cast("date"), F.lit(True)))
+    a = actions.where("length(trim(who)) > 0").select("who", "action_end", F.lower(F.trim("who")).alias("w")).where(F.coalesce(F.col("action_end").try_cast("date") >= F.lit(as_of).cast("date"), F.lit(True))).distinct()
     n = names.select("name", F.lower(F.trim("name")).alias("n")).where("length(n) > 0").distinct()
-    return n.join(a, F.contains("n", "w") | F.contains("w", "n")).select("name", "who", "action_end")
+    runs = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring(F.col(c), i, k))))))
+    inner = n.withColumn("g", runs("n")).join(a.withColumn("g", F.substring("w", 1, 3)), "g").where(F.contains("n", "w"))
+    outer = n.withColumn("g", F.substring("n", 1, 3)).join(a.withColumn("g", runs("w")), "g").where(F.contains("w", "n"))
+    return inner.unionByName(outer).select("name", "who", "action_end").distinct()
 
 
 def count_ladder(counts: DataFrame, column: str, *cuts: tuple[int, int]) -> DataFrame:

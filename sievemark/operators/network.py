@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,9 +16,19 @@ def simple_edges(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("graph_id", "src", "dst").distinct()
 
 
+#: Nodes that a graph needs for any of M1's findings.
+LEAST_NODES = 8
+
+
+def large_enough(edges: DataFrame, least: int = LEAST_NODES) -> DataFrame:
+    """The edges of graphs of `least` nodes or more."""
+    nodes = edges.select("graph_id", F.col("src").alias("n")).unionByName(edges.select("graph_id", F.col("dst").alias("n"))).distinct()
+    return edges.join(nodes.groupBy("graph_id").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("graph_id"), "graph_id", "left_semi")
+
+
 def reciprocal(edges: DataFrame) -> DataFrame:
     """M1: share of edges that are answered."""
-    e = simple_edges(edges)
+    e = simple_edges(large_enough(edges))
     back = e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
     r = e.where("src < dst").join(back, ["graph_id", "src", "dst"], "left_semi").groupBy("graph_id").agg(F.count("*").alias("pairs"))
     g = e.groupBy("graph_id").agg(F.count("*").alias("n_edges")).join(r, "graph_id", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
@@ -26,7 +37,7 @@ def reciprocal(edges: DataFrame) -> DataFrame:
 
 def short_cycles(edges: DataFrame) -> DataFrame:
     """M1: simple directed cycles of three and four nodes, each counted once, from its smallest node."""
-    e = simple_edges(edges)
+    e = simple_edges(large_enough(edges))
     step = lambda a, b: e.select("graph_id", F.col("src").alias(a), F.col("dst").alias(b))
     two = step("a", "b").where("a < b").join(step("b", "c"), ["graph_id", "b"]).where("a < c and b <> c")
     three = two.join(step("c", "a"), ["graph_id", "c", "a"], "left_semi").groupBy("graph_id").agg(F.count("*").alias("n3"))
@@ -38,10 +49,10 @@ def short_cycles(edges: DataFrame) -> DataFrame:
 
 def author_density(edges: DataFrame, authors: DataFrame) -> DataFrame:
     """M1: how densely an author's nodes (three or more) cite each other."""
-    a = authors.select("graph_id", "node", "author").distinct()
+    a = authors.select("graph_id", "node", "author").distinct().join(large_enough(edges).select("graph_id").distinct(), "graph_id", "left_semi")
     n = a.groupBy("graph_id", "author").agg(F.count("*").alias("n_nodes")).where("n_nodes >= 3")
     own = a.join(n, ["graph_id", "author"])
-    inner = simple_edges(edges).join(own.select("graph_id", F.col("node").alias("src"), "author"), ["graph_id", "src"]).join(own.select("graph_id", F.col("node").alias("dst"), "author"), ["graph_id", "dst", "author"])
+    inner = simple_edges(large_enough(edges)).join(own.select("graph_id", F.col("node").alias("src"), "author"), ["graph_id", "src"]).join(own.select("graph_id", F.col("node").alias("dst"), "author"), ["graph_id", "dst", "author"])
     m = inner.groupBy("graph_id", "author").agg(F.count("*").alias("n_inner"))
     g = n.join(m, ["graph_id", "author"], "left").withColumn("n_inner", F.coalesce("n_inner", F.lit(0)))
     g = g.withColumn("density", F.col("n_inner") / (F.col("n_nodes") * (F.col("n_nodes") - 1)))
@@ -64,7 +75,7 @@ def cliques(edges: DataFrame) -> DataFrame:
         rows = [(int(pdf.graph_id.iloc[0]), list(map(int, c))) for c in sorted(x for x in found if len(x) >= 4)[:5]]
         return pd.DataFrame(rows, columns=["graph_id", "members"])
 
-    e = simple_edges(edges)
+    e = simple_edges(large_enough(edges))
     both = e.unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     side = lambda name: both.select("graph_id", F.col("src").alias("node"), F.col("dst").alias(name))
     between = both.where("src < dst").select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -80,6 +91,20 @@ def cliques(edges: DataFrame) -> DataFrame:
     return common.select(*key, shared.alias("shared")).withColumn("severity", ladder((F.col("shared") >= 0.5, SUSPICIOUS)))
 
 
+def mill_findings(edges: DataFrame, authors: DataFrame) -> DataFrame:
+    """M1 as a whole: graph_id, rule, detail, severity of what each graph shows; of an author's clusters the first by name that is dense enough."""
+    percent = lambda c: F.format_string("%.1f%%", 100 * F.col(c))
+    row = lambda df, rule, detail: df.where("severity > 0").select("graph_id", F.lit(rule).alias("rule"), detail.alias("detail"), "severity")
+    dense = author_density(edges, authors).where("severity > 0").groupBy("graph_id").agg(F.min_by(F.struct("author", "density", "severity"), "author").alias("f")).select("graph_id", "f.*")
+    parts = [
+        row(reciprocal(edges), "reciprocal citations", F.concat(percent("ratio"), F.lit(" of edges are answered"))),
+        row(short_cycles(edges), "short cycles", F.concat((F.col("n3") + F.col("n4")).cast("string"), F.lit(" cycles of three or four nodes"))),
+        row(cliques(edges), "shared references", F.concat(F.lit("clique of "), F.array_join("members", ","))),
+        row(dense, "author cluster", F.concat(F.lit("author "), F.col("author").cast("string"), F.lit(" at a density of "), percent("density"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _maximal(near: dict[int, set[int]], clique: tuple[int, ...], candidates: set[int], seen: set[int]) -> Iterator[tuple[int, ...]]:
     """Maximal cliques that extend one by candidates, and not by what has been seen; with pivots."""
     stack = [(clique, candidates, seen)]

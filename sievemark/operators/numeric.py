@@ -11,6 +11,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark.functions.digits import first_digit, fraction_text, last_digit
 from sievemark.functions.ladder import CONCERN, CRITICAL, NOTE, SUSPICIOUS, ladder, weakened
@@ -62,7 +63,7 @@ def joint_entropy(c: DataFrame, seed: int = 42, draws: int = 200) -> DataFrame:
     """A1: entropy of the digits across a row, against uniform digits. mean_h of each file of two columns and 30 rows or more.
 
     The i-th values of the columns, missing ones left out, stand in a row. The uniform reference comes
-    from seeded draws on the driver, once per number of columns and rows met (both bounded by a table).
+    from seeded draws, made once per number of columns and rows met, each by the task that has it.
     """
     d = c.select(*KEY, last_digit(F.col("val")).alias("d"), F.row_number().over(_in_file()).alias("i"))
     wide = d.groupBy("file_id", "i").agg(F.collect_list("d").alias("ds"))
@@ -71,12 +72,16 @@ def joint_entropy(c: DataFrame, seed: int = 42, draws: int = 200) -> DataFrame:
     freq = F.transform(F.array_distinct("ds"), lambda x: F.size(F.filter("ds", lambda y: y == x)) / k)
     h = F.aggregate(freq, F.lit(0.0), lambda a, p: a - p * F.log2(p))
     rows = wide.join(size, "file_id").where("i <= rows").groupBy("file_id").agg(F.max("cols").alias("cols"), F.max("rows").alias("n_rows"), F.avg(h).alias("mean_h"))
-    shapes = [(r.cols, r.n_rows) for r in rows.select("cols", "n_rows").distinct().collect()]
-    cases = F.lit(None).cast("struct<mu:double,sd:double>")
-    for cols, n in shapes:
-        mu, sd = _uniform_entropy(int(cols), int(n), seed, draws)
-        cases = F.when((F.col("cols") == cols) & (F.col("n_rows") == n), F.struct(F.lit(mu).alias("mu"), F.lit(sd).alias("sd"))).otherwise(cases)
-    rows = rows.withColumn("u", cases).withColumn("z", (F.col("mean_h") - F.col("u.mu")) / F.col("u.sd"))
+
+    def simulate(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [_uniform_entropy(int(k), int(n), seed, draws) for k, n in zip(b.cols, b.n_rows, strict=True)]
+            yield pd.DataFrame({"cols": b.cols, "n_rows": b.n_rows, "mu": [m for m, _ in found], "sd": [x for _, x in found]})
+
+    uniform = rows.select("cols", "n_rows").distinct().mapInPandas(simulate, "cols long, n_rows int, mu double, sd double")
+    rows = rows.join(uniform, ["cols", "n_rows"]).withColumn("z", (F.col("mean_h") - F.col("mu")) / F.col("sd"))
     return rows.select("file_id", "cols", "n_rows", "mean_h", "z", ladder((F.abs("z") > 3.890592, SUSPICIOUS), (F.abs("z") > 2.575829, CONCERN)).alias("severity"))
 
 
@@ -113,21 +118,40 @@ def benford_segments(c: DataFrame) -> DataFrame:
     return s.withColumn("severity", ladder(((F.col("var_chi2") < 0.5) & (F.col("mean_chi2") > 5), CONCERN)))
 
 
+#: Pairs of columns whose moments one aggregation takes.
+PAIRS_AT_ONCE = 30
+
+
 def column_pairs(table: DataFrame, file_id: str, columns: list[str]) -> DataFrame:
     """A3: constant differences and ratios between columns: kind, a, b, n, centre, spread, share, severity.
 
-    All pairs' moments come from one pass, the shares of rows at the centre from a second; no self-join.
+    Moments of PAIRS_AT_ONCE pairs come from one aggregation per file, without a row per pair; rows of
+    the files in which a pair stands out are read once more, for the share of them at the centre.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    rows = table.select(F.col(file_id).cast("string").alias("file_id"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    array = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    p = rows.select("file_id", F.inline(array)).where("x is not null and y is not null").withColumn("d", F.col("x") - F.col("y")).withColumn("r", F.when(F.abs("y") > 1e-12, F.col("x") / F.col("y")))
-    key = ["file_id", "a", "b"]
-    m = p.groupBy(*key).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("d").alias("md"), F.stddev_samp("d").alias("sd"), F.avg("r").alias("mr"), F.stddev_samp("r").alias("sr"), F.min(F.abs("y")).alias("least")).where("n >= 10")
+    own = {c: f"v{k}" for k, c in enumerate(columns)}  # no column's name then meets one of the results
+    rows = table.select(F.col(file_id).cast("string").alias("file_id"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(v) for c, v in own.items()])
+
+    def moments(some: list[tuple[str, str]]) -> DataFrame:
+        of = []
+        for k, (a, b) in enumerate(some):
+            x, y = F.col(own[a]), F.col(own[b])
+            both = x.isNotNull() & y.isNotNull()
+            d, r = x - y, F.when(F.abs(y) > 1e-12, x / y)
+            of += [F.count_if(both).alias(f"n{k}"), F.avg(F.when(both, x)).alias(f"mx{k}"), F.avg(d).alias(f"md{k}"), F.stddev_samp(d).alias(f"sd{k}"), F.avg(r).alias(f"mr{k}"), F.stddev_samp(r).alias(f"sr{k}"), F.min(F.when(both, F.abs(y))).alias(f"least{k}")]
+        wide = rows.groupBy("file_id").agg(*of)
+        return wide.select("file_id", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *[F.col(f"{m}{k}").alias(m) for m in ("n", "mx", "md", "sd", "mr", "sr", "least")]) for k, (a, b) in enumerate(some)])))
+
+    m = reduce(DataFrame.unionByName, [moments(pairs[k : k + PAIRS_AT_ONCE]) for k in range(0, len(pairs), PAIRS_AT_ONCE)]).where("n >= 10")
     difference = F.col("sd") < F.greatest(F.lit(1e-9), 1e-3 * F.greatest(F.abs("md"), F.abs("mx"), F.lit(1.0)))
     ratio = (F.col("least") > 1e-12) & (F.col("sr") < F.greatest(F.lit(1e-9), 1e-3 * F.abs("mr"))) & (F.abs(F.col("mr") - 1) > 1e-9)
     m = m.withColumn("is_d", F.coalesce(difference, F.lit(False))).withColumn("is_r", F.coalesce(ratio, F.lit(False))).where("is_d or is_r")
-    s = p.join(m, key).groupBy(*key).agg(*[F.max(x).alias(x) for x in ("n", "md", "sd", "mr", "sr", "is_d", "is_r")], F.avg((F.abs(F.col("d") - F.col("md")) < 1e-9).cast("int")).alias("share_d"), F.avg((F.abs(F.col("r") - F.col("mr")) < 1e-9).cast("int")).alias("share_r"))
+    key = ["file_id", "a", "b"]
+    found = m.groupBy("file_id").agg(F.collect_list(F.struct("a", "b", "n", "md", "sd", "mr", "sr", "is_d", "is_r")).alias("f"))
+    value = lambda name: reduce(lambda out, c: out.when(name == c, F.col(own[c])), columns[1:], F.when(name == columns[0], F.col(own[columns[0]])))
+    p = rows.join(found, "file_id").select("file_id", *own.values(), F.inline("f")).withColumn("x", value(F.col("a"))).withColumn("y", value(F.col("b"))).where("x is not null and y is not null")
+    p = p.withColumn("d", F.col("x") - F.col("y")).withColumn("r", F.when(F.abs("y") > 1e-12, F.col("x") / F.col("y")))
+    s = p.groupBy(*key).agg(*[F.max(x).alias(x) for x in ("n", "md", "sd", "mr", "sr", "is_d", "is_r")], F.avg((F.abs(F.col("d") - F.col("md")) < 1e-9).cast("int")).alias("share_d"), F.avg((F.abs(F.col("r") - F.col("mr")) < 1e-9).cast("int")).alias("share_r"))
     two = F.array(F.struct(F.lit("difference").alias("kind"), F.col("is_d").alias("found"), F.col("md").alias("centre"), F.col("sd").alias("spread"), F.col("share_d").alias("share")), F.struct(F.lit("ratio").alias("kind"), F.col("is_r").alias("found"), F.col("mr").alias("centre"), F.col("sr").alias("spread"), F.col("share_r").alias("share")))
     out = s.select(*key, "n", F.inline(two)).where("found").drop("found")
     return out.withColumn("severity", ladder((F.col("kind").eqNullSafe("difference") & (F.col("share") >= 1.0), CRITICAL), (F.col("share") >= 0.95, SUSPICIOUS), otherwise=CONCERN))
@@ -259,6 +283,11 @@ def missing_pattern(table: DataFrame, file_id: str, columns: list[str]) -> DataF
     return g.withColumn("cv", F.sqrt(var) / F.nullif(mean, F.lit(0.0))).select("file_id", "n", "cv", ladder(((F.col("cv") < 0.1) & F.lit(k >= 5), CONCERN), otherwise=NOTE).alias("severity"))
 
 
+def numeric_columns(table: DataFrame) -> list[str]:
+    """The columns of numbers, truth values aside."""
+    return [f.name for f in table.schema.fields if isinstance(f.dataType, T.NumericType)]
+
+
 def sum_missing(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in columns])
 

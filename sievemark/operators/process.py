@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions.ladder import CONCERN, CRITICAL, NOTE, SUSPICIOUS, ladder
 
 
+def number(value) -> Column:
+    """A number as text or as it is; text that Java alone takes for one, such as 1d or 0x1p3, is none."""
+    text = F.trim(F.col(value).cast("string"))
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+
+
 def mass_balance(log: DataFrame, sources: list[str], sinks: list[str], tolerance_pct: float) -> DataFrame:
     """I1 over a log with file_id: rows where what goes in and what comes out differ by more than the tolerance."""
-    add = lambda cs: reduce(lambda a, b: a + b, [F.col(c).try_cast("double") for c in cs])
-    negative = reduce(lambda a, b: a | b, [F.col(c).try_cast("double") < 0 for c in [*sources, *sinks]])
+    add = lambda cs: reduce(lambda a, b: a + b, [number(c) for c in cs])
+    negative = reduce(lambda a, b: a | b, [number(c) < 0 for c in [*sources, *sinks]])
     rows = log.select("file_id", add(sources).alias("i"), add(sinks).alias("o"), negative.alias("negative")).where("i is not null and o is not null")
     rows = rows.withColumn("off", F.coalesce(F.abs((F.col("i") - F.col("o")) / F.nullif("i", F.lit(0.0))) * 100 > tolerance_pct, F.lit(False)))
     g = rows.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if("off").alias("violations"), F.count_if("negative").alias("negatives")).where("n >= 5")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.functions.ladder import CONCERN, NOTE, SUSPICIOUS, ladder, weakened
+from sievemark.functions.ladder import CONCERN, CRITICAL, NOTE, SUSPICIOUS, ladder, weakened
 
 
 def grim(items: DataFrame) -> DataFrame:
@@ -21,14 +22,81 @@ def grim(items: DataFrame) -> DataFrame:
 
 
 def grimmer(items: DataFrame) -> DataFrame:
-    """B6, the deterministic part, over (label, mean, sd, n, mean_decimals, sd_decimals): mean and standard deviation of whole numbers."""
+    """B6 over (label, mean, sd, n, mean_decimals, sd_decimals, scale_min, scale_max): mean and standard deviation of whole numbers.
+
+    The sum of squares has to be a whole number within what rounding allows, and the sum has to lie
+    within the scale, where the bounds aren't null.
+    """
     n, mean, sd = F.col("n"), F.col("mean"), F.col("sd")
     mt, st = 0.5 * F.pow(F.lit(10.0), -F.col("mean_decimals")), 0.5 * F.pow(F.lit(10.0), -F.col("sd_decimals"))
     rows = items.where("n > 1 and sd > 0").withColumn("grim_ok", F.abs(mean * n - F.rint(mean * n)) <= mt * n)
-    squares = (n - 1) * sd * sd + n * mean * mean
+    squares = n * (sd * sd + mean * mean)
     slack = n * (2 * F.abs(mean) * mt + 2 * sd * st) + 1
-    rows = rows.withColumn("squares_ok", F.abs(squares - F.rint(squares)) <= slack)
-    return rows.withColumn("severity", ladder((~F.col("grim_ok"), SUSPICIOUS), (~F.col("squares_ok"), CONCERN)))
+    total = F.rint(mean * n)
+    rows = rows.withColumn("squares_ok", F.abs(squares - F.rint(squares)) <= slack).withColumn("scale_ok", F.coalesce(total.between(F.col("scale_min") * n, F.col("scale_max") * n), F.lit(True)))
+    return rows.withColumn("severity", ladder((~F.col("grim_ok"), SUSPICIOUS), (~F.col("squares_ok") | ~F.col("scale_ok"), CONCERN)))
+
+
+def samples(mean: float, sd: float, n: int, low: int, high: int, slack: float, rng: random.Random, wanted: int = 1, attempts: int = 50, steps: int = 800) -> list[list[int]]:
+    """Up to `wanted` distinct samples of n whole numbers within the scale, of the mean's total and of a deviation within slack of sd.
+
+    Each attempt starts from a random sample of that total and moves one unit at a time between two
+    members, outwards while the deviation is too small and inwards while it is too large.
+    """
+    total, found = round(mean * n), []
+    if not low * n <= total <= high * n or high <= low:
+        return found
+    seen: set[tuple[int, ...]] = set()
+    for _ in range(attempts):
+        xs = [low] * n
+        for _ in range(total - low * n):
+            k = rng.randrange(n)
+            while xs[k] >= high:
+                k = (k + 1) % n
+            xs[k] += 1
+        squares = sum(x * x for x in xs)
+        for _ in range(steps):
+            var = (squares - total * total / n) / (n - 1)
+            if abs(max(0.0, var) ** 0.5 - sd) <= slack + 1e-9:
+                key = tuple(sorted(xs))
+                if key not in seen:
+                    seen.add(key)
+                    found.append(list(key))
+                break
+            i, j = rng.randrange(n), rng.randrange(n)
+            if i != j and xs[i] < high and xs[j] > low:
+                change = 2 * (xs[i] - xs[j]) + 2
+                if (change > 0) == (var < sd * sd):
+                    xs[i] += 1
+                    xs[j] -= 1
+                    squares += change
+        if len(found) >= wanted:
+            break
+    return found
+
+
+def reconstructed(items: DataFrame, seed: int = 42, wanted: int = 50) -> DataFrame:
+    """B6's reverse reconstruction over grimmer()'s items with reported_median, reported_min and reported_max: are they within what samples of the mean and deviation have?
+
+    Items that pass grimmer() with both bounds of the scale and one of the three. A row has its own seed,
+    so that results don't depend on the rows' order. severity: CRITICAL where one is outside; none found: 0.
+    """
+
+    def judge(r) -> tuple:
+        found = samples(r.mean, r.sd, int(r.n), int(r.scale_min), int(r.scale_max), 0.5 * 10.0 ** -int(r.sd_decimals), random.Random(f"{seed}:{r.label}"), wanted, 5 * wanted)
+        n = int(r.n)
+        middle = [(x[(n - 1) // 2] + x[n // 2]) / 2 for x in found]
+        ranges = ((r.reported_median, middle), (r.reported_min, [x[0] for x in found]), (r.reported_max, [x[-1] for x in found]))
+        out = [name for name, (value, xs) in zip(("median", "min", "max"), ranges, strict=True) if xs and value is not None and value == value and not min(xs) <= value <= max(xs)]
+        return r.label, len(found), ", ".join(out), CRITICAL if out else 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([judge(r) for r in b.itertuples()], columns=["label", "n_samples", "outside", "severity"])
+
+    reported = ["reported_median", "reported_min", "reported_max"]
+    fit = grimmer(items).where("severity = 0 and scale_min is not null and scale_max is not null and coalesce(reported_median, reported_min, reported_max) is not null")
+    return fit.select(F.col("label").cast("string").alias("label"), "mean", "sd", "n", "sd_decimals", "scale_min", "scale_max", *[F.col(c).cast("double") for c in reported]).mapInPandas(run, "label string, n_samples int, outside string, severity int")
 
 
 def p_curve(values: DataFrame) -> DataFrame:
@@ -43,41 +111,32 @@ def p_curve(values: DataFrame) -> DataFrame:
 
 
 def insufficient_variance(values: DataFrame) -> DataFrame:
-    """B5 over (label, p): variance of the z-scores of p-values, too small a one against chi-square; success rate and replicability index."""
-    from sievemark.functions.special import chi2_sf, z_ppf
-
-    rows = values.where("p > 0 and p < 1").withColumn("z", z_ppf(1 - F.greatest("p", F.lit(1e-12)) / 2))
-    g = rows.groupBy("label").agg(F.count("*").alias("k"), F.var_samp("z").alias("var_z"), (F.sum("z") / F.sqrt(F.count("*").cast("double"))).alias("stouffer_z"), (F.count_if(F.col("p") < 0.05) / F.count("*")).alias("success")).where("k >= 10")
-    g = g.withColumn("p_left", 1 - chi2_sf((F.col("k") - 1) * F.col("var_z"), F.col("k") - 1))
-    return g.withColumn("severity", weakened(ladder((F.col("p_left") < 0.001, SUSPICIOUS), (F.col("p_left") < 0.01, CONCERN), (F.col("p_left") <= 0.10, NOTE)), F.col("k")))
-
-
-def sprite(items: DataFrame, seed: int = 42, attempts: int = 50, steps: int = 800) -> DataFrame:
+    """B5 over (label, p): variance of the z-scores of p-values, too small a one against chi-square; Stouffer's z, replicability index and heterogeneity.
+
+    The success rate counts every p below 0.05 over the number of p strictly between 0 and 1. severity is
+    0 where neither the variance nor one of the two indices stands out.
+    """
+    from sievemark.functions.special import chi2_sf, z_ppf, z_sf
+
+    inner = (F.col("p") > 0) & (F.col("p") < 1)
+    rows = values.withColumn("z", z_ppf(1 - F.when(inner, F.greatest("p", F.lit(1e-12))) / 2))
+    k, z = F.col("k"), F.col("z")
+    # The upper median of the powers is the power of the upper median of |z|, as it grows with it.
+    g = rows.groupBy("label").agg(F.count("z").alias("k"), F.var_samp("z").alias("var_z"), (F.sum("z") / F.sqrt(F.count("z").cast("double"))).alias("stouffer_z"), (F.count_if(F.col("p") < 0.05) / F.count("z")).alias("success"), (-F.expr("percentile_disc(0.5) within group (order by -abs(z))")).alias("middle")).where(k >= 10)
+    g = g.withColumn("q", (k - 1) * F.col("var_z"))
+    g = g.withColumn("p_left", 1 - chi2_sf(F.col("q"), k - 1)).withColumn("stouffer_p", 2 * z_sf(F.abs("stouffer_z"))).withColumn("r_index", F.col("success") - z_sf(1.645 - F.col("middle")))
+    g = g.withColumn("i2", F.when(F.col("q") > 0, F.greatest(F.lit(0.0), (F.col("q") - (k - 1)) / F.col("q"))).otherwise(0.0))
+    meta = (F.col("r_index") < -0.35) | (F.col("i2") < 0.02)
+    severity = ladder(((F.col("p_left") > 0.10) & ~meta, 0), ((F.col("p_left") < 0.001) | ((F.col("p_left") < 0.01) & meta), SUSPICIOUS), (F.col("p_left") < 0.01, CONCERN), otherwise=NOTE)
+    return g.drop("q", "middle").withColumn("severity", weakened(severity, k))
+
+
+def sprite(items: DataFrame, seed: int = 42) -> DataFrame:
     """B8 over (label, mean, sd, sd_decimals, n, scale_min, scale_max): is there any sample of whole numbers with these? Each row has its own seed."""
 
-    def search(label: str, mean: float, sd: float, slack: float, n: int, low: int, high: int) -> bool:
-        rng = random.Random(f"{seed}:{label}")
-        target, total = sd * sd, round(mean * n)
-        if not low * n <= total <= high * n:
-            return False
-        for _ in range(attempts):
-            base, extra = divmod(total - low * n, n)
-            xs = [low + base + (k < extra) for k in range(n)]
-            for _ in range(steps):
-                m = sum(xs) / n
-                var = sum((x - m) ** 2 for x in xs) / (n - 1)
-                if abs(var**0.5 - sd) <= slack + 1e-9:
-                    return True
-                i, j = rng.randrange(n), rng.randrange(n)
-                wider = xs[i] >= xs[j]
-                if i != j and xs[i] < high and xs[j] > low and wider == (var < target):
-                    xs[i] += 1
-                    xs[j] -= 1
-        return False
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [search(r.label, r.mean, r.sd, 0.5 * 10.0 ** -int(r.sd_decimals), int(r.n), int(r.scale_min), int(r.scale_max)) for r in b.itertuples()]
+            found = [bool(samples(r.mean, r.sd, int(r.n), int(r.scale_min), int(r.scale_max), 0.5 * 10.0 ** -int(r.sd_decimals), random.Random(f"{seed}:{r.label}"))) for r in b.itertuples()]
             yield pd.DataFrame({"label": b["label"], "possible": found, "severity": [0 if x else SUSPICIOUS for x in found]})
 
     return items.where("n > 1").select("label", "mean", "sd", "sd_decimals", "n", "scale_min", "scale_max").mapInPandas(run, "label string, possible boolean, severity int")
@@ -102,9 +161,14 @@ def carlisle(arms: DataFrame) -> DataFrame:
     v = welch_pairs(arms).withColumn("p", p).groupBy("trial_id", "variable").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     v = v.select("trial_id", F.element_at("ps", (F.floor(F.size("ps") / 2) + 1).cast("int")).alias("p"))
     v = v.withColumn("z", z_ppf(1 - F.greatest(F.least("p", F.lit(1 - 1e-12)), F.lit(1e-12))))
-    g = v.groupBy("trial_id").agg(F.count("*").alias("n_variables"), (F.sum("z") / F.sqrt(F.count("*").cast("double"))).alias("z")).where("n_variables >= 5")
+    g = v.groupBy("trial_id").agg(F.count("*").alias("n_variables"), (F.sum("z") / F.sqrt(F.count("*").cast("double"))).alias("z"), F.avg((F.col("p") < 0.5).cast("int")).alias("below_half")).where("n_variables >= 5")
     g = g.withColumn("p_value", 2 * z_sf(F.abs("z")))
-    return g.withColumn("severity", ladder((F.col("p_value") > 0.05, 0), (F.col("p_value") < 1e-6, SUSPICIOUS), (F.col("p_value") < 1e-3, CONCERN), otherwise=NOTE))
+    g = g.withColumn("log10_bf", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), (-2 * F.log(F.greatest("p_value", F.lit(1e-300))) - F.col("n_variables")) / (2 * math.log(10)))))
+    reading = F.when(F.col("below_half") < 0.25, "too alike").when(F.col("below_half") > 0.75, "too unlike").otherwise("not uniform")
+    tail = F.when(F.col("p_value") >= 1e-3, "borderline").when(F.col("below_half") >= 0.7, "low").otherwise("high")
+    g = g.withColumn("severity", ladder((F.col("p_value") > 0.05, 0), (F.col("p_value") < 1e-6, SUSPICIOUS), (F.col("p_value") < 1e-3, CONCERN), otherwise=NOTE))
+    flagged = F.col("severity") > 0
+    return g.withColumn("reading", F.when(flagged, reading)).withColumn("tail", F.when(flagged, tail))
 
 
 def outcome_overlap(reported: DataFrame, registry: DataFrame) -> DataFrame:

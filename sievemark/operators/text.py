@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import wordlists as W
 from sievemark.functions.ladder import CONCERN, CRITICAL, NOTE, SUSPICIOUS, ladder
-from sievemark.functions.text import phrase_counts, runs, shingles, tokens
+from sievemark.functions.text import let, letter_words, phrase_counts, runs, shingles, tokens
 
 _P = r"\s*,?\s*[Pp]\s*([<=≤])\s*(\d*\.\d+)"
 _EQ = r"\s*[<>≤≥]?=?\s*"
@@ -69,7 +69,9 @@ def _inconsistent(p: str) -> tuple[Column, Column]:
     """(numerically, in the decision at 0.05) inconsistent with the reported p."""
     decimals = F.length(F.regexp_replace(F.regexp_extract(F.format_string("%.10f", "p"), r"\.(\d+)", 1), "0+$", "")).cast("int")
     step = F.pow(F.lit(10.0), -decimals)
-    rounded = F.rint(F.col(p) / step) * step
+    # The value's exact decimal expansion, rounded half to even: what p / step * step would blur at half steps.
+    exact = F.col(p).cast("decimal(38,25)")
+    rounded = F.coalesce(*[F.when(decimals == k, F.bround(exact, k).cast("double")) for k in range(11)])
     numeric = F.when(F.col("sign") == "=", F.abs(rounded - F.col("p")) > step / 2 + 1e-12).otherwise(F.col(p) >= F.col("p"))
     claimed = F.when(F.col("sign") == "=", F.col("p") < 0.05).otherwise(F.col("p") <= 0.05)
     return numeric, claimed != (F.col(p) < 0.05)
@@ -90,24 +92,32 @@ def statcheck(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return found.withColumn("severity", ladder((F.col("decision"), SUSPICIOUS), (F.col("numeric"), CONCERN))).drop("two_sided", "one_sided", "first")
 
 
+def _classes(docs: DataFrame, name: str, n: int, least_words: int) -> DataFrame:
+    """The texts' sets of hashed n-word shingles, equal ones as one class: set_id, names (of its texts), k, s."""
+    w = docs.withColumn("w", tokens(F.lower("text"), "[A-Za-z\\u4e00-\\u9fff]+")).where(F.size("w") >= least_words)
+    s = F.array_sort(F.array_distinct(let(F.col("w"), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<bigint>")))))
+    return w.select(F.col(name).alias("name"), s.alias("s")).where(F.size("s") > 0).withColumn("set_id", F.sha2(F.to_json("s"), 256))
+
+
 def text_similarity(queries: DataFrame, corpus: DataFrame, n: int = 5, least: float = 0.10) -> DataFrame:
     """queries(query_id, text) against corpus(label, text) by shared n-word shingles: jaccard of 0.10 or more.
 
-    An inverted-index equi-join on the shingles; sizes travel with the rows, so that one aggregation of
-    the matches is all that follows. Texts of fewer than n + 5 words aren't queried.
+    An inverted-index equi-join on 64-bit hashes of the shingles; texts with equal sets are compared
+    once, so copies of a passage don't multiply what is joined, and sizes travel with the rows, so that
+    one aggregation of the matches follows. Texts of fewer than n + 5 words aren't queried.
     """
-    pattern = "[A-Za-z\\u4e00-\\u9fff]+"
-    q = queries.withColumn("w", tokens(F.lower("text"), pattern)).where(F.size("w") >= n + 5).withColumn("s", shingles(F.col("w"), n)).select("query_id", F.size("s").alias("nq"), F.explode("s").alias("s"))
-    c = corpus.withColumn("s", shingles(tokens(F.lower("text"), pattern), n)).select("label", F.size("s").alias("nc"), F.explode("s").alias("s"))
-    m = q.join(c, "s").groupBy("query_id", "label", "nq", "nc").agg(F.count("*").alias("k"))
+    q, c = _classes(queries, "query_id", n, n + 5), _classes(corpus, "label", n, n)
+    one = lambda df, k, i: df.groupBy("set_id").agg(F.first("s").alias("s")).select(F.col("set_id").alias(i), F.size("s").alias(k), F.explode("s").alias("g"))
+    m = one(q, "nq", "qs").join(one(c, "nc", "cs"), "g").groupBy("qs", "cs", "nq", "nc").agg(F.count("*").alias("k"))
     m = m.withColumn("jaccard", F.col("k") / (F.col("nq") + F.col("nc") - F.col("k"))).where(F.col("jaccard") >= least)
+    m = m.join(q.select(F.col("set_id").alias("qs"), F.col("name").alias("query_id")), "qs").join(c.select(F.col("set_id").alias("cs"), F.col("name").alias("label")), "cs")
     return m.select("query_id", "label", "jaccard", ladder((F.col("jaccard") >= 0.5, CRITICAL), (F.col("jaccard") >= 0.25, SUSPICIOUS), otherwise=CONCERN).alias("severity"))
 
 
 # Patterns of the statements that a manuscript should make, without regard to case.
 DATA_STATEMENT = (r"data\s+availability", r"data\s+sharing", r"availability\s+of\s+(?:data|materials)", r"data\s+and\s+code\s+availability", "数据可用性", "数据共享")
 VAGUE = (r"available\s+(?:from|upon)\s+(?:the\s+)?(?:corresponding\s+)?author", r"available\s+on\s+(?:reasonable\s+)?request", r"available\s+upon\s+reasonable\s+request")
-ACCESSIONS = (r"\b10\.\d{4,9}/[^\s\)\]\}]{37,}", r"\bGSE\d+\b", r"\bSRA\d+\b|\bSRP\d+\b", r"\bPRJ[NEDA][A-Z]\d+\b", r"\bE-MTAB-\d+\b", r"\bGCF_\d+\.\d+\b|\bGCA_\d+\.\d+\b", r"\bENS[A-Z]+\d+\b", r"\bzenodo\.org/record/\d+\b", r"\bfigshare\.com/[a-z]+/\d+\b", r"\bdryad\.\w+/[\w\.]+\b", r"\bgithub\.com/[\w\-]+/[\w\-]+", r"\bdoi\.org/[\w\./\-]+")
+ACCESSIONS = (r"\b(?=10\.\d{4,9}/[^\s\)\]\}])[^\s\)\]\}]{40,}", r"\bGSE\d+\b", r"\bSRA\d+\b|\bSRP\d+\b", r"\bPRJ[NEDA][A-Z]\d+\b", r"\bE-MTAB-\d+\b", r"\bGCF_\d+\.\d+\b|\bGCA_\d+\.\d+\b", r"\bENS[A-Z]+\d+\b", r"\bzenodo\.org/record/\d+\b", r"\bfigshare\.com/[a-z]+/\d+\b", r"\bdryad\.\w+/[\w\.]+\b", r"\bgithub\.com/[\w\-]+/[\w\-]+", r"\bdoi\.org/[\w\./\-]+")
 ETHICS = (r"approved\s+by\s+(?:the\s+)?[\w\s]+(?:committee|board|IRB|IACUC)", r"ethics?\s+(?:committee|board|approval)\s+(?:number|no\.?)\s*[:#]?\s*\S+", r"IRB\s+(?:approval|number|protocol)", r"institutional\s+review\s+board", r"institutional\s+animal\s+care\s+and\s+use\s+committee", "伦理(?:委员会|审查|批件|审批)", "动物实验伦理")
 INTERESTS = (r"(?:competing|conflict(?:s)?\s+of)\s+interests?", r"declarations?\s+of\s+interest", r"financial\s+disclosures?", "利益冲突")
 REGISTRATION = (r"\bNCT\d{8}\b", r"\bISRCTN\d+\b", r"\bChiCTR-?[\w]+\b", r"\bACTRN\d+\b", r"\bEudraCT\s*\d{4}-\d{6}-\d{2}\b", r"\bDRKS\d+\b", r"trial\s+registration:?\s*\S+", r"registered\s+(?:at|in|with)\s+\S+")
@@ -136,7 +146,7 @@ def compliance(docs: DataFrame) -> DataFrame:
 
 def tortured_phrases(docs: DataFrame) -> DataFrame:
     """T4: doc_id, n_unique, n_total, phrases, severity of texts (200 characters or more) with paraphrased terms."""
-    found = docs.where(F.length("text") >= 200).select("doc_id", phrase_counts(F.col("text"), W.TORTURED, loose=True).alias("hits")).where(F.size("hits") > 0)
+    found = docs.where(F.length("text") >= 200).select("doc_id", phrase_counts(F.col("text"), letter_words(F.col("text")), W.TORTURED, loose=True).alias("hits")).where(F.size("hits") > 0)
     total = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     names = F.array_join(F.array_sort(F.transform("hits", lambda x: x["phrase"])), "; ")
     return found.select("doc_id", F.size("hits").cast("long").alias("n_unique"), total.alias("n_total"), names.alias("phrases"), ladder(((F.size("hits") >= 3) | (total >= 5), CRITICAL), otherwise=SUSPICIOUS).alias("severity"))
@@ -162,7 +172,8 @@ def style_phrases(docs: DataFrame, extra: dict[str, tuple[str, ...]] | None = No
     """Density of stock phrases per word, counts by profile, the strongest profile; texts of 300 characters or more."""
     profiles = {"gpt": W.STYLE_GPT, "claude": W.STYLE_CLAUDE, "gemini": W.STYLE_GEMINI}
     profiles = {k: (*v, *(extra or {}).get(k, ())) for k, v in profiles.items()}
-    rows = docs.where(F.length("text") >= 300).select("doc_id", F.regexp_count("text", F.lit(r"\b[a-zA-Z]+\b")).cast("long").alias("n_words"), *[F.aggregate(phrase_counts(F.col("text"), v, loose=False), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias(k) for k, v in profiles.items()])
+    rows = docs.where(F.length("text") >= 300).withColumn("words_", letter_words(F.col("text")))
+    rows = rows.select("doc_id", F.regexp_count("text", F.lit(r"\b[a-zA-Z]+\b")).cast("long").alias("n_words"), *[F.aggregate(phrase_counts(F.col("text"), F.col("words_"), v, loose=False), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias(k) for k, v in profiles.items()])
     rows = rows.withColumn("n_phrases", F.col("gpt") + F.col("claude") + F.col("gemini")).withColumn("density", F.coalesce(F.col("n_phrases") / F.nullif("n_words", F.lit(0)), F.lit(0.0)))
     best = F.greatest(*profiles)
     provider = F.when(best < 3, "none").when(F.col("gpt") == best, "gpt").when(F.col("claude") == best, "claude").otherwise("gemini")

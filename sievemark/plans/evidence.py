@@ -22,7 +22,7 @@ def _summaries(spark, sf_dir):
     """Reported mean, deviation and number of each order's quantities, some of them shifted by their key."""
     g = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.avg("l_quantity").alias("m"), F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)).alias("s"), F.count("*").cast("int").alias("n"))
     cents = lambda c: F.floor(c * 100 + 0.5) / 100
-    return g.select(F.col("l_orderkey").alias("label"), (cents(F.col("m")) + F.col("l_orderkey") % 3 * 0.13).alias("mean"), cents(F.col("s")).alias("sd"), "n", F.lit(2).alias("mean_decimals"), F.lit(2).alias("sd_decimals"), F.lit(2).alias("decimal_places"), F.lit(1).alias("scale_items"))
+    return g.select(F.col("l_orderkey").alias("label"), (cents(F.col("m")) + F.col("l_orderkey") % 3 * 0.13).alias("mean"), cents(F.col("s")).alias("sd"), "n", F.lit(2).alias("mean_decimals"), F.lit(2).alias("sd_decimals"), F.lit(2).alias("decimal_places"), F.lit(1).alias("scale_items"), F.when(F.col("l_orderkey") % 2 == 0, 1).alias("scale_min"), F.when(F.col("l_orderkey") % 2 == 0, 30).alias("scale_max"))
 
 
 def b1_grim(spark, sf_dir):
@@ -30,7 +30,17 @@ def b1_grim(spark, sf_dir):
 
 
 def b6_grimmer(spark, sf_dir):
-    return R.grimmer(_summaries(spark, sf_dir)).select("label", "n", "grim_ok", "squares_ok", "severity")
+    return R.grimmer(_summaries(spark, sf_dir)).select("label", "n", "grim_ok", "squares_ok", "scale_ok", "severity")
+
+
+def b6_reconstruction(spark, sf_dir):
+    """Whole-number answers of groups of customers on a scale of 1 to 7 as reported, with extremes that are off in every fifth."""
+    x = F.floor(F.abs("c_acctbal")) % 7 + 1
+    k = F.col("label")
+    g = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 100).alias("label")).agg(F.round(F.avg(x), 2).alias("mean"), F.round(F.stddev_samp(x), 2).alias("sd"), F.count("*").cast("int").alias("n"), F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")).where("n >= 5")
+    off = k % 5 == 0
+    items = g.select("label", "mean", "sd", "n", F.lit(2).alias("mean_decimals"), F.lit(2).alias("sd_decimals"), F.lit(1).alias("scale_min"), F.lit(7).alias("scale_max"), F.lit(None).cast("double").alias("reported_median"), F.when(off, F.lit(-3.0)).otherwise(F.col("lo")).alias("reported_min"), F.when(off, F.lit(9.0)).otherwise(F.col("hi")).alias("reported_max"))
+    return R.reconstructed(items).select(F.col("label").cast("long").alias("label"), (F.col("n_samples") > 0).alias("found"), (F.col("severity") > 0).alias("outside"))
 
 
 def b8_sprite(spark, sf_dir):
@@ -44,12 +54,12 @@ def _p_values(spark, sf_dir):
 
 
 def b7_pcurve(spark, sf_dir):
-    return R.p_curve(_p_values(spark, sf_dir)).select("label", "n", "low", "near", "far")
+    return R.p_curve(_p_values(spark, sf_dir)).select("label", "n", "low", "near", "far", F.round("p_low", 6).alias("p_low"), "severity")
 
 
 def b5_tiva(spark, sf_dir):
     found = R.insufficient_variance(_p_values(spark, sf_dir))
-    return found.select("label", "k", F.round("var_z", 4).alias("var_z"), F.round("success", 6).alias("success"), "severity")
+    return found.select("label", "k", F.round("var_z", 4).alias("var_z"), F.round("success", 6).alias("success"), F.round("stouffer_z", 4).alias("stouffer_z"), F.round("r_index", 4).alias("r_index"), F.round("i2", 4).alias("i2"), "severity")
 
 
 def _arms(spark, sf_dir):
@@ -63,13 +73,13 @@ def c1_welch_pairs(spark, sf_dir):
 
 
 def c1_carlisle(spark, sf_dir):
-    return R.carlisle(_arms(spark, sf_dir)).select("trial_id", "n_variables", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"), "severity")
+    return R.carlisle(_arms(spark, sf_dir)).select("trial_id", "n_variables", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"), F.round("below_half", 6).alias("below_half"), F.round("log10_bf", 4).alias("log10_bf"), "reading", "tail", "severity")
 
 
 def t2_outcomes(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     reported = part.select((F.col("p_partkey") % 50).alias("nct_id"), F.col("p_name").alias("outcome"))
-    return R.outcome_overlap(reported, part.where("p_size % 10 = 1").select((F.col("p_partkey") % 50).alias("nct_id"), F.col("p_name").alias("measure")).distinct()).withColumn("best", F.round("best", 6))
+    return R.outcome_overlap(reported, part.select((F.col("p_partkey") % 50).alias("nct_id"), F.col("p_type").alias("measure")).distinct()).withColumn("best", F.round("best", 6))
 
 
 def t2_missing_nct(spark, sf_dir):
@@ -89,11 +99,11 @@ def i2_timestamp_integrity(spark, sf_dir):
 
 def i6_trend_oversmooth(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("feed_id"), F.col("event_id").alias("row_id"), F.when(F.col("user_id") % 3 == 0, F.col("event_id") * 0.5).otherwise(F.col("value")).alias("x"))
-    return P.oversmooth(e).select("feed_id", "n", F.round("noise", 6).alias("noise"), F.round("lag1", 5).alias("lag1"))
+    return P.oversmooth(e).select("feed_id", "n", F.round("noise", 6).alias("noise"), F.round("lag1", 5).alias("lag1"), "severity")
 
 
 def _edges(spark, sf_dir):
-    return _lines(spark, sf_dir).where("l_linenumber = 1").select(F.col("l_suppkey").alias("graph_id"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") % 40).alias("dst"))
+    return _lines(spark, sf_dir).select(F.col("l_suppkey").alias("graph_id"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") * 7 % 40 + F.col("l_linenumber")).alias("dst"))
 
 
 def reciprocal_citations(spark, sf_dir):
@@ -136,15 +146,32 @@ def f5_exif_clusters(spark, sf_dir):
     return H.exif_clusters(photos)
 
 
+#: Software of images, by order.
+SOFTWARE = ("Adobe Photoshop 25", "GIMP 2.10", "Camera 1.0", "ImageJ 1.53", "Fiji", "Paint.NET 5", "Snapseed", "Affinity Photo", "Photoshop Elements", "Lightroom")
+#: Creators of files, by customer; the customer's own name where empty.
+CREATORS = ("LaTeX", "", "Wordsworth", "IEEE", "Oxford University Press", "LibreOffice 7", "Customer", "Ghostscript 9", "Word", "arXiv.org pdf", "Springer", "Jo Doe", "Pages 12", "Microsoft® Word 2019")
+MAKES = ("Nikon", "CANON", " nikon ", "", "Zeiss")
+
+
+def _of(values: tuple[str, ...], k):
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
 def g1_exif_temporal(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    software = F.element_at(F.array(*map(F.lit, ("Adobe Photoshop 25", "GIMP 2.10", "Camera 1.0"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return H.exif_times(o.select(F.col("o_orderkey").alias("image_id"), F.col("o_orderdate").alias("shot"), software.alias("software"), F.expr("timestamp '1993-06-01 00:00:00'").alias("claimed_start"), F.expr("timestamp '1997-06-01 00:00:00'").alias("submitted")))
+    return H.exif_times(o.select(F.col("o_orderkey").alias("image_id"), F.col("o_orderdate").alias("shot"), _of(SOFTWARE, F.col("o_orderkey")).alias("software"), F.expr("timestamp '1993-06-01 00:00:00'").alias("claimed_start"), F.expr("timestamp '1997-06-01 00:00:00'").alias("submitted")))
+
+
+def g1_makes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    photos = o.select(F.col("o_custkey").alias("doc_id"), _of(MAKES, F.col("o_orderkey")).alias("make"), F.when(F.col("o_custkey") % 3 == 0, "Canon").when(F.col("o_custkey") % 3 == 1, "Leica").otherwise("").alias("expected_make"))
+    return H.unexpected_makes(photos)
 
 
 def g4_metadata(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    creator = F.when(F.col("c_custkey") % 4 == 0, "LaTeX").when(F.col("c_custkey") % 4 == 1, F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    given = _of(CREATORS, F.col("c_custkey"))
+    creator = F.when(given == "", F.col("c_name")).otherwise(given)
     return H.file_metadata(c.select(F.col("c_custkey").alias("file_id"), creator.alias("creator"), F.expr("timestamp '2020-01-01 00:00:00' + make_interval(0, 0, 0, cast(c_custkey % 90 as int))").alias("created"), (F.col("c_custkey") % 7).cast("int").alias("revision"), F.array("c_name").alias("authors"), F.expr("timestamp '2020-02-01 00:00:00'").alias("claimed_start")))
 
 
@@ -186,7 +213,7 @@ def report_diff(spark, sf_dir):
 
 
 def dictionary_diff(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.lower(F.col("p_name")).alias("phrase"), "p_size")
+    p = table(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 300).cast("string"))).alias("phrase"), "p_size")
     old, new = p.where("p_size <= 30").select("phrase"), p.where("p_size >= 25").select("phrase")
     return new.subtract(old).withColumn("change", F.lit("added")).unionByName(old.subtract(new).withColumn("change", F.lit("removed")))
 
@@ -243,11 +270,11 @@ def llm_review_parse(spark, sf_dir):
     return rows.select("doc_id", "category", F.when(F.col("category") == "statistics", 3).when(F.col("category").isin("logic", "methods"), 2).otherwise(1).cast("int").alias("severity"))
 
 
-QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g4_metadata, bh_fdr, severity_escalation, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse)}
+QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b6_reconstruction, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g1_makes, g4_metadata, bh_fdr, severity_escalation, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse)}
 
 _SUM = "s as (select l_orderkey as label, floor(avg(l_quantity) * 100 + 0.5) / 100 + l_orderkey % 3 * 0.13 as mean, floor(coalesce(stddev_samp(l_quantity), 0) * 100 + 0.5) / 100 as sd, cast(count(*) as int) as n from lineitem group by l_orderkey)"
 _PV = "pv as (select l_suppkey as label, (case when l_suppkey % 4 = 0 then cast(floor(l_extendedprice * 100) as bigint) % 60 + 400 else cast(floor(l_extendedprice * 100) as bigint) % 1000 end) / 10000.0 as p from lineitem)"
-_E = "e as (select distinct l_suppkey as graph_id, l_partkey % 40 as src, l_orderkey % 40 as dst from lineitem where l_linenumber = 1 and l_partkey % 40 <> l_orderkey % 40)"
+_E = "e as (select distinct l_suppkey as graph_id, l_partkey % 40 as src, l_orderkey * 7 % 40 + l_linenumber as dst from lineitem where l_partkey % 40 <> l_orderkey * 7 % 40 + l_linenumber)"
 _IMG = """h as (select vec_id, list_reduce(list_transform(range(64), lambda i: case when embedding[i + 1] > 0 then (case when i = 63 then cast(-9223372036854775808 as bigint) else cast(pow(2::hugeint, i) as bigint) end) else 0::bigint end), lambda a, x: a | x) as h from embeddings),
     im as (select vec_id, h from h union all select vec_id + 1000000000, xor(h, (1::bigint << cast(vec_id % 12 as bigint)) - 1) from h)"""
 _D = "[" + ", ".join(f"'{d}'" for d in DETECTORS) + "]"
@@ -258,14 +285,18 @@ _HL = "cast(case when d <= 2 then 4 when d <= 5 then 3 else 2 end as int)"
 
 ORACLE_SQL = {
     "b1_grim": f"with {_SUM}, e as (select *, abs(mean * n - round_even(mean * n, 0)) as e, 0.5 * pow(10, -2) * n as t from s) select label, n, round(e, 6) as error, cast(case when e > t and e > 10 * t then 3 when e > t then 2 else 0 end as int) as severity from e",
-    "b6_grimmer": f"""with {_SUM}, q as (select *, abs(mean * n - round_even(mean * n, 0)) <= 0.005 * n as g, (n - 1) * sd * sd + n * mean * mean as ss, n * (2 * abs(mean) * 0.005 + 2 * sd * 0.005) + 1 as tol from s where n > 1 and sd > 0)
-        select label, n, g as grim_ok, abs(ss - round_even(ss, 0)) <= tol as squares_ok, cast(case when not g then 3 when abs(ss - round_even(ss, 0)) > tol then 2 else 0 end as int) as severity from q""",
-    "b7_pcurve": f"with {_PV} select label, count(*) as n, cast(count_if(p <= 0.025) as bigint) as low, cast(count_if(p >= 0.045) as bigint) as near, cast(count_if(p >= 0.04 and p < 0.045) as bigint) as far from pv where p > 0 and p < 0.05 group by label having count(*) >= 10",
+    "b6_grimmer": f"""with {_SUM}, q as (select *, abs(mean * n - round_even(mean * n, 0)) <= 0.005 * n as g, n * (sd * sd + mean * mean) as ss, n * (2 * abs(mean) * 0.005 + 2 * sd * 0.005) + 1 as tol, label % 2 = 1 or (round_even(mean * n, 0) >= n and round_even(mean * n, 0) <= 30 * n) as sc from s where n > 1 and sd > 0)
+        select label, n, g as grim_ok, abs(ss - round_even(ss, 0)) <= tol as squares_ok, sc as scale_ok, cast(case when not g then 3 when abs(ss - round_even(ss, 0)) > tol or not sc then 2 else 0 end as int) as severity from q""",
+    "b6_reconstruction": "select c_custkey % 100 as label, true as found, c_custkey % 100 % 5 = 0 as outside from customer group by 1, 3 having count(*) >= 5 and stddev_samp(floor(abs(c_acctbal)) % 7 + 1) >= 0.005",
+    "b7_pcurve": f"""with {_PV}, g as (select label, count(*) as n, cast(count_if(p <= 0.025) as bigint) as low, count_if(p >= 0.045) as near, count_if(p >= 0.04 and p < 0.045) as far from pv where p > 0 and p < 0.05 group by label having count(*) >= 10),
+        t as (select label, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) as p_low from (select label, n, unnest(range(low + 1)) as i from g) group by label),
+        s as (select g.*, least(1, coalesce(p_low, 0)) as q, case when coalesce(p_low, 0) < 0.001 then 3 when coalesce(p_low, 0) < 0.05 or (far >= 3 and near >= 2.5 * far) then 2 else 0 end as sev from g left join t on t.label = g.label)
+        select label, n, cast(low as bigint) as low, cast(near as bigint) as near, cast(far as bigint) as far, round(q, 6) as p_low, cast(case when sev > 1 and n < 50 then 1 else sev end as int) as severity from s""",
     "c1_welch_pairs": """with g as (select c_custkey % 20 as trial_id, c_nationkey % 6 as variable, c_mktsegment as arm, count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer group by all having count(*) >= 2),
         p as (select a.trial_id, a.variable, a.arm as arm_a, b.arm as arm_b, a.m - b.m as d, a.s * a.s / a.n as va, b.s * b.s / b.n as vb, a.n as na, b.n as nb from g a join g b on a.trial_id = b.trial_id and a.variable = b.variable and a.arm < b.arm)
         select trial_id, variable, arm_a, arm_b, round(d / sqrt(va + vb), 5) as t, round(pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)), 4) as df from p""",
-    "t2_outcomes": """with w as (select p_partkey % 50 as nct_id, p_name, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda x: length(x) > 2)) as w, p_size from part),
-        m as (select a.nct_id, a.p_name as outcome, case when least(len(a.w), len(b.w)) > 0 then len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) else 0 end as o from w a join w b on a.nct_id = b.nct_id and b.p_size % 10 = 1),
+    "t2_outcomes": """with w as (select p_partkey % 50 as nct_id, p_name, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda x: length(x) > 2)) as w from part), v as (select distinct p_partkey % 50 as nct_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_type), '[a-z]+'), lambda x: length(x) > 2))) as w from part),
+        m as (select a.nct_id, a.p_name as outcome, case when least(len(a.w), len(b.w)) > 0 then len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) else 0 end as o from w a join v b on a.nct_id = b.nct_id),
         g as (select nct_id, outcome, max(o) as best from m group by all) select nct_id, outcome, round(best, 6) as best, cast(case when best < 0.4 then 3 else 0 end as int) as severity from g""",
     "t2_missing_nct": "select distinct o_custkey % 5000 as nct_id, cast(3 as int) as severity from orders where o_custkey % 5000 not in (select s_suppkey * 7 % 5000 from supplier)",
     "i1_mass_balance": """with r as (select l_suppkey as file_id, l_extendedprice as f, l_tax as a, l_extendedprice * case when l_suppkey % 3 = 0 then 0.999 else 1 - l_discount end as p, l_quantity - case when l_suppkey % 10 = 1 then 2.0 else 0 end as w from lineitem),
@@ -279,8 +310,10 @@ ORACLE_SQL = {
         select feed_id, n, cast(b as bigint) as backward, cast(o as bigint) as outlying, cast(w as bigint) as whole_minutes, cast(j as bigint) as jumps, cast(case when j >= 5 then 4 when b > 0 or o >= 10 then 3 when o >= 3 then 2 else 0 end as int) as severity from g""",
     "i6_trend_oversmooth": """with s as (select user_id as feed_id, event_id, case when user_id % 3 = 0 then event_id * 0.5 else value end as x from events), d as (select *, x - lag(x) over (partition by feed_id order by event_id) as d from s where x is not null),
         m as (select feed_id, count(*) as n, avg(d) as md, stddev_samp(x) as sx, stddev_samp(d) as sd from d group by all having count(*) >= 50 and stddev_samp(x) > 0),
-        c as (select d.feed_id, event_id, d - md as c, n, sx, sd from d join m on m.feed_id = d.feed_id where d is not null), p as (select *, lag(c) over (partition by feed_id order by event_id) as p from c)
-        select feed_id, max(n) as n, round(max(sd) / max(sx), 6) as noise, round(sum(c * p) / nullif(sum(c * c), 0), 5) as lag1 from p group by feed_id""",
+        c as (select d.feed_id, event_id, d - md as c, n, sx, sd from d join m on m.feed_id = d.feed_id where d is not null), p as (select *, lag(c) over (partition by feed_id order by event_id) as p from c),
+        u as (select feed_id, count(distinct round(d, 9)) as steps from d group by all),
+        r as (select feed_id, max(n) as n, max(sd) / max(sx) as noise, sum(c * p) / nullif(sum(c * c), 0) as lag1 from p group by feed_id)
+        select r.feed_id, n, round(noise, 6) as noise, round(lag1, 5) as lag1, cast(case when steps <= 2 then 4 when noise < 0.0005 or lag1 > 0.85 then 3 when noise < 0.002 or lag1 > 0.7 then 2 when noise < 0.005 or lag1 > 0.5 then 1 else 0 end as int) as severity from r join u on u.feed_id = r.feed_id""",
     "reciprocal_citations": f"""with {_E}, g as (select a.graph_id, count(*) as n, count(b.src) / 2 as pairs from e a left join e b on a.graph_id = b.graph_id and a.src = b.dst and a.dst = b.src group by all)
         select graph_id, n as n_edges, cast(pairs as bigint) as pairs, round(2 * pairs / n, 6) as ratio, cast(case when 2 * pairs / n >= 0.2 then 3 when 2 * pairs / n >= 0.1 then 2 else 0 end as int) as severity from g""",
     "short_cycles": f"""with {_E}, t3 as (select a.graph_id, count(*) as k from e a join e b on a.graph_id = b.graph_id and a.dst = b.src join e c on c.graph_id = a.graph_id and c.src = b.dst and c.dst = a.src where a.src < a.dst and a.src < b.dst group by all),
@@ -292,6 +325,16 @@ ORACLE_SQL = {
         m as (select e.graph_id, x.author, count(*) as i from e join a x on x.graph_id = e.graph_id and x.node = e.src join a y on y.graph_id = e.graph_id and y.node = e.dst and y.author = x.author group by all),
         g as (select n.graph_id, n.author, n.k, coalesce(i, 0) as i, coalesce(i, 0) / (k * (k - 1)) as d from n left join m on m.graph_id = n.graph_id and m.author = n.author)
         select graph_id, author, k as n_nodes, i as n_inner, round(d, 6) as density, cast(case when d >= 0.6 then 3 when d >= 0.4 then 2 else 0 end as int) as severity from g""",
+    "m1_cliques": f"""with recursive {_E}, u as (select graph_id, src as a, dst as b from e union select graph_id, dst, src from e), adj as (select graph_id, a, list(b) as near from u group by all),
+        r as (select graph_id, [a] as members, a as last, near as common from adj
+              union all select r.graph_id, r.members || [x], x, list_intersect(r.common, adj.near) from (select *, unnest(list_filter(common, lambda y: y > last)) as x from r) r join adj on adj.graph_id = r.graph_id and adj.a = r.x),
+        k as (select graph_id, members, row_number() over (partition by graph_id order by members) as i from r where len(members) >= 4 and len(common) = 0),
+        m as (select graph_id, members, unnest(members) as src from k where i <= 5),
+        c as (select m.graph_id, members, m.src, dst, not list_contains(members, dst) as outside from m join e on e.graph_id = m.graph_id and e.src = m.src),
+        n as (select graph_id, members, count(distinct src) as n, count_if(outside) as total from c group by all having count(distinct src) >= 2),
+        d as (select c.graph_id, c.members, dst, count(*) as times from c where outside group by all),
+        s as (select n.graph_id, n.members, case when total > 0 then count_if(times = n) / (total / n) else 0 end as shared from n left join d on d.graph_id = n.graph_id and d.members = n.members group by n.graph_id, n.members, n, total)
+        select graph_id, array_to_string(members, ',') as members, round(shared, 6) as shared, cast(case when shared >= 0.5 then 3 else 0 end as int) as severity from s""",
     "f1_hamming_pairs": f"""with {_IMG}, u as (select vec_id % 1000000000 % 25 as doc_id, h, min(vec_id) as i, count(*) as n from im group by all),
         p as (select a.doc_id, a.i as image_a, b.i as image_b, a.n as n_a, b.n as n_b, cast(bit_count(xor(a.h, b.h)) as int) as d from u a join u b on a.doc_id = b.doc_id and a.i < b.i and bit_count(xor(a.h, b.h)) <= 8
               union all select doc_id, i, i, n, n, 0 from u where n > 1)
@@ -302,10 +345,17 @@ ORACLE_SQL = {
     "f5_exif_clusters": """with p as (select user_id as doc_id, event_type as model, date_trunc('hour', ts) as shot from events), s as (select doc_id, max(k) as same_second from (select doc_id, shot, count(*) as k from p group by all) group by all),
         g as (select doc_id, count(*) as n, count(distinct model) as n_models, cast(floor((epoch_us(max(shot)) - epoch_us(min(shot))) / 86400000000) as bigint) as span_days from p group by all having count(*) >= 3)
         select g.doc_id, n, n_models, span_days, same_second, cast(case when same_second >= 3 then 3 when span_days > 1825 then 2 when n_models > 2 then 1 else 0 end as int) as severity from g join s on s.doc_id = g.doc_id""",
-    "g1_exif_temporal": """with d as (select o_orderkey as image_id, floor(epoch(timestamp '1993-06-01' - o_orderdate) / 86400) > 1 as early, floor(epoch(o_orderdate - timestamp '1997-06-01') / 86400) > 1 as late, o_orderkey % 3 as s from orders)
-        select image_id, early, late, cast(case when early or late then 4 when s = 0 then 2 when s = 1 then 1 else 0 end as int) as severity from d""",
-    "g4_metadata": """with f as (select c_custkey as file_id, c_custkey % 90 < 30 as early, c_custkey % 4 >= 2 and not contains(lower(c_name), lower(c_mktsegment)) as stranger, c_custkey % 7 <= 2 as few from customer)
-        select file_id, early, stranger, cast(case when early then 4 when stranger then 2 when few then 1 else 0 end as int) as severity from f""",
+    "g1_exif_temporal": f"""with d as (select o_orderkey as image_id, floor(epoch(timestamp '1993-06-01' - o_orderdate) / 86400) > 1 as early, floor(epoch(o_orderdate - timestamp '1997-06-01') / 86400) > 1 as late, lower(({list(SOFTWARE)})[o_orderkey % {len(SOFTWARE)} + 1]) as s from orders),
+        e as (select *, contains(s, 'adobe photoshop') or contains(s, 'gimp') or contains(s, 'imagej') or contains(s, 'fiji') or contains(s, 'snapseed') or contains(s, 'lightroom') as edited from d)
+        select image_id, early, late, edited, cast(case when early or late then 4 when edited and contains(s, 'photoshop') then 2 when edited then 1 else 0 end as int) as severity from e""",
+    "g1_makes": f"""with p as (select o_custkey as doc_id, trim(({list(MAKES)})[o_orderkey % {len(MAKES)} + 1]) as make, case o_custkey % 3 when 0 then 'Canon' when 1 then 'Leica' else '' end as e from orders),
+        g as (select doc_id, count(distinct make) as n_makes, string_agg(distinct make, ', ' order by make) as makes, max(e) as expected_make, bool_or(lower(make) = lower(e)) as met from p where make <> '' group by all)
+        select doc_id, n_makes, makes, expected_make, cast(2 as int) as severity from g where n_makes > 1 and expected_make <> '' and not met""",
+    "g4_metadata": f"""with f as (select c_custkey as file_id, c_custkey % 90 < 30 as early, lower(c_name) as own, lower(({list(CREATORS)})[c_custkey % {len(CREATORS)} + 1]) as given, c_custkey % 7 <= 2 as few from customer),
+        w as (select *, case when given = '' then own else given end as who from f),
+        s as (select *, not contains(own, who) and not contains(who, own) and len(list_filter(['springer', 'elsevier', 'wiley', 'oxford university press', 'cambridge university press', 'sage', 'taylor & francis', 'nature publishing group', 'frontiers', 'mdpi', 'plos', 'ieee', 'acm', 'apa', 'ams', 'rsc', 'acs', 'aip', 'iop',
+              'biomed central', 'hindawi', 'emerald', 'informa', 'bmj', 'the lancet', 'cell press', 'arxiv.org', 'biorxiv', 'medrxiv', 'latex', 'pdflatex', 'xelatex', 'acrobat distiller', 'microsoft® word', 'microsoft word', 'libreoffice', 'pages', 'openoffice', 'ghostscript'], lambda p: contains(who, p))) = 0 as stranger from w)
+        select file_id, early, stranger, cast(case when early then 4 when stranger then 2 when few then 1 else 0 end as int) as severity from s""",
     "bh_fdr": f"""with {_F}, r as (select *, row_number() over (partition by doc_key order by p_value, finding_id) as rk, count(*) over (partition by doc_key) as m from f where p_value is not null),
         q as (select finding_id, least(1, min(p_value * m / rk) over (partition by doc_key order by rk desc rows unbounded preceding)) as q from r)
         select finding_id, round(q, 9) as p_adjusted from q union all select finding_id, null from f where p_value is null""",
@@ -317,7 +367,7 @@ ORACLE_SQL = {
     "batch_summary": f"with {_F} select doc_key, max(severity) as overall, count(*) as n_findings from f group by all",
     "notify_digest": f"with {_F}, g as (select doc_key, max(severity) as overall, count(*) as n_findings, array_to_string(list_sort(list_distinct(list(detector_id)))[1:6], ',') as detectors from f group by all) select * from g where overall >= 3 order by overall desc, doc_key limit 30",
     "report_diff": f"with {_F}, k as (select detector_id, doc_key || ' ' || severity as summary, finding_id from f) select distinct detector_id, summary, 'added' as change from k where finding_id % 3 <> 1 and (detector_id, summary) not in (select (detector_id, summary) from k where finding_id % 3 <> 0) union all select distinct detector_id, summary, 'removed' from k where finding_id % 3 <> 0 and (detector_id, summary) not in (select (detector_id, summary) from k where finding_id % 3 <> 1)",
-    "dictionary_diff": "with o as (select distinct lower(p_name) as phrase from part where p_size <= 30), n as (select distinct lower(p_name) as phrase from part where p_size >= 25) select phrase, 'added' as change from n where phrase not in (select phrase from o) union all select phrase, 'removed' from o where phrase not in (select phrase from n)",
+    "dictionary_diff": "with o as (select distinct lower(p_name || ' ' || (p_partkey % 300)) as phrase from part where p_size <= 30), n as (select distinct lower(p_name || ' ' || (p_partkey % 300)) as phrase from part where p_size >= 25) select phrase, 'added' as change from n where phrase not in (select phrase from o) union all select phrase, 'removed' from o where phrase not in (select phrase from n)",
     "rw_lookup": "with r as (select '10.1/' || (o_custkey % 700) as key, arg_max(o_orderpriority, o_orderkey) as date, arg_max(o_orderstatus, o_orderkey) as reason from orders group by 1) select c_custkey, date, reason from customer join r on r.key = '10.1/' || c_custkey",
     "ori_lookup": """with a as (select n_name as who, case when n_nationkey % 3 = 0 then 'open' else '20' || (n_nationkey + 10) || '-01-15' end as action_end from nation), n as (select distinct 'Dr ' || n_name as name from nation)
         select name, who, action_end from n join a on contains(lower(name), lower(trim(who))) or contains(lower(trim(who)), lower(name)) where coalesce(try_cast(action_end as date) >= date '2025-06-01', true)""",

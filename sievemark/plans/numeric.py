@@ -58,7 +58,7 @@ def a3_constant_ratio(spark, sf_dir):
 
 def a3_multivariate(spark, sf_dir):
     found = N.multivariate(_related(spark, sf_dir), "l_suppkey", ["l_quantity", "l_extendedprice", "l_tax", "shifted", "scaled"])
-    return _rounded(found, "r2", digits=4).select("file_id", "col", "n", "r2")
+    return _rounded(found, "r2", digits=4).select("file_id", "col", "n", "r2", "severity")
 
 
 def a5_decimal_consistency(spark, sf_dir):
@@ -71,7 +71,7 @@ def a6_implausible(spark, sf_dir):
 
 
 def a7_zero_five(spark, sf_dir):
-    return _rounded(N.zero_five(_cells(spark, sf_dir)), "ratio").select("file_id", "col", "n", "hits", "ratio", "more")
+    return _rounded(N.zero_five(_cells(spark, sf_dir)), "ratio", "p_value").select("file_id", "col", "n", "hits", "ratio", "more", "p_value", "severity")
 
 
 def d1_block_variance(spark, sf_dir):
@@ -130,7 +130,7 @@ _PAIRS = """rel as (select cast(l_suppkey as varchar) as file_id, l_quantity, l_
 ORACLE_SQL = {
     "a1_terminal_digit": f"""with {_cells_sql()}, d as (select file_id, col, {_DIGIT} as d, count(*) as k from cells group by all),
         g as (select file_id, col, sum(k) as n, sum(k * k) * 10.0 / sum(k) - sum(k) as chi2 from d group by all having sum(k) >= 10)
-        select file_id, col, cast(n as bigint) as n, round(chi2, 6) as chi2, round(sqrt(greatest(chi2, 0) / (9 * n)), 6) as cramers_v, cast({_severity('chi2', N.CHI2_9)} as int) as severity from g""",
+        select file_id, col, cast(n as bigint) as n, round(chi2, 6) as chi2, round(sqrt(greatest(chi2, 0) / (9 * n)), 6) as cramers_v, cast({_severity('chi2', (21.665994, 44.810938, 97.29))} as int) as severity from g""",
     "a1_lag1": f"""with {_cells_sql()}, d as (select file_id, col, rn, {_DIGIT} as d from cells),
         l as (select *, lag(d) over (partition by file_id, col order by rn) as p from d),
         g as (select file_id, col, count(*) as n, count_if(d = p) as matches from l group by all having count(*) >= 50),
@@ -140,8 +140,8 @@ ORACLE_SQL = {
         f as (select file_id, rn, d, count(*) as k, 4.0 as c from d group by all),
         h as (select file_id, rn, sum(-(k / c) * log2(k / c)) as h from f group by all)
         select file_id, cast(4 as bigint) as cols, cast(count(*) as int) as n_rows, round(avg(h), 6) as mean_h from h group by file_id having count(*) >= 30""",
-    "a2_benford": f"with {_BENFORD} select file_id, col, n, round(chi2, 6) as chi2, cast({_severity('chi2', N.CHI2_8)} as int) as severity from chi",
-    "a2_segments": f"""with {_BENFORD}, bad as (select * from chi where chi2 >= {N.CHI2_8[0]} and n >= 45),
+    "a2_benford": f"with {_BENFORD} select file_id, col, n, round(chi2, 6) as chi2, cast({_severity('chi2', (20.090235, 42.700914, 94.54))} as int) as severity from chi",
+    "a2_segments": f"""with {_BENFORD}, bad as (select * from chi where chi2 >= 20.090235 and n >= 45),
         s as (select d.file_id, d.col, d.d, least((row_number() over (partition by d.file_id, d.col order by rn) - 1) // (bad.n // 3), 2) as seg from d join bad on d.file_id = bad.file_id and d.col = bad.col),
         sn as (select file_id, col, seg, count(*) as n from s group by all),
         sc as (select sn.file_id, sn.col, sn.seg, sum(pow(coalesce(k, 0) - sn.n * e, 2) / (sn.n * e)) as chi2 from sn cross join ex
@@ -165,8 +165,10 @@ ORACLE_SQL = {
         g as (select file_id, c.col, rule, count(*) as n, count_if(val in (999, -999, 9999, -9999, 99999, 88888, 77777) or abs(val) >= 1e10) as s, count_if(val < lo or val > hi) as o from cells c join r on c.col = r.col group by all)
         select file_id, col, n, 'sentinel' as rule, cast(s as bigint) as n_hit, cast(2 as int) as severity from g where s > 0
         union all select file_id, col, n, rule, cast(o as bigint), cast(case when o / n >= 0.05 then 2 else 1 end as int) from g where o > 0""",
-    "a7_zero_five": f"""with {_cells_sql()}, g as (select file_id, col, count(*) as n, count_if({_DIGIT} in (0, 5)) as hits from cells group by all having count(*) >= 10)
-        select file_id, col, n, cast(hits as bigint) as hits, round(hits / n, 6) as ratio, hits / n >= 0.2 as more from g""",
+    "a7_zero_five": f"""with {_cells_sql()}, g as (select file_id, col, count(*) as n, cast(count_if({_DIGIT} in (0, 5)) as bigint) as hits from cells group by all having count(*) >= 10),
+        s as (select *, hits / n >= 0.2 as more from g),
+        t as (select file_id, col, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.2) + (n - i) * ln(0.8))) as p from (select *, unnest(case when more then range(hits, n + 1) else range(hits + 1) end) as i from s) group by all)
+        select s.file_id, s.col, n, cast(hits as bigint) as hits, round(hits / n, 6) as ratio, more, round(least(1, p), 6) as p_value, cast(case when p > 0.005 then 0 when n < 50 then 1 when p < 1e-15 then 4 when p < 1e-5 then 3 else 2 end as int) as severity from s join t on t.file_id = s.file_id and t.col = s.col""",
     "d1_block_variance": f"""with {_cells_sql()}, g as (select file_id, col, count(*) as n, count(distinct val) as u from cells group by all having count(*) >= 30 and stddev_samp(val) > 0),
         st as (select file_id, col, max(step) = min(step) as even from (select *, val - lag(val) over (partition by file_id, col order by rn) as step from cells) group by all),
         b as (select c.file_id, c.col, g.n, (rn - 1) // (g.n // greatest(3, g.n // 10)) as block, greatest(3, g.n // 10) as nb, var_samp(val) as v

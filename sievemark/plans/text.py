@@ -24,6 +24,9 @@ PHRASES = (" The fluffy rationale and head part investigation show bosom danger.
 STYLES = (" We delve into the rich tapestry, a testament to synergy; noteworthy, pivotal role.", "", " I should mention that it's important to note the trade-offs, with that said.", " As an AI language model, I cannot access this. Regenerate response", "", "")
 STATEMENTS = (
     " Data availability: data are available on request. Conflicts of interest: none.",
+    " Data availability: available on request, 10.1234/abcdefghijklmnopqrstuvwxyz012345 (40 characters with it).",
+    " Data availability: available on request, 10.1234/abcdefghijklmnopqrstuvwxyz01234567 (so are these).",
+    " Data availability: available on request, see 10.1234/short for it.",
     " Data are available upon reasonable request. Competing interests: none.",
     " Trial registration: NCT01234567. Approved by the ethics committee of our board.",
     " Data sharing: see GSE12345. Declaration of interest: none. IRB approval given.",
@@ -179,7 +182,7 @@ ORACLE_SQL = {
         j as (select doc_id as query_id, item_id as label, k / (na + nb - k) as j from m)
         select query_id, label, round(j, 6) as jaccard, cast(case when j >= 0.5 then 4 when j >= 0.25 then 3 else 2 end as int) as severity from j where j >= 0.1""",
     "t3_compliance": f"""with {_docs_sql(STATEMENTS)}, y as (select doc_id, text, case when doc_id % 7 <> 0 then 1998 + doc_id % 27 end as y, doc_id % 3 = 0 as trial, doc_id % 4 = 0 or doc_id % 10 = 1 as subjects,
-            {_any_sql(T.DATA_STATEMENT)} as stmt, {_any_sql(T.VAGUE)} as vague, {_any_sql(T.ACCESSIONS)} as acc, {_any_sql(T.ETHICS)} as eth, {_any_sql(T.INTERESTS)} as coi, {_any_sql(T.REGISTRATION)} as reg from docs where length(text) >= 200)
+            {_any_sql(T.DATA_STATEMENT)} as stmt, {_any_sql(T.VAGUE)} as vague, {_any_sql(T.ACCESSIONS[1:])} or len(list_filter(regexp_extract_all(text, '\\b10\\.\\d{{4,9}}/[^\\s\\)\\]\\}}]+'), lambda x: length(x) >= 40)) > 0 as acc, {_any_sql(T.ETHICS)} as eth, {_any_sql(T.INTERESTS)} as coi, {_any_sql(T.REGISTRATION)} as reg from docs where length(text) >= 200)
         select doc_id, 'no data statement' as rule, cast(2 as int) as severity from y where not stmt and (y is null or y >= 2018)
         union all select doc_id, 'vague availability', 2 from y where not (not stmt and (y is null or y >= 2018)) and vague and not acc
         union all select doc_id, 'unregistered trial', case when y < 2010 then 2 else 3 end from y where trial and not reg and (y is null or y >= 2005)

@@ -9,8 +9,25 @@ from pyspark.sql import functions as F
 MISSING = ("", "NA", "N/A", "NaN", "null", "None", "#N/A", "-nan", "nan", "n/a", "<NA>", "NULL")
 
 
+#: Bytes of a table below which its rows aren't dealt out.
+SPREAD_BYTES = 2_000_000
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df, dealt out to all cores if its files give fewer than half as many partitions; a table of many files stays as it is.
+
+    What is dealt out is so less than a partition a core; columns and filters still reach the scan.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return df.repartition(cores) if size >= SPREAD_BYTES and 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spread(spark.read.parquet(path), path)
 
 
 def delimited(spark: SparkSession, path: str, separator: str = ",", header: bool = True) -> DataFrame:

@@ -12,8 +12,8 @@ from sievemark.operators import hashes
 
 
 def rate_limits(requests: DataFrame, most: int = 30, late: str = "1 minute") -> DataFrame:
-    """Keys with more than `most` requests in a sliding minute, over (key, ts)."""
-    counted = requests.withWatermark("ts", late).groupBy(F.window("ts", "60 seconds", "10 seconds"), "key").agg(F.count("*").alias("hits"))
+    """Keys with more than `most` requests in a minute that slides by seconds, over (key, ts)."""
+    counted = requests.withWatermark("ts", late).groupBy(F.window("ts", "60 seconds", "1 second"), "key").agg(F.count("*").alias("hits"))
     return counted.where(F.col("hits") > most).select("key", F.col("window.start").alias("start"), "hits")
 
 
@@ -44,22 +44,28 @@ def backward_steps(feed: DataFrame) -> DataFrame:
 
 
 def daily_digest(findings: DataFrame, threshold: int = 3, late: str = "1 hour") -> DataFrame:
-    """Per day: reports and findings at the threshold or above, over (doc_key, detector_id, severity, ts)."""
-    return findings.where(F.col("severity") >= threshold).withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.approx_count_distinct("doc_key").alias("n_reports"), F.count("*").alias("n_findings"), F.max("severity").alias("worst")).select(F.col("window.start").alias("day"), "n_reports", "n_findings", "worst")
+    """Per day: reports and findings at the threshold or above, over (doc_key, detector_id, severity, ts).
+
+    Findings are counted per day and report first, and reports per day after that, so that the count of reports is exact.
+    """
+    day = F.window("ts", "1 day")
+    per = findings.where(F.col("severity") >= threshold).withWatermark("ts", late).groupBy(day.alias("w"), "doc_key").agg(F.count("*").alias("n"), F.max("severity").alias("worst"))
+    return per.groupBy(F.window("w", "1 day").alias("d")).agg(F.count("*").alias("n_reports"), F.sum("n").alias("n_findings"), F.max("worst").alias("worst")).select(F.col("d.start").alias("day"), "n_reports", "n_findings", "worst")
 
 
 def hash_store(images: DataFrame, folder: str, checkpoint: str, found: str):
-    """Looks up each micro-batch of (paper_id, authors, phash) in a Parquet store, writes what it finds, then adds the batch."""
+    """Looks up each micro-batch of (paper_id, authors, phash) in a Parquet store, writes what it finds, then adds the batch.
+
+    A batch that is run again replaces its own output and doesn't see what it added before.
+    """
+    spark = images.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
     def batch(new: DataFrame, number: int) -> None:
-        spark = new.sparkSession
         new = new.select("paper_id", "authors", "phash")
-        try:
-            store = spark.read.schema(new.schema).option("recursiveFileLookup", "true").parquet(folder)
-            hashes.cross_paper(new, store).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{found}/batch={number}")
-        except Exception as e:  # the store doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        store = new.sparkSession.read.schema("paper_id string, authors string, phash long, batch long").parquet(folder).where(F.col("batch") < number).drop("batch")
+        hashes.cross_paper(new, store).write.mode("overwrite").parquet(f"{found}/batch={number}")
+        new.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return images.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

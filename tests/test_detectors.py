@@ -124,6 +124,45 @@ def test_reported(spark):
     assert {r.label: r.possible for r in reported.sprite(impossible).collect()} == {"x": False, "y": True}
 
 
+def test_insufficient_variance_against_scalar_rules(spark):
+    from statistics import NormalDist, variance
+
+    rng, normal = random.Random(6), NormalDist()
+    groups = {"alike": [0.01 + 0.0001 * k for k in range(60)], "wide": [rng.random() for _ in range(60)], "few": [0.01] * 9, "edges": [0.0, 1.0, *[rng.random() * 0.05 for _ in range(20)]], "weak": [rng.uniform(0.5, 0.9) for _ in range(70)]}
+    got = {r.label: r for r in reported.insufficient_variance(spark.createDataFrame([(g, float(p)) for g, ps in groups.items() for p in ps], "label string, p double")).collect()}
+    assert set(got) == {"alike", "wide", "edges", "weak"}
+    for g, r in got.items():
+        zs = [normal.inv_cdf(1 - p / 2) for p in groups[g] if 0 < p < 1]
+        k = len(zs)
+        power = sorted(normal.cdf(abs(z) - 1.645) for z in zs)[k // 2]
+        q = variance(zs) * (k - 1)
+        left = 1 - float(special.chi2_sf_np(q, k - 1))
+        index, i2 = sum(p < 0.05 for p in groups[g]) / k - power, max(0, (q - k + 1) / q)
+        meta = index < -0.35 or i2 < 0.02
+        want = 0 if left > 0.1 and not meta else 3 if left < 0.001 or left < 0.01 and meta else 2 if left < 0.01 else 1
+        assert (r.k, r.severity) == (k, min(want, 1) if k < 50 else want)
+        assert (r.var_z, r.r_index, r.i2, r.p_left) == pytest.approx((variance(zs), index, i2, left), abs=1e-9)
+    assert got["alike"].severity == 3
+
+
+def test_carlisle_readings(spark):
+    arm = "struct<arm:string,n:int,mean:double,sd:double>"
+    rows = [("alike", v, [("a", 100, 10.0, 2.0), ("b", 100, 10.0 + 1e-4 * v, 2.0)]) for v in range(8)] + [("unlike", v, [("a", 100, 10.0, 2.0), ("b", 100, 12.0, 2.0)]) for v in range(8)] + [("few", v, [("a", 100, 10.0, 2.0), ("b", 100, 12.0, 2.0)]) for v in range(4)]
+    got = {r.trial_id: r for r in reported.carlisle(spark.createDataFrame(rows, f"trial_id string, variable int, arms array<{arm}>")).collect()}
+    assert set(got) == {"alike", "unlike"}
+    assert (got["alike"].reading, got["alike"].tail, got["alike"].severity) == ("too alike", "high", 3)
+    assert (got["unlike"].reading, got["unlike"].tail, got["unlike"].severity) == ("too unlike", "low", 3) and got["unlike"].log10_bf == 10
+
+
+def test_reconstruction(spark):
+    items = [("ok", 3.0, 1.15, 10, 3.0, 1.0, 5.0), ("min", 3.0, 1.15, 10, 3.0, 0.0, 5.0), ("median", 3.0, 1.15, 10, 5.0, None, None), ("none", 3.0, 1.15, 10, None, None, None), ("wide", 3.0, 9.0, 10, 3.0, None, None), ("sum", 9.0, 1.0, 10, 3.0, None, None)]
+    df = spark.createDataFrame(items, "label string, mean double, sd double, n int, reported_median double, reported_min double, reported_max double").selectExpr("*", "1 as mean_decimals", "2 as sd_decimals", "1 as scale_min", "5 as scale_max")
+    got = {r.label: (r.n_samples > 0, r.outside, r.severity) for r in reported.reconstructed(df).collect()}
+    assert got == {"ok": (True, "", 0), "min": (True, "min", 4), "median": (True, "median", 4), "wide": (False, "", 0)}
+    fails = {r.label: (r.scale_ok, r.severity) for r in reported.grimmer(df).collect()}
+    assert fails["sum"] == (False, 2) and fails["ok"] == (True, 0)
+
+
 def test_process(spark):
     rows = [(k, 10.0, 10.0 if k < 10 else 5.0) for k in range(20)]
     log = spark.createDataFrame(rows, "k long, i double, o double").withColumn("file_id", F.lit("f"))
@@ -136,7 +175,7 @@ def test_process(spark):
 
 
 def test_network(spark):
-    edges = spark.createDataFrame([(1, a, b) for a in range(4) for b in range(4) if a != b] + [(1, a, r) for a in range(4) for r in (10, 11, 12)] + [(2, k, k + 1) for k in range(8)], "graph_id long, src long, dst long")
+    edges = spark.createDataFrame([(1, a, b) for a in range(4) for b in range(4) if a != b] + [(1, a, r) for a in range(4) for r in (10, 11, 12)] + [(1, 10, 13)] + [(3, 0, 1), (3, 1, 0)] + [(2, k, k + 1) for k in range(8)], "graph_id long, src long, dst long")
     assert {r.graph_id: r.severity for r in network.reciprocal(edges).collect()} == {1: 3, 2: 0}
     cycles = {r.graph_id: (r.n3, r.n4) for r in network.short_cycles(edges).collect()}
     assert cycles == {1: (8, 6), 2: (0, 0)}
@@ -156,6 +195,14 @@ def test_cliques_of_graphs_of_any_size(spark):
     assert {m for g, m in got if g == 1} == {(100, 101, 102, 103, 200, 201)}
 
 
+def test_mill_findings_of_a_graph(spark):
+    edges = spark.createDataFrame([(1, a, b) for a in range(4) for b in range(4) if a != b] + [(1, a, r) for a in range(4) for r in (10, 11, 12)] + [(1, 10, 13)] + [(2, 0, 1), (2, 1, 0)], "graph_id long, src long, dst long")
+    authors = spark.createDataFrame([(1, k, name) for k in range(4) for name in ("Y", "X")] + [(2, 0, "X")], "graph_id long, node long, author string")
+    got = {(r.graph_id, r.rule): (r.detail, r.severity) for r in network.mill_findings(edges, authors).collect()}
+    assert {k[1] for k in got} == {"reciprocal citations", "short cycles", "author cluster"} | ({"shared references"} if (1, "shared references") in got else set()) and {k[0] for k in got} == {1}
+    assert got[1, "author cluster"] == ("author X at a density of 100.0%", 3) and got[1, "short cycles"][1] == 3
+
+
 def test_hashes(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(12)]
@@ -166,6 +213,17 @@ def test_hashes(spark):
     assert got == want
 
 
+def test_hash_store_keeps_the_last(spark):
+    store = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "paper_id string, phash long, k int")
+    new = spark.createDataFrame([("c", 2, 2), ("d", 2, 3), ("e", 3, 1), ("z", 2, 1)], "paper_id string, phash long, k int")
+    assert sorted(map(tuple, hashes.upserted(store, new, "k").collect())) == [("a", 1, 0), ("d", 2, 3), ("e", 3, 1)]
+
+
+def test_hidden_numbers(spark):
+    df = spark.createDataFrame([(x,) for x in ("1", " -2.5e3 ", "1d", "0x1p3", "NaN", ".5", None, "1.", "Infinity")], "x string")
+    assert [r[0] for r in df.select(process.number("x")).collect()] == [1.0, -2500.0, None, None, None, 0.5, None, 1.0, None]
+
+
 def test_evidence(spark):
     ps = [0.01, 0.04, 0.03, 0.005, 0.9, 0.04]
     f = spark.createDataFrame([("d", k, "A1", 2, p) for k, p in enumerate(ps)] + [("d", 9, "T4", 3, None), ("e", 10, "LLM_REVIEW", 2, None)], "doc_key string, finding_id long, detector_id string, severity int, p_value double")
