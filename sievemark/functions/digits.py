@@ -38,3 +38,14 @@ def fraction_text(value: Column) -> Column:
     text = number_text(value)
     part = F.when(text.contains(".") & ~text.contains("e"), F.regexp_replace(F.substring_index(text, ".", -1), "0+$", "")).otherwise(F.lit(""))
     return F.when(part == "", "0").otherwise(part)
+
+
+def decimal_places(value: Column) -> Column:
+    """Digits after the point without final zeros."""
+    part = fraction_text(value)
+    return F.when(part == "0", 0).otherwise(F.length(part)).cast("int")
+
+
+def safe_equal(a: Column, b: Column, relative: float = 1e-9, absolute: float = 1e-12) -> Column:
+    """Whether two numbers differ by no more than either tolerance; infinities equal themselves alone."""
+    return (a == b) | ((F.abs(a) < float("inf")) & (F.abs(b) < float("inf")) & (F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))))

@@ -57,6 +57,22 @@ def phrase_counts(text: Column, words: Column, phrases: tuple[str, ...], loose:
     return let(there, counted)
 
 
+def contexts(text: Column, pattern: str, reach: int = 40) -> Column:
+    """array of (position, match, context) of the pattern's matches in order: each with up to `reach` characters on either side."""
+    at = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({pattern})"), F.lit(1)), lambda x: F.length(x))
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({pattern})"), F.lit(2))
+    both = F.arrays_zip(at.alias("gap"), found.alias("match"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<position:int,match:string,context:string>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        position = acc["end"] + x["gap"]
+        low = F.greatest(position - reach, F.lit(0))
+        context = F.substring(text, low + 1, position + F.length(x["match"]) + reach - low)
+        return F.struct((position + F.length(x["match"])).alias("end"), F.array_append(acc["out"], F.struct(position.alias("position"), x["match"].alias("match"), context.alias("context"))).alias("out"))
+
+    return F.aggregate(both, start, add, lambda acc: acc["out"])
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions.ladder import CONCERN, CRITICAL, NOTE, SUSPICIOUS, ladder
@@ -37,6 +37,15 @@ def escalated(findings: DataFrame) -> DataFrame:
     return g.withColumn("overall", ladder(((F.col("n_critical") > 0) | (n >= 3), CRITICAL), ((F.col("n_suspicious") > 0) | (n >= 2), SUSPICIOUS), (F.col("n_concern") > 0, CONCERN), (F.col("n_note") > 0, NOTE)))
 
 
+def summarised(reports: DataFrame) -> DataFrame:
+    """escalated() with a summary in words: counts, clusters and, from two of them on, what their agreement means."""
+    n, names = F.col("n_clusters"), F.when(F.col("clusters") == "", "none").otherwise(F.regexp_replace("clusters", ",", ", "))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    counts = text("Total findings: ", F.col("n_findings"), " | CRITICAL: ", F.col("n_critical"), ", SUSPICIOUS: ", F.col("n_suspicious"), ", CONCERN: ", F.col("n_concern"), " | Independent evidence clusters: ", n, " (", names, ")")
+    agreement = text(" | CONVERGENCE (", F.when(n >= 3, "strong").otherwise("notable"), "): methods with different assumptions point the same way, which one innocent cause seldom explains. This is a reason to investigate and to ask the authors, not a finding against anyone.")
+    return reports.withColumn("summary", F.when(n >= 2, F.concat(counts, agreement)).otherwise(counts))
+
+
 def integrity(findings: DataFrame) -> DataFrame:
     """Stouffer over adjusted p-values strictly between 0 and 1: integrity_z and score per report."""
     from sievemark.functions.special import z_ppf, z_sf
@@ -59,9 +68,48 @@ def digest(findings: DataFrame, threshold: int = SUSPICIOUS, detectors: int = 6,
     return g.where(F.col("overall") >= threshold).orderBy(F.desc("overall"), "doc_key").limit(reports)
 
 
+def doi_key(doi: Column) -> Column:
+    """A DOI in lower case, without the address of its resolver."""
+    return F.regexp_replace(F.lower(F.trim(doi)), "https://doi.org/", "")
+
+
+def openalex_key(work: Column) -> Column:
+    """The last part of a work's address: W123 of https://openalex.org/W123."""
+    return F.element_at(F.split(F.trim(work), "/"), -1)
+
+
+def retraction_status(works: DataFrame) -> DataFrame:
+    """Landed CrossRef works (doi, json): doi, is_retracted and the kinds of the updates that retract it."""
+    updates = F.from_json(F.get_json_object("json", "$.update-to"), "array<struct<type:string,DOI:string>>")
+    kinds = F.filter(F.transform(updates, lambda u: F.lower(u["type"])), lambda t: t.isin("retraction", "retract", "withdrawal"))
+    return works.select(doi_key(F.col("doi")).alias("doi"), F.coalesce(F.size(kinds) > 0, F.lit(False)).alias("is_retracted"), F.coalesce(F.array_join(F.sort_array(kinds), ","), F.lit("")).alias("kinds"))
+
+
+def works_of(landed: DataFrame) -> DataFrame:
+    """Landed OpenAlex works (json): work, doi, title, year, is_retracted, authors (keys) and references (keys)."""
+    w = F.from_json("json", "id string, doi string, title string, publication_year int, is_retracted boolean, authorships array<struct<author:struct<id:string>>>, referenced_works array<string>")
+    rows = landed.select(w.alias("w")).where("w.id is not null")
+    none = F.array().cast("array<string>")
+    return rows.select(openalex_key(F.col("w.id")).alias("work"), doi_key(F.col("w.doi")).alias("doi"), "w.title", F.col("w.publication_year").alias("year"), F.coalesce("w.is_retracted", F.lit(False)).alias("is_retracted"), F.coalesce(F.transform("w.authorships", lambda a: openalex_key(a["author"]["id"])), none).alias("authors"), F.coalesce(F.transform("w.referenced_works", openalex_key), none).alias("references"))
+
+
+def found_works(works: DataFrame, first_year: int | None = None, last_year: int | None = None, author: str | None = None) -> DataFrame:
+    """Works of the years and the author, filters that reach the scan of a landed table."""
+    rows = works if first_year is None else works.where(F.col("year") >= first_year)
+    rows = rows if last_year is None else rows.where(F.col("year") <= last_year)
+    return rows if author is None else rows.where(F.array_contains("authors", author))
+
+
+def fresh(landed: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """S23 over (key, fetched, ...): of each key the newest answer, if it is at most so many days old."""
+    row = F.struct(*landed.columns)
+    recent = landed.where(F.col("fetched") >= F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days)))
+    return recent.groupBy("key").agg(F.max_by(row, F.struct("fetched", *landed.columns)).alias("r")).select("r.*").select(landed.columns)
+
+
 def retraction_index(csv: DataFrame) -> DataFrame:
     """S18 over (_row_id, doi, date, reason): the last row of each identifier; empty and unavailable ones don't count."""
-    key = F.lower(F.trim("doi"))
+    key = doi_key(F.col("doi"))
     rows = csv.withColumn("key", key).where("key is not null and key not in ('', 'unavailable')")
     return rows.groupBy("key").agg(F.max_by("date", "_row_id").alias("date"), F.max_by("reason", "_row_id").alias("reason"))
 
@@ -80,6 +128,19 @@ def sanctioned(names: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
     return inner.unionByName(outer).select("name", "who", "action_end").distinct()
 
 
+# What a reviewing model may raise, and how severe it is.
+REVIEW = {"statistics": SUSPICIOUS, "logic": CONCERN, "methods": CONCERN}
+
+
+def reviewed(replies: DataFrame, most: int = 5, checked: int = 60) -> DataFrame:
+    """LLM_REVIEW over (doc_id, text, reply): category and severity of the issues, the first `most` of a reply, whose passage begins in the text as quoted."""
+    rows = replies.withColumn("r", F.from_json("reply", "issues array<struct<category:string,passage:string>>")).select("doc_id", "text", F.inline(F.slice("r.issues", 1, most)))
+    severity = F.lit(NOTE)
+    for name, s in REVIEW.items():
+        severity = F.when(F.col("category") == name, s).otherwise(severity)
+    return rows.where(F.contains("text", F.substring("passage", 1, checked))).select("doc_id", "category", severity.cast("int").alias("severity"))
+
+
 def count_ladder(counts: DataFrame, column: str, *cuts: tuple[int, int]) -> DataFrame:
     """Severity by a count, from the highest cut down."""
     return counts.withColumn("severity", ladder(*[(F.col(column) >= n, s) for n, s in cuts]))

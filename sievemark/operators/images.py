@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +18,85 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
 
+def _unfiltered(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
+    """Rows of a PNG without their filters."""
+    rows = np.frombuffer(raw, np.uint8)[: height * (stride + 1)].reshape(height, stride + 1)
+    out = np.zeros((height + 1, stride + step), np.uint8)  # a row above and a pixel before, of zeros
+    for y in range(height):
+        kind, line, up = rows[y, 0], rows[y, 1:], out[y]
+        here = out[y + 1]
+        if kind == 0:
+            here[step:] = line
+        elif kind == 1:
+            here[step:] = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            here[step:] = line + up[step:]
+        else:
+            for x in range(stride):
+                a, b, c = int(here[x]), int(up[x + step]), int(up[x])
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    near = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = (a, b, c)[near.index(min(near))]
+                here[x + step] = (int(line[x]) + guess) & 255
+    return out[1:, step:]
+
+
+def decode(blob: bytes) -> np.ndarray | None:
+    """Height x width x channels (grey, or blue, green, red) of a picture; None if it can't be read.
+
+    PNG of eight bits without interlacing and plain BMP are read here; others if an imaging library is at hand.
+    """
+    if blob.startswith(b"\x89PNG\r\n\x1a\n"):
+        at, data, palette, head = 8, [], None, None
+        while at + 8 <= len(blob):
+            n, name = struct.unpack_from(">I4s", blob, at)
+            part = blob[at + 8 : at + 8 + n]
+            if name == b"IHDR":
+                head = struct.unpack(">IIBBBBB", part)
+            elif name == b"PLTE":
+                palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+            elif name == b"IDAT":
+                data.append(part)
+            at += 12 + n
+        channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(head[3]) if head else None
+        if channels and head[2] == 8 and not head[6]:
+            a = _unfiltered(zlib.decompress(b"".join(data)), head[1], head[0] * channels, channels).reshape(head[1], head[0], channels)
+            a = palette[a[..., 0]] if head[3] == 3 and palette is not None else a[..., : 1 if channels < 3 else 3]
+            return np.ascontiguousarray(a[..., ::-1])
+    if blob.startswith(b"BM") and len(blob) > 54:
+        start, size, width, height, bits, packed = *struct.unpack_from("<I", blob, 10), *struct.unpack_from("<I", blob, 14), *struct.unpack_from("<ii", blob, 18), *struct.unpack_from("<HI", blob, 28)
+        stride = (3 * width + 3) // 4 * 4
+        if size >= 40 and bits == 24 and not packed and start + stride * abs(height) <= len(blob):
+            a = np.frombuffer(blob, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:, : 3 * width].reshape(abs(height), width, 3)
+            return np.ascontiguousarray(a[::-1] if height > 0 else a)
+    try:
+        from PIL import Image
+    except ImportError:
+        return None
+    a = np.asarray(Image.open(io.BytesIO(blob)).convert("RGB"))
+    return np.ascontiguousarray(a[..., ::-1])
+
+
+def decoded(pictures: DataFrame) -> DataFrame:
+    """origin, height, width, nChannels and data of each picture (origin, picture) that can be read, as images() gives them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for origin, blob in zip(b.origin, b.picture, strict=True):
+                try:
+                    a = decode(bytes(blob))
+                except (ValueError, TypeError, IndexError, OSError, struct.error, zlib.error):
+                    a = None
+                if a is not None and a.size:
+                    out.append((origin, *a.shape, a.tobytes()))
+            yield pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "data"])
+
+    return pictures.select("origin", "picture").mapInPandas(run, "origin string, height int, width int, nChannels int, data binary")
+
+
 def _grey(a: np.ndarray) -> np.ndarray:
     return a[..., :3].mean(axis=2) if a.ndim == 3 else a
 

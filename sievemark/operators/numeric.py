@@ -143,20 +143,48 @@ def column_pairs(table: DataFrame, file_id: str, columns: list[str]) -> DataFram
         return wide.select("file_id", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *[F.col(f"{m}{k}").alias(m) for m in ("n", "mx", "md", "sd", "mr", "sr", "least")]) for k, (a, b) in enumerate(some)])))
 
     m = reduce(DataFrame.unionByName, [moments(pairs[k : k + PAIRS_AT_ONCE]) for k in range(0, len(pairs), PAIRS_AT_ONCE)]).where("n >= 10")
-    difference = F.col("sd") < F.greatest(F.lit(1e-9), 1e-3 * F.greatest(F.abs("md"), F.abs("mx"), F.lit(1.0)))
-    ratio = (F.col("least") > 1e-12) & (F.col("sr") < F.greatest(F.lit(1e-9), 1e-3 * F.abs("mr"))) & (F.abs(F.col("mr") - 1) > 1e-9)
-    m = m.withColumn("is_d", F.coalesce(difference, F.lit(False))).withColumn("is_r", F.coalesce(ratio, F.lit(False))).where("is_d or is_r")
-    key = ["file_id", "a", "b"]
+    m = _standing_out(m)
     found = m.groupBy("file_id").agg(F.collect_list(F.struct("a", "b", "n", "md", "sd", "mr", "sr", "is_d", "is_r")).alias("f"))
     value = lambda name: reduce(lambda out, c: out.when(name == c, F.col(own[c])), columns[1:], F.when(name == columns[0], F.col(own[columns[0]])))
     p = rows.join(found, "file_id").select("file_id", *own.values(), F.inline("f")).withColumn("x", value(F.col("a"))).withColumn("y", value(F.col("b"))).where("x is not null and y is not null")
     p = p.withColumn("d", F.col("x") - F.col("y")).withColumn("r", F.when(F.abs("y") > 1e-12, F.col("x") / F.col("y")))
+    return _constant(p, None)
+
+
+def _standing_out(m: DataFrame) -> DataFrame:
+    """The moments of pairs whose difference or ratio hardly varies."""
+    difference = F.col("sd") < F.greatest(F.lit(1e-9), 1e-3 * F.greatest(F.abs("md"), F.abs("mx"), F.lit(1.0)))
+    ratio = (F.col("least") > 1e-12) & (F.col("sr") < F.greatest(F.lit(1e-9), 1e-3 * F.abs("mr"))) & (F.abs(F.col("mr") - 1) > 1e-9)
+    return m.withColumn("is_d", F.coalesce(difference, F.lit(False))).withColumn("is_r", F.coalesce(ratio, F.lit(False))).where("is_d or is_r")
+
+
+def _constant(p: DataFrame, m: DataFrame | None) -> DataFrame:
+    """The pairs' shares of rows at the centre, over rows (key, d, r) that hold the moments or are joined with them."""
+    key = ["file_id", "a", "b"]
+    p = p if m is None else p.join(m, key)
     s = p.groupBy(*key).agg(*[F.max(x).alias(x) for x in ("n", "md", "sd", "mr", "sr", "is_d", "is_r")], F.avg((F.abs(F.col("d") - F.col("md")) < 1e-9).cast("int")).alias("share_d"), F.avg((F.abs(F.col("r") - F.col("mr")) < 1e-9).cast("int")).alias("share_r"))
     two = F.array(F.struct(F.lit("difference").alias("kind"), F.col("is_d").alias("found"), F.col("md").alias("centre"), F.col("sd").alias("spread"), F.col("share_d").alias("share")), F.struct(F.lit("ratio").alias("kind"), F.col("is_r").alias("found"), F.col("mr").alias("centre"), F.col("sr").alias("spread"), F.col("share_r").alias("share")))
     out = s.select(*key, "n", F.inline(two)).where("found").drop("found")
     return out.withColumn("severity", ladder((F.col("kind").eqNullSafe("difference") & (F.col("share") >= 1.0), CRITICAL), (F.col("share") >= 0.95, SUSPICIOUS), otherwise=CONCERN))
 
 
+def cell_pairs(c: DataFrame) -> DataFrame:
+    """column_pairs() over cells, for files that have columns of their own: the columns of a row meet in an equi-join, and combine per file and pair."""
+    side = lambda name, v: c.select("file_id", "row_id", F.col("col").alias(name), F.col("val").alias(v))
+    p = side("a", "x").join(side("b", "y"), ["file_id", "row_id"]).where("a < b").withColumn("d", F.col("x") - F.col("y")).withColumn("r", F.when(F.abs("y") > 1e-12, F.col("x") / F.col("y")))
+    key = ["file_id", "a", "b"]
+    m = p.groupBy(*key).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("d").alias("md"), F.stddev_samp("d").alias("sd"), F.avg("r").alias("mr"), F.stddev_samp("r").alias("sr"), F.min(F.abs("y")).alias("least")).where("n >= 10")
+    return _constant(p, _standing_out(m))
+
+
+def complete_cells(c: DataFrame) -> DataFrame:
+    """D2 over cells: files of 50 rows and three columns in which no row lacks a column."""
+    rows = c.groupBy("file_id", "row_id").agg(F.count("*").alias("k")).groupBy("file_id").agg(F.count("*").alias("n"), F.min("k").alias("least"))
+    columns = c.groupBy(*KEY).agg(F.stddev_samp("val").alias("sd")).groupBy("file_id").agg(F.count("*").alias("n_columns"), F.stddev_samp("sd").alias("spread"), F.avg("sd").alias("mean"))
+    g = rows.join(columns, "file_id").where("n >= 50 and n_columns >= 3 and least = n_columns").withColumn("cv", F.col("spread") / F.nullif("mean", F.lit(0.0)))
+    return g.select("file_id", "n", "cv", ladder(((F.col("cv") < 0.1) & (F.col("n_columns") >= 5), CONCERN), otherwise=NOTE).alias("severity"))
+
+
 def multivariate(table: DataFrame, file_id: str, columns: list[str]) -> DataFrame:
     """A3: is a column a linear function of the others? One row per file and column with R2 of 0.999 or more.
 

@@ -245,15 +245,38 @@ def inline_numbers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", numbers(P_VALUE, 1).alias("p_values"), numbers(PERCENT, 1).alias("percentages"), numbers(MEAN_SD, 1).alias("means"), numbers(MEAN_SD, 2).alias("sds"), F.transform(F.regexp_extract_all(blank, F.lit(DECIMAL), F.lit(0)), lambda x: x.try_cast("double")).alias("decimals"))
 
 
-def mined_phrases(docs: DataFrame, stopwords: tuple[str, ...], low: int = 2, high: int = 4, least: int = 3, per_million: float = 200.0) -> DataFrame:
-    """Frequent runs of words over all texts: phrase, n. Runs of stopwords alone are left out."""
+def mined_phrases(docs: DataFrame, stopwords: tuple[str, ...], low: int = 2, high: int = 4, least: int = 3, per_million: float = 200.0, usual: dict[str, float] | None = None) -> DataFrame:
+    """Frequent runs of words over all texts: phrase, n. Runs of stopwords alone are left out, and those less than twice as frequent as people's own texts have them (usual: phrase to its rate in a million)."""
     w = docs.select(tokens(F.lower("text"), r"\b[a-z]{2,}\b").alias("w"))
     total = w.agg(F.sum(F.size("w")).alias("total"))
     grams = w.select(F.explode(F.concat(*[runs(F.col("w"), n) for n in range(low, high + 1)])).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     content = F.exists(F.split("phrase", " "), lambda x: ~x.isin(*stopwords))
-    return grams.where(content).join(F.broadcast(total)).where(F.col("n") * 1e6 / F.col("total") >= per_million).select("phrase", "n")
+    rate = F.col("n") * 1e6 / F.col("total")
+    kept = grams.where(content).join(F.broadcast(total)).where(rate >= per_million)
+    if usual:
+        base = F.create_map(*[F.lit(x) for pair in usual.items() for x in pair])
+        kept = kept.where(F.coalesce(rate >= 2 * F.try_element_at(base, F.col("phrase")), F.lit(True)))
+    return kept.select("phrase", "n")
 
 
+def normalised_dictionary(phrases: DataFrame) -> DataFrame:
+    """K9 over (provider, phrase): trimmed, in lower case, each once, none blank; written as JSON it is the user's dictionary."""
+    return phrases.select("provider", F.lower(F.trim("phrase")).alias("phrase")).where("phrase <> ''").distinct()
+
+
+def merged_dictionaries(base: DataFrame, *others: DataFrame) -> DataFrame:
+    """2.12: the phrases of all dictionaries, each once per provider."""
+    return normalised_dictionary(reduce(DataFrame.unionByName, (x.select("provider", "phrase") for x in (base, *others))))
+
+
+def beside_builtin(user: DataFrame, builtin: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The built-in phrases as they are, and the user's that none of them equals but for case: provider, phrase, own."""
+    spark = user.sparkSession
+    given = spark.createDataFrame([(k, p) for k, ps in builtin.items() for p in ps], "provider string, phrase string")
+    key = given.select("provider", F.lower("phrase").alias("phrase"))
+    more = normalised_dictionary(user).join(key.select("provider").distinct(), "provider", "left_semi").join(key, ["provider", "phrase"], "left_anti")
+    return given.withColumn("own", F.lit(False)).unionByName(more.withColumn("own", F.lit(True)))
+
 def repeated_narratives(logs: DataFrame, n: int = 4, least: float = 0.40, min_words: int = 30) -> DataFrame:
     """I5 over (file_id, entry_id, narrative): pairs of narratives of a file that share much of their n-word shingles.
 

@@ -265,12 +265,15 @@ def llm_review_parse(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     category = F.element_at(F.array(*map(F.lit, ("logic", "statistics", "methods", "style"))), (F.col("doc_id") % 4 + 1).cast("int"))
     reply = F.when(F.col("doc_id") % 5 == 0, "no json").otherwise(F.to_json(F.struct(F.array(F.struct(category.alias("category"), F.when(F.col("doc_id") % 3 == 0, "absent").otherwise(F.substring("text", 3, 20)).alias("passage"))).alias("issues"))))
-    rows = docs.withColumn("r", F.from_json(reply, "issues array<struct<category:string,passage:string>>")).select("doc_id", "text", F.inline(F.slice("r.issues", 1, 5)))
-    rows = rows.where(F.contains("text", F.substring("passage", 1, 60)))
-    return rows.select("doc_id", "category", F.when(F.col("category") == "statistics", 3).when(F.col("category").isin("logic", "methods"), 2).otherwise(1).cast("int").alias("severity"))
+    return E.reviewed(docs.withColumn("reply", reply))
 
 
-QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b6_reconstruction, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g1_makes, g4_metadata, bh_fdr, severity_escalation, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse)}
+def report_summary(spark, sf_dir):
+    """The summaries in words of the derived findings' reports."""
+    return E.summarised(E.escalated(_findings(spark, sf_dir))).select("doc_key", "overall", "summary")
+
+
+QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b6_reconstruction, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g1_makes, g4_metadata, bh_fdr, severity_escalation, report_summary, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse)}
 
 _SUM = "s as (select l_orderkey as label, floor(avg(l_quantity) * 100 + 0.5) / 100 + l_orderkey % 3 * 0.13 as mean, floor(coalesce(stddev_samp(l_quantity), 0) * 100 + 0.5) / 100 as sd, cast(count(*) as int) as n from lineitem group by l_orderkey)"
 _PV = "pv as (select l_suppkey as label, (case when l_suppkey % 4 = 0 then cast(floor(l_extendedprice * 100) as bigint) % 60 + 400 else cast(floor(l_extendedprice * 100) as bigint) % 1000 end) / 10000.0 as p from lineitem)"
@@ -363,6 +366,11 @@ ORACLE_SQL = {
         g as (select doc_key, count(*) as n_findings, count_if(severity = 4) as c4, count_if(severity = 3) as c3, count_if(severity = 2) as c2, count_if(severity = 1) as c1, coalesce(string_agg(distinct cl, ',' order by cl), '') as clusters, count(distinct cl) as k from c group by all)
         select doc_key, n_findings, cast(c4 as bigint) as n_critical, cast(c3 as bigint) as n_suspicious, cast(c2 as bigint) as n_concern, cast(c1 as bigint) as n_note, clusters, k as n_clusters,
                cast(case when c4 > 0 or k >= 3 then 4 when c3 > 0 or k >= 2 then 3 when c2 > 0 then 2 when c1 > 0 then 1 else 0 end as int) as overall from g""",
+    "report_summary": f"""with {_F}, c as (select *, case when severity >= 2 then case {_CL} end end as cl from f),
+        g as (select doc_key, count(*) as n, count_if(severity = 4) as c4, count_if(severity = 3) as c3, count_if(severity = 2) as c2, count_if(severity = 1) as c1, coalesce(string_agg(distinct cl, ', ' order by cl), 'none') as clusters, count(distinct cl) as k from c group by all)
+        select doc_key, cast(case when c4 > 0 or k >= 3 then 4 when c3 > 0 or k >= 2 then 3 when c2 > 0 then 2 when c1 > 0 then 1 else 0 end as int) as overall,
+               'Total findings: ' || n || ' | CRITICAL: ' || c4 || ', SUSPICIOUS: ' || c3 || ', CONCERN: ' || c2 || ' | Independent evidence clusters: ' || k || ' (' || clusters || ')' ||
+               case when k >= 2 then ' | CONVERGENCE (' || case when k >= 3 then 'strong' else 'notable' end || '): methods with different assumptions point the same way, which one innocent cause seldom explains. This is a reason to investigate and to ask the authors, not a finding against anyone.' else '' end as summary from g""",
     "severity_histogram": f"with {_F} select detector_id, severity, count(*) as n from f group by all",
     "batch_summary": f"with {_F} select doc_key, max(severity) as overall, count(*) as n_findings from f group by all",
     "notify_digest": f"with {_F}, g as (select doc_key, max(severity) as overall, count(*) as n_findings, array_to_string(list_sort(list_distinct(list(detector_id)))[1:6], ',') as detectors from f group by all) select * from g where overall >= 3 order by overall desc, doc_key limit 30",
