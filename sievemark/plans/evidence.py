@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from sievemark.operators import evidence as E
 from sievemark.operators import hashes as H
+from sievemark.operators import images as I
 from sievemark.operators import network as M
 from sievemark.operators import process as P
 from sievemark.operators import reported as R
+from sievemark.sources.baseline import baseline_arms
+from sievemark.sources.documents import jats
 from sievemark.sources.tables import table
 
 DETECTORS = ("A1", "A2", "A3", "B4", "D1", "T4", "M1", "LLM_REVIEW")
@@ -273,7 +276,89 @@ def report_summary(spark, sf_dir):
     return E.summarised(E.escalated(_findings(spark, sf_dir))).select("doc_key", "overall", "summary")
 
 
-QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b6_reconstruction, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g1_makes, g4_metadata, bh_fdr, severity_escalation, report_summary, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse)}
+def _pictures(spark, sf_dir):
+    """A picture of 256 x 256 from every embedding: its values as blocks of grey, every third with a block copied elsewhere, every fifth with a bright patch."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for b in batches:
+            out = []
+            for k, v in zip(b.vec_id, b.embedding, strict=True):
+                x = np.asarray(v, float)
+                x = (x - x.min()) / max(1e-9, x.max() - x.min())
+                g = np.kron(x.reshape(8, 8), np.ones((32, 32))) * 150
+                g += np.random.default_rng(int(k)).integers(0, 40, g.shape)
+                if k % 3 == 0:
+                    g[160:240, 160:240] = g[0:80, 0:80]
+                if k % 5 == 0:
+                    g[96:160, 96:160] = 250
+                out.append((str(k), 256, 256, 1, g.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "data"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(draw, "origin string, height int, width int, nChannels int, data binary")
+
+
+def f3_copy_move(spark, sf_dir):
+    return I.copy_moves(_pictures(spark, sf_dir))
+
+
+def f6_patch_splice(spark, sf_dir):
+    return I.patch_splices(_pictures(spark, sf_dir)).withColumn("z", F.round("z", 4))
+
+
+def f7_spectral(spark, sf_dir):
+    return I.spectra(_pictures(spark, sf_dir)).withColumns({c: F.round(c, 4) for c in ("z", "residual")})
+
+
+def image_hashes(spark, sf_dir):
+    return I.hashed(_pictures(spark, sf_dir))
+
+
+def jats_parse(spark, sf_dir):
+    """Article XML made of every document's lines, taken apart again."""
+    d = table(spark, sf_dir, "documents")
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,\n]", "")
+    line = lambda k: F.coalesce(F.get(F.split(clean, "\n"), F.lit(k)), F.lit(""))
+    section = lambda title, body: F.concat(F.lit(f"<sec><title>{title}</title><p>"), body, F.lit("</p></sec>"))
+    xml = F.concat(F.lit("<article><article-title>No <b>"), F.col("doc_id").cast("string"), F.lit("</b> &amp; more</article-title><abstract>x<sup>2</sup> "), line(0), F.lit("</abstract><body>"), section("Methods", line(1)), section("Results", line(2)), section("Methods", line(3)), F.lit("</body></article>"))
+    j = d.select("doc_id", jats(xml).alias("j"))
+    return j.select("doc_id", "j.title", "j.abstract", F.col("j.sections")["methods"].alias("methods"), F.col("j.sections")["results"].alias("results"))
+
+
+def baseline_tables(spark, sf_dir):
+    """Baseline tables of customers by segment, in the forms that papers use, read back as arms."""
+    c = table(spark, sf_dir, "customer")
+    two = lambda x: F.format_string("%.2f", x)
+    g = c.groupBy((F.col("c_nationkey") % 10).cast("long").alias("table_id"), "c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("s"))
+    t = g.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("c_mktsegment", "n", "m", "s"))).alias("a"))
+    head = F.concat(F.array(F.lit("Variable")), F.transform("a", lambda x: F.concat(F.lit("Group "), x["c_mktsegment"], F.lit(" (n = "), x["n"].cast("string"), F.lit(")"))))
+    body = F.concat(F.array(F.lit("Balance")), F.transform("a", lambda x: F.concat(two(x["m"]), F.when(F.col("table_id") % 2 == 0, " ± ").otherwise(" ("), two(x["s"]), F.when(F.col("table_id") % 2 == 0, "").otherwise(")"))))
+    share = F.concat(F.array(F.lit("Male")), F.transform("a", lambda x: F.concat(x["n"].cast("string"), F.lit(" (50%)"))))
+    rows = t.select("table_id", F.posexplode(F.array(head, body, share)).alias("row", "cells")).withColumn("page_text", F.lit("Table 1. Baseline characteristics"))
+    return baseline_arms(rows).select("table_id", "variable", F.inline("arms")).withColumns({c: F.round(c, 2) for c in ("mean", "sd")})
+
+
+def scan_findings(spark, sf_dir):
+    """All detectors that apply to suppliers' lines, documents' texts, images and citations, as one relation of findings: how many by detector and severity."""
+    from sievemark.operators import numeric, registry
+    from sievemark.plans import numeric as N
+    from sievemark.plans import text as T
+
+    docs = T._docs(spark, sf_dir, T.PHRASES)
+    have = {
+        "cells": numeric.cells(_lines(spark, sf_dir), F.col("l_suppkey"), N.ORDER, N.COLUMNS),
+        "texts": docs.withColumn("doc_id", F.col("doc_id").cast("string")),
+        "images": _images(spark, sf_dir).select((F.col("vec_id") % 1000000000 % 25).alias("doc_id"), F.col("vec_id").alias("image_id"), F.col("h").alias("phash"), F.lit("").alias("authors")),
+        "p_values": _p_values(spark, sf_dir),
+        "arms": _arms(spark, sf_dir),
+        "means": _summaries(spark, sf_dir),
+        "deviations": _summaries(spark, sf_dir),
+    }
+    return registry.scan(have).groupBy("detector_id", "severity").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b6_reconstruction, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g1_makes, g4_metadata, bh_fdr, severity_escalation, report_summary, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse, f3_copy_move, f6_patch_splice, f7_spectral, image_hashes, jats_parse, baseline_tables, scan_findings)}
 
 _SUM = "s as (select l_orderkey as label, floor(avg(l_quantity) * 100 + 0.5) / 100 + l_orderkey % 3 * 0.13 as mean, floor(coalesce(stddev_samp(l_quantity), 0) * 100 + 0.5) / 100 as sd, cast(count(*) as int) as n from lineitem group by l_orderkey)"
 _PV = "pv as (select l_suppkey as label, (case when l_suppkey % 4 = 0 then cast(floor(l_extendedprice * 100) as bigint) % 60 + 400 else cast(floor(l_extendedprice * 100) as bigint) % 1000 end) / 10000.0 as p from lineitem)"
@@ -385,4 +470,8 @@ ORACLE_SQL = {
     "file_sha256": "select doc_id, sha256(text) as sha256 from documents",
     "rate_limit_hits": "select event_id, count(*) over w as hits, count(*) over w > 30 as limited from (select event_id, user_id, epoch_us(ts) as us from events) window w as (partition by user_id order by us range between 60000000 preceding and current row)",
     "llm_review_parse": "with d as (select doc_id, (['logic', 'statistics', 'methods', 'style'])[doc_id % 4 + 1] as category from documents where doc_id % 5 <> 0 and (doc_id % 3 <> 0 or contains(text, 'absent'))) select doc_id, category, cast(case category when 'statistics' then 3 when 'style' then 1 else 2 end as int) as severity from d",
+    "jats_parse": r"""with d as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,\n]', '', 'g'), chr(10)) as l from documents),
+        t as (select doc_id, list_transform([1, 2, 3, 4], lambda k: trim(regexp_replace(coalesce(l[k], ''), ' +', ' ', 'g'))) as p from d)
+        select doc_id, 'No ' || doc_id || ' & more' as title, trim('x2 ' || p[1]) as abstract, trim('Methods ' || p[2]) || chr(10) || chr(10) || trim('Methods ' || p[4]) as methods, trim('Results ' || p[3]) as results from t""",
+    "baseline_tables": "select cast(c_nationkey % 10 as bigint) as table_id, 'Balance' as variable, 'Group ' || c_mktsegment || ' (n = ' || count(*) || ')' as arm, cast(count(*) as int) as n, round(avg(c_acctbal), 2) as mean, round(stddev_samp(c_acctbal), 2) as sd from customer group by c_nationkey % 10, c_mktsegment having count(*) >= 2",
 }
