@@ -257,5 +257,9 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
+
+    A null text counts as empty; repeated rows are packed each; an empty table gives no rows; other
+    columns of docs are left out. Which of equal pieces takes which place is told by doc_id and piece.
+    """
     return pack(pieces(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col), capacity)

@@ -11,6 +11,7 @@ from sievemark.llm.common import crc_bucket, table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and wordless texts have fingerprint 0, repeated rows come out each, an empty table gives no rows."""
     from sievemark.llm.simhash import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -18,6 +19,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null page gives the empty text, repeated rows come out each."""
     from sievemark.llm.extract import extracted
 
     found = extracted(table(spark, sf_dir, "pages"), keep=("url",))
@@ -25,6 +27,7 @@ def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through archives and back: size and digest of its payload, and whether it is a response or a revisit; a null page is an empty payload."""
     from sievemark.llm.warc import archive_round_trip
 
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -77,6 +80,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; a null text has no words and fails."""
     from sievemark.llm.quality import judged
 
     found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -84,6 +88,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model of the labelled documents that are not held out; a text that is null or has no letter is und, a row without an id is not held out."""
     from sievemark.llm.langid import fit, identify
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
@@ -91,6 +96,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and items of every document against the whole benchmark; a null text has no words, an empty benchmark hits nothing."""
     from sievemark.llm.decontaminate import contamination
 
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,6 +105,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; a null text has none."""
     from sievemark.llm.pii import KINDS, joined, personal_data
 
     found = personal_data(table(spark, sf_dir, "documents"))
@@ -108,6 +115,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those that are not held out; a null text is the end token alone, a row without an id is not held out."""
     from sievemark.llm.lm import fit, scored
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -117,12 +125,14 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence; a null text is the end id alone."""
     from sievemark.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage of the corpus pipeline over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -135,10 +145,11 @@ def _text(s: str) -> str:
 
 
 def _quality_sql() -> str:
-    from sievemark.llm import quality as q
-
+    # Fixed values, as the rules state them.
+    phrases = ("all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "enable javascript", "javascript is disabled", "sign up for our newsletter", "click here", "share this", "powered by", "lorem ipsum", "without warranty", "warranties or conditions", "redistribution and use", "permission is hereby granted", "spdx-license-identifier", "copyright (c)")
+    ends = "[.!?:;…。！？][\"'’”»)\\]]*$"
     space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    boiler = " or ".join(f"contains(lower(t), {_text(p)})" for p in q.BOILERPLATE)
+    boiler = " or ".join(f"contains(lower(t), {_text(p)})" for p in phrases)
     return f"""
         with d as (select doc_id, coalesce(text, '') as text from documents),
         w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from d),
@@ -146,7 +157,7 @@ def _quality_sql() -> str:
         r as (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, a, b, c) as k from g) where k > 1),
         rep as (select doc_id, count(distinct p) as n from r group by all),
         l as (select doc_id, line, trim(line, {space}) as t from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
-        m as (select *, len(list_filter(string_split(t, ' '), lambda x: x <> '')) as n, length(t) - length(translate(t, '#*$%&|<>!{{}}[]=~^\\', '')) as marks, regexp_matches(t, {_text(q._ENDS)}) as ended from l where t <> ''),
+        m as (select *, len(list_filter(string_split(t, ' '), lambda x: x <> '')) as n, length(t) - length(translate(t, '#*$%&|<>!{{}}[]=~^\\', '')) as marks, regexp_matches(t, {_text(ends)}) as ended from l where t <> ''),
         f as (select doc_id, line, length(t) as c, (marks > n * 0.3 + 1) or (not ended and n < 4) or (length(t) - length(translate(t, '|»›·•', '')) >= greatest(2, n * 0.2)) or (t = upper(t) and t <> lower(t) and n >= 3) or {boiler} as fails from m),
         s as (select doc_id, sum(c) as total, coalesce(sum(case when fails then c end), 0) as lost, count(*) - count(distinct line) as dup from f group by all),
         b as (select w.doc_id, len(w) as n_words, length(list_aggregate(w, 'string_agg', '')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, coalesce(dup, 0) as dup, coalesce(rep.n, 0) as rep, coalesce(lost, 0) as lost, coalesce(total, 0) as total

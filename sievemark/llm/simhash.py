@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievemark.llm.common import checkpointed, slices, texts_of
+from sievemark.llm.common import checkpointed, own_name, slices, texts_of
 from sievemark.llm.components import connected_components
 
 SEED = 42
@@ -253,13 +253,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = checkpointed(_components(checkpointed(fingerprints(docs, id_col, text_col))).where("doc_id is not null"))
     many = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     key = F.col(id_col).cast("long")
+    other = own_name("other", docs.columns)
+    meets = lambda ids, how: docs.join(ids.select(F.col("doc_id").alias(other)).distinct(), key == F.col(other), how).select(docs.columns)
     # A group's document is its smallest id; where that id comes in several groups, in each of them.
-    gone = found.where("component_id < doc_id")
-    left = docs.join(gone.select("doc_id").distinct().withColumnRenamed("doc_id", "_gone"), key == F.col("_gone"), "left_anti")
+    gone = found.where("component_id < doc_id").select("doc_id")
     if many.isEmpty():
-        return left.select(docs.columns)
-    single = left.join(many.withColumnRenamed("doc_id", "_many"), key == F.col("_many"), "left_anti").select(docs.columns)
-    again = docs.join(many.withColumnRenamed("doc_id", "_many"), key == F.col("_many"), "left_semi").select(docs.columns)
+        return meets(gone, "left_anti")
+    single = meets(gone.unionByName(many), "left_anti")
+    again = meets(many, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = _with_fingerprints(again.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("doc_id"), row.alias("row")))
     named = found.select("fp", "group", "component_id").distinct()

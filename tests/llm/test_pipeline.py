@@ -46,3 +46,25 @@ def test_documents_without_labels_stay(spark, tmp_path):
     kept = corpus_pipeline.language(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, t, *_ in TEXTS if any(c.isalpha() for c in t or ""))
+
+
+EXTRA = ("score", "lang_pred", "base", "spans", "fp", "group", "component_id", "row", "other", "_gone", "ids", "h", "c0", "items", "match")
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    plain = spark.createDataFrame([(d, t, g, s, n) for d, t, g, s, n in TEXTS] + [(None, "words without an id, and enough of them", None, None, None), (1, "other words of a repeated id", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.withColumns({c: F.lit(f"{c}!") for c in EXTRA})
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for at in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == docs.columns, name
+            rows = at.collect()
+            assert all(r[c] == f"{c}!" for r in rows for c in EXTRA)
+            at = spark.createDataFrame(rows, docs.schema)
+        packed = corpus_pipeline.STAGES[4][1](spark, at, str(tmp_path)).collect()
+        assert len(packed) >= len(rows)
+        if rows:
+            assert {(r.doc_id, r.text) for r in rows} >= {(None, "words without an id, and enough of them"), (1, "other words of a repeated id")}
