@@ -10,7 +10,8 @@ from sievemark.operators import images as I
 from sievemark.operators import network as M
 from sievemark.operators import process as P
 from sievemark.operators import reported as R
-from sievemark.sources.baseline import baseline_arms
+from sievemark.plans import series as S
+from sievemark.sources.baseline import baseline_arms, baseline_shares
 from sievemark.sources.documents import jats
 from sievemark.sources.tables import table
 
@@ -336,7 +337,9 @@ def baseline_tables(spark, sf_dir):
     body = F.concat(F.array(F.lit("Balance")), F.transform("a", lambda x: F.concat(two(x["m"]), F.when(F.col("table_id") % 2 == 0, " ± ").otherwise(" ("), two(x["s"]), F.when(F.col("table_id") % 2 == 0, "").otherwise(")"))))
     share = F.concat(F.array(F.lit("Male")), F.transform("a", lambda x: F.concat(x["n"].cast("string"), F.lit(" (50%)"))))
     rows = t.select("table_id", F.posexplode(F.array(head, body, share)).alias("row", "cells")).withColumn("page_text", F.lit("Table 1. Baseline characteristics"))
-    return baseline_arms(rows).select("table_id", "variable", F.inline("arms")).withColumns({c: F.round(c, 2) for c in ("mean", "sd")})
+    arms = baseline_arms(rows).select("table_id", "variable", F.inline("arms")).withColumns({c: F.round(c, 2) for c in ("mean", "sd")})
+    shares = baseline_shares(rows).select("table_id", "variable", F.inline("arms")).select("table_id", "variable", "arm", F.col("count").cast("int").alias("n"), F.col("percent").alias("mean"), F.lit(None).cast("double").alias("sd"))
+    return arms.unionByName(shares)
 
 
 def scan_findings(spark, sf_dir):
@@ -383,6 +386,28 @@ ORACLE_SQL = {
     "c1_welch_pairs": """with g as (select c_custkey % 20 as trial_id, c_nationkey % 6 as variable, c_mktsegment as arm, count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer group by all having count(*) >= 2),
         p as (select a.trial_id, a.variable, a.arm as arm_a, b.arm as arm_b, a.m - b.m as d, a.s * a.s / a.n as va, b.s * b.s / b.n as vb, a.n as na, b.n as nb from g a join g b on a.trial_id = b.trial_id and a.variable = b.variable and a.arm < b.arm)
         select trial_id, variable, arm_a, arm_b, round(d / sqrt(va + vb), 5) as t, round(pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)), 4) as df from p""",
+    "c1_carlisle": f"""with g as (select c_custkey % 20 as trial_id, c_nationkey % 6 as variable, c_mktsegment as arm, count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer group by all having count(*) >= 2),
+        p as (select a.trial_id, a.variable, a.m - b.m as d, a.s * a.s / a.n as va, b.s * b.s / b.n as vb, a.n as na, b.n as nb from g a join g b on a.trial_id = b.trial_id and a.variable = b.variable and a.arm < b.arm),
+        w as (select trial_id, variable, d / sqrt(va + vb) as t, pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)) as df from p),
+        q as (select trial_id, variable, 2 * {S.t_sf('t', 'df')} as p from w), v as (select trial_id, variable, list_sort(list(p)) as ps from q group by all),
+        k as (select trial_id, least(greatest(ps[len(ps) // 2 + 1], 1e-12), 1 - 1e-12) as p, 1 - least(greatest(ps[len(ps) // 2 + 1], 1e-12), 1 - 1e-12) as r from v),
+        {S.normal_quantile('k', 'r', 'z', 'u')},
+        c as (select trial_id, count(*) as n_variables, sum(z) / sqrt(count(*)) as z, avg(cast(p < 0.5 as int)) as below_half from u group by all having count(*) >= 5),
+        e as (select *, 2 * (1 - {S.normal_cdf('abs(z)')}) as p_value from c),
+        f as (select *, greatest(-10, least(10, (-2 * ln(greatest(p_value, 1e-300)) - n_variables) / (2 * ln(10)))) as bf, case when p_value > 0.05 then 0 when p_value < 1e-6 then 3 when p_value < 1e-3 then 2 else 1 end as sev from e)
+        select trial_id, n_variables, round(z, 6) as z, round(p_value, 6) as p_value, round(below_half, 6) as below_half, round(bf, 4) as log10_bf, case when sev > 0 then case when below_half < 0.25 then 'too alike' when below_half > 0.75 then 'too unlike' else 'not uniform' end end as reading,
+               case when sev > 0 then case when p_value >= 1e-3 then 'borderline' when below_half >= 0.7 then 'low' else 'high' end end as tail, cast(sev as int) as severity from f""",
+    "b5_tiva": f"""with {_PV}, d as (select distinct p, 1 - greatest(p, 1e-12) / 2 as r from pv where p > 0 and p < 1), {S.normal_quantile('d', 'r', 'z', 'u')},
+        j as (select label, pv.p, z from pv left join u on u.p = pv.p),
+        g as (select label, count(z) as k, var_samp(z) as v, sum(z) / sqrt(count(z)) as stouffer, count_if(p < 0.05) / count(z) as success, list_sort(list(abs(z)) filter (z is not null)) as zs from j group by label having count(z) >= 10),
+        m as (select *, cast(k - 1 as double) as df, (k - 1) * v as q, zs[k // 2 + 1] - 1.645 as h from g),
+        n as (select *, {S.chi2_cdf('q', 'df')} as p_left, success - {S.normal_cdf('h')} as r_index, case when q > 0 then greatest(0, (q - df) / q) else 0 end as i2 from m),
+        s as (select *, case when p_left > 0.10 and not (r_index < -0.35 or i2 < 0.02) then 0 when p_left < 0.001 or (p_left < 0.01 and (r_index < -0.35 or i2 < 0.02)) then 3 when p_left < 0.01 then 2 else 1 end as sev from n)
+        select label, k, round(v, 4) as var_z, round(success, 6) as success, round(stouffer, 4) as stouffer_z, round(r_index, 4) as r_index, round(i2, 4) as i2, cast(case when sev > 1 and k < 50 then 1 else sev end as int) as severity from s""",
+    "integrity_score": f"""with {_F}, r as (select *, row_number() over (partition by doc_key order by p_value, finding_id) as rk, count(*) over (partition by doc_key) as m from f where p_value is not null),
+        q as (select doc_key, least(1, min(p_value * m / rk) over (partition by doc_key order by rk desc rows unbounded preceding)) as q from r), i as (select doc_key, 1 - q as r from q where q > 0 and q < 1),
+        {S.normal_quantile('i', 'r', 'z', 'u')}, g as (select doc_key, count(*) as k, sum(z) / sqrt(count(*)) as z from u group by all)
+        select d.doc_key, k, round(z, 6) as integrity_z, round(1 - {S.normal_cdf('z')}, 6) as integrity_score from (select distinct doc_key from f) d left join g on g.doc_key = d.doc_key""",
     "t2_outcomes": """with w as (select p_partkey % 50 as nct_id, p_name, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda x: length(x) > 2)) as w from part), v as (select distinct p_partkey % 50 as nct_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_type), '[a-z]+'), lambda x: length(x) > 2))) as w from part),
         m as (select a.nct_id, a.p_name as outcome, case when least(len(a.w), len(b.w)) > 0 then len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) else 0 end as o from w a join v b on a.nct_id = b.nct_id),
         g as (select nct_id, outcome, max(o) as best from m group by all) select nct_id, outcome, round(best, 6) as best, cast(case when best < 0.4 then 3 else 0 end as int) as severity from g""",
@@ -473,5 +498,5 @@ ORACLE_SQL = {
     "jats_parse": r"""with d as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,\n]', '', 'g'), chr(10)) as l from documents),
         t as (select doc_id, list_transform([1, 2, 3, 4], lambda k: trim(regexp_replace(coalesce(l[k], ''), ' +', ' ', 'g'))) as p from d)
         select doc_id, 'No ' || doc_id || ' & more' as title, trim('x2 ' || p[1]) as abstract, trim('Methods ' || p[2]) || chr(10) || chr(10) || trim('Methods ' || p[4]) as methods, trim('Results ' || p[3]) as results from t""",
-    "baseline_tables": "select cast(c_nationkey % 10 as bigint) as table_id, 'Balance' as variable, 'Group ' || c_mktsegment || ' (n = ' || count(*) || ')' as arm, cast(count(*) as int) as n, round(avg(c_acctbal), 2) as mean, round(stddev_samp(c_acctbal), 2) as sd from customer group by c_nationkey % 10, c_mktsegment having count(*) >= 2",
+    "baseline_tables": "select cast(c_nationkey % 10 as bigint) as table_id, 'Balance' as variable, 'Group ' || c_mktsegment || ' (n = ' || count(*) || ')' as arm, cast(count(*) as int) as n, round(avg(c_acctbal), 2) as mean, round(stddev_samp(c_acctbal), 2) as sd from customer group by c_nationkey % 10, c_mktsegment having count(*) >= 2 union all select cast(c_nationkey % 10 as bigint), 'Male', 'Group ' || c_mktsegment || ' (n = ' || count(*) || ')', cast(count(*) as int), 50.0, null from customer group by c_nationkey % 10, c_mktsegment",
 }

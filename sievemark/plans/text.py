@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import wordlists as W
 from sievemark.functions.text import phrase_pattern, strip_markup
 from sievemark.operators import text as T
+from sievemark.plans import series as S
 from sievemark.sources.tables import table
 
 #: Added to a text by its id modulo the number of entries.
@@ -172,10 +173,28 @@ def _style_sql() -> str:
                cast(case when density >= 0.006 then 3 when density >= 0.003 then 2 when provider <> 'none' then 1 else 0 end as int) as severity from e"""
 
 
+def _statcheck_sql() -> str:
+    """Distributions by Simpson's rule, once for each distinct statistic."""
+    x = "case when family = 'r' then stat * sqrt(df1 / greatest(1 - stat * stat, 1e-12)) when family = 'r2' then sqrt(stat / ((1 - stat) / (df1 - 2))) else stat end"
+    one = f"case when family in ('t', 'r', 'r2') then {S.t_sf('x', 'd')} when family = 'z' then 1 - {S.normal_cdf('abs(x)')} when family = 'F' then {S.f_sf('x', 'd', 'd2')} else 1 - {S.chi2_cdf('x', 'd')} end"
+    off = lambda c: f"case when sign = '=' then abs(round_even({c}, digits) - p) > pow(10.0, -digits) / 2 + 1e-12 else {c} >= p end"
+    wrong = lambda c: f"((case when sign = '=' then p < 0.05 else p <= 0.05 end) <> ({c} < 0.05))"
+    return f"""with {_docs_sql(CLAIMS)}, f as ({_extract_sql()}), g as (select * from f where (family <> 'r' or abs(stat) < 1) and (family <> 'r2' or (stat > 0 and stat < 1 and df1 > 2))),
+        u as (select distinct family, df1, df2, stat, {x} as x, cast(case when family = 'r2' then df1 - 2 else coalesce(df1, 1) end as double) as d, cast(coalesce(df2, 1) as double) as d2 from g),
+        v as (select family, df1, df2, stat, {one} as one from u),
+        w as (select g.*, v.one, case when g.family in ('t', 'r', 'z', 'r2') then 2 * v.one else v.one end as two, g.family = 't' and regexp_matches(raw, '(?i)one[-\\s]?(tailed|sided)$') as tailed,
+                     regexp_matches(text, '(?i)one-?[ ]?tailed|one-?[ ]?sided') as said, cast(length(regexp_replace(split_part(printf('%.10f', p), '.', 2), '0+$', '')) as int) as digits
+              from g join v on v.family = g.family and v.df1 is not distinct from g.df1 and v.df2 is not distinct from g.df2 and v.stat = g.stat join docs on docs.doc_id = g.doc_id),
+        k as (select *, case when tailed then one else two end as first from w),
+        c as (select *, case when said and family in ('t', 'r', 'z') and ({off('first')} or {wrong('first')}) and not {off('one')} and not {wrong('one')} then one else first end as computed from k)
+        select doc_id, family, raw, round(computed, 6) as computed_p, {off('computed')} as numeric, {wrong('computed')} as decision, cast(case when {wrong('computed')} then 3 when {off('computed')} then 2 else 0 end as int) as severity from c"""
+
+
 _SHINGLES = "case when len(w) >= {n} then list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {m}], ' '))) else [] end"
 
 ORACLE_SQL = {
     "b4_statcheck_extract": f"with {_docs_sql(CLAIMS)}, f as ({_extract_sql()}) select * from f where (family <> 'r' or abs(stat) < 1) and (family <> 'r2' or (stat > 0 and stat < 1 and df1 > 2))",
+    "b4_statcheck": _statcheck_sql(),
     "t1_text_similarity": f"""with q as (select doc_id, regexp_extract_all(lower(text), '[a-z\\x{{4e00}}-\\x{{9fff}}]+') as w from documents),
         qs as (select doc_id, {_SHINGLES.format(n=5, m=4)} as s from q where len(w) >= 10), c as (select item_id, regexp_extract_all(lower(text), '[a-z\\x{{4e00}}-\\x{{9fff}}]+') as w from benchmark), cs as (select item_id, {_SHINGLES.format(n=5, m=4)} as s from c),
         m as (select a.doc_id, b.item_id, na, nb, count(*) as k from (select doc_id, len(s) as na, unnest(s) as g from qs) a join (select item_id, len(s) as nb, unnest(s) as g from cs) b on a.g = b.g group by all),
@@ -211,6 +230,11 @@ ORACLE_SQL = {
         p as (select s.doc_id, s.seg, 1 / (1 + exp(-(coalesce(d, 0) - 0.4))) as p from s left join x on x.doc_id = s.doc_id and x.seg = s.seg),
         g as (select doc_id, count(*) as n_segments, max(p) as m, avg(cast(p >= 0.9 as int)) as h, avg(cast(p >= 0.7 as int)) as i, avg(cast(p >= 0.5 as int)) as o from p group by all)
         select doc_id, n_segments, round(m, 6) as max_prob, round(h, 6) as high, round(i, 6) as mid, round(o, 6) as low, cast(case when h >= 0.25 then 3 when i >= 0.25 then 2 when o >= 0.25 then 1 else 0 end as int) as severity from g""",
+    "g5_reagent_year": f"""with {_docs_sql(REAGENTS)}, i as (select doc_id, text, 2018 + doc_id % 5 as py, unnest(range(1, length(text) - 2)) as i from docs where regexp_matches(text, '(19|20|21)[0-9][0-9]')),
+        y as (select doc_id, text, py, i, try_cast(text[i:i + 3] as int) as year from i where regexp_matches(text[i:i + 3], '^(19|20|21)[0-9][0-9]$') and not regexp_matches(text[i - 1:i - 1], '^[A-Za-z0-9_]$') and not regexp_matches(text[i + 4:i + 4], '^[A-Za-z0-9_]$')),
+        k as (select unnest({list(W.REAGENT_CONTEXT)}) as keyword, unnest(range({len(W.REAGENT_CONTEXT)})) as o),
+        m as (select doc_id, i, year, arg_min(keyword, o) as keyword from y, k where year > py and contains(lower(text[greatest(i - 60, 1):i + 63]), keyword) group by all)
+        select doc_id, year, keyword, cast(1 as int) as severity from m""",
     "trial_ids": f"""with {_docs_sql(CLAIMS)}, a as (select doc_id, list_concat({', '.join(f'regexp_extract_all(text, {_lit(p)})' for p in T.TRIAL_IDS)}) as l from docs), u as (select doc_id, unnest(range(len(l))) as i, upper(trim(unnest(l))) as x from a),
         f as (select doc_id, x, min(i) as i from u group by all) select doc_id, string_agg(x, ',' order by i) as ids from f group by all""",
     "inline_numbers": f"""with {_docs_sql(CLAIMS)}, n as (select doc_id, regexp_extract_all(text, {_lit(T.P_VALUE)}, 1) as p_values, regexp_extract_all(text, {_lit(T.PERCENT)}, 1) as percentages, regexp_extract_all(text, {_lit(T.MEAN_SD)}, 1) as means, regexp_extract_all(text, {_lit(T.MEAN_SD)}, 2) as sds from docs)

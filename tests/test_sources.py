@@ -119,13 +119,16 @@ def test_streams(spark, tmp_path):
 
 def test_baseline_tables(spark):
     from sievemark.operators.reported import welch_pairs
-    from sievemark.sources.baseline import baseline_arms
+    from sievemark.sources.baseline import baseline_arms, baseline_shares
 
     rows = [(1, 0, ["Variable", "Treatment (n=40)", "Placebo (n = 42)"]), (1, 1, ["Age", "45.2 ± 12.3", "44.0 (11.1)"]), (1, 2, ["Male", "20 (50%)", "21 (50%)"]), (2, 0, ["x", "y", "z"]), (2, 1, ["a", "1", "2"])]
     cells = spark.createDataFrame([(t, r, c, "Table 1. Baseline" if t == 1 else "") for t, r, c in rows], "table_id long, row int, cells array<string>, page_text string")
     got = baseline_arms(cells)
     assert [(r.variable, [(a.n, a.mean, a.sd) for a in r.arms]) for r in got.collect()] == [("Age", [(40, 45.2, 12.3), (42, 44.0, 11.1)])]
     assert welch_pairs(got.withColumnRenamed("table_id", "trial_id")).count() == 1
+    assert [(r.variable, [(a["count"], a.percent) for a in r.arms]) for r in baseline_shares(cells).collect()] == [("Male", [(20, 50.0), (21, 50.0)])]
+    bare = spark.createDataFrame([(3, 0, ["", "Arm A", "Arm B"], "Baseline"), (3, 1, ["Age", "45.2 ± 12.3", "44.0 ± 11"], "Baseline")], cells.schema)
+    assert baseline_arms(bare).count() == 0 and [[a.n for a in r.arms] for r in baseline_arms(bare, (30, 31)).collect()] == [[30, 31]]
 
 
 def test_templates(spark):
