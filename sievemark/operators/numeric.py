@@ -212,6 +212,7 @@ def multivariate(table: DataFrame, file_id: str, columns: list[str]) -> DataFram
                         continue
                     coef = np.linalg.lstsq(s[np.ix_(rest, rest)], s[rest, t], rcond=None)[0]
                     residual = max(0.0, float(s[t, t] - 2 * coef @ s[rest, t] + coef @ s[np.ix_(rest, rest)] @ coef))
+                    residual *= residual > 1e-11 * s[t, t]  # below, it is the sums' own rounding
                     r2, sd = 1 - residual / s[t, t], (residual / n) ** 0.5
                     if r2 >= 0.999:
                         used = int((np.abs(coef) >= 0.01 * np.abs(coef).max()).sum())

@@ -386,6 +386,10 @@ ORACLE_SQL = {
     "c1_welch_pairs": """with g as (select c_custkey % 20 as trial_id, c_nationkey % 6 as variable, c_mktsegment as arm, count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer group by all having count(*) >= 2),
         p as (select a.trial_id, a.variable, a.arm as arm_a, b.arm as arm_b, a.m - b.m as d, a.s * a.s / a.n as va, b.s * b.s / b.n as vb, a.n as na, b.n as nb from g a join g b on a.trial_id = b.trial_id and a.variable = b.variable and a.arm < b.arm)
         select trial_id, variable, arm_a, arm_b, round(d / sqrt(va + vb), 5) as t, round(pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)), 4) as df from p""",
+    "b8_sprite": """with recursive r as (select 0 as k, 0 as total, 0 as squares union select k + 1, total + v, squares + v * v from r, range(1, 8) t(v) where k < 12),
+        i as (select cast(s_suppkey as varchar) as label, 2 + s_suppkey % 30 / 10 as mean, s_suppkey % 9 / 4 + 0.2 as sd from supplier),
+        p as (select label, bool_or(abs(sqrt(greatest(0, (squares - total * total / 12.0) / 11)) - sd) <= 0.05 + 1e-9) as possible from i left join r on k = 12 and total = round_even(mean * 12, 0) group by all)
+        select label, coalesce(possible, false) as possible, cast(case when possible then 0 else 3 end as int) as severity from p""",
     "c1_carlisle": f"""with g as (select c_custkey % 20 as trial_id, c_nationkey % 6 as variable, c_mktsegment as arm, count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer group by all having count(*) >= 2),
         p as (select a.trial_id, a.variable, a.m - b.m as d, a.s * a.s / a.n as va, b.s * b.s / b.n as vb, a.n as na, b.n as nb from g a join g b on a.trial_id = b.trial_id and a.variable = b.variable and a.arm < b.arm),
         w as (select trial_id, variable, d / sqrt(va + vb) as t, pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)) as df from p),

@@ -154,6 +154,9 @@ ORACLE_SQL = {
     "a3_constant_ratio": f"""with {_PAIRS}, s as (select m.file_id, m.a, m.b, m.n, m.mr, avg(cast(abs(q.r - m.mr) < 1e-9 as int)) as share from m join q on q.file_id = m.file_id and q.a = m.a and q.b = m.b
             where m.least > 1e-12 and m.sr < greatest(1e-9, 1e-3 * abs(mr)) and abs(mr - 1) > 1e-9 group by all)
         select file_id, a, b, n, round(mr, 6) as centre, round(share, 6) as share, cast(case when share >= 0.95 then 3 else 2 end as int) as severity from s""",
+    # In this input a column that is linear in the others is linear in one of them.
+    "a3_multivariate": f"""with {_PAIRS}, c as (select file_id, a as col, count(*) as n, regr_r2(x, y) as r2 from q group by file_id, a, b union all select file_id, b, count(*), regr_r2(y, x) from q group by file_id, a, b)
+        select file_id, col, max(n) as n, round(max(r2), 4) as r2, cast(4 as int) as severity from c group by all having max(n) >= 20 and max(r2) >= 0.999""",
     "a5_decimal_consistency": rf"""with {_cells_sql()}, f as (select file_id, col, val, case when p = '' then '0' else p end as f
             from (select *, regexp_replace(split_part(cast(val as varchar), '.', 2), '0+$', '') as p from cells)),
         k as (select file_id, col, f, count(*) as k, bool_and(val = floor(val)) as whole from f group by all),
