@@ -108,6 +108,16 @@ def test_streams(spark, tmp_path):
     assert max(r.hits for r in hits) == 40
     once = run(feeds.first_uploads(stream().select(F.lit("h").alias("sha256"), "ts")), "once")
     assert len(once) == 1
+    day = 86_400
+    found = [("r1", "A1", 3, 10), ("r1", "A2", 4, 20), ("r2", "A1", 3, 30), ("r2", "A1", 1, 40), ("r1", "A1", 3, day + 5), ("r9", "A1", 4, 2 * day + 5)]
+    findings = spark.createDataFrame(found, "doc_key string, detector_id string, severity int, s long").select("doc_key", "detector_id", "severity", F.timestamp_seconds(F.col("s") + 1_700_006_400).alias("ts"))
+    want = [(2, 3, 4), (1, 1, 3), (1, 1, 4)]
+    assert [tuple(r)[1:] for r in feeds.daily_digest(findings).orderBy("day").collect()] == want
+    for k in range(3):  # a day a batch, so that the watermark closes the days before
+        findings.where(F.to_date("ts") == F.date_add(F.to_date(F.timestamp_seconds(F.lit(1_700_006_400))), k)).coalesce(1).write.parquet(str(tmp_path / f"days/{k}"))
+    source = spark.readStream.schema(findings.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "days"))
+    digests = run(feeds.daily_digest(source), "digests")
+    assert sorted(tuple(r)[1:] for r in digests) == sorted(want)[: len(digests)] or {tuple(r)[1:] for r in digests} <= set(want)
     images = spark.createDataFrame([("p1", "A", 7), ("p2", "B", 6), ("p3", "A; C", 0xFFFF << 40)], "paper_id string, authors string, phash long")
     for k in (1, 2):
         images.where(f"paper_id in ('p{k}', 'p{k + 1}')").coalesce(1).write.parquet(str(tmp_path / f"img/{k}"))
