@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemark.sources.tables import table  # noqa: F401
+
 #: Characters of text that a Python worker turns into arrays at a time.
 CHUNK_CHARS = 4_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder for reliable checkpoints that the session names.
 

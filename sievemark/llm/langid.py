@@ -29,7 +29,7 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 LETTERS_AT_ONCE = 1_000_000
 #: Bytes of text whose words are labelled together.
-LABELLED_BYTES = 4_000_000
+LABELLED_BYTES = 2_000_000
 
 # First and last code points of scripts.
 SCRIPTS = (
