@@ -20,7 +20,7 @@ def let(value: Column, body) -> Column:
 def runs(words: Column, n: int) -> Column:
     """Runs of n words, repeats included; none of fewer words."""
     none = F.array().cast("array<string>")
-    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none))
+    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))).otherwise(none))
 
 
 def shingles(words: Column, n: int) -> Column:

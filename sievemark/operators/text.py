@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import wordlists as W
 from sievemark.functions.ladder import CONCERN, CRITICAL, NOTE, SUSPICIOUS, ladder
-from sievemark.functions.text import let, letter_words, phrase_counts, runs, shingles, tokens
+from sievemark.functions.text import let, letter_words, phrase_counts, runs, tokens
 
 _P = r"\s*,?\s*[Pp]\s*([<=≤])\s*(\d*\.\d+)"
 _EQ = r"\s*[<>≤≥]?=?\s*"
@@ -92,25 +92,26 @@ def statcheck(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return found.withColumn("severity", ladder((F.col("decision"), SUSPICIOUS), (F.col("numeric"), CONCERN))).drop("two_sided", "one_sided", "first")
 
 
-def _classes(docs: DataFrame, name: str, n: int, least_words: int) -> DataFrame:
-    """The texts' sets of hashed n-word shingles, equal ones as one class: set_id, names (of its texts), k, s."""
-    w = docs.withColumn("w", tokens(F.lower("text"), "[A-Za-z\\u4e00-\\u9fff]+")).where(F.size("w") >= least_words)
-    s = F.array_sort(F.array_distinct(let(F.col("w"), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<bigint>")))))
-    return w.select(F.col(name).alias("name"), s.alias("s")).where(F.size("s") > 0).withColumn("set_id", F.sha2(F.to_json("s"), 256))
+def hashed_shingles(words: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of the runs of n words; none of fewer words."""
+    one = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+    return F.array_distinct(let(words, lambda w: F.when(F.size(w) >= n, one(w)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def text_similarity(queries: DataFrame, corpus: DataFrame, n: int = 5, least: float = 0.10) -> DataFrame:
     """queries(query_id, text) against corpus(label, text) by shared n-word shingles: jaccard of 0.10 or more.
 
-    An inverted-index equi-join on 64-bit hashes of the shingles; texts with equal sets are compared
-    once, so copies of a passage don't multiply what is joined, and sizes travel with the rows, so that
-    one aggregation of the matches follows. Texts of fewer than n + 5 words aren't queried.
+    An inverted-index equi-join on 64-bit hashes of the shingles; texts of the corpus with equal sets are
+    compared once, and sizes travel with the rows, so that one aggregation of the matches follows. Texts
+    of fewer than n + 5 words aren't queried.
     """
-    q, c = _classes(queries, "query_id", n, n + 5), _classes(corpus, "label", n, n)
-    one = lambda df, k, i: df.groupBy("set_id").agg(F.first("s").alias("s")).select(F.col("set_id").alias(i), F.size("s").alias(k), F.explode("s").alias("g"))
-    m = one(q, "nq", "qs").join(one(c, "nc", "cs"), "g").groupBy("qs", "cs", "nq", "nc").agg(F.count("*").alias("k"))
-    m = m.withColumn("jaccard", F.col("k") / (F.col("nq") + F.col("nc") - F.col("k"))).where(F.col("jaccard") >= least)
-    m = m.join(q.select(F.col("set_id").alias("qs"), F.col("name").alias("query_id")), "qs").join(c.select(F.col("set_id").alias("cs"), F.col("name").alias("label")), "cs")
+    pattern = "[A-Za-z\\u4e00-\\u9fff]+"
+    q = queries.withColumn("w", tokens(F.lower("text"), pattern)).where(F.size("w") >= n + 5).withColumn("s", hashed_shingles(F.col("w"), n)).select("query_id", F.size("s").alias("nq"), F.explode("s").alias("g"))
+    sets = corpus.withColumn("s", F.sort_array(hashed_shingles(tokens(F.lower("text"), pattern), n))).where(F.size("s") > 0).withColumn("set_id", F.struct(F.xxhash64("s").alias("a"), F.hash("s").alias("b"), F.size("s").alias("nc")))
+    c = sets.groupBy("set_id").agg(F.first("s").alias("s")).select("set_id", F.explode("s").alias("g"))
+    m = q.join(c, "g").groupBy("query_id", "set_id", "nq").agg(F.count("*").alias("k"))
+    m = m.withColumn("jaccard", F.col("k") / (F.col("nq") + F.col("set_id.nc") - F.col("k"))).where(F.col("jaccard") >= least)
+    m = m.join(sets.select("set_id", "label"), "set_id")
     return m.select("query_id", "label", "jaccard", ladder((F.col("jaccard") >= 0.5, CRITICAL), (F.col("jaccard") >= 0.25, SUSPICIOUS), otherwise=CONCERN).alias("severity"))
 
 
@@ -278,14 +279,14 @@ def beside_builtin(user: DataFrame, builtin: dict[str, tuple[str, ...]]) -> Data
     return given.withColumn("own", F.lit(False)).unionByName(more.withColumn("own", F.lit(True)))
 
 def repeated_narratives(logs: DataFrame, n: int = 4, least: float = 0.40, min_words: int = 30) -> DataFrame:
-    """I5 over (file_id, entry_id, narrative): pairs of narratives of a file that share much of their n-word shingles.
+    """I5 over (file_id, entry_id, narrative): pairs of narratives of a file that share much of their n-word shingles (their 64-bit hashes).
 
     Narratives with one and the same set of shingles form a class and are compared once: file_id,
     entry_a, entry_b (the classes' smallest entries), size_a, size_b, jaccard; a class of several entries
     is paired with itself. Candidates come from prefixes of the rarest shingles, so frequent passages pair nothing by themselves.
     """
-    rows = logs.withColumn("w", tokens(F.lower("narrative"), "[a-z0-9]+")).where(F.size("w") >= min_words).withColumn("s", F.array_sort(shingles(F.col("w"), n))).select("file_id", "entry_id", "s")
-    c = rows.groupBy("file_id", F.sha2(F.array_join("s", "|"), 256).alias("h")).agg(F.min("entry_id").alias("entry"), F.count("*").alias("size"), F.first("s").alias("s")).withColumn("k", F.size("s"))
+    rows = logs.withColumn("w", tokens(F.lower("narrative"), "[a-z0-9]+")).where(F.size("w") >= min_words).withColumn("s", F.sort_array(hashed_shingles(F.col("w"), n))).select("file_id", "entry_id", "s")
+    c = rows.groupBy("file_id", F.struct(F.xxhash64("s").alias("a"), F.hash("s").alias("b"), F.size("s").alias("k")).alias("h")).agg(F.min("entry_id").alias("entry"), F.count("*").alias("size"), F.first("s").alias("s")).withColumn("k", F.size("s"))
     long = c.select("file_id", "entry", "size", "k", F.explode("s").alias("g"))
     df = long.groupBy("file_id", "g").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles that no other class has can't match; they are the rarest, and come first in every prefix.
