@@ -275,8 +275,9 @@ def main_text(html: str) -> str:
     for x in size:
         x.score *= (1 - density(x)) * (2 if x.tag in ("article", "main") else 1)
     best = max(size, key=lambda x: (x.score, size[x]))
-    if best.score <= 0:
-        return "\n\n".join(t for n, t, k in found if k < 0.5 * len(t))
+    if best.score <= 0:  # nothing but short blocks: those of the largest article, if there is one
+        told = max((x for x in size if x.tag in ("article", "main") and density(x) < 0.6), key=size.__getitem__, default=None)
+        return "\n\n".join(t for n, t, k in found if (k < 0.5 * len(t) if told is None else told in _ancestors(n)))
     while best.parent is not None and best.parent.tag in CONTAINERS and best.parent.score >= best.score:
         best = best.parent
     keep, own = {best}, {n: t for n, t, _ in found}
