@@ -47,17 +47,25 @@ def _utc(time: Column) -> Column:
     return F.concat(F.date_format(F.date_from_unix_date(F.floor(second / 86400).cast("int")), "yyyy-MM-dd"), F.lit("T"), clock, F.lit("Z"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
-    """record: the text of each page's WARC record.
+def captures_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
+    """id, url, html, time, digest and bytes of each page."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), F.coalesce(F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp"), F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))).alias("time"))
+    return rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
+
+
+def repeats(captures: DataFrame) -> DataFrame:
+    """digest and last (the largest id) of the payloads of REVISIT_BYTES bytes or more that come more than once."""
+    return captures.where(f"bytes >= {REVISIT_BYTES} and id is not null").groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+
+
+def records(captures: DataFrame, repeated: DataFrame) -> DataFrame:
+    """record: the text of each capture's WARC record.
 
     Of equal payloads of REVISIT_BYTES bytes or more, the row with the largest id is a response (if rows
     repeat it: each of them), the others are revisits without the payload. A null html is an empty
     payload; rows without an id are responses.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), F.coalesce(F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp"), F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))).alias("time"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    repeated = rows.where(f"bytes >= {REVISIT_BYTES} and id is not null").groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    rows = rows.join(repeated, "digest", "left")
+    rows = captures.join(repeated, "digest", "left")
     revisit = (F.col("id") < F.col("last")) & (F.col("bytes") >= REVISIT_BYTES)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(_HTTP + "Content-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -78,16 +86,16 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("record"))
 
 
-def write_archives(pages: DataFrame, folder: str, **columns: str) -> None:
-    """Gzip-compressed archives in new folders, one for each size class that has pages."""
-    size = F.coalesce(F.octet_length(F.col(columns.get("html_col", "html")).cast("string")), F.lit(0))
-    bounds = [0, *(most + 1 for most, _ in CLASSES[:-1]), None]
-    within = [(size >= low) & (F.lit(True) if high is None else size < high) for low, high in zip(bounds, bounds[1:], strict=False)]
-    n = pages.agg(*[F.count_if(w) for w in within]).first()
-    for k, (_, most) in enumerate(CLASSES):
-        if n[k] or k == 0:
-            part = pages if n[k] == sum(n) else pages.where(within[k])
-            records(part, **columns).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{folder}/class{k}")
+def write_archives(pages: DataFrame, folder: str, repeated: str, **columns: str) -> None:
+    """Gzip-compressed archives in new folders, one for each size class; the digests that repeat go to the folder `repeated`, so that they are found once."""
+    captures = captures_of(pages, **columns)
+    repeats(captures).write.parquet(repeated)
+    known = pages.sparkSession.read.schema("digest string, last long").parquet(repeated)
+    low = 0
+    for k, (high, most) in enumerate(CLASSES):
+        within = F.col("bytes") >= low if high is None else F.col("bytes").between(low, high)
+        records(captures.where(within), known).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{folder}/class{k}")
+        low = None if high is None else high + 1
 
 
 def url_key(url: str) -> str:
@@ -237,7 +245,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, **columns: s
     spark = pages.sparkSession
     own = scratch(spark, "warc")
     folder = folder or f"{own}/archives"
-    write_archives(pages, folder, **columns)
+    write_archives(pages, folder, f"{own}/repeated", **columns)
     # The runs are small beside the archives, which so are read once.
     read_archives(spark, folder).write.parquet(f"{own}/runs")
     runs = spark.read.schema(_SCHEMA).parquet(f"{own}/runs")
