@@ -325,6 +325,15 @@ def sum_missing(columns: list[str]) -> Column:
 SUBJECT_COLUMNS = ("subject", "subject_id", "mouse", "mouse_id", "rat", "rat_id", "animal", "animal_id", "participant", "participant_id", "patient", "patient_id", "id", "cluster", "cluster_id", "site", "site_id", "lab", "lab_id")
 
 
+def subject_column(table: DataFrame) -> str | None:
+    """The first column with a name of SUBJECT_COLUMNS that has more than two values and fewer than half as many as there are rows."""
+    named = [c for c in table.columns if c.lower() in SUBJECT_COLUMNS]
+    if not named:
+        return None
+    n = table.agg(F.count("*").alias("n"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(named)]).first()
+    return next((c for i, c in enumerate(named) if 2 < n[f"k{i}"] < n["n"] / 2), None)
+
+
 def icc(values: DataFrame) -> DataFrame:
     """Intraclass correlation of values(file_id, subject_id, value) with repeats: too low a one means the repeats aren't of one subject."""
     g = values.where("value is not null").groupBy("file_id", "subject_id").agg(F.count("*").alias("k"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v")).where("k >= 2")

@@ -1,5 +1,6 @@
 """Entry points: a folder of files, or relations, to findings and reports.
 
+scan_articles() screens article XML, operators.templates.screen() the logs of a process by their domain.
 scan_folder() reads what it knows (CSV, TSV, Excel, Word old and new, archives of figures, pictures),
 turns it into the detectors' relations, and runs every registered detector that applies. Files are read
 in the executors, one at a time; their contents don't pass the driver.
@@ -85,6 +86,14 @@ def scan_folder(spark: SparkSession, folder: str, ids: Iterable[str] | None = No
     return registry.scan(have, registry.select(ids, clusters, have))
 
 
+def scan_articles(articles: DataFrame, ids: Iterable[str] | None = None) -> DataFrame:
+    """Findings of the text detectors on article XML (doc_id, xml, paper_year): tags are taken off before any rule reads it."""
+    texts = articles.select(F.col("doc_id").cast("string").alias("doc_id"), documents.jats(F.col("xml"))["full_text"].alias("text"), F.col("paper_year").cast("int").alias("paper_year"))
+    no = F.lit(False)
+    have = {"texts": texts.drop("paper_year"), "dated_texts": texts.withColumns({"is_clinical_trial": no, "is_human_subjects": no, "is_animal_study": no})}
+    return registry.scan(have, registry.select(ids, have=have))
+
+
 def batch(spark: SparkSession, folder: str, out: str, **known) -> DataFrame:
     """scan_folder() written under out (findings and reports); returns the reports: counts, clusters, overall severity, score and summary of each file with a finding."""
     scan_folder(spark, folder, **known).write.parquet(os.path.join(out, "findings"))

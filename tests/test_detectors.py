@@ -76,6 +76,13 @@ def test_smoothness_and_plausibility(spark):
     assert e1["f"].icc > 0.9 and e1["f"].severity == 0 and abs(e1["g"].icc) < 0.3
 
 
+def test_subject_column(spark):
+    rows = [(k, k % 5, k % 2, 1.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, Mouse long, lab long, value double")
+    assert numeric.subject_column(df) == "Mouse" and numeric.subject_column(df.drop("Mouse")) is None
+    assert numeric.numeric_columns(df) == ["id", "Mouse", "lab", "value"]
+
+
 def test_special_functions():
     x = np.array([0.0, 0.5, 3.0, 20.0, 90.0])
     for df in (2, 8):

@@ -322,6 +322,14 @@ def test_scan_of_a_folder(spark, tmp_path):
     assert {r.detector_id for r in scan.scan_folder(spark, str(folder), ids=("T4", "B4"), pictures=False).collect()} == {"T4", "B4"}
 
 
+def test_scan_of_articles(spark):
+    from sievemark import scan
+
+    xml = "<article><body><sec><title>Results</title>" + "word " * 60 + "bosom<b> danger</b>, fluffy rationale. t(28) = 2.20, p &lt; .001.</sec></body></article>"
+    got = scan.scan_articles(spark.createDataFrame([(7, xml, 2010)], "doc_id long, xml string, paper_year int"), ("T3", "T4", "B4")).collect()
+    assert {(r.doc_key, r.detector_id) for r in got} == {("7", "T3"), ("7", "T4"), ("7", "B4")} and {r.summary for r in got if r.detector_id == "T3"} == {"no statement of interests"}
+
+
 def test_registry_takes_further_detectors(spark):
     from sievemark.operators import registry
 
