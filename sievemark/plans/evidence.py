@@ -10,6 +10,7 @@ from sievemark.operators import images as I
 from sievemark.operators import network as M
 from sievemark.operators import process as P
 from sievemark.operators import reported as R
+from sievemark.operators.templates import screen
 from sievemark.plans import series as S
 from sievemark.sources.baseline import baseline_arms, baseline_shares
 from sievemark.sources.documents import jats
@@ -342,6 +343,15 @@ def baseline_tables(spark, sf_dir):
     return arms.unionByName(shares)
 
 
+def industrial_screen(spark, sf_dir):
+    """Users' events as logs of a pharmaceutical line, a fifth of whose batches lose a tenth in three files of four, screened by the domain's roles."""
+    e = table(spark, sf_dir, "events")
+    feed = 10.0 + F.col("user_id") % 3
+    lost = F.when((F.col("event_id") % 5 == 0) & (F.col("user_id") % 4 != 0), 0.9).otherwise(1.0)
+    log = e.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("row_id"), feed.alias("API_kg"), F.lit(1.5).alias("excipient_kg"), F.lit("0.5").alias("lubricant_kg"), ((feed + 2) * lost).alias("finished_tablets_kg"), F.lit(0).alias("reject_kg"), F.lit(0).alias("in_process_loss_kg"), F.when(F.col("event_id") % 97 == 0, F.col("ts") - F.expr("interval 2 days")).otherwise(F.col("ts")).cast("timestamp").alias("batch_record_ts"))
+    return screen(log, "pharma")
+
+
 def scan_findings(spark, sf_dir):
     """All detectors that apply to suppliers' lines, documents' texts, images and citations, as one relation of findings: how many by detector and severity."""
     from sievemark.operators import numeric, registry
@@ -361,7 +371,7 @@ def scan_findings(spark, sf_dir):
     return registry.scan(have).groupBy("detector_id", "severity").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b6_reconstruction, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g1_makes, g4_metadata, bh_fdr, severity_escalation, report_summary, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse, f3_copy_move, f6_patch_splice, f7_spectral, image_hashes, jats_parse, baseline_tables, scan_findings)}
+QUERIES = {f.__name__: f for f in (b1_grim, b5_tiva, b6_grimmer, b6_reconstruction, b7_pcurve, b8_sprite, c1_welch_pairs, c1_carlisle, t2_outcomes, t2_missing_nct, i1_mass_balance, i2_timestamp_integrity, i6_trend_oversmooth, reciprocal_citations, short_cycles, author_cluster_density, m1_cliques, f1_hamming_pairs, f4_cross_paper, f5_exif_clusters, g1_exif_temporal, g1_makes, g4_metadata, bh_fdr, severity_escalation, report_summary, integrity_score, severity_histogram, batch_summary, notify_digest, report_diff, dictionary_diff, rw_lookup, ori_lookup, pubpeer_ladder, author_retraction_history, lr_plus, file_sha256, rate_limit_hits, llm_review_parse, f3_copy_move, f6_patch_splice, f7_spectral, image_hashes, jats_parse, baseline_tables, industrial_screen, scan_findings)}
 
 _SUM = "s as (select l_orderkey as label, floor(avg(l_quantity) * 100 + 0.5) / 100 + l_orderkey % 3 * 0.13 as mean, floor(coalesce(stddev_samp(l_quantity), 0) * 100 + 0.5) / 100 as sd, cast(count(*) as int) as n from lineitem group by l_orderkey)"
 _PV = "pv as (select l_suppkey as label, (case when l_suppkey % 4 = 0 then cast(floor(l_extendedprice * 100) as bigint) % 60 + 400 else cast(floor(l_extendedprice * 100) as bigint) % 1000 end) / 10000.0 as p from lineitem)"
@@ -503,4 +513,13 @@ ORACLE_SQL = {
         t as (select doc_id, list_transform([1, 2, 3, 4], lambda k: trim(regexp_replace(coalesce(l[k], ''), ' +', ' ', 'g'))) as p from d)
         select doc_id, 'No ' || doc_id || ' & more' as title, trim('x2 ' || p[1]) as abstract, trim('Methods ' || p[2]) || chr(10) || chr(10) || trim('Methods ' || p[4]) as methods, trim('Results ' || p[3]) as results from t""",
     "baseline_tables": "select cast(c_nationkey % 10 as bigint) as table_id, 'Balance' as variable, 'Group ' || c_mktsegment || ' (n = ' || count(*) || ')' as arm, cast(count(*) as int) as n, round(avg(c_acctbal), 2) as mean, round(stddev_samp(c_acctbal), 2) as sd from customer group by c_nationkey % 10, c_mktsegment having count(*) >= 2 union all select cast(c_nationkey % 10 as bigint), 'Male', 'Group ' || c_mktsegment || ' (n = ' || count(*) || ')', cast(count(*) as int), 50.0, null from customer group by c_nationkey % 10, c_mktsegment",
+    "industrial_screen": """with b as (select user_id as file_id, count(*) as n, count_if(event_id % 5 = 0 and user_id % 4 <> 0) as v from events group by user_id having count(*) >= 5),
+        e as (select user_id as feed_id, event_id, case when event_id % 97 = 0 then ts - interval 2 days else ts end as ts from events),
+        d as (select feed_id, ts, cast(trunc((epoch_us(ts) - lag(epoch_us(ts)) over (partition by feed_id order by event_id)) / 1000000) as bigint) as dt, count(*) over (partition by feed_id) as k from e),
+        m as (select feed_id, median(dt) as med from d where k >= 20 group by all), a as (select d.feed_id, median(abs(dt - med)) as mad from d join m on m.feed_id = d.feed_id where k >= 20 group by all),
+        g as (select d.feed_id, count_if(dt < 0) as b, count_if(abs(dt - med) / (1.4826 * case when mad = 0 then 1e-9 else mad end) >= 4) as o, count_if(abs(dt - 3600) <= 10.036 or abs(dt - 28800) <= 10.288) as j
+              from d join m on m.feed_id = d.feed_id join a on a.feed_id = d.feed_id where k >= 20 group by all),
+        s as (select file_id, 'I1' as detector_id, case when v >= greatest(1, floor(0.3 * n)) then 3 when v >= greatest(1, floor(0.15 * n)) then 2 when v >= greatest(1, floor(0.05 * n)) then 1 else 0 end as severity from b
+              union all select feed_id, 'I2', case when j >= 5 then 4 when b > 0 or o >= 10 then 3 when o >= 3 then 2 else 0 end from g)
+        select file_id, detector_id, cast(severity as int) as severity from s where severity > 0""",
 }
