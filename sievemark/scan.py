@@ -1,7 +1,7 @@
 """Entry points: a folder of files, or relations, to findings and reports.
 
 scan_articles() screens article XML, operators.templates.screen() the logs of a process by their domain.
-scan_folder() reads what it knows (CSV, TSV, Excel, Word old and new, archives of figures, pictures),
+scan_folder() reads what it knows (CSV, TSV, Excel, Word old and new, PDF, archives of figures, pictures),
 turns it into the detectors' relations, and runs every registered detector that applies. Files are read
 in the executors, one at a time; their contents don't pass the driver.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.operators import images, registry
-from sievemark.sources import compound, documents, excel
+from sievemark.sources import compound, documents, excel, pdf
 from sievemark.sources.tables import MISSING
 
 
@@ -50,7 +50,7 @@ def figures(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, kind and picture of the figures in a folder's documents and archives, and of its picture files."""
     of = lambda pattern: documents.files(spark, folder, pattern, recursive=True)
     loose = of("*.{" + ",".join(e[1:] for e in documents.ENDINGS) + "}").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("").alias("kind"), F.col("content").alias("picture"))
-    return reduce(DataFrame.unionByName, [documents.docx_pictures(of("*.docx")), compound.doc_pictures(of("*.{doc,docb}")), documents.archive_pictures(of("*.{tar.gz,tgz}")), loose])
+    return reduce(DataFrame.unionByName, [documents.docx_pictures(of("*.docx")), pdf.pdf_pictures(of("*.pdf")), compound.doc_pictures(of("*.{doc,docb}")), documents.archive_pictures(of("*.{tar.gz,tgz}")), loose])
 
 
 def relations(spark: SparkSession, folder: str, year: int | None = None, authors: Iterable[str] = (), image_store: DataFrame | None = None, pictures: bool = True) -> dict[str, DataFrame]:
@@ -60,10 +60,11 @@ def relations(spark: SparkSession, folder: str, year: int | None = None, authors
     sheets = excel.excel_cells(of("*.{xlsx,xlsm}")).where("at is null").select("path", "sheet", "row_id", "col", "text")
     cells = numeric_cells(reduce(DataFrame.unionByName, [delimited_cells(of("*.{csv,tsv}")), sheets, tables.where(~F.trim("text").isin(*MISSING))]))
     plain = documents.files(spark, folder, "*.txt", recursive=True).select("path", F.decode("content", "utf-8").alias("text"))
-    texts = reduce(DataFrame.unionByName, [documents.docx_text(of("*.docx")), compound.doc_text(of("*.{doc,docb}")), plain]).select(F.col("path").alias("doc_id"), "text").where("trim(text) <> ''")
+    texts = reduce(DataFrame.unionByName, [documents.docx_text(of("*.docx")), pdf.pdf_text(of("*.pdf")), compound.doc_text(of("*.{doc,docb}")), plain]).select(F.col("path").alias("doc_id"), "text").where("trim(text) <> ''")
     no = F.lit(False)
     dated = texts.withColumns({"paper_year": F.lit(year).cast("int"), "is_clinical_trial": no, "is_human_subjects": no, "is_animal_study": no})
-    meta = documents.office_metadata(of("*.{docx,xlsx,xlsm}"))
+    printed = pdf.pdf_metadata(of("*.pdf")).select("path", F.coalesce("creator", "author").alias("creator"), "created", F.lit(None).cast("int").alias("revision"))
+    meta = documents.office_metadata(of("*.{docx,xlsx,xlsm}")).select("path", "creator", "created", "revision").unionByName(printed)
     files = meta.select(F.col("path").alias("file_id"), "creator", "created", "revision", F.array(*[F.lit(a) for a in authors]).cast("array<string>").alias("authors"), F.lit(None).cast("timestamp").alias("claimed_start"))
     out = {"cells": cells, "texts": texts, "dated_texts": dated, "files": files, "revisions": documents.docx_rsids(of("*.docx"))}
     if pictures:

@@ -380,3 +380,39 @@ def test_contexts_and_numbers(spark):
     df = spark.createDataFrame([(1.25, 1.25 + 1e-10), (3.0, 3.1), (0.0, 1e-13), (float("inf"), float("inf"))], "a double, b double")
     assert [(r.d, r.e) for r in df.select(decimal_places(F.col("a")).alias("d"), safe_equal(F.col("a"), F.col("b")).alias("e")).collect()][:3] == [(2, True), (0, False), (0, True)]
     assert df.select(safe_equal(F.col("a"), F.col("b")).alias("e")).collect()[3].e
+
+
+def pdf_file(objects, info=None):
+    body = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects.items())
+    return body + b"trailer << /Root 1 0 R %s >>\nstartxref\n0\n%%%%EOF" % (b"/Info %d 0 R" % info if info else b"")
+
+
+def test_pdf(spark, tmp_path):
+    from sievemark.sources import pdf
+
+    flate = lambda data, more=b"": b"<< /Filter /FlateDecode %s >>\nstream\n%s\nendstream" % (more, zlib.compress(data))
+    first = rb"BT /F1 12 Tf 72 700 Td (First \(line\) \251) Tj 0 -14 Td [(Sec) 20 (ond) -300 (line)] TJ ET BI /W 1 ID \x00(x) EI BT (after) ' ET"
+    second = b"BT /F2 9 Tf <00010002> Tj T* <0005> Tj ET"
+    cmap = b"begincodespacerange <0000> <FFFF> endcodespacerange beginbfchar <0001> <0041> endbfchar beginbfrange <0002> <0004> <0062> <0005> <0006> [<00E900E8> <0041>] endbfrange"
+    inner = b"20 0 21 44 << /Type /Font /Subtype /Type0 /ToUnicode 9 0 R >>  << /Type /Page /Parent 2 0 R /Contents [6 0 R 7 0 R] /Resources 8 0 R >>"
+    start = inner.index(b"<<")
+    picture = b"\xff\xd8\xff\xc0\0\x0b\x08" + struct.pack(">HH", 300, 400) + bytes(9000)
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [5 0 R 21 0 R] /Count 2 /Resources << /Font << /F1 4 0 R >> >> >>",
+        4: b"<< /Type /Font /BaseFont /Helvetica >>", 5: b"<< /Type /Page /Parent 2 0 R /Contents 3 0 R >>", 3: flate(first),
+        6: flate(second), 7: b"<< /Length 0 >>\nstream\n\nendstream", 8: b"<< /Font << /F2 20 0 R >> >>", 9: flate(cmap),
+        10: flate(inner, b"/Type /ObjStm /N 2 /First %d" % start), 11: b"<< /Author (Ann) /Creator <FEFF00C9> /CreationDate (D:20240102030405Z) >>",
+        12: b"<< /Subtype /Image /Filter /DCTDecode >>\nstream\n%s\nendstream" % picture,
+    }
+    # The second object of the stream begins where its head says.
+    at = inner[start:].index(b"<< /Type /Page")
+    objects[10] = flate(b"20 0 21 %d ".ljust(0) % at + inner[start:], b"/Type /ObjStm /N 2 /First %d" % len(b"20 0 21 %d " % at))
+    (tmp_path / "a.pdf").write_bytes(pdf_file(objects, 11))
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 broken 1 0 obj << /Type /Page /Contents 2 0 R >> endobj 2 0 obj << /Filter /FlateDecode >> stream\nxx endstream")
+    (tmp_path / "c.pdf").write_bytes(b"no")
+    rows = documents.files(spark, str(tmp_path), "*.pdf")
+    texts = {r.path[-5:]: r.text for r in pdf.pdf_text(rows).collect()}
+    assert texts["a.pdf"] == "First (line) ©\nSecond line\nafter\n\nAb\néè" and not texts.get("b.pdf")
+    m = {r.path[-5:]: r for r in pdf.pdf_metadata(rows).collect()}["a.pdf"]
+    assert (m.author, m.creator, str(m.created)) == ("Ann", "É", "2024-01-02 03:04:05")
+    assert [(r.name, len(r.picture)) for r in pdf.pdf_pictures(rows).collect()] == [("object12.jpg", len(picture))]
