@@ -9,24 +9,27 @@ inner tree becomes an automaton whose state is the longest suffix of the history
 texts are cut into pieces that start DEPTH symbols early, so all pieces of a chunk move on one symbol at
 a time together.
 
-Below it hang the contexts of whole words, as long as their word: these grow with the corpus and stay
-distributed. Every word too rare for the workers' list is a candidate; it is retained if the words that
-have followed it twice or more diverge from the words' own distribution by as much evidence. Its
-distribution is that of the next word as a whole, smoothed towards what the inner tree gives the word's
-symbols. Tokens after a rare word meet these contexts in joins.
+Below it hang the contexts of whole words, as long as their word: what follows them grows with the corpus
+and stays distributed. Every word is a candidate, or every one too rare for the workers' list; it is
+retained if the words that have followed it twice or more diverge from the words' own distribution by as
+much evidence. Its distribution is that of the next word as a whole, smoothed towards what the inner tree
+gives the word's symbols.
 
 Beside it stands a unigram model of words. Its counts cover the whole training corpus and stay
 distributed; only words whose probability is FREQUENT at least (so 1 / FREQUENT words at most) go to the
-workers, tokens of all others meet their counts in a join.
+workers, with their totals as contexts. Chunks of texts ask the distributed counts, in buckets, for every
+other word and every pair of words that they have.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +51,11 @@ FREQUENT = 1e-6
 PIECE = 512
 #: Bytes of text that are counted or scored together.
 SCORED_BYTES = 1_500_000
+#: Tokens whose words and pairs are looked up together.
+BUCKET = 1_000_000
 END = b"\n"
 _PAD = END * DEPTH
+_MIX, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 63)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -235,6 +241,34 @@ def grow(context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> Tree:
     return Tree(step, logp, classes, 0, int(keep.sum()))
 
 
+@dataclass
+class Known:
+    """What workers have of the frequent words; each array's last place is that of the rare ones."""
+
+    index: dict[bytes, int]
+    #: log10(c + 0.5), NaN for rare words; total of the context if it is retained, else 0.
+    values: np.ndarray
+    totals: np.ndarray
+    #: Keys of the words as contexts; as next words before a space, and before the end.
+    own: np.ndarray
+    following: tuple[np.ndarray, np.ndarray]
+
+
+def _hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64)
+
+
+def known(frequent: dict[bytes, float], totals: dict[bytes, int]) -> Known:
+    padded = [*frequent, b""]
+    return Known(
+        dict(zip(frequent, range(len(frequent)), strict=True)),
+        np.array([*frequent.values(), math.nan]),
+        np.array([totals.get(w, 0) for w in frequent] + [0], np.int64),
+        _hashes(padded),
+        (_hashes(w + b" " for w in padded), _hashes(w + END for w in padded)),
+    )
+
+
 @dataclass
 class Model:
     tree: Tree
@@ -243,58 +277,81 @@ class Model:
     frequent: dict[bytes, float]
     train_tokens: int
     vocabulary: int
-    #: word, total of the retained contexts; word, next, n of what follows them.
+    #: Of rare words: word, total of the retained contexts; word, next, n of what follows them.
     contexts: DataFrame
     following: DataFrame
+    #: Of frequent words in this order: totals of the retained contexts; keys and n of what follows them, None without such contexts.
+    totals: dict[bytes, int]
+    pairs: DataFrame | None
 
 
 @dataclass
 class Flat:
-    """The words of some texts one after the other; how frequent ones are, and what follows the rare ones."""
+    """The words of some texts one after the other, and keys of those that follow another."""
 
     words: list[bytes]
     #: Words of each text, and the text of each word.
     sizes: np.ndarray
     doc: np.ndarray
-    #: log10(c + 0.5) of frequent words, NaN for rare ones.
-    values: np.ndarray
-    #: Places of the rare words; which of them aren't the last of their text; keys of the words after those.
+    #: Place of each word among the frequent ones, -1 for rare ones; places of the rare ones, distinct rare words and which each is.
+    at: np.ndarray
     rare: np.ndarray
+    odd: list[bytes]
+    which: np.ndarray
+    #: Which words aren't the last of their text; keys of the words as contexts, and with the symbol that ends them as next words.
     inner: np.ndarray
-    after: list[int]
-
-
-def flat(lists: list[list[bytes]], frequent: dict[bytes, float]) -> Flat:
+    own: np.ndarray
+    next: np.ndarray
+    #: How many words are frequent.
+    frequent: int
+
+    def pairs(self, here: np.ndarray) -> np.ndarray:
+        """Keys of the words in these places with those after them: of frequent ones even, made of their places; of others odd, hashes."""
+        keys = self.own[here] * _MIX + self.next[here + 1] | np.uint64(1)
+        first, second = self.at[here], self.at[here + 1]
+        both = np.flatnonzero((first >= 0) & (second >= 0))
+        places = (first[both] * self.frequent + second[both]) * 2 + self.inner[here[both] + 1]
+        keys[both] = (places.astype(np.uint64) << np.uint64(64 - (2 * self.frequent**2).bit_length())) * _MIX
+        return keys
+
+
+def flat(lists: list[list[bytes]], known: Known) -> Flat:
     words = list(chain.from_iterable(lists))
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    values = np.fromiter(map(frequent.get, words, repeat(math.nan)), float, len(words))
-    rare = np.flatnonzero(np.isnan(values))
-    doc = np.repeat(np.arange(len(lists)), sizes)
-    last = np.cumsum(sizes)[doc[rare]] - 1
-    inner = rare < last
-    # A key is that of the next word with the symbol that ends it.
-    ends = (END if x else b" " for x in (rare + 1 == last)[inner].tolist())
-    after = [xxh64_intdigest(words[k + 1] + e) - (1 << 63) for k, e in zip(rare[inner].tolist(), ends, strict=True)]
-    return Flat(words, sizes, doc, values, rare, inner, after)
+    at = np.fromiter(map(known.index.get, words, repeat(-1)), np.int64, len(words))
+    rare = np.flatnonzero(at < 0)
+    inner = np.ones(len(words), bool)
+    inner[np.cumsum(sizes)[sizes > 0] - 1] = False
+    last = np.flatnonzero(~inner)
+    own, following = known.own[at], known.following[0][at]
+    following[last] = known.following[1][at[last]]
+    distinct: dict[bytes, int] = {}
+    which = np.fromiter((distinct.setdefault(words[k], len(distinct)) for k in rare.tolist()), np.int64, len(rare))
+    odd = list(distinct)
+    own[rare], following[rare] = _hashes(odd)[which], _hashes(w + b" " for w in odd)[which]
+    last = rare[~inner[rare]]
+    following[last] = _hashes(words[k] + END for k in last.tolist())
+    return Flat(words, sizes, np.repeat(np.arange(len(lists)), sizes), at, rare, odd, which, inner, own, following, len(known.index))
 
 
 def followed(training: DataFrame, frequent: dict[bytes, float], n: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The retained contexts of rare words, and how often each word follows them; written to the shared folder."""
     spark = training.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(known(frequent, {}))
     rarest = math.log(FREQUENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        have = shared.value
         for b in batches:
             texts = texts_of(b.column(0))
             for i, j in slices(texts, SCORED_BYTES):
-                f = flat([tokens(t) for t in texts[i:j]], known)
-                here = f.rare[f.inner]
-                count = Counter(zip([f.words[k] for k in here.tolist()], f.after, strict=True))
+                f = flat([tokens(t) for t in texts[i:j]], have)
+                here = f.rare[f.inner[f.rare]]
+                after = (f.next[here + 1] ^ _TOP).view(np.int64).tolist()
+                count = Counter(zip([f.words[k] for k in here.tolist()], after, strict=True))
                 # log10(c + 0.5) to nats of c / n, which a rare word's are below.
-                prior = np.fmax(math.log(10) * f.values[here + 1] - math.log(n), rarest)
-                own = dict(zip(f.after, prior.tolist(), strict=True))
+                prior = np.fmax(math.log(10) * have.values[f.at[here + 1]] - math.log(n), rarest)
+                own = dict(zip(after, prior.tolist(), strict=True))
                 keys = list(count)
                 for s in range(0, len(keys), 50_000):
                     part = keys[s : s + 50_000]
@@ -313,19 +370,245 @@ def followed(training: DataFrame, frequent: dict[bytes, float], n: int, text_col
     return kept.groupBy("word").agg(F.max("total").alias("total")), kept.select("word", "next", "n")
 
 
-def fit(training: DataFrame, text_col: str = "text") -> Model:
-    """The model of all training rows; a null text counts as empty, repeated rows count as often as they come."""
+def _released(spark: SparkSession) -> None:
+    """Lets go of the files of shuffles that nothing will read.
+
+    They go when the driver's JVM collects what refers to them, which after a query lasts until its
+    listeners have run; so it is asked to twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of no sign in as many bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys, the even and the odd ones: their first bytes first, which are much alike, as are the last of the even ones."""
+    odd = (keys & np.uint64(1)).astype(bool)
+    parts = [x.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (keys[~odd], keys[odd])]
+    return len(parts[0]).to_bytes(8) + b"".join(parts)
+
+
+def _keys(planes: bytes) -> np.ndarray:
+    size = int.from_bytes(planes[:8])
+    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel() for x in (planes[8 : 8 + size], planes[8 + size :])]
+    return np.sort(np.concatenate(parts).astype(np.uint64))
+
+
+def _cuts(keys: np.ndarray, bits: int) -> list[int]:
+    """Where each bucket, which has the keys of equal first bits, begins among sorted keys, and the end."""
+    return [*np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)]
+
+
+def _bits(n: int) -> int:
+    """Bits for buckets that n tokens fill by about BUCKET each."""
+    return max(1, math.ceil(math.log2(max(1, n) / BUCKET)))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
+
+
+_PAIRS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("context", pa.binary()), ("next", pa.binary())])
+_SUMS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.binary()), ("k", pa.binary()), ("e", pa.binary())])
+
+
+def followed_frequent(training: DataFrame, frequent: dict[bytes, float], n: int, text_col: str = "text") -> tuple[dict[bytes, int], DataFrame]:
+    """The same of frequent words: totals of the retained contexts; keys and n of what follows frequent words, in buckets.
+
+    A frequent word's pairs are many, so they are dealt by the pair's key; what each bucket adds to the
+    evidence of a context is summed over the buckets.
+    """
+    spark = training.sparkSession
+    shared = spark.sparkContext.broadcast(known(frequent, {}))
+    rarest, bits, size = math.log(FREQUENT), _bits(n), len(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = shared.value
+        for b in batches:
+            texts = texts_of(b.column(0))
+            for i, j in slices(texts, SCORED_BYTES):
+                f = flat([tokens(t) for t in texts[i:j]], have)
+                here = np.flatnonzero(f.inner & (f.at >= 0))
+                keys, first, count = np.unique(f.pairs(here), return_index=True, return_counts=True)
+                context, after = f.at[here[first]].astype(np.int32), f.at[here[first] + 1].astype(np.int32)
+                cuts = _cuts(keys, bits)
+                yield _batch([(x, _planes(keys[s:e]), _packed(count[s:e]), context[s:e].tobytes(), after[s:e].tobytes()) for x, (s, e) in enumerate(pairwise(cuts)) if e > s], _PAIRS)
+
+    def merge(table: pa.Table) -> pa.Table:
+        prior = np.fmax(math.log(10) * shared.value.values - math.log(n), rarest)
+        parts = [_keys(x) for x in table.column("keys").to_pylist()]
+        count = np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column("n").to_pylist(), parts, strict=True)])
+        keys, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        context, after = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int32)[first] for c in ("context", "next"))
+        count = np.bincount(inverse, count).astype(np.int64)
+        twice = np.where(count > 1, count, 0)
+        total, k, e = (np.bincount(context, x, size) for x in (count, twice, twice * (np.log(count) - prior[after])))
+        return pa.Table.from_batches([_batch([(table.column("bucket")[0].as_py(), _planes(keys), _packed(count), _packed(total.astype(np.int64)), _packed(k.astype(np.int64)), e[k > 0].tobytes())], _SUMS)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, k, e = (np.zeros(size, t) for t in (np.int64, np.int64, float))
+        for b in batches:
+            for more, twice, evidence in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total += _unpacked(more, size)
+                twice = _unpacked(twice, size)
+                k += twice
+                e[twice > 0] += np.frombuffer(evidence)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total), pa.array(k), pa.array(e)], names=["context", "total", "k", "e"])
+
+    folder = f"{scratch(spark, 'lm')}/pairs"
+    schema = "bucket int, keys binary, n binary, total binary, k binary, e binary"
+    rows = training.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, keys binary, n binary, context binary, next binary")
+    rows.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(merge, schema).write.parquet(folder)
+    written = spark.read.schema(schema).parquet(folder)
+    found = written.select("total", "k", "e").mapInArrow(sums, "context int, total long, k long, e double").groupBy("context").agg(*(F.sum(c).alias(c) for c in ("total", "k", "e")))
+    kept = found.where(F.col("e") - F.col("k") * F.log("total") >= EVIDENCE).select("context", "total").toArrow()
+    words = list(frequent)
+    return {words[i]: t for i, t in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True)}, written.select("keys", "n")
+
+
+def fit(training: DataFrame, text_col: str = "text", every_word: bool = False) -> Model:
+    """The model of all training rows; a null text counts as empty, repeated rows count as often as they come.
+
+    With every_word, contexts of whole words are those of every word, otherwise those of the rare ones alone.
+    """
     counts = counted(training, text_col)
     words = counts.where("word is not null").select("word", "n")
     n, v = words.agg(F.sum("n"), F.count("*")).first()
     n = n or 0
-    frequent = words.where(F.col("n") >= max(1.0, FREQUENT * n)).toArrow()
-    known = dict(zip(frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 0.5).tolist(), strict=True))
-    return Model(grow(*_contexts(counts)), words, known, n, v, *followed(training, known, max(1, n), text_col))
+    common = words.where(F.col("n") >= max(1.0, FREQUENT * n)).toArrow()
+    frequent = dict(zip(common.column("word").to_pylist(), np.log10(common.column("n").to_numpy() + 0.5).tolist(), strict=True))
+    tree = grow(*_contexts(counts))
+    contexts, following = followed(training, frequent, max(1, n), text_col)
+    totals, pairs = followed_frequent(training, frequent, max(1, n), text_col) if every_word else ({}, None)
+    if every_word:
+        _released(training.sparkSession)
+    return Model(tree, words, frequent, n, v, contexts, following, totals, pairs)
+
 
+_CHUNKS = "chunk long, ids array<long>, size long, texts binary"
+_ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("m", pa.int64()), ("keys", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("m", pa.int64()), ("seen", pa.binary()), ("total", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())])
+_TOLD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("m", pa.int64()), ("seen", pa.binary()), ("total", pa.binary()), ("k", pa.int64()), ("n", pa.binary())])
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-_NAMES = ["row", "doc_id", "word", "next", "p", "n_tokens", "n_known", "base", "score"]
-_SCHEMA = "row long, doc_id long, word binary, next long, p float, n_tokens long, n_known long, base double, score double"
+
+@dataclass
+class Question:
+    """What a chunk has to ask the distributed counts: distinct rare words and pairs of words, each in the order of their keys."""
+
+    words: list[bytes]
+    own: np.ndarray
+    #: Which of them each rare word of the chunk is.
+    word: np.ndarray
+    #: Places of the contexts; keys of their pairs, and the distinct ones.
+    here: np.ndarray
+    pairs: np.ndarray
+    keys: np.ndarray
+
+
+def question(f: Flat, known: Known) -> Question:
+    own = np.zeros(len(f.odd), np.uint64)
+    own[f.which] = f.own[f.rare]
+    order = np.argsort(own, kind="stable")
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    here = np.flatnonzero(f.inner & ((f.at < 0) | (known.totals[f.at] > 0)))
+    pairs = f.pairs(here)
+    return Question([f.odd[k] for k in order.tolist()], own[order], rank[f.which], here, pairs, np.unique(pairs))
+
+
+def _words(data: list[bytes], sizes: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
+
+
+def _lengths(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, words), np.int64, len(words))
+
+
+def _dealt(model: Model, bits: int) -> DataFrame:
+    """The model's distributed counts in buckets: rare words with their counts and contexts, and pairs of words."""
+    nothing = np.zeros(0, np.int64)
+
+    def rows(words: list[bytes], own, seen, total, keys, n) -> pa.RecordBatch:
+        w, k = _cuts(own, bits), _cuts(keys, bits)
+        parts = [(x, words[w[x] : w[x + 1]], slice(w[x], w[x + 1]), slice(k[x], k[x + 1])) for x in range(1 << bits) if w[x] < w[x + 1] or k[x] < k[x + 1]]
+        return _batch([(x, b"".join(p), _packed(_lengths(p)), len(p), _packed(seen[i]), _packed(total[i]), _planes(keys[j]), _packed(n[j])) for x, p, i, j in parts], _DEALT)
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in joined(batches):
+            words = b.column(0).to_pylist()
+            own = _hashes(words)
+            order = np.argsort(own)
+            yield rows([words[k] for k in order.tolist()], own[order], b.column(1).to_numpy()[order], b.column(2).to_numpy()[order], np.zeros(0, np.uint64), nothing)
+
+    def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in joined(batches):
+            keys = _hashes(b.column(0).to_pylist()) * _MIX + (b.column(1).to_numpy().view(np.uint64) ^ _TOP) | np.uint64(1)
+            order = np.argsort(keys)
+            yield rows([], np.zeros(0, np.uint64), nothing, nothing, keys[order], b.column(2).to_numpy()[order])
+
+    def of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for planes, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys = _keys(planes)
+                yield rows([], np.zeros(0, np.uint64), nothing, nothing, keys, _unpacked(n, len(keys)))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Batches by about 200,000 rows together, so that a bucket's part of them isn't small."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 200_000:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    schema = "bucket int, words binary, sizes binary, m long, seen binary, total binary, keys binary, n binary"
+    seen = model.counts.join(model.contexts, "word", "left").select("word", "n", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
+    found = seen.mapInArrow(of_words, schema).unionByName(model.following.select("word", "next", "n").mapInArrow(of_rare, schema))
+    return found if model.pairs is None else found.unionByName(model.pairs.mapInArrow(of_frequent, schema))
+
+
+def _told(asked: pa.Table, dealt: pa.Table) -> pa.Table:
+    """Counts of a bucket for every chunk that asks for some: 0 for what training texts don't have."""
+
+    def columns(table: pa.Table, *names: str) -> list[list]:
+        return [table.column(c).to_pylist() for c in names]
+
+    def words(table: pa.Table) -> pa.Array:
+        data, sizes, m = columns(table, "words", "sizes", "m")
+        return _words(data, np.concatenate([np.zeros(0, np.int64), *map(_unpacked, sizes, m)]))
+
+    m, seen, total, n = columns(dealt, "m", "seen", "total", "n")
+    seen, total = (np.concatenate([[0], *map(_unpacked, x, m)]).astype(np.int64) for x in (seen, total))
+    at = pc.fill_null(pc.index_in(words(asked), words(dealt)), -1).to_numpy() + 1
+    seen, total = seen[at], total[at]
+    parts = [_keys(x) for x in dealt.column("keys").to_pylist()]
+    keys, count = np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([np.zeros(0, np.int64), *map(_unpacked, n, map(len, parts))])
+    order = np.argsort(keys)
+    keys, count = keys[order], np.r_[count[order], 0]
+    keys = np.r_[keys, keys[-1:]] if len(keys) else np.zeros(1, np.uint64)
+    chunk, bucket, m = columns(asked, "chunk", "bucket", "m")
+    cuts = pairwise(np.cumsum([0, *m]).tolist())
+    told = []
+    for x, (i, j) in enumerate(cuts):
+        want = _keys(asked.column("keys")[x].as_py())
+        place = np.searchsorted(keys[:-1], want)
+        n = np.where(keys[place] == want, count[place], 0)
+        told.append((chunk[x], bucket[x], m[x], _packed(seen[i:j]), _packed(total[i:j]), len(want), _packed(n)))
+    return pa.Table.from_batches([_batch(told, _TOLD)])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,72 +616,86 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     A null text is empty: its one token is the end. Repeated rows are scored each; a model of no
     training texts gives every symbol the same probability; other columns of docs are left out.
+
+    Texts are written in chunks to the shared folder. Each asks once for every rare word and every pair of
+    words that it has; buckets of the counts answer, and the chunks are scored with their answers. Words are
+    matched as they are, so are pairs of frequent words, other pairs by keys of 63 bits.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.tree, model.frequent))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = shared.value
-        row = TaskContext.get().partitionId() << 36
+    end = model.frequent.get(END)
+    ends_known = end is not None
+    if end is None:
+        n_ends = model.counts.where(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0
+        end, ends_known = math.log10(n_ends + 0.5), n_ends > 0
+    tree_of, known_of = spark.sparkContext.broadcast(model.tree), spark.sparkContext.broadcast(known(model.frequent, model.totals))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 36
         for b in batches:
-            ids, texts = b.column(0), texts_of(b.column(1))
+            texts = texts_of(b.column(1))
             for i, j in slices(texts, SCORED_BYTES):
-                lists = [tokens(t) for t in texts[i:j]]
-                m = j - i
-                p, first, ends = tree.symbols(lists)
-                total = np.r_[0.0, np.cumsum(p, dtype=float)]
-                scores = total[ends + 1] - total[first]
-                f = flat(lists, frequent)
-                end = frequent.get(END)
-                base = np.bincount(f.doc, np.nan_to_num(f.values), m) + (end or 0.0)
-                known = f.sizes - np.bincount(f.doc[f.rare], minlength=m) + (end is not None)
-                own = pa.array(np.arange(row, row + m))
-                # The key of a text's own row is no word, so that it meets no count, and no two are alike.
-                keys = pa.array([END + str(r).encode() for r in range(row, row + m)], pa.binary())
-                yield pa.RecordBatch.from_arrays([own, ids.slice(i, m), keys, pa.nulls(m, pa.int64()), pa.nulls(m, pa.float32()), pa.array(f.sizes + 1), pa.array(known), pa.array(base), pa.array(scores)], names=_NAMES)
-                # Where words begin and past the last of each text: behind a space, or at the first symbol.
-                size = np.fromiter(map(len, f.words), np.int64, len(f.words)) + 1
-                begin = np.cumsum(size) - size
-                begin += np.repeat(first - np.r_[0, np.cumsum(np.bincount(f.doc, size, m))[:-1]].astype(np.int64), f.sizes)
-                here = f.rare[f.inner]
-                chance, after = np.zeros(len(f.rare), np.float32), np.zeros(len(f.rare), np.int64)
-                chance[f.inner] = total[begin[here + 1] + size[here + 1]] - total[begin[here + 1]]
-                after[f.inner] = f.after
-                words, rows_of = [f.words[k] for k in f.rare.tolist()], row + f.doc[f.rare]
-                inner = f.inner
-                if end is None:
-                    words, rows_of = words + [END] * m, np.r_[rows_of, row : row + m]
-                    chance, after, inner = np.r_[chance, np.zeros(m, np.float32)], np.r_[after, np.zeros(m, np.int64)], np.r_[inner, np.zeros(m, bool)]
-                for s in range(0, len(words), 50_000):
-                    part = slice(s, s + 50_000)
-                    k = len(words[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows_of[part]), pa.nulls(k, pa.int64()), pa.array(words[part], pa.binary()), pa.array(after[part], mask=~inner[part]), pa.array(chance[part]), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=_NAMES)
-                row += j - i
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
-    rest = model.counts.where(F.col("n") < max(1.0, FREQUENT * model.train_tokens))
-    met = rows.join(rest.join(model.contexts, "word", "left").withColumnRenamed("n", "seen"), "word", "left")
-    is_rare = F.col("n_tokens").isNull()
-    seen = F.coalesce("seen", F.lit(0))
-    after = F.col("next").isNotNull() & F.col("total").isNotNull()
-    part = met.select(
-        "row", "doc_id", "n_tokens", "score",
-        F.when(is_rare, (seen > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(is_rare, F.log10(seen + 0.5)).otherwise(F.col("base")).alias("base"),
-        F.when(after, F.col("word")).alias("word"), F.when(after, F.col("next")).alias("next"), "p", "total",
-    )
-    sums = lambda df: df.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-    # The inner tree's probability of a word gives way to that of the context, where it is retained.
-    p = F.pow(F.lit(10.0), F.col("p").cast("double"))
-    gain = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING * p) / (F.col("total") + SMOOTHING)) - F.col("p")
-    kept = spark.read.schema(part.schema).parquet(_written(part, spark))
-    longer = kept.where("next is not null").select("row", "word", "next", "p", "total").join(model.following, ["word", "next"], "left").groupBy("row").agg(F.sum(gain).alias("gain"))
-    total = sums(kept).join(longer, "row", "left")
-    norm = math.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
-    return total.select("doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+                data = END.join(b" ".join(tokens(t)) for t in texts[i:j])
+                small = pa.Codec("zstd").compress(data, asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([len(data)], pa.int64()), pa.array([small], pa.binary())], names=["chunk", "ids", "size", "texts"])
+                chunk += 1
 
+    def lists_of(size: int, texts: bytes) -> list[list[bytes]]:
+        return [t.split() for t in pa.Codec("zstd").decompress(texts, size, asbytes=True).split(END)]
 
-def _written(df: DataFrame, spark: SparkSession) -> str:
-    folder = f"{scratch(spark, 'lm')}/rows"
-    df.write.parquet(folder)
-    return folder
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = known_of.value
+        for b in batches:
+            for chunk, size, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q = question(flat(lists_of(size, texts), have), have)
+                w, k = _cuts(q.own, bits), _cuts(q.keys, bits)
+                parts = [(x, q.words[w[x] : w[x + 1]], q.keys[k[x] : k[x + 1]]) for x in range(1 << bits) if w[x] < w[x + 1] or k[x] < k[x + 1]]
+                yield _batch([(chunk, x, b"".join(p), _packed(_lengths(p)), len(p), _planes(keys)) for x, p, keys in parts], _ASKED)
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        tree, have = tree_of.value, known_of.value
+        ids, size, texts = (own.column(c)[0] for c in ("ids", "size", "texts"))
+        lists = lists_of(size.as_py(), texts.as_py())
+        m = len(lists)
+        f = flat(lists, have)
+        q = question(f, have)
+        told = told.sort_by("bucket").to_pydict()
+        seen, total = (np.concatenate([np.zeros(0, np.int64), *map(_unpacked, told[c], told["m"])])[q.word] for c in ("seen", "total"))
+        n = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, told["n"], told["k"])])[np.searchsorted(q.keys, q.pairs)]
+        values = have.values[f.at]
+        values[f.rare] = np.log10(seen + 0.5)
+        unseen = np.bincount(f.doc[f.rare[seen == 0]], minlength=m)
+        p, first, ends = tree.symbols(lists)
+        summed = np.r_[0.0, np.cumsum(p, dtype=float)]
+        # Where words begin: behind a space, or at the first symbol; each ends with a space or the text.
+        long = _lengths(f.words) + 1
+        begin = np.cumsum(long) - long
+        begin += np.repeat(first - np.r_[0, np.cumsum(np.bincount(f.doc, long, m))[:-1]].astype(np.int64), f.sizes)
+        # The inner tree's probability of a word gives way to that of the context, where it is retained.
+        totals = have.totals[f.at]
+        totals[f.rare] = total
+        kept = totals[q.here] > 0
+        here, n = q.here[kept], n[kept]
+        chance = summed[begin[here + 1] + long[here + 1]] - summed[begin[here + 1]]
+        gain = math.log10(SMOOTHING) - np.log10(totals[here] + SMOOTHING)
+        some = n > 0
+        gain[some] += np.logaddexp(0.0, np.log(n[some] / SMOOTHING) - math.log(10) * chance[some]) / math.log(10)
+        base = np.bincount(f.doc, values, m) + end - (f.sizes + 1) * norm
+        scores = summed[ends + 1] - summed[first] + np.bincount(f.doc[here], gain, m)
+        return pa.table([pa.array(ids.as_py(), pa.int64()), pa.array(f.sizes + 1), pa.array(f.sizes - unseen + ends_known), pa.array(base), pa.array(scores)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    norm = math.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
+    folder = scratch(spark, "lm")
+    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(chunks, _CHUNKS).write.parquet(f"{folder}/chunks")
+    texts = spark.read.schema(_CHUNKS).parquet(f"{folder}/chunks")
+    number, size = texts.agg(F.count("*"), F.sum("size")).first()
+    bits = _bits(max(model.train_tokens, (size or 0) // 6))
+    asked = texts.select("chunk", "size", "texts").mapInArrow(ask, "chunk long, bucket int, words binary, sizes binary, m long, keys binary")
+    told = "chunk long, bucket int, m long, seen binary, total binary, k long, n binary"
+    # A bucket or a few chunks to a task.
+    dealt = lambda df, by, tasks: df.repartition(tasks, by).groupBy(by)
+    dealt(asked, "bucket", 1 << bits).cogroup(dealt(_dealt(model, bits), "bucket", 1 << bits)).applyInArrow(_told, told).write.parquet(f"{folder}/told")
+    if model.pairs is not None:
+        _released(spark)
+    answers = spark.read.schema(told).parquet(f"{folder}/told")
+    tasks = max(1, number // 8)
+    return dealt(texts, "chunk", tasks).cogroup(dealt(answers, "chunk", tasks)).applyInArrow(score, _SCORED)

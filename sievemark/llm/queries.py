@@ -120,7 +120,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_bucket("doc_id", 5) == 1, F.lit(False))
-    model = fit(docs.where(~held_out))
+    model = fit(docs.where(~held_out), every_word=True)
     return scored(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -651,6 +651,63 @@ def test_lm_equals_a_naive_tree(spark, docs, monkeypatch, depth):
     assert (p[:, :-1].sum(axis=1) + unseen * p[:, -1]) == pytest.approx(np.ones(len(p)), abs=1e-4)
 
 
+class NaiveTreeOfEveryWord(NaiveTree):
+    """With the contexts of frequent words beside those of the rare ones."""
+
+    def kept_words(self, frequent):
+        lm, n = self.lm, sum(self.words.values())
+        kept = {}
+        for x, after in self.after.items():
+            prior = {y: max(math.log(lm.FREQUENT), math.log((self.words[y[:-1]] + 0.5) / n)) if y[:-1] in frequent else math.log(lm.FREQUENT) for y in after}
+            c = sum(after.values())
+            if sum(m * (math.log(m / c) - prior[y]) for y, m in after.items() if m > 1) >= lm.EVIDENCE:
+                kept[x] = c
+        return kept
+
+    def score(self, w, frequent):
+        lm, kept = self.lm, self.kept_words(frequent)
+        total, at = super().score(w, self.words), 0
+        s = lm._PAD + b" ".join(w) + lm.END
+        each = [math.log10(self.p(self.longest(s[k - lm.DEPTH : k]), s[k], False)) for k in range(lm.DEPTH, len(s))]
+        for k, x in enumerate(w):
+            inner = sum(each[at : at + len(x) + 1])
+            at += len(x) + 1
+            if k and w[k - 1] in kept:
+                m = self.after[w[k - 1]][x + (lm.END if k + 1 == len(w) else b" ")]
+                total += math.log10((m + lm.SMOOTHING * 10**inner) / (kept[w[k - 1]] + lm.SMOOTHING)) - inner
+        return total
+
+
+@pytest.mark.parametrize("frequent", [1e-6, 0.004])
+def test_lm_has_contexts_of_every_word(spark, docs, monkeypatch, frequent):
+    """Words on the workers' list are contexts as the others are: of few texts all words are on it."""
+    from sievemark.llm import lm
+
+    monkeypatch.setattr(lm, "P_MIN", 1e-3)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "BUCKET", 100)
+    model = lm.fit(docs, every_word=True)
+    naive = NaiveTreeOfEveryWord([lm.tokens((t or "").encode()) for _, t, *_ in TEXTS])
+    kept = naive.kept_words(model.frequent)
+    assert model.totals == {x: c for x, c in kept.items() if x in model.frequent} and model.totals
+    texts = [(d, t) for d, t, *_ in TEXTS if d != 10] + [(50, LOREM + " again"), (51, "never seen words"), (52, "the dog while the"), (53, "fox"), (54, "the " + "x" * 400)]
+    got = sorted((r.doc_id, r.score) for r in lm.scored(spark.createDataFrame(texts, "doc_id long, text string"), model).collect())
+    want = sorted((d, naive.score(lm.tokens((t or "").encode()), model.frequent)) for d, t in texts if d != 54)
+    assert [d for d, _ in got] == [*[d for d, _ in want], 54] and [x for _, x in got[:-1]] == pytest.approx([x for _, x in want], abs=0.01)
+    assert math.isfinite(got[-1][1])
+
+
+def test_the_query_scores_with_contexts_of_frequent_words(spark):
+    from sievemark.llm import lm
+    from sievemark.llm.common import crc_bucket, table
+    from sievemark.llm.queries import op8_lm
+
+    df = table(spark, "/root/testdata/sf0.001", "documents")
+    rare = lm.scored(df, lm.fit(df.where(crc_bucket("doc_id", 5) != 1))).agg(F.sum("score")).first()[0]
+    every = op8_lm(spark, "/root/testdata/sf0.001").agg(F.sum("score")).first()[0]
+    assert every > rare + 100
+
+
 def test_lm_of_no_texts_and_of_a_long_one(spark, docs):
     from sievemark.llm import lm
 
