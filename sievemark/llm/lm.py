@@ -488,8 +488,12 @@ def fit(training: DataFrame, text_col: str = "text", every_word: bool = False) -
     common = words.where(F.col("n") >= max(1.0, FREQUENT * n)).toArrow()
     frequent = dict(zip(common.column("word").to_pylist(), np.log10(common.column("n").to_numpy() + 0.5).tolist(), strict=True))
     tree = grow(*_contexts(counts))
+    totals, pairs = {}, None
+    if every_word:
+        _released(training.sparkSession)
+        totals, pairs = followed_frequent(training, frequent, max(1, n), text_col)
+        _released(training.sparkSession)
     contexts, following = followed(training, frequent, max(1, n), text_col)
-    totals, pairs = followed_frequent(training, frequent, max(1, n), text_col) if every_word else ({}, None)
     if every_word:
         _released(training.sparkSession)
     return Model(tree, words, frequent, n, v, contexts, following, totals, pairs)
@@ -560,16 +564,16 @@ def _dealt(model: Model, bits: int) -> DataFrame:
 
     def of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for planes, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys = _keys(planes)
-                yield rows([], np.zeros(0, np.uint64), nothing, nothing, keys, _unpacked(n, len(keys)))
+            for planes, n in zip(*b.columns, strict=True):
+                keys = _keys(planes.as_py())
+                yield rows([], np.zeros(0, np.uint64), nothing, nothing, keys, _unpacked(n.as_py(), len(keys)))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Batches by about 200,000 rows together, so that a bucket's part of them isn't small."""
+        """Batches by about 100,000 rows together, so that a bucket's part of them isn't small."""
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= 200_000:
+            if sum(x.num_rows for x in held) >= 100_000:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held = []
         if held:
@@ -645,7 +649,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = known_of.value
         for b in batches:
-            for chunk, size, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for chunk, size, texts in ([x.as_py() for x in r] for r in zip(*b.columns, strict=True)):
                 q = question(flat(lists_of(size, texts), have), have)
                 w, k = _cuts(q.own, bits), _cuts(q.keys, bits)
                 parts = [(x, q.words[w[x] : w[x + 1]], q.keys[k[x] : k[x + 1]]) for x in range(1 << bits) if w[x] < w[x + 1] or k[x] < k[x + 1]]
