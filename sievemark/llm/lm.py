@@ -26,16 +26,15 @@ from __future__ import annotations
 import gc
 import math
 import time
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, pairwise, repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -50,53 +49,99 @@ SMOOTHING = 6.0
 FREQUENT = 1e-6
 PIECE = 512
 #: Bytes of text that are counted or scored together.
-SCORED_BYTES = 1_500_000
+SCORED_BYTES = 2_500_000
 #: Tokens whose words and pairs are looked up together.
 BUCKET = 1_000_000
 END = b"\n"
 _PAD = END * DEPTH
-_MIX, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 63)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: First bits of a rare word's key that the keys of its pairs begin with, so that a bucket has all of them.
+SHARED = 16
 
 
 def tokens(text: bytes) -> list[bytes]:
+    """The tokens of one text but its end; split() has them of many."""
     return text.lower().split()
 
 
-def _stream(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the texts, each after DEPTH end marks; first symbol and end mark of each."""
-    joined = [b" ".join(w) for w in docs]
-    size = np.array([len(x) for x in joined], np.int64)
-    first = np.cumsum(np.r_[0, size[:-1] + DEPTH]) + DEPTH
-    return np.frombuffer(_PAD + _PAD.join(joined) + END, np.uint8), first, first + size
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of the texts one after the other; how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    words, sizes = lists.flatten().view(pa.large_binary()), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    empty = pc.binary_length(words).to_numpy() == 0  # before or behind white space
+    if empty.any():
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        words = words.filter(pa.array(~empty))
+    return words, sizes
 
 
-def _grams(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words one after the other, and where each begins, and the end."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = words.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def _joined(words: pa.Array, sizes: np.ndarray, by: bytes) -> pa.Array:
+    """Runs of so many words, each run as one."""
+    runs = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int64)), words)
+    return pc.binary_join(runs, pa.scalar(by, pa.large_binary()))
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """The words as a list; none is empty or holds white space."""
+    return _joined(words, np.array([len(words)]), END)[0].as_py().split()
+
+
+def _stream(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts, which begin in these places of data, each after DEPTH end marks; first symbol and end mark of each."""
+    first = np.cumsum(np.r_[0, size + DEPTH])[:-1] + DEPTH
+    symbols = np.full(int(size.sum()) + DEPTH * len(size) + 1, END[0], np.uint8)
+    for at, k, n in zip(first.tolist(), start.tolist(), size.tolist(), strict=True):
+        symbols[at : at + n] = data[k : k + n]
+    return symbols, first, first + size
+
+
+def _grams(words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (context of DEPTH symbols, next symbol), packed, and their counts."""
-    symbols, _, ends = _stream(docs)
+    data, offsets = _raw(_joined(words, sizes, b" "))
+    symbols, _, ends = _stream(data, offsets[:-1], np.diff(offsets))
     real = symbols[DEPTH:] != END[0]
     real[ends - DEPTH] = True
     packed = np.zeros(len(symbols) - DEPTH, np.int64)
     for k in range(DEPTH + 1):
         packed = packed << 8 | symbols[k : len(symbols) - DEPTH + k]
-    return np.unique(packed[real], return_counts=True)
+    return _distinct(packed[real])
+
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often they come. np.unique hashes or sorts stably, which takes several times as long."""
+    keys = np.sort(keys)
+    new = _new(keys)
+    return keys[new], np.diff(np.r_[new, len(keys)])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted; the sums of n; a place of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = _new(keys)
+    return keys[new], np.add.reduceat(n[order], new) if len(new) else n[:0], order[new]
 
-def _word_counts(docs: list[list[bytes]]) -> tuple[pa.Array, np.ndarray]:
-    flat = [w for d in docs for w in d]
-    offsets = np.zeros(len(flat) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)), out=offsets[1:])
-    found = pc.value_counts(pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(flat))]))
-    return found.field(0).cast(pa.binary()), found.field(1).to_numpy()
+
+def _new(keys: np.ndarray) -> np.ndarray:
+    """Places of sorted keys that differ from the one before."""
+    return np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (word, null, count) and (null, gram, count)."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    most = 1_000_000
 
     def merge() -> None:
-        keys = np.concatenate([k for k, _ in held])
-        unique, at = np.unique(keys, return_inverse=True)
-        held[:] = [(unique, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))]
+        held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))[:2]]
 
     def rows(words, grams, n) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([words, grams, pa.array(n, pa.int64())], names=["word", "gram", "n"])
@@ -104,13 +149,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = texts_of(b.column(0))
         for i, j in slices(texts, SCORED_BYTES):
-            docs = [tokens(t) for t in texts[i:j]]
-            words, n = _word_counts(docs)
-            yield rows(words, pa.nulls(len(n), pa.int64()), n)
-            yield rows(pa.array([END], pa.binary()), pa.nulls(1, pa.int64()), [len(docs)])
-            held.append(_grams(docs))
-            if sum(len(k) for k, _ in held) > 1_000_000:
+            words, sizes = split(texts[i:j])
+            found = words.value_counts()
+            yield rows(found.field(0).cast(pa.binary()), pa.nulls(len(found), pa.int64()), found.field(1).to_numpy())
+            yield rows(pa.array([END], pa.binary()), pa.nulls(1, pa.int64()), [j - i])
+            held.append(_grams(words, sizes))
+            if sum(len(k) for k, _ in held) > most:
                 merge()
+                most = 2 * len(held[0][0]) + 1_000_000
     if held:
         merge()
         keys, n = held[0]
@@ -137,34 +183,30 @@ class Tree:
     start: int
     retained: int
 
-    def symbols(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of every symbol of the texts one after the other; where the texts begin and end among them."""
-        symbols, first, ends = _stream(docs)
+    def symbols(self, symbols: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 probability of every symbol of a stream of texts."""
         classes = self.symbol[symbols]
         n = ends - first + 1
         pieces = -(-n // PIECE)
-        doc = np.repeat(np.arange(len(docs)), pieces)
+        doc = np.repeat(np.arange(len(n)), pieces)
         at = first[doc] + PIECE * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         stop = np.minimum(at + PIECE, ends[doc] + 1)
         order = np.argsort(at - stop, kind="stable")
         at, size = at[order], (stop - at)[order]
+        # Tables in one dimension are taken from faster; a state is where its row begins.
+        width = self.step.shape[1]
+        step, logp, classes = (self.step * np.int32(width)).ravel(), self.logp.ravel(), classes.astype(np.int32)
         state = np.zeros(len(at), np.int32)
         for k in range(DEPTH):
-            state = self.step[state, classes[at - DEPTH + k]]
+            state = step.take(state + classes.take(at - DEPTH + k))
         out = np.zeros(len(symbols), np.float32)
         active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
         for t, k in enumerate(active):
             here = at[:k] + t
-            c, s = classes[here], state[:k]
-            out[here] = self.logp[s, c]
-            state[:k] = self.step[s, c]
-        return out, first, ends
-
-    def score(self, docs: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        p, first, ends = self.symbols(docs)
-        total = np.r_[0.0, np.cumsum(p, dtype=float)]
-        return total[ends + 1] - total[first]
+            s = state[:k] + classes.take(here)
+            out[here] = logp.take(s)
+            state[:k] = step.take(s)
+        return out
 
 
 def _contexts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,6 +288,8 @@ class Known:
     """What workers have of the frequent words; each array's last place is that of the rare ones."""
 
     index: dict[bytes, int]
+    #: The words, each with a space behind it.
+    spaced: pa.Array
     #: log10(c + 0.5), NaN for rare words; total of the context if it is retained, else 0.
     values: np.ndarray
     totals: np.ndarray
@@ -262,6 +306,7 @@ def known(frequent: dict[bytes, float], totals: dict[bytes, int]) -> Known:
     padded = [*frequent, b""]
     return Known(
         dict(zip(frequent, range(len(frequent)), strict=True)),
+        pa.array([w + b" " for w in frequent], pa.large_binary()),
         np.array([*frequent.values(), math.nan]),
         np.array([totals.get(w, 0) for w in frequent] + [0], np.int64),
         _hashes(padded),
@@ -277,26 +322,36 @@ class Model:
     frequent: dict[bytes, float]
     train_tokens: int
     vocabulary: int
-    #: Of rare words: word, total of the retained contexts; word, next, n of what follows them.
+    #: Totals of the retained contexts: of rare words by the word's key, of frequent words.
     contexts: DataFrame
-    following: DataFrame
-    #: Of frequent words in this order: totals of the retained contexts; keys and n of what follows them, None without such contexts.
     totals: dict[bytes, int]
-    pairs: DataFrame | None
+    #: What follows contexts, in a bucket for each beginning of so many bits: keys and n of pairs of words, keys and totals of rare contexts.
+    pairs: DataFrame
+    bits: int
+
+
+def coded(texts: list[bytes], known: Known) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of the texts one after the other, each as its place among the frequent ones and then the rare ones of these texts; how many each text has; the rare ones."""
+    words, sizes = split(texts)
+    found = words.dictionary_encode()
+    distinct = _listed(found.dictionary)
+    places = np.fromiter(map(known.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+    rare = np.flatnonzero(places < 0)
+    places[rare] = len(known.index) + np.arange(len(rare))
+    return places[found.indices.to_numpy()], sizes, [distinct[k] for k in rare.tolist()]
 
 
 @dataclass
 class Flat:
     """The words of some texts one after the other, and keys of those that follow another."""
 
-    words: list[bytes]
-    #: Words of each text, and the text of each word.
+    #: Place of each word, among the frequent ones or behind them; words of each text; distinct rare words.
+    places: np.ndarray
     sizes: np.ndarray
-    doc: np.ndarray
-    #: Place of each word among the frequent ones, -1 for rare ones; places of the rare ones, distinct rare words and which each is.
+    odd: list[bytes]
+    #: Place of each word among the frequent ones, their number for rare ones; places of the rare ones and which each is.
     at: np.ndarray
     rare: np.ndarray
-    odd: list[bytes]
     which: np.ndarray
     #: Which words aren't the last of their text; keys of the words as contexts, and with the symbol that ends them as next words.
     inner: np.ndarray
@@ -307,67 +362,43 @@ class Flat:
 
     def pairs(self, here: np.ndarray) -> np.ndarray:
         """Keys of the words in these places with those after them: of frequent ones even, made of their places; of others odd, hashes."""
-        keys = self.own[here] * _MIX + self.next[here + 1] | np.uint64(1)
+        keys = np.empty(len(here), np.uint64)
         first, second = self.at[here], self.at[here + 1]
-        both = np.flatnonzero((first >= 0) & (second >= 0))
+        both = (first < self.frequent) & (second < self.frequent)
+        other, both = here[~both], np.flatnonzero(both)
+        hashed = self.own[other] * _MIX + self.next[other + 1]
+        rare = np.flatnonzero(self.at[other] == self.frequent)
+        own = self.own[other[rare]]
+        hashed[rare] = own >> np.uint64(64 - SHARED) << np.uint64(64 - SHARED) | hashed[rare] >> np.uint64(SHARED)
+        mask = np.ones(len(here), bool)
+        mask[both] = False
+        keys[mask] = hashed | np.uint64(1)
         places = (first[both] * self.frequent + second[both]) * 2 + self.inner[here[both] + 1]
-        keys[both] = (places.astype(np.uint64) << np.uint64(64 - (2 * self.frequent**2).bit_length())) * _MIX
+        keys[both] = (places.astype(np.uint64) << _shift(self.frequent)) * _MIX
         return keys
 
 
-def flat(lists: list[list[bytes]], known: Known) -> Flat:
-    words = list(chain.from_iterable(lists))
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    at = np.fromiter(map(known.index.get, words, repeat(-1)), np.int64, len(words))
-    rare = np.flatnonzero(at < 0)
-    inner = np.ones(len(words), bool)
-    inner[np.cumsum(sizes)[sizes > 0] - 1] = False
-    last = np.flatnonzero(~inner)
-    own, following = known.own[at], known.following[0][at]
-    following[last] = known.following[1][at[last]]
-    distinct: dict[bytes, int] = {}
-    which = np.fromiter((distinct.setdefault(words[k], len(distinct)) for k in rare.tolist()), np.int64, len(rare))
-    odd = list(distinct)
-    own[rare], following[rare] = _hashes(odd)[which], _hashes(w + b" " for w in odd)[which]
-    last = rare[~inner[rare]]
-    following[last] = _hashes(words[k] + END for k in last.tolist())
-    return Flat(words, sizes, np.repeat(np.arange(len(lists)), sizes), at, rare, odd, which, inner, own, following, len(known.index))
+def _shift(frequent: int) -> np.uint64:
+    return np.uint64(64 - (2 * frequent**2).bit_length())
 
 
-def followed(training: DataFrame, frequent: dict[bytes, float], n: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The retained contexts of rare words, and how often each word follows them; written to the shared folder."""
-    spark = training.sparkSession
-    shared = spark.sparkContext.broadcast(known(frequent, {}))
-    rarest = math.log(FREQUENT)
+def _both(keys: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the frequent words that even keys are made of."""
+    return np.divmod((keys * _UNMIX >> _shift(frequent)).astype(np.int64) >> 1, max(1, frequent))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value
-        for b in batches:
-            texts = texts_of(b.column(0))
-            for i, j in slices(texts, SCORED_BYTES):
-                f = flat([tokens(t) for t in texts[i:j]], have)
-                here = f.rare[f.inner[f.rare]]
-                after = (f.next[here + 1] ^ _TOP).view(np.int64).tolist()
-                count = Counter(zip([f.words[k] for k in here.tolist()], after, strict=True))
-                # log10(c + 0.5) to nats of c / n, which a rare word's are below.
-                prior = np.fmax(math.log(10) * have.values[f.at[here + 1]] - math.log(n), rarest)
-                own = dict(zip(after, prior.tolist(), strict=True))
-                keys = list(count)
-                for s in range(0, len(keys), 50_000):
-                    part = keys[s : s + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([x for _, x in part], pa.int64()), pa.array([count[x] for x in part], pa.int64()), pa.array([own[x] for _, x in part], pa.float64())], names=["word", "next", "n", "prior"])
 
-    folder = scratch(spark, "lm")
-    rows = training.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, next long, n long, prior double")
-    # One exchange by word serves both aggregations; a rare word has few rows of all.
-    found = rows.repartition("word").groupBy("word", "next").agg(F.sum("n").alias("n"), F.max("prior").alias("prior"))
-    own = Window.partitionBy("word")
-    # Sum of n log(n / total / prior) over what follows twice or more.
-    twice = F.when(F.col("n") > 1, F.col("n"))
-    found = found.withColumns({"total": F.sum("n").over(own), "k": F.sum(twice).over(own), "e": F.sum(twice * (F.log("n") - F.col("prior"))).over(own)})
-    found.where(F.col("e") - F.col("k") * F.log("total") >= EVIDENCE).select("word", "next", "n", "total").write.parquet(f"{folder}/following")
-    kept = spark.read.schema("word binary, next long, n long, total long").parquet(f"{folder}/following")
-    return kept.groupBy("word").agg(F.max("total").alias("total")), kept.select("word", "next", "n")
+def flat(places: np.ndarray, sizes: np.ndarray, odd: list[bytes], known: Known) -> Flat:
+    frequent = len(known.index)
+    at = np.minimum(places, frequent)
+    rare = np.flatnonzero(places >= frequent)
+    inner = np.ones(len(places), bool)
+    inner[np.cumsum(sizes)[sizes > 0] - 1] = False
+    last = np.flatnonzero(~inner)
+    own, following = (np.r_[x[:-1], y][places] for x, y in ((known.own, _hashes(odd)), (known.following[0], _hashes(w + b" " for w in odd))))
+    following[last] = known.following[1][at[last]]
+    last = last[at[last] == frequent]
+    following[last] = _hashes(odd[k] + END for k in (places[last] - frequent).tolist())
+    return Flat(places, sizes, odd, at, rare, places[rare] - frequent, inner, own, following, frequent)
 
 
 def _released(spark: SparkSession) -> None:
@@ -391,17 +422,22 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys, the even and the odd ones: their first bytes first, which are much alike, as are the last of the even ones."""
-    odd = (keys & np.uint64(1)).astype(bool)
-    parts = [x.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (keys[~odd], keys[odd])]
+def _planes(*parts: np.ndarray) -> bytes:
+    """Sorted keys, or sorted even and odd ones: their first bytes first, which are much alike, as are the last of the even ones."""
+    even, odd = parts if len(parts) == 2 else [parts[0][(parts[0] & np.uint64(1)) == k] for k in (0, 1)]
+    parts = [x.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (even, odd)]
     return len(parts[0]).to_bytes(8) + b"".join(parts)
 
 
-def _keys(planes: bytes) -> np.ndarray:
+def _parted(planes: bytes) -> np.ndarray:
+    """The even keys and then the odd ones."""
     size = int.from_bytes(planes[:8])
     parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel() for x in (planes[8 : 8 + size], planes[8 + size :])]
-    return np.sort(np.concatenate(parts).astype(np.uint64))
+    return np.concatenate(parts).astype(np.uint64)
+
+
+def _keys(planes: bytes) -> np.ndarray:
+    return np.sort(_parted(planes))
 
 
 def _cuts(keys: np.ndarray, bits: int) -> list[int]:
@@ -411,51 +447,79 @@ def _cuts(keys: np.ndarray, bits: int) -> list[int]:
 
 def _bits(n: int) -> int:
     """Bits for buckets that n tokens fill by about BUCKET each."""
-    return max(1, math.ceil(math.log2(max(1, n) / BUCKET)))
+    return min(SHARED, max(1, math.ceil(math.log2(max(1, n) / BUCKET))))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-_PAIRS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("context", pa.binary()), ("next", pa.binary())])
-_SUMS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.binary()), ("k", pa.binary()), ("e", pa.binary())])
+_FOLLOWED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("context", pa.binary()), ("rare", pa.binary()), ("m", pa.binary()), ("own", pa.binary()), ("next", pa.binary())])
+_SUMS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.binary()), ("k", pa.binary()), ("e", pa.binary()), ("context", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
 
 
-def followed_frequent(training: DataFrame, frequent: dict[bytes, float], n: int, text_col: str = "text") -> tuple[dict[bytes, int], DataFrame]:
-    """The same of frequent words: totals of the retained contexts; keys and n of what follows frequent words, in buckets.
+def followed(training: DataFrame, frequent: dict[bytes, float], n: int, bits: int, text_col: str = "text", every_word: bool = False) -> tuple[DataFrame, dict[bytes, int], DataFrame]:
+    """Totals of the retained contexts, of rare words by key and of frequent words; keys and n of what follows, in buckets.
 
-    A frequent word's pairs are many, so they are dealt by the pair's key; what each bucket adds to the
-    evidence of a context is summed over the buckets.
+    Pairs are dealt by their key, which is a rare word's own in its first bits, so that a bucket has all that
+    follows a rare word. What follows a frequent word is in all buckets, and what each adds to the evidence is
+    summed over them.
     """
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(known(frequent, {}))
-    rarest, bits, size = math.log(FREQUENT), _bits(n), len(frequent)
+    rarest, size = math.log(FREQUENT), len(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for b in batches:
             texts = texts_of(b.column(0))
             for i, j in slices(texts, SCORED_BYTES):
-                f = flat([tokens(t) for t in texts[i:j]], have)
-                here = np.flatnonzero(f.inner & (f.at >= 0))
-                keys, first, count = np.unique(f.pairs(here), return_index=True, return_counts=True)
-                context, after = f.at[here[first]].astype(np.int32), f.at[here[first] + 1].astype(np.int32)
-                cuts = _cuts(keys, bits)
-                yield _batch([(x, _planes(keys[s:e]), _packed(count[s:e]), context[s:e].tobytes(), after[s:e].tobytes()) for x, (s, e) in enumerate(pairwise(cuts)) if e > s], _PAIRS)
+                f = flat(*coded(texts[i:j], have), have)
+                here = f.rare[f.inner[f.rare]]
+                rare, m, at = _summed(f.pairs(here), np.ones(len(here), np.int64))
+                own, after = f.own[here[at]], f.at[here[at] + 1].astype(np.int32)
+                here = np.flatnonzero(f.inner & (f.at < size)) if every_word else here[:0]
+                mixed = f.at[here + 1] == size
+                even, odd = here[~mixed], here[mixed]
+                even, count = _distinct(f.pairs(even))
+                keys, more, at = _summed(f.pairs(odd), np.ones(len(odd), np.int64))
+                context = f.at[odd[at]].astype(np.int32)
+                cuts = zip(*(pairwise(_cuts(x, bits)) for x in (even, keys, rare)), strict=True)
+                yield _batch([(x, _planes(even[a:b], keys[c:d]), _packed(np.r_[count[a:b], more[c:d]]), context[c:d].tobytes(), _planes(even[:0], rare[s:e]), _packed(m[s:e]), own[s:e].tobytes(), after[s:e].tobytes()) for x, ((a, b), (c, d), (s, e)) in enumerate(cuts) if b > a or d > c or e > s], _FOLLOWED)
 
     def merge(table: pa.Table) -> pa.Table:
+        # log10(c + 0.5) to nats of c / n, which a rare word's are below.
         prior = np.fmax(math.log(10) * shared.value.values - math.log(n), rarest)
-        parts = [_keys(x) for x in table.column("keys").to_pylist()]
-        count = np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column("n").to_pylist(), parts, strict=True)])
-        keys, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        context, after = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int32)[first] for c in ("context", "next"))
-        count = np.bincount(inverse, count).astype(np.int64)
+        columns = {c: table.column(c).to_pylist() for c in table.column_names}
+
+        def parts(keys: str, count: str) -> tuple[np.ndarray, np.ndarray]:
+            each = [_parted(x) for x in columns[keys]]
+            return np.concatenate(each), np.concatenate([_unpacked(x, len(k)) for x, k in zip(columns[count], each, strict=True)])
+
+        keys, count = parts("keys", "n")
+        even = (keys & np.uint64(1)) == 0
+        pairs = [_summed(keys[even], count[even])[:2]]
+        context, after = _both(pairs[0][0], size)
+        more, count, at = _summed(keys[~even], count[~even])
+        pairs.append((more, count))
+        context = np.r_[context, np.frombuffer(b"".join(columns["context"]), np.int32)[at]]
+        after = np.r_[after, np.full(len(more), size)]
+        count = np.concatenate([x for _, x in pairs])
         twice = np.where(count > 1, count, 0)
-        total, k, e = (np.bincount(context, x, size) for x in (count, twice, twice * (np.log(count) - prior[after])))
-        return pa.Table.from_batches([_batch([(table.column("bucket")[0].as_py(), _planes(keys), _packed(count), _packed(total.astype(np.int64)), _packed(k.astype(np.int64)), e[k > 0].tobytes())], _SUMS)])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.bincount(context, x, size) for x in (count, twice, twice * (np.log(count) - prior[after]))] if every_word else [np.zeros(0)] * 3
+        # Sum of n log(n / total / prior) over what follows twice or more.
+        rare, m, at = _summed(*parts("rare", "m"))
+        own, after = np.frombuffer(b"".join(columns["own"]), np.uint64)[at], np.frombuffer(b"".join(columns["next"]), np.int32)[at]
+        words, which = np.unique(own, return_inverse=True)
+        twice = np.where(m > 1, m, 0)
+        total, k, e = (np.bincount(which, x, len(words)) for x in (m, twice, twice * (np.log(m) - prior[after])))
+        keep = e - k * np.log(total) >= EVIDENCE
+        pairs.append((rare[keep[which]], m[keep[which]]))
+        keys, count, _ = _summed(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        total, (seen, k, e) = total[keep].astype(np.int64), sums
+        return pa.Table.from_batches([_batch([(columns["bucket"][0], _planes(keys), _packed(count), _packed(seen.astype(np.int64)), _packed(k.astype(np.int64)), e[k > 0].tobytes(), words[keep].view(np.int64), total)], _SUMS)])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, k, e = (np.zeros(size, t) for t in (np.int64, np.int64, float))
         for b in batches:
             for more, twice, evidence in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -466,14 +530,18 @@ def followed_frequent(training: DataFrame, frequent: dict[bytes, float], n: int,
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total), pa.array(k), pa.array(e)], names=["context", "total", "k", "e"])
 
     folder = f"{scratch(spark, 'lm')}/pairs"
-    schema = "bucket int, keys binary, n binary, total binary, k binary, e binary"
-    rows = training.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, keys binary, n binary, context binary, next binary")
+    schema = "bucket int, keys binary, n binary, total binary, k binary, e binary, context array<long>, totals array<long>"
+    rows = training.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, keys binary, n binary, context binary, rare binary, m binary, own binary, next binary")
     rows.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(merge, schema).write.parquet(folder)
     written = spark.read.schema(schema).parquet(folder)
-    found = written.select("total", "k", "e").mapInArrow(sums, "context int, total long, k long, e double").groupBy("context").agg(*(F.sum(c).alias(c) for c in ("total", "k", "e")))
-    kept = found.where(F.col("e") - F.col("k") * F.log("total") >= EVIDENCE).select("context", "total").toArrow()
-    words = list(frequent)
-    return {words[i]: t for i, t in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True)}, written.select("keys", "n")
+    contexts = written.select(F.inline(F.arrays_zip("context", "totals")))
+    totals = {}
+    if every_word:
+        found = written.select("total", "k", "e").mapInArrow(summed, "context int, total long, k long, e double").groupBy("context").agg(*(F.sum(c).alias(c) for c in ("total", "k", "e")))
+        kept = found.where(F.col("e") - F.col("k") * F.log("total") >= EVIDENCE).select("context", "total").toArrow()
+        words = list(frequent)
+        totals = {words[i]: t for i, t in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True)}
+    return contexts, totals, written.select("bucket", "keys", "n", "context", "totals")
 
 
 def fit(training: DataFrame, text_col: str = "text", every_word: bool = False) -> Model:
@@ -485,23 +553,22 @@ def fit(training: DataFrame, text_col: str = "text", every_word: bool = False) -
     words = counts.where("word is not null").select("word", "n")
     n, v = words.agg(F.sum("n"), F.count("*")).first()
     n = n or 0
-    common = words.where(F.col("n") >= max(1.0, FREQUENT * n)).toArrow()
+    # The most frequent first, so that places of most words are small numbers.
+    common = words.where(F.col("n") >= max(1.0, FREQUENT * n)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     frequent = dict(zip(common.column("word").to_pylist(), np.log10(common.column("n").to_numpy() + 0.5).tolist(), strict=True))
     tree = grow(*_contexts(counts))
-    totals, pairs = {}, None
     if every_word:
         _released(training.sparkSession)
-        totals, pairs = followed_frequent(training, frequent, max(1, n), text_col)
-        _released(training.sparkSession)
-    contexts, following = followed(training, frequent, max(1, n), text_col)
+    bits = _bits(n)
+    contexts, totals, pairs = followed(training, frequent, max(1, n), bits, text_col, every_word)
     if every_word:
         _released(training.sparkSession)
-    return Model(tree, words, frequent, n, v, contexts, following, totals, pairs)
+    return Model(tree, words, frequent, n, v, contexts, totals, pairs, bits)
 
 
-_CHUNKS = "chunk long, ids array<long>, size long, texts binary"
+_CHUNKS = "chunk long, ids array<long>, sizes array<long>, places binary, odd binary, size long"
 _ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("m", pa.int64()), ("keys", pa.binary())])
-_DEALT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("m", pa.int64()), ("seen", pa.binary()), ("total", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("m", pa.int64()), ("seen", pa.binary()), ("keys", pa.binary()), ("n", pa.binary()), ("context", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64()))])
 _TOLD = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("m", pa.int64()), ("seen", pa.binary()), ("total", pa.binary()), ("k", pa.int64()), ("n", pa.binary())])
 _SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -514,21 +581,19 @@ class Question:
     own: np.ndarray
     #: Which of them each rare word of the chunk is.
     word: np.ndarray
-    #: Places of the contexts; keys of their pairs, and the distinct ones.
+    #: Places of the contexts; keys of their pairs.
     here: np.ndarray
     pairs: np.ndarray
-    keys: np.ndarray
 
 
 def question(f: Flat, known: Known) -> Question:
     own = np.zeros(len(f.odd), np.uint64)
     own[f.which] = f.own[f.rare]
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own)
     rank = np.empty(len(own), np.int64)
     rank[order] = np.arange(len(own))
-    here = np.flatnonzero(f.inner & ((f.at < 0) | (known.totals[f.at] > 0)))
-    pairs = f.pairs(here)
-    return Question([f.odd[k] for k in order.tolist()], own[order], rank[f.which], here, pairs, np.unique(pairs))
+    here = np.flatnonzero(f.inner & ((f.at == f.frequent) | (known.totals[f.at] > 0)))
+    return Question([f.odd[k] for k in order.tolist()], own[order], rank[f.which], here, f.pairs(here))
 
 
 def _words(data: list[bytes], sizes: np.ndarray) -> pa.Array:
@@ -541,32 +606,26 @@ def _lengths(words: list[bytes]) -> np.ndarray:
 
 
 def _dealt(model: Model, bits: int) -> DataFrame:
-    """The model's distributed counts in buckets: rare words with their counts and contexts, and pairs of words."""
-    nothing = np.zeros(0, np.int64)
-
-    def rows(words: list[bytes], own, seen, total, keys, n) -> pa.RecordBatch:
-        w, k = _cuts(own, bits), _cuts(keys, bits)
-        parts = [(x, words[w[x] : w[x + 1]], slice(w[x], w[x + 1]), slice(k[x], k[x + 1])) for x in range(1 << bits) if w[x] < w[x + 1] or k[x] < k[x + 1]]
-        return _batch([(x, b"".join(p), _packed(_lengths(p)), len(p), _packed(seen[i]), _packed(total[i]), _planes(keys[j]), _packed(n[j])) for x, p, i, j in parts], _DEALT)
+    """The model's distributed counts in buckets: words with their counts, pairs of words, contexts of rare words."""
+    nothing = np.zeros(0, np.uint64)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in joined(batches):
-            words = b.column(0).to_pylist()
+            words, seen = b.column(0).to_pylist(), b.column(1).to_numpy()
             own = _hashes(words)
             order = np.argsort(own)
-            yield rows([words[k] for k in order.tolist()], own[order], b.column(1).to_numpy()[order], b.column(2).to_numpy()[order], np.zeros(0, np.uint64), nothing)
+            words, own, seen = [words[k] for k in order.tolist()], own[order], seen[order]
+            cuts = [(x, i, words[i:j], seen[i:j]) for x, (i, j) in enumerate(pairwise(_cuts(own, bits))) if i < j]
+            yield _batch([(x, b"".join(p), _packed(_lengths(p)), len(p), _packed(n), _planes(nothing), b"", [], []) for x, _, p, n in cuts], _DEALT)
 
-    def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in joined(batches):
-            keys = _hashes(b.column(0).to_pylist()) * _MIX + (b.column(1).to_numpy().view(np.uint64) ^ _TOP) | np.uint64(1)
-            order = np.argsort(keys)
-            yield rows([], np.zeros(0, np.uint64), nothing, nothing, keys[order], b.column(2).to_numpy()[order])
-
-    def of_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What follows contexts in finer buckets."""
         for b in batches:
-            for planes, n in zip(*b.columns, strict=True):
-                keys = _keys(planes.as_py())
-                yield rows([], np.zeros(0, np.uint64), nothing, nothing, keys, _unpacked(n.as_py(), len(keys)))
+            for planes, n, context, totals in zip(*b.columns, strict=True):
+                keys, own = _keys(planes.as_py()), np.array(context.as_py(), np.int64).view(np.uint64)
+                n, totals = _unpacked(n.as_py(), len(keys)), totals.as_py()
+                cuts = zip(pairwise(_cuts(keys, bits)), pairwise(_cuts(own, bits)), strict=True)
+                yield _batch([(x, b"", b"", 0, b"", _planes(keys[i:j]), _packed(n[i:j]), own[s:e].view(np.int64), totals[s:e]) for x, ((i, j), (s, e)) in enumerate(cuts) if i < j or s < e], _DEALT)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Batches by about 100,000 rows together, so that a bucket's part of them isn't small."""
@@ -579,10 +638,13 @@ def _dealt(model: Model, bits: int) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held).combine_chunks()
 
-    schema = "bucket int, words binary, sizes binary, m long, seen binary, total binary, keys binary, n binary"
-    seen = model.counts.join(model.contexts, "word", "left").select("word", "n", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
-    found = seen.mapInArrow(of_words, schema).unionByName(model.following.select("word", "next", "n").mapInArrow(of_rare, schema))
-    return found if model.pairs is None else found.unionByName(model.pairs.mapInArrow(of_frequent, schema))
+    schema = "bucket int, words binary, sizes binary, m long, seen binary, keys binary, n binary, context array<long>, totals array<long>"
+    none = F.lit(b"")
+    if bits == model.bits:
+        pairs = model.pairs.select("bucket", none.alias("words"), none.alias("sizes"), F.lit(0).cast("long").alias("m"), none.alias("seen"), "keys", "n", "context", "totals")
+    else:
+        pairs = model.pairs.select("keys", "n", "context", "totals").mapInArrow(again, schema)
+    return model.counts.where(F.col("word") != F.lit(END)).mapInArrow(of_words, schema).unionByName(pairs)
 
 
 def _told(asked: pa.Table, dealt: pa.Table) -> pa.Table:
@@ -595,9 +657,18 @@ def _told(asked: pa.Table, dealt: pa.Table) -> pa.Table:
         data, sizes, m = columns(table, "words", "sizes", "m")
         return _words(data, np.concatenate([np.zeros(0, np.int64), *map(_unpacked, sizes, m)]))
 
-    m, seen, total, n = columns(dealt, "m", "seen", "total", "n")
-    seen, total = (np.concatenate([[0], *map(_unpacked, x, m)]).astype(np.int64) for x in (seen, total))
-    at = pc.fill_null(pc.index_in(words(asked), words(dealt)), -1).to_numpy() + 1
+    m, seen, n = columns(dealt, "m", "seen", "n")
+    seen = np.concatenate([[0], *map(_unpacked, seen, m)]).astype(np.int64)
+    counted = words(dealt)
+    context, totals = (pc.list_flatten(dealt.column(c)).to_numpy() for c in ("context", "totals"))
+    # Total of each word as a context: 0 where it isn't retained.
+    total = np.zeros(len(seen), np.int64)
+    if len(context):
+        order = np.argsort(context)
+        own = _hashes(_listed(counted)).view(np.int64)
+        place = order[np.minimum(np.searchsorted(context, own, sorter=order), len(order) - 1)]
+        total[1:] = np.where(context[place] == own, totals[place], 0)
+    at = pc.fill_null(pc.index_in(words(asked), counted), -1).to_numpy() + 1
     seen, total = seen[at], total[at]
     parts = [_keys(x) for x in dealt.column("keys").to_pylist()]
     keys, count = np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([np.zeros(0, np.int64), *map(_unpacked, n, map(len, parts))])
@@ -623,7 +694,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Texts are written in chunks to the shared folder. Each asks once for every rare word and every pair of
     words that it has; buckets of the counts answer, and the chunks are scored with their answers. Words are
-    matched as they are, so are pairs of frequent words, other pairs by keys of 63 bits.
+    matched as they are, so are pairs of frequent words; rare words as contexts are by keys of 64 bits,
+    other pairs by keys of 63.
     """
     spark = docs.sparkSession
     end = model.frequent.get(END)
@@ -634,46 +706,56 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     tree_of, known_of = spark.sparkContext.broadcast(model.tree), spark.sparkContext.broadcast(known(model.frequent, model.totals))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = known_of.value
         chunk = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = texts_of(b.column(1))
             for i, j in slices(texts, SCORED_BYTES):
-                data = END.join(b" ".join(tokens(t)) for t in texts[i:j])
-                small = pa.Codec("zstd").compress(data, asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([len(data)], pa.int64()), pa.array([small], pa.binary())], names=["chunk", "ids", "size", "texts"])
+                places, sizes, odd = coded(texts[i:j], have)
+                zstd = pa.Codec("zstd")
+                data = END.join(odd)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([zstd.compress(places.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)], pa.binary()), pa.array([zstd.compress(data, asbytes=True)], pa.binary()), pa.array([len(data)], pa.int64())], names=["chunk", "ids", "sizes", "places", "odd", "size"])
                 chunk += 1
 
-    def lists_of(size: int, texts: bytes) -> list[list[bytes]]:
-        return [t.split() for t in pa.Codec("zstd").decompress(texts, size, asbytes=True).split(END)]
+    def flat_of(sizes: list[int], places: bytes, odd: bytes, size: int) -> Flat:
+        zstd, n = pa.Codec("zstd"), sum(sizes)
+        at = np.frombuffer(zstd.decompress(places, 4 * n, asbytes=True) if n else b"", np.uint8).reshape(4, -1).T.copy().view(">u4").ravel()
+        return flat(at.astype(np.int64), np.array(sizes, np.int64), zstd.decompress(odd, size, asbytes=True).split() if size else [], known_of.value)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = known_of.value
         for b in batches:
-            for chunk, size, texts in ([x.as_py() for x in r] for r in zip(*b.columns, strict=True)):
-                q = question(flat(lists_of(size, texts), have), have)
-                w, k = _cuts(q.own, bits), _cuts(q.keys, bits)
-                parts = [(x, q.words[w[x] : w[x + 1]], q.keys[k[x] : k[x + 1]]) for x in range(1 << bits) if w[x] < w[x + 1] or k[x] < k[x + 1]]
+            for chunk, *texts in ([x.as_py() for x in r] for r in zip(*b.columns, strict=True)):
+                q = question(flat_of(*texts), have)
+                keys, _ = _distinct(q.pairs)
+                w, k = _cuts(q.own, bits), _cuts(keys, bits)
+                parts = [(x, q.words[w[x] : w[x + 1]], keys[k[x] : k[x + 1]]) for x in range(1 << bits) if w[x] < w[x + 1] or k[x] < k[x + 1]]
                 yield _batch([(chunk, x, b"".join(p), _packed(_lengths(p)), len(p), _planes(keys)) for x, p, keys in parts], _ASKED)
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
         tree, have = tree_of.value, known_of.value
-        ids, size, texts = (own.column(c)[0] for c in ("ids", "size", "texts"))
-        lists = lists_of(size.as_py(), texts.as_py())
-        m = len(lists)
-        f = flat(lists, have)
+        ids, *texts = (own.column(c)[0].as_py() for c in ("ids", "sizes", "places", "odd", "size"))
+        f = flat_of(*texts)
+        m, doc = len(f.sizes), np.repeat(np.arange(len(f.sizes)), f.sizes)
         q = question(f, have)
         told = told.sort_by("bucket").to_pydict()
         seen, total = (np.concatenate([np.zeros(0, np.int64), *map(_unpacked, told[c], told["m"])])[q.word] for c in ("seen", "total"))
-        n = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, told["n"], told["k"])])[np.searchsorted(q.keys, q.pairs)]
+        order = np.argsort(q.pairs)
+        keys = q.pairs[order]
+        n = np.empty(len(keys), np.int64)
+        n[order] = np.concatenate([np.zeros(0, np.int64), *map(_unpacked, told["n"], told["k"])])[np.cumsum(np.r_[np.zeros(min(1, len(keys)), bool), keys[1:] != keys[:-1]])]
         values = have.values[f.at]
         values[f.rare] = np.log10(seen + 0.5)
-        unseen = np.bincount(f.doc[f.rare[seen == 0]], minlength=m)
-        p, first, ends = tree.symbols(lists)
-        summed = np.r_[0.0, np.cumsum(p, dtype=float)]
+        unseen = np.bincount(doc[f.rare[seen == 0]], minlength=m)
+        # The words, each with a space behind it; the last of a text ends with an end mark, as does an empty text.
+        data, offsets = _raw(pa.concat_arrays([have.spaced, pa.array([w + b" " for w in f.odd], pa.large_binary())]).take(pa.array(f.places)))
+        ends = np.cumsum(f.sizes)
+        start, stop = offsets[ends - f.sizes], offsets[ends]
+        symbols, first, ends = _stream(data, start, np.maximum(stop - start - 1, 0))
+        summed = np.r_[0.0, np.cumsum(tree.symbols(symbols, first, ends), dtype=float)]
         # Where words begin: behind a space, or at the first symbol; each ends with a space or the text.
-        long = _lengths(f.words) + 1
-        begin = np.cumsum(long) - long
-        begin += np.repeat(first - np.r_[0, np.cumsum(np.bincount(f.doc, long, m))[:-1]].astype(np.int64), f.sizes)
+        long = np.diff(offsets)
+        begin = offsets[:-1] + np.repeat(first - start, f.sizes)
         # The inner tree's probability of a word gives way to that of the context, where it is retained.
         totals = have.totals[f.at]
         totals[f.rare] = total
@@ -683,22 +765,23 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         gain = math.log10(SMOOTHING) - np.log10(totals[here] + SMOOTHING)
         some = n > 0
         gain[some] += np.logaddexp(0.0, np.log(n[some] / SMOOTHING) - math.log(10) * chance[some]) / math.log(10)
-        base = np.bincount(f.doc, values, m) + end - (f.sizes + 1) * norm
-        scores = summed[ends + 1] - summed[first] + np.bincount(f.doc[here], gain, m)
-        return pa.table([pa.array(ids.as_py(), pa.int64()), pa.array(f.sizes + 1), pa.array(f.sizes - unseen + ends_known), pa.array(base), pa.array(scores)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        base = np.bincount(doc, values, m) + end - (f.sizes + 1) * norm
+        scores = summed[ends + 1] - summed[first] + np.bincount(doc[here], gain, m)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(f.sizes + 1), pa.array(f.sizes - unseen + ends_known), pa.array(base), pa.array(scores)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     norm = math.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
     folder = scratch(spark, "lm")
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(chunks, _CHUNKS).write.parquet(f"{folder}/chunks")
     texts = spark.read.schema(_CHUNKS).parquet(f"{folder}/chunks")
-    number, size = texts.agg(F.count("*"), F.sum("size")).first()
-    bits = _bits(max(model.train_tokens, (size or 0) // 6))
-    asked = texts.select("chunk", "size", "texts").mapInArrow(ask, "chunk long, bucket int, words binary, sizes binary, m long, keys binary")
+    number, size = texts.agg(F.count("*"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    # Finer buckets than the model's only for far more tokens than it has seen.
+    bits = max(model.bits, _bits(size or 0) - 1)
+    asked = texts.select("chunk", "sizes", "places", "odd", "size").mapInArrow(ask, "chunk long, bucket int, words binary, sizes binary, m long, keys binary")
     told = "chunk long, bucket int, m long, seen binary, total binary, k long, n binary"
     # A bucket or a few chunks to a task.
     dealt = lambda df, by, tasks: df.repartition(tasks, by).groupBy(by)
     dealt(asked, "bucket", 1 << bits).cogroup(dealt(_dealt(model, bits), "bucket", 1 << bits)).applyInArrow(_told, told).write.parquet(f"{folder}/told")
-    if model.pairs is not None:
+    if model.totals:
         _released(spark)
     answers = spark.read.schema(told).parquet(f"{folder}/told")
     tasks = max(1, number // 8)

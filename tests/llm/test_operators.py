@@ -697,6 +697,43 @@ def test_lm_has_contexts_of_every_word(spark, docs, monkeypatch, frequent):
     assert math.isfinite(got[-1][1])
 
 
+def test_lm_reads_training_texts_twice(spark, docs):
+    """Once for the counts, once for what follows frequent and rare words alike."""
+    from sievemark.llm import lm
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    lm.fit(docs.select("text").mapInArrow(seen, "text string"), every_word=True)
+    assert read.value == 2 * docs.count()
+
+
+def test_lm_splits_as_bytes_are_split():
+    from sievemark.llm import lm
+
+    texts = [bytes(range(256)) * 2, b"", b" ", b" a\n\nB ", b"\x0b\x0cA\x1c\x1db\x85 \xc2\xa0c", "É  ß".encode()]
+    words, sizes = lm.split(texts)
+    assert words.to_pylist() == [w for t in texts for w in lm.tokens(t)] and sizes.tolist() == [len(lm.tokens(t)) for t in texts]
+
+
+def test_lm_scores_far_more_texts_than_it_was_fitted_on(spark, docs, monkeypatch):
+    """Its buckets are made finer for them."""
+    from sievemark.llm import lm
+
+    monkeypatch.setattr(lm, "BUCKET", 100)
+    monkeypatch.setattr(lm, "FREQUENT", 0.004)
+    model = lm.fit(docs, every_word=True)
+    once = {r.doc_id: r for r in lm.scored(docs, model).collect()}
+    many = lm.scored(docs.join(spark.range(40).select("id")), model).collect()
+    assert len(many) == 40 * len(TEXTS) and model.totals and model.contexts.count() > 50
+    for r in many:
+        assert r[1:3] == once[r.doc_id][1:3] and r[3:] == pytest.approx(once[r.doc_id][3:], abs=1e-4)
+
+
 def test_the_query_scores_with_contexts_of_frequent_words(spark):
     from sievemark.llm import lm
     from sievemark.llm.common import crc_bucket, table
