@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemark.functions.entities import TAG, spaced, stripped, untagged
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -245,17 +247,39 @@ def exif(pictures: DataFrame) -> DataFrame:
     return got.select("path", "make", "model", "software", F.coalesce(time("original"), time("changed")).alias("shot"))
 
 
+def _inner(tag: str) -> re.Pattern:
+    return re.compile(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>")
+
+
+# Parts of article XML.
+_ARTICLE = {tag: _inner(tag) for tag in ("body", "article-title", "abstract", "sec", "(?:article-)?title")}
+
+
+def article(xml: str | None) -> tuple[str, str, str | None, dict[str, str] | None]:
+    """Title, abstract, full text and sections of article XML; each part is looked for once."""
+    inner = lambda tag, text: m[1] if (m := _ARTICLE[tag].search(text)) else ""
+    if xml is None:
+        return "", "", None, None
+    body = inner("body", xml) or xml
+    found: dict[str, list[str]] = {}
+    for m in _ARTICLE["sec"].finditer(body):
+        if text := spaced(untagged(m[1])):
+            title = spaced(TAG.sub(" ", inner("(?:article-)?title", m[1]))).lower()[:80]
+            found.setdefault(title or "untitled", []).append(text)
+    return stripped(inner("article-title", xml)), stripped(inner("abstract", xml)), stripped(body), {k: "\n\n".join(v) for k, v in found.items()}
+
+
 def jats(xml: Column) -> Column:
-    """Struct of title, abstract, full_text and sections (map by lower-case title; equal titles are joined by an empty line)."""
-    from sievemark.functions.text import let, strip_markup
-
-    inner = lambda tag: F.nullif(F.regexp_extract(xml, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit(""))
-    body = F.coalesce(inner("body"), xml)
-    title = lambda s: F.substring(F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(s, r"(?is)<(?:article-)?title\b[^>]*>(.*?)</(?:article-)?title>", 1), "<[^>]+>", " "), r"\s+", " "))), 1, 80)
-    plain = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?i)</?(?:sup|sub)\b[^>]*>", ""), "<[^>]+>", " "), r"\s+", " "))
-    one = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<sec\b[^>]*>(.*?)</sec>"), F.lit(1)), lambda s: F.struct(F.when(title(s) == "", "untitled").otherwise(title(s)).alias("k"), plain(s).alias("v")))
-    sections = let(F.filter(one, lambda s: s["v"] != ""), lambda all_: F.map_from_entries(F.transform(F.array_distinct(F.transform(all_, lambda s: s["k"])), lambda k: F.struct(k, F.array_join(F.transform(F.filter(all_, lambda s: s["k"] == k), lambda s: s["v"]), "\n\n")))))
-    return F.struct(strip_markup(F.coalesce(inner("article-title"), F.lit(""))).alias("title"), strip_markup(F.coalesce(inner("abstract"), F.lit(""))).alias("abstract"), strip_markup(body).alias("full_text"), sections.alias("sections"))
+    """Struct of title, abstract, full_text and sections (map by lower-case title; equal titles are joined by an empty line).
+
+    One Arrow-vectorised function: as an expression, every part would compute xml again.
+    """
+
+    @F.pandas_udf("title string, abstract string, full_text string, sections map<string,string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([article(x) for x in s], columns=["title", "abstract", "full_text", "sections"], dtype=object)
+
+    return run(xml)
 
 
 def subgraph(edges: DataFrame, root: str, hops: int = 2, fan_out: int = 30, most: int = 200) -> DataFrame:

@@ -59,6 +59,20 @@ def test_jats_and_markup(spark):
     assert set(r.sections) == {"results", "untitled"} and "\n\n" in r.sections["results"]
 
 
+def test_article_is_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def xml(k):
+        made.add(1)
+        return f"<article><article-title>No {k}</article-title><body><sec><title>Methods</title><p>a</p></sec><sec><title>Results</title>b</sec></body></article>"
+
+    j = spark.range(0, 20, 1, 1).select(documents.jats(xml("id")).alias("j"))
+    got = j.select("j.title", "j.abstract", F.col("j.sections")["methods"].alias("m"), F.col("j.sections")["results"].alias("r")).collect()
+    assert [tuple(r) for r in got][3] == ("No 3", "", "Methods a", "Results b") and made.value == 20
+    assert spark.createDataFrame([(None,)], "x string").select(documents.jats(F.col("x")).alias("j")).first().j == ("", "", None, None)
+
+
 def test_subgraph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "a")], "src string, dst string")
     assert [(r.node, r.hop) for r in documents.subgraph(edges, "a").collect()] == [("a", 0), ("b", 1), ("e", 1), ("c", 2)]
