@@ -80,6 +80,14 @@ def test_references_end_with_a_semicolon(spark):
     assert got == ["a & b <c> \u00e9A; d\u00a9", "cut off &amp", "&amp x &ltb &#65 &notit; &copyb;", None]
 
 
+def test_pictures_pass_in_small_batches(spark):
+    made = spark.range(3).selectExpr("cast(id as string) as origin", "64 as height", "64 as width", "1 as nChannels", "cast(repeat(cast(id as string), 4096) as binary) as data")
+    for found in (I.hashed(made), I.copy_moves(made), I.patch_splices(made), I.spectra(made), I.decoded(made.withColumnRenamed("data", "picture"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchEvalPython") == 1 and "InPandas" not in plan and "Arrow" not in plan
+    assert [r.severity for r in I.patch_splices(made).where("severity >= 0").collect()] == [0, 0, 0]
+
+
 def test_subgraph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "a")], "src string, dst string")
     assert [(r.node, r.hop) for r in documents.subgraph(edges, "a").collect()] == [("a", 0), ("b", 1), ("e", 1), ("c", 2)]
