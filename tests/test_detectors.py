@@ -170,6 +170,29 @@ def test_reconstruction(spark):
     assert fails["sum"] == (False, 2) and fails["ok"] == (True, 0)
 
 
+def test_reconstruction_of_many_members(spark):
+    rows = [(f"{k}", 4.0 + k / 100, sd, n, lo, 7.0) for k, (sd, n, lo) in enumerate([(2.0, 9000, 1.0), (1.2, 9000, 0.0), (2.9, 20000, 1.0), (2.0, 150, 1.0), (0.3, 400, None)])]
+    df = spark.createDataFrame(rows, "label string, mean double, sd double, n int, reported_min double, reported_max double").selectExpr("*", "2 as mean_decimals", "2 as sd_decimals", "1 as scale_min", "7 as scale_max", "cast(4 as double) as reported_median")
+    got = {r.label: (r.n_samples, r.outside) for r in reported.reconstructed(df).collect()}
+    assert len(got) == 5 and all(n == 50 for n, _ in list(got.values())[:4]) and got["4"][0] > 0
+    assert got["0"][1] == "" and "min" in got["1"][1] and got["3"][1] == ""
+    for x in reported.samples(4.01, 2.0, 9000, 1, 7, 0.005, random.Random(1), 3, 50, 250):
+        assert (len(x), sum(x), x) == (9000, 36090, sorted(x)) and abs(np.std(x, ddof=1) - 2.0) <= 0.005 + 1e-9
+
+
+def test_possible_samples_are_told_exactly():
+    for n, low, high in ((2, 1, 7), (4, 1, 5), (6, -2, 3), (9, 0, 3)):
+        spread: dict[int, set[float]] = {}
+        for xs in itertools.combinations_with_replacement(range(low, high + 1), n):
+            spread.setdefault(sum(xs), set()).add(((sum(x * x for x in xs) - sum(xs) ** 2 / n) / (n - 1)) ** 0.5)
+        for total in range(low * n - 1, high * n + 2):
+            for sd in (k / 20 for k in range(0, 90)):
+                for slack in (0.005, 0.05, 0.5):
+                    want = any(abs(x - sd) <= slack + 1e-9 for x in spread.get(total, ()))
+                    assert reported.possible(total / n, sd, n, low, high, slack) == want, (n, low, high, total, sd, slack)
+    assert reported.possible(3.0, 1.5, 100_000, 1, 7, 0.005) and not reported.possible(3.0, 3.5, 100_000, 1, 7, 0.005)
+
+
 def test_process(spark):
     rows = [(k, 10.0, 10.0 if k < 10 else 5.0) for k in range(20)]
     log = spark.createDataFrame(rows, "k long, i double, o double").withColumn("file_id", F.lit("f"))
