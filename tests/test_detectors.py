@@ -51,6 +51,21 @@ def test_digit_detectors(spark):
     assert numeric.terminal_digit(c.where("false")).count() == 0
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_ordered_statistics_move_the_cells_once(spark):
+    c = cells(spark, {"a": [0.5, 1.5] * 60, "line": [float(k) for k in range(90)], "flat": [1.0] * 90})
+    assert exchanges(numeric.block_variance(c)) == 1 and {r.col for r in numeric.block_variance(c).collect()} == {"a"}
+    plan = numeric.joint_entropy(c)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("repartition") == 0 and "collect_list" not in plan
+    got = numeric.joint_entropy(c).first()
+    assert (got.cols, got.n_rows) == (3, 90)
+    plan = numeric.benford_segments(c)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("[1-9]") < plan.index("Join")
+
+
 def test_relations(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(10, 2, 40), rng.normal(5, 1, 40)
