@@ -240,6 +240,21 @@ def test_cliques_of_graphs_of_any_size(spark):
     assert {m for g, m in got if g == 1} == {(100, 101, 102, 103, 200, 201)}
 
 
+def test_cliques_of_small_and_large_graphs_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(g, a, b) for g in range(3) for a in range(16) for b in range(16) if a != b and rng.random() < 0.3], "graph_id long, src long, dst long")
+    found = lambda: sorted(map(str, network.cliques(edges).collect()))
+    want = found()
+    monkeypatch.setattr(network, "TOGETHER", 0)
+    assert found() == want and len(want) > 5
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Join")
+    assert joins(network.reciprocal(edges)) == 1 and joins(network.short_cycles(edges)) == 3
+    linked = {tuple(r) for r in edges.collect()}
+    for r in network.short_cycles(edges).collect():
+        cycle = lambda *n: n[0] == min(n) and len(set(n)) == len(n) and all((r.graph_id, x, y) in linked for x, y in zip(n, (*n[1:], n[0]), strict=True))
+        assert (r.n3, r.n4) == tuple(sum(cycle(*n) for n in itertools.permutations(range(16), k)) for k in (3, 4))
+
+
 def test_mill_findings_of_a_graph(spark):
     edges = spark.createDataFrame([(1, a, b) for a in range(4) for b in range(4) if a != b] + [(1, a, r) for a in range(4) for r in (10, 11, 12)] + [(1, 10, 13)] + [(2, 0, 1), (2, 1, 0)], "graph_id long, src long, dst long")
     authors = spark.createDataFrame([(1, k, name) for k in range(4) for name in ("Y", "X")] + [(2, 0, "X")], "graph_id long, node long, author string")
@@ -280,6 +295,13 @@ def test_evidence(spark):
     assert 0 < score["d"] < 0.05 and score["e"] is None
 
 
+def test_difference_is_one_aggregation(spark):
+    side = lambda *rows: spark.createDataFrame(list(rows), "detector_id string, summary string")
+    found = evidence.difference(side(("A1", "x"), ("A1", "y"), ("A1", "y"), (None, "z")), side(("A1", "x"), ("A2", "w"), (None, "z")))
+    assert sorted(map(tuple, found.collect()), key=str) == [("A1", "y", "removed"), ("A2", "w", "added"), (None, "z", "added"), (None, "z", "removed")]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
