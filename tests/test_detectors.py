@@ -302,6 +302,14 @@ def test_difference_is_one_aggregation(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scan_leaves_no_detector_out(spark):
+    from sievemark.operators import registry
+    from sievemark.plans.evidence import _relations
+
+    have = _relations(spark, "/root/testdata/sf0.001")
+    assert len(registry.select(have=have)) == len(registry.select())
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
